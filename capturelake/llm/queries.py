@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from capturelake.llm.common import table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from capturelake.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from capturelake.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from capturelake.llm.sharding import shards_of
+
+    return shards_of(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from capturelake.llm.token_files import token_files
 
