@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from capturelake.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from capturelake.llm.html_extraction import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from capturelake.llm.mixing import mixture
 
