@@ -4,9 +4,10 @@ Every document is encoded whole, ends with one end id, and the ids of all
 documents of a part, in ascending document order, are cut into rows of
 ``seq_len`` ids. A part is two files in Arrow's random-access format:
 
-``part-N.arrow``       ``input_ids fixed_size_list<uint32>[seq_len]`` and
-                       ``mask fixed_size_list<uint8>[seq_len]`` (1: an id, 0: padding
-                       of the part's last row), ``ROWS`` rows in each record batch
+``part-N.arrow``       ``input_ids fixed_size_list<uint16>[seq_len]`` (uint32 for more
+                       than 65,536 ids) and ``mask fixed_size_list<bool>[seq_len]``, a
+                       bitmap (false: padding of the part's last row), ``ROWS`` rows
+                       in each record batch
 ``part-N.docs.arrow``  ``doc_id``, ``start`` (within the part), ``n_tokens``
 
 A reader maps the file and gets any sequence without a copy
@@ -21,8 +22,11 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,11 @@ from capturelake.llm.common import file_system, put_file, shared_path
 #: Rows of one record batch, and ids of one row where nothing else is said.
 ROWS, SEQ_LEN = 256, 1024
 #: Distinct words that a worker remembers with their ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Before a unit that has no space before it; never in a word, which has no white space at its ends.
+BARE = "\t"
+#: Characters of text that are looked up at once.
+SLICE = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -45,6 +53,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _ByteLetters(dict):
+    """Code points to the letters that stand for their bytes, as the library has them."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, point: int) -> str:
+        self[point] = out = self.level.pre_tokenize_str(chr(point))[0][0]
+        return out
+
+
 class Encoder:
     """Whole texts to ids, by the tokenizers library, with a memory for words.
 
@@ -61,8 +82,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        import json
-
+        self.letters = _ByteLetters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -71,58 +91,101 @@ class Encoder:
         self.whole = re.compile("|".join([r" (?=\s|\Z)", *special]))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units. Letters, with or without a space before them, are one word to the
+        library's pre-tokenizer, so they go to its model at once; others take the whole way."""
+        model, table, out, rest = self.tokenizer.model.tokenize, self.letters, [], []
+        for u in units:
+            u = u[1:] if u[0] == BARE else " " + u
+            if u.lstrip(" ").isalpha():
+                out.append(array("I", [t.id for t in model(u.translate(table))]).tobytes())
+            else:
+                rest.append((len(out), u))
+                out.append(b"")
+        for (i, _), ids in zip(rest, self._encode([u for _, u in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_words:
             return self._encode(texts)
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if self.whole.search(text):
-                pieces.append(None)
-            else:
-                first, *rest = text.split(" ")
-                pieces.append([first, *(" " + x for x in rest)])
-        known = self.known
-        new: set[str] = set()
-        for p in pieces:
-            if p is not None:
-                new.update(p)
-        new.difference_update(known.keys())
-        fresh = sorted(new)
-        now = dict(zip(fresh, self._encode(fresh), strict=True))
-        if len(known) + len(now) > CACHE_WORDS:
-            known.clear()
+        out: list[bytes] = []
+        begin, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held > SLICE or i == len(texts) - 1:
+                out += self._by_words(texts[begin : i + 1])
+                begin, held = i + 1, 0
+        return out
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        known, whole = self.known, self.whole.search
+        found, odd, fresh = [], [], set()  # odd: texts that go as a whole
+        for k, text in enumerate(texts):
+            if whole(text):
+                odd.append(k)
+                found.append([])
+                continue
+            words = text.split(" ")
+            words[0] = BARE + words[0]
+            fresh.update(words)
+            found.append(words)
+        fresh = fresh.difference(known)
+        units, made = {w for w in fresh if w.isalpha()}, []
+        for w in fresh.difference(units):
+            made.append((w, parts := self._units(w)))
+            units.update(parts)
+        units = list(units.difference(known))
+        now = dict(zip(units, self._encode_units(units), strict=True))
         known.update(now)
-        if len(now) > CACHE_WORDS or any(x is None for x in pieces):
-            rest = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        for w, parts in made:
+            now[w] = known[w] = b"".join([known[u] for u in parts])
         get = known.__getitem__
-        out, missing = [], False
-        for p in pieces:
-            if p is None:
-                out.append(next(rest))
-                continue
-            try:
-                out.append(b"".join(map(get, p)))
-            except KeyError:  # the memory was cleared for this batch
-                missing = True
-                out.append(None)
-        if missing:
-            for i, p in enumerate(pieces):
-                if out[i] is None:
-                    again = sorted({x for x in p if x not in known})
-                    known.update(zip(again, self._encode(again), strict=True))
-                    out[i] = b"".join(map(get, p))
+        out = [b"".join(map(get, words)) for words in found]
+        if len(known) > CACHE_WORDS:
+            for w in now:
+                del known[w]
+        if odd:
+            for k, ids in zip(odd, self._encode([texts[k] for k in odd]), strict=True):
+                out[k] = ids
         return out
 
+    @staticmethod
+    def _units(word: str) -> list[str]:
+        """A word, with the space before it unless it starts with ``BARE``, cut into units
+        that no token crosses: before a mark that ends a line and follows a letter, and around
+        a line feed between non-spaces."""
+        bare = word[:1] == BARE
+        lines = word[bare:].split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return [word] if len(word) > bare else []
+        out = []
+        for i, x in enumerate(lines):
+            if i:
+                out.append(BARE + "\n")
+            mark = len(x) > 1 and x[-1] in ".,;:!?" and x[-2].isalpha()
+            out.append((BARE if i or bare else "") + (x[:-1] if mark else x))
+            if mark:
+                out.append(BARE + x[-1])
+        return out
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that its memory serves all of its tasks."""
+    return Encoder(path)
+
 
 class _PartWriter:
     """Rows of ``seq_len`` ids into an open Arrow file, a record batch at a time."""
 
-    def __init__(self, sink, seq_len: int):
+    def __init__(self, sink, seq_len: int, kind: pa.DataType):
+        self.kind = kind
         self.n, self.pending, self.held, self.total = seq_len, [], 0, 0
-        self.schema = pa.schema([("input_ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+        self.schema = pa.schema([("input_ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: bytes) -> None:
@@ -146,9 +209,8 @@ class _PartWriter:
         self.pending, self.held = [rest.tobytes()], 4 * len(rest)
 
     def _rows(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), dtype=np.uint8)
-        mask[:real] = 1
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.n) for a in (ids, mask)]
+        values = pa.array(ids.astype(self.kind.to_pandas_dtype())), pa.array(np.arange(len(ids)) < real)
+        columns = [pa.FixedSizeListArray.from_arrays(v, self.n) for v in values]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -164,24 +226,31 @@ class SequenceFile:
         self.reader = pa.ipc.open_file(pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path))
         self.seq_len = self.reader.schema.field("input_ids").type.list_size
         self._at, self._batch = -1, None
+        self._ids_at, self._ids = -1, None
 
-    def _flat(self, batch: int, column: int) -> np.ndarray:
+    def _flat(self, batch: int, column: int) -> pa.Array:
         if batch != self._at:
             self._at, self._batch = batch, self.reader.get_batch(batch)
-        a = self._batch.column(column)
-        return a.values.to_numpy()[a.offset * self.seq_len : (a.offset + len(a)) * self.seq_len]
+        return self._batch.column(column).flatten()
 
-    def __getitem__(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of one sequence, as views of the file."""
         b, r = divmod(row, ROWS)
-        return tuple(self._flat(b, c)[r * self.seq_len : (r + 1) * self.seq_len] for c in (0, 1))
+        ids, mask = (self._flat(b, c).slice(r * self.seq_len, self.seq_len) for c in (0, 1))
+        return ids.to_numpy(), mask
+
+    def __len__(self) -> int:
+        n = self.reader.num_record_batches
+        return (n - 1) * ROWS + self.reader.get_batch(n - 1).num_rows if n else 0
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Ids ``start`` to ``start + n`` of the part's stream, as views."""
         block = self.seq_len * ROWS
         while n > 0:
             b, at = divmod(start, block)
-            got = self._flat(b, 0)[at : at + n]
+            if b != self._ids_at:
+                self._ids_at, self._ids = b, self._flat(b, 0).to_numpy()
+            got = self._ids[at : at + n]
             if not len(got):
                 raise EOFError(f"the part ends before id {start}")
             yield got
@@ -210,7 +279,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encode, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
         ids, lengths, sums = [], [], [0]
 
         def body(sink) -> None:
@@ -218,7 +287,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
 
             from capturelake.llm.common import in_parts
 
-            writer = _PartWriter(sink, seq_len)
+            wide = max(encode.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
+            writer = _PartWriter(sink, seq_len, pa.uint32() if wide else pa.uint16())
             for batch in (p for b in chain([first], batches) for p in in_parts(b, 1)):
                 ids.append(batch.column(0))
                 own = []
@@ -268,7 +338,7 @@ def read_token_files(spark: SparkSession, out_dir: str, parts: list[tuple[int, i
                     for start, n in zip(docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for ids in seqs.ids(start, n):
-                            crc = zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"), crc)
+                            crc = zlib.crc32(ids.astype("<u4"), crc)
                         sums.append(crc)
                     starts = pa.array(docs.column("start").to_numpy() + begin)
                     yield pa.RecordBatch.from_arrays([docs.column("doc_id"), starts, docs.column("n_tokens"), pa.array(sums, pa.int64()), pa.array([part] * len(sums), pa.int32())], names=schema.names)
