@@ -95,6 +95,10 @@ def in_parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         return
     import pyarrow.compute as pc
 
+    if not (pa.types.is_string(batch.column(at).type) or pa.types.is_large_string(batch.column(at).type) or pa.types.is_binary(batch.column(at).type) or pa.types.is_large_binary(batch.column(at).type)):
+        step = max(1, batch.num_rows * PART_BYTES // batch.nbytes)
+        yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+        return
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
     for i, n in enumerate(sizes):
