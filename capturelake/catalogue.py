@@ -1,15 +1,418 @@
-"""Queries over the driver's tables, one for each operator of the engine."""
+"""Queries over the driver's tables, one or more for each family of operators.
+
+Each takes (spark, sf_dir) and runs over whole tables; ``oracles.SQL`` has the same answers in SQL.
+Lists are joined to strings so that both engines' results compare.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from capturelake.adapters import NOW, archive, sign_bits, table, timeline
+from capturelake.functions import hashing, text
+from capturelake.operators import classify, cleanup, insights, ocr, organize, predicates, rename, search, suggest
+from capturelake.oracles import CORPUS_WORDS, SQL
+from capturelake.plans.lineage import cut
+from capturelake.plans.query_parser import parse
+from capturelake.schemas import BASE_COLS
+from capturelake.sources import files, thumbnails
+from capturelake.streaming import watch
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _flat(c: str) -> Column:
+    return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+
+
+@query
+def grid_page(spark, sf_dir):
+    return organize.grid_page(archive(spark, sf_dir).captures).select(*BASE_COLS)
+
+
+@query
+def all_ids(spark, sf_dir):
+    return organize.all_ids(archive(spark, sf_dir).captures)
+
+
+@query
+def library_stats(spark, sf_dir):
+    return organize.library_stats(archive(spark, sf_dir))
+
+
+@query
+def timeline_months(spark, sf_dir):
+    return insights.timeline_months(archive(spark, sf_dir).captures)
+
+
+@query
+def timeline_days(spark, sf_dir):
+    return insights.timeline_days(archive(spark, sf_dir).captures, 2026, 8)
+
+
+@query
+def timeline_items(spark, sf_dir):
+    return insights.timeline_items(archive(spark, sf_dir).captures, "2026-08-20").select("id", "path")
+
+
+@query
+def exact_dup_groups(spark, sf_dir):
+    return insights.exact_duplicates(archive(spark, sf_dir).captures).select("kind", "key", "count", _flat("ids"))
+
+
+@query
+def exact_reclaim(spark, sf_dir):
+    return cleanup.exact_groups(archive(spark, sf_dir))
+
+
+@query
+def metadata_differs(spark, sf_dir):
+    return cleanup.metadata_differs(archive(spark, sf_dir))
+
+
+@query
+def keep_newest(spark, sf_dir):
+    return cleanup.redundant_ids(archive(spark, sf_dir).captures)
+
+
+@query
+def path_by_hash(spark, sf_dir):
+    return organize.path_by_content_hash(archive(spark, sf_dir).captures)
+
+
+@query
+def hamming_pairs(spark, sf_dir):
+    return insights.hamming_pairs(sign_bits(spark, sf_dir), 14)
+
+
+@query
+def similar_groups(spark, sf_dir):
+    lead = insights.leaders(sign_bits(spark, sf_dir), 16)
+    return lead.groupBy(F.col("leader").alias("key")).agg(F.count("*").alias("count"), F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
+
+
+@query
+def bursts(spark, sf_dir):
+    return insights.detect_bursts(timeline(spark, sf_dir).captures, 300)
+
+
+@query
+def burst_themes(spark, sf_dir):
+    b = insights.burst_themes(timeline(spark, sf_dir), 300)
+    return b.select("key", "count", "top_category", "top_app", _flat("top_tags"), _flat("preview_hashes").alias("previews"))
+
+
+@query
+def burst_items(spark, sf_dir):
+    return insights.burst_items(timeline(spark, sf_dir).captures, 1704240000, 1704326400).select("id")
+
+
+@query
+def burst_membership(spark, sf_dir):
+    return insights.burst_membership(archive(spark, sf_dir).captures)
+
+
+def _searched(spark, sf_dir, q: str) -> DataFrame:
+    r = search.ranked(archive(spark, sf_dir), parse(q, NOW), NOW)
+    return r.select("id", F.round("score", 6).alias("score"), F.round("_sort", 6).alias("sort_key"))
+
+
+@query
+def search_words(spark, sf_dir):
+    return _searched(spark, sf_dir, "that with")
+
+
+@query
+def search_phrase(spark, sf_dir):
+    return _searched(spark, sf_dir, '"of the"')
+
+
+@query
+def search_mixed(spark, sf_dir):
+    return _searched(spark, sf_dir, 'and "is the" is:starred type:png')
+
+
+@query
+def search_filters(spark, sf_dir):
+    return search.search_ids(archive(spark, sf_dir), "app:src1 type:png after:2026-01-01 site:example", NOW)
+
+
+@query
+def search_member(spark, sf_dir):
+    return search.search_ids(archive(spark, sf_dir), "tag:quality collection:src1 is:starred has:text", NOW)
+
+
+@query
+def search_dir(spark, sf_dir):
+    return search.search_ids(archive(spark, sf_dir), "dir:/archive/src1 has:notext", NOW)
+
+
+@query
+def is_duplicate(spark, sf_dir):
+    return search.search_ids(archive(spark, sf_dir), "is:duplicate", NOW)
+
+
+@query
+def search_total(spark, sf_dir):
+    return search.search_total(archive(spark, sf_dir), "before:2026-03-02", NOW)
+
+
+@query
+def list_tags(spark, sf_dir):
+    return organize.list_tags(archive(spark, sf_dir))
+
+
+@query
+def tag_texts(spark, sf_dir):
+    return organize.tag_texts(archive(spark, sf_dir))
+
+
+@query
+def list_collections(spark, sf_dir):
+    return organize.list_collections(archive(spark, sf_dir)).select("id", "name", "kind", "item_count")
+
+
+@query
+def collection_items(spark, sf_dir):
+    return organize.collection_item_ids(archive(spark, sf_dir), 4)
+
+
+@query
+def collections_of(spark, sf_dir):
+    return organize.collections_of(archive(spark, sf_dir)).select("screenshot_id", "id", "name")
+
+
+@query
+def capture_detail(spark, sf_dir):
+    return organize.detail(archive(spark, sf_dir)).select("id", "path", "category", F.length("ocr_text").cast("long").alias("text_chars"), _flat("tags"))
+
+
+@query
+def unfiled(spark, sf_dir):
+    return suggest.unfiled(archive(spark, sf_dir)).select("id")
+
+
+@query
+def proposals(spark, sf_dir):
+    return suggest.proposals(archive(spark, sf_dir)).select("key", "name", "member_count", _flat("member_ids").alias("members"))
+
+
+@query
+def coverage(spark, sf_dir):
+    return suggest.coverage(archive(spark, sf_dir))
+
+
+@query
+def collection_profiles(spark, sf_dir):
+    return suggest.profiles(archive(spark, sf_dir)).select("cid", "name", "members", "top_app", "top_category", "top_domain", _flat("tags"))
+
+
+@query
+def suggest_collections(spark, sf_dir):
+    return suggest.suggest_collections(archive(spark, sf_dir)).select("id", "cid", "name", "score", "rank")
+
+
+@query
+def suggest_tags(spark, sf_dir):
+    return suggest.suggest_tags(archive(spark, sf_dir)).select("id", "name", "score", "rank")
+
+
+@query
+def cleanup_overview(spark, sf_dir):
+    o = cleanup.overview(archive(spark, sf_dir), NOW)
+    return o.drop("near_groups", "near_count", "near_candidate_bytes", "old_age_days", "large_min_bytes")
+
+
+@query
+def cleanup_old(spark, sf_dir):
+    return cleanup.items(archive(spark, sf_dir), "old", NOW, days=90).select("id", "size")
+
+
+@query
+def cleanup_notext(spark, sf_dir):
+    return cleanup.items(archive(spark, sf_dir), "notext", NOW, sort="largest").select("id", "size")
+
+
+@query
+def cleanup_ids(spark, sf_dir):
+    return cleanup.category_ids(archive(spark, sf_dir), "old", NOW)
+
+
+@query
+def cleanup_totals(spark, sf_dir):
+    return cleanup.items_total(archive(spark, sf_dir), "old", NOW, days=730)
+
+
+@query
+def selection_bytes(spark, sf_dir):
+    return cleanup.selection_bytes(archive(spark, sf_dir).captures, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+def _quality(spark, sf_dir) -> DataFrame:
+    """(id, quality) of all documents, null where there is no label."""
+    q = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(q, "doc_id", "left").select(F.col("doc_id").alias("id"), "quality")
+
+
+@query
+def delete_outcomes(spark, sf_dir):
+    return cleanup.delete(archive(spark, sf_dir), _quality(spark, sf_dir).select("id", (F.col("quality") == 1).alias("moved")))[1]
+
+
+@query
+def deleted_records(spark, sf_dir):
+    s = cleanup.snapshots(archive(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    return s.select("screenshot_id", "filename", "size", "starred", "tags_json", "collections_json", F.length("ocr_text").cast("long").alias("text_chars"))
+
+
+@query
+def deleted_search(spark, sf_dir):
+    lib = archive(spark, sf_dir)
+    s = cleanup.snapshots(lib, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    s = s.withColumns({"id": F.col("screenshot_id"), "deleted_at": F.timestamp_seconds(F.lit(NOW)), "keep_thumbnail": F.lit(True)}).select(*lib.deleted.columns)
+    return cleanup.deleted_items(lib.with_(deleted=s), "the").select("screenshot_id")
+
+
+@query
+def fingerprint_changed(spark, sf_dir):
+    shots = archive(spark, sf_dir).captures
+    listed = shots.join(_quality(spark, sf_dir), "id").select("path", "modified_ts", (F.col("size") + F.when(F.col("quality").isNull(), 0).otherwise(1)).alias("size"))
+    return files.changed(listed, shots).select("path")
+
+
+@query
+def upsert_merge(spark, sf_dir):
+    lib = archive(spark, sf_dir)
+    new = lib.captures.join(_quality(spark, sf_dir), "id").where("quality = 0")
+    new = new.withColumns({"size": F.col("size") + 1, "content_hash": F.concat(F.lit("new"), "content_hash")})
+    return files.upsert(lib, new).captures.select("id", "path", "size", "status", "ocr_status")
+
+
+@query
+def restore_by_hash(spark, sf_dir):
+    shots = archive(spark, sf_dir).captures
+    new = shots.where("status = 'missing'").withColumn("path", F.concat(F.lit("/moved"), "path"))
+    return files.restore_moved(shots, new)
+
+
+@query
+def ocr_claimable(spark, sf_dir):
+    return ocr.claimable(archive(spark, sf_dir).captures).select("id")
+
+
+@query
+def ocr_transition(spark, sf_dir):
+    shots = archive(spark, sf_dir).captures
+    outcome = F.when(F.col("quality").isNull(), "done").when(F.col("quality") == 1, "failed").otherwise("missing")
+    told = ocr.claimable(shots).join(_quality(spark, sf_dir), "id").select("id", outcome.alias("outcome"))
+    return ocr.transition(shots, told).select("id", "ocr_status", "ocr_attempts", "status")
+
+
+@query
+def rename_plan(spark, sf_dir):
+    lib = archive(spark, sf_dir)
+    ids = lib.captures.select("id", F.col("id").alias("seq"))
+    return rename.preview(lib, ids, "{source}_{date}_{counter}", order="oldest", start=1).select("id", "old_path", "new_path", "status")
+
+
+@query
+def rename_clashes(spark, sf_dir):
+    lib = archive(spark, sf_dir)
+    ids = lib.captures.where(predicates.available()).select("id", F.col("id").alias("seq"))
+    return rename.preview(lib, ids, "{source}", order="newest", strategy="append").select("id", "new_path", "status")
+
+
+@query
+def classify_url(spark, sf_dir):
+    url, domain = text.url_and_domain(F.col("url"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("found_url"), domain.alias("found_domain"))
+
+
+@query
+def classify_www(spark, sf_dir):
+    _, domain = text.url_and_domain(F.regexp_replace("html", "https?://", ""))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), domain.alias("found_domain"))
+
+
+def _classified(spark, sf_dir, categories) -> DataFrame:
+    df = classify.classify(table(spark, sf_dir, "documents"), "source", "lang", "text", apps=(("no such app", "none"),), categories=categories)
+    return df.select(F.col("doc_id").alias("id"), F.col("found_category").alias("category"), F.when(F.col("found_category").isNotNull(), F.round("found_confidence", 2)).otherwise(0.0).alias("confidence"))
+
+
+@query
+def classify_category(spark, sf_dir):
+    return _classified(spark, sf_dir, tuple(CORPUS_WORDS.items()))
+
+
+@query
+def classify_reference(spark, sf_dir):
+    return _classified(spark, sf_dir, classify.CATEGORIES)
+
+
+@query
+def thumbnails_plan(spark, sf_dir):
+    return thumbnails.plan(archive(spark, sf_dir).captures, "/cache").select("id", "thumbnail", "t_width", "t_height")
+
+
+@query
+def safe_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("id"), text.safe_basename(F.concat("p_type", F.lit(":"), "p_name")).alias("safe"), F.lower("p_name").alias("folded"))
+
+
+@query
+def last_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    events = e.select(F.concat(F.col("user_id").cast("string"), F.lit(".png")).alias("path"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"))
+    return watch.last_events(events).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("id"), "kind")
+
+
+@query
+def hash_text(spark, sf_dir):
+    hex_ = hashing.content_hash(F.col("text"))
+    back = hashing.phash_to_hex(hashing.phash_from_hex(F.substring(hex_, 1, 16)))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hex_.alias("content_hash"), back.alias("phash"))
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Sessions of an endless stream of events; those still open behind the watermark aren't there."""
+    import uuid
+
+    src = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    src.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("ts timestamp, event_id long").parquet(f"{root}/in")
+    return watch.collect_stream(watch.stream_sessions(stream, "ts", 300), root)
+
+
+@query
+def apply_events(spark, sf_dir):
+    """A batch of watch events: labelled captures are removed or, with quality 1, written again."""
+    lib = archive(spark, sf_dir)
+    q = _quality(spark, sf_dir).where("quality is not null").join(lib.captures.select("id", "path"), "id")
+    events = q.select("path", F.when(F.col("quality") == 1, "changed").otherwise("removed").alias("kind"), F.col("id").alias("seq"))
+    found = lib.captures.join(q.where("quality = 1").select("id"), "id", "left_semi")
+    return watch.apply_events(lib, events, found).captures.select("id", "path", "status", "ocr_status")
+
+
+def _shared(spark) -> str:
+    cut(spark.range(1), "probe")
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {("thumbnails_plan" if k == "thumbnails" else k): v for k, v in SQL.items()}
