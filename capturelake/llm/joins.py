@@ -13,6 +13,12 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
+def counted(small: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has ``bound`` rows at most; else
+    as it is, for keys that are near unique on both sides."""
+    return F.broadcast(small) if small.count() <= bound else small
+
+
 def join_small(large: DataFrame, small: DataFrame, on: str, how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``large`` with a written table of narrow rows that has each key of ``on`` once.
 

@@ -38,12 +38,13 @@ from pyspark.sql import types as T
 
 from capturelake.llm.common import add_from_text, free_name, written
 from capturelake.llm.components import components
+from capturelake.llm.joins import counted
 
 BANDS, ROWS = 25, 5
 #: Elements of the sets that meet in one task at most, about (16 bytes each and their texts).
-CLUSTER_ELEMENTS = 2_000_000
+CLUSTER_ELEMENTS = 1_000_000
 #: Words that a worker remembers with their hashes.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _M = np.uint64
 
 
@@ -134,14 +135,14 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         return [(0, 1)] if linked(int(sizes[0]), int(sizes[1]), common, percent) else []
     order = np.lexsort((np.arange(m), sizes))
     flat = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(m), sizes[order])
     _, ids, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), dtype=np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare elements first
+    del flat
+    rank = np.empty(len(counts), dtype=np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)  # rare elements first
     ids = rank[ids]
     starts = np.concatenate([[0], np.cumsum(sizes[order])])
-    by_element = np.argsort(ids, kind="stable")
-    postings, at = owner[by_element], np.searchsorted(ids[by_element], np.arange(len(counts) + 1))
+    postings = np.repeat(np.arange(m, dtype=np.int32), sizes[order])[np.argsort(ids, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(counts)))])
     root, out, n = np.arange(m), [], sizes[order]
     for i in range(m):
         own = np.sort(ids[starts[i] : starts[i + 1]])
@@ -167,9 +168,8 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 FIELDS = [T.StructField(n, k) for n, k in (("elements", T.LongType()), ("class", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))]
 
 
-def classes_of(docs: DataFrame, width: int, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with three more columns, and their names: size of the set, digest of the set, band hashes."""
-    fields = [T.StructField(free_name(docs, f.name), f.dataType) for f in FIELDS]
+def classes_of(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """``docs`` with three more columns: size of the set, digest of the set, band hashes."""
 
     def make():
         def run(texts):
@@ -179,7 +179,7 @@ def classes_of(docs: DataFrame, width: int, text_col: str = "text") -> tuple[Dat
 
         return run
 
-    return add_from_text(docs, text_col, fields, make), [f.name for f in fields]
+    return add_from_text(docs, text_col, FIELDS, make)
 
 
 def _clusters(classes: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _clusters(classes: DataFrame, percent: int) -> DataFrame:
     buckets = classes.select("class", F.posexplode("bands").alias("band", "h")).select("class", F.xxhash64("band", "h").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = buckets.join(heads, "bucket").where(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
-    found = components(ties.distinct())
+    found = components(ties)
     member = written(found.join(classes.select(F.col("class").alias("node"), "elements"), "node").select(F.col("node").alias("class"), F.col("label").alias("cluster"), "elements"), "members")
     stats = member.groupBy("cluster").agg(F.sum("elements").alias("total"))
     large = member.join(stats.where(F.col("total") > CLUSTER_ELEMENTS), "cluster")
@@ -203,23 +203,23 @@ def _clusters(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def group(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two written tables: every row of ``docs`` as (doc_id, elements, class), and the groups as
-    (class, component_id), each class once."""
+    """Two written tables: every row of ``docs`` as (doc_id, print, elements, class), and the groups as
+    (class, label, component_id), each class once. ``print`` is a hash of the text."""
     light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(classes_of(light, width)[0].drop("text"), "sets")
+    table = written(classes_of(light.withColumn("print", F.xxhash64("text")), width).drop("text"), "sets")
     per = table.where("elements > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("elements").alias("elements"), F.first("bands").alias("bands"))
     classes = written(per, "classes")
     cells = written(_clusters(classes, percent), "cells")
     # one text for each class that has a neighbour: the row with its least id, tested by its set
-    wanted = cells.select("class").distinct().join(classes.select("class", "least"), "class")
-    texts = light.join(wanted, light.doc_id.eqNullSafe(wanted["least"])).select("class", "text")
+    wanted = written(cells.select("class").distinct().join(classes.select("class", "least"), "class"), "wanted")
+    texts = light.join(counted(wanted), light.doc_id.eqNullSafe(wanted["least"])).select("class", "text")
     at = texts.join(cells, "class")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         own: dict[bytes, np.ndarray] = {}
         for key, text in zip(pdf["class"], pdf["text"], strict=True):
             key = bytes(key)
-            if key not in own:
+            if key not in own:  # names of one text each
                 s = elements(text, width)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:  # else another text under the same id
                     own[key] = s
@@ -234,7 +234,7 @@ def group(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", tex
     labelled = classes.join(found.select(F.col("node").alias("class"), "label"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     labelled = written(labelled, "labelled")
     of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return table.drop("bands"), written(labelled.join(of_label, "label").select("class", "component_id"), "groups")
+    return table.drop("bands"), written(labelled.join(of_label, "label").select("class", "label", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,17 +246,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one document of each group; documents without words stay."""
-    _, groups = group(docs, width, percent, id_col, text_col)
-    marked, (size, key, band) = classes_of(docs, width, text_col)
-    marked = marked.drop(band)
-    least, name = free_name(docs, "component"), free_name(docs, "class_")
-    groups = groups.select(F.col("class").alias(name), F.col("component_id").alias(least))
-    joined = marked.join(groups, marked[key] == groups[name], "left")
-    alone = joined.where(F.col(size) == 0)
-    first = joined.where((F.col(size) > 0) & F.col(id_col).eqNullSafe(F.col(least)))
-    # rows that repeat the kept id: one of the group stays
-    place = F.row_number().over(Window.partitionBy(id_col, F.coalesce(key, F.lit(b""))).orderBy(F.xxhash64(text_col), text_col))
-    rank = free_name(docs, "rank")
-    first = first.withColumn(rank, place).where(F.col(rank) == 1)
-    return alone.select(*docs.columns).union(first.select(*docs.columns))
+    """The rows of ``docs``, all columns, without all but one document of each group; documents without words stay.
+
+    Rows are told apart by id and a hash of the text, so that what goes is a narrow table.
+    """
+    table, groups = group(docs, width, percent, id_col, text_col)
+    rows = written(table.where("elements > 0").join(groups, "class").select("doc_id", "print", "label", "component_id"), "rows")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = rows.where(first).groupBy("label").agg(F.min("print").alias("best"), F.count("*").alias("rows"))
+    judged = written(rows.join(best, "label").select("doc_id", "print", (first & (F.col("print") == F.col("best"))).alias("stays"), "rows"), "judged")
+    gone = written(judged.where(~F.col("stays")).select("doc_id", "print").distinct(), "gone")
+    twice = written(judged.where("stays and rows > 1").groupBy("doc_id", "print").count().where("count > 1").select("doc_id", "print"), "twice")
+    mark, rank = free_name(docs, "print"), free_name(docs, "rank")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    same = lambda t: marked[id_col].eqNullSafe(t["doc_id"]) & (marked[mark] == t["print"])
+    out = marked.join(counted(gone), same(gone), "left_anti")
+    if twice.limit(1).count():  # rows that repeat the kept document's id and text: one of them stays
+        once = out.join(counted(twice), out[id_col].eqNullSafe(twice["doc_id"]) & (out[mark] == twice["print"]), "left_semi")
+        place = F.row_number().over(Window.partitionBy(id_col, mark).orderBy(F.xxhash64(*docs.columns)))
+        once = once.withColumn(rank, place).where(F.col(rank) == 1).drop(rank)
+        out = out.join(counted(twice), out[id_col].eqNullSafe(twice["doc_id"]) & (out[mark] == twice["print"]), "left_anti").unionByName(once)
+    return out.select(*docs.columns)
