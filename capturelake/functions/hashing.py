@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Cells of the grey grid that a hash compares.
 GRID_W, GRID_H = 9, 8
@@ -52,7 +53,7 @@ def luma(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return a[:, :, 0] if channels == 1 else np.rint(a[:, :, 2] * 0.2126 + a[:, :, 1] * 0.7152 + a[:, :, 0] * 0.0722)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def perceptual_hash(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
     """16 hex digits for each decoded image, null where it has no pixels."""
     return pd.Series([

@@ -54,7 +54,7 @@ def classify(df: DataFrame, filename: str = "filename", path: str = "path", text
     url, domain = url_and_domain(body)
     df = df.withColumns({"_name": name, "_text": F.lower(body), "found_url": url, "found_domain": domain})
     df = df.withColumns({"found_app": app_of(F.col("_name"), F.col("_text"), apps), "_best": category_of(F.concat("_name", F.lit("\n"), "_text"), categories)})
-    sure = F.least(F.lit(0.9), F.lit(0.55) + F.lit(0.1) * F.col("_best.hits"))
+    sure = F.when(F.col("_best").isNotNull(), F.least(F.lit(0.9), F.lit(0.55) + F.lit(0.1) * F.col("_best.hits")))
     some = F.when(F.col("found_app").isNotNull() | F.col("found_domain").isNotNull(), 0.5).otherwise(0.0)
     return df.withColumns({"found_category": F.col("_best.category"), "found_confidence": F.coalesce(sure, some)}).drop("_name", "_text", "_best")
 

@@ -166,7 +166,8 @@ def hamming_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     """
     n_blocks = distance + 1 if distance < 4 else 4
     width, radius = 64 // n_blocks, distance // n_blocks
-    block = lambda i: F.shiftrightunsigned(F.col("bits"), i * width).bitwiseAND(F.lit((1 << width) - 1))
+    ones = (1 << width) - 1 if width < 64 else -1
+    block = lambda i: F.shiftrightunsigned(F.col("bits"), i * width).bitwiseAND(F.lit(ones))
     keyed = nodes.select("id", "bits", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), block(i).alias("value")) for i in range(n_blocks)))).alias("k"))
     keyed = keyed.select("id", "bits", "k.block", "k.value")
     masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
