@@ -27,6 +27,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from capturelake.llm.warc import page_derivatives
+
+    return page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from capturelake.llm.near_duplicates import near_duplicates
 
