@@ -138,11 +138,19 @@ def burst_membership(captures: DataFrame, gap: int = GAP) -> DataFrame:
 # --- duplicates ------------------------------------------------------------------------------------------------------
 
 
-def exact_duplicates(captures: DataFrame) -> DataFrame:
-    """Available captures of one content: key, size of the group, ids newest first; largest first."""
+def duplicate_members(captures: DataFrame) -> DataFrame:
+    """One row for each member of an exact group, with the group's size: the form for groups of any size."""
     alive = captures.where(available() & F.col("content_hash").isNotNull())
     many = alive.groupBy("content_hash").agg(F.count("*").alias("count")).where("count > 1")
-    rows = alive.join(many, "content_hash")
+    return alive.join(many, "content_hash")
+
+
+def exact_duplicates(captures: DataFrame) -> DataFrame:
+    """Available captures of one content: key, size of the group, ids newest first; largest first.
+
+    A group's ids are one value; see :func:`duplicate_members` where a group may be huge.
+    """
+    rows = duplicate_members(captures)
     g = rows.groupBy(F.col("content_hash").alias("key"), "count").agg(F.sort_array(F.collect_list(F.struct(ev().alias("ev"), "id")), asc=False).alias("items"))
     return g.select(F.lit("exact").alias("kind"), "key", "count", F.transform("items", lambda s: s["id"]).alias("ids")).orderBy(F.desc("count"), "key")
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.text import MAX_COLLECTION, MAX_NOTE, MAX_TAG, MAX_TARGET, check_name, normalize_path
 from capturelake.operators.predicates import available, ev, live
+from capturelake.plans.lineage import numbered
 from capturelake.schemas import BASE_COLS, DETAIL_COLS, Library
 
 # --- lists and details -----------------------------------------------------------------------------------------------
@@ -79,8 +80,8 @@ def list_tags(lib: Library) -> DataFrame:
 
 
 def next_ids(df: DataFrame, key: str, order: Column, top: int) -> DataFrame:
-    """``df`` with new ids above ``top``; for the few rows that a user adds."""
-    return df.withColumn(key, F.row_number().over(Window.orderBy(order)) + F.lit(top))
+    """``df`` with new ids above ``top``."""
+    return numbered(df, key, [order], top + 1)
 
 
 def _top(df: DataFrame, column: str = "id") -> int:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.functions.text import extension, filename, fold_key, parent, render_template, safe_basename, stem
+from capturelake.functions.text import extension, filename, parent, render_template, safe_basename, stem
 from capturelake.operators.predicates import ev
+from capturelake.plans.lineage import cut, numbered
 from capturelake.schemas import Library
 
 ORDERS, STRATEGIES = ("grid", "oldest", "newest", "name"), ("stop", "append")
@@ -21,10 +22,7 @@ def first_collection(lib: Library) -> DataFrame:
 
 
 def ordered(df: DataFrame, order: str) -> DataFrame:
-    """Add ``place`` from 0 in the chosen order; ``seq`` is the order the caller gave.
-
-    A user's selection is what is renamed at once, so one task numbers it.
-    """
+    """Add ``place`` from 0 in the chosen order; ``seq`` is the order the caller gave."""
     by = {
         "grid": [F.asc("seq")],
         "oldest": [F.asc("ts"), F.asc("id")],
@@ -33,13 +31,18 @@ def ordered(df: DataFrame, order: str) -> DataFrame:
     }
     if order not in by:
         raise ValueError(f"unknown order {order!r}; there are {', '.join(ORDERS)}")
-    return df.withColumn("place", (F.row_number().over(Window.orderBy(*by[order])) - 1).cast("long"))
+    return numbered(df, "place", by[order])
+
+
+def family(name: Column) -> Column:
+    """Names of different families can't collide: a name in lower case without numbers that were, or could be, appended."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"(-[0-9]+)+$", ""), r"(-[0-9]+)+(\.[^.]*)$", "$2")
 
 
 def _settle(pdf: pd.DataFrame, strategy: str) -> pd.DataFrame:
-    """Collisions of one directory, in order of place: with names claimed before and with files that stay."""
+    """Collisions of one directory and family, in order of place: with names claimed before and with files that stay."""
     pdf = pdf.sort_values("place")
-    staying = set(pdf.loc[pdf["kind"] == "file", "key"]) - set(pdf.loc[pdf["kind"] == "plan", "old_key"])
+    staying = set(pdf.loc[pdf["kind"] == "file", "key"])
     claimed: set[str] = set()
     rows = []
     for r in pdf[pdf["kind"] == "plan"].itertuples():
@@ -69,8 +72,8 @@ def _settle(pdf: pd.DataFrame, strategy: str) -> pd.DataFrame:
 def preview(lib: Library, ids: DataFrame, pattern: str, order: str = "grid", strategy: str = "stop", start: int = 0, padding: int = 3, files: DataFrame | None = None) -> DataFrame:
     """A plan, one row for each id of ``ids`` (id, seq): id, old_path, new_path, status (ok, skipped, conflict), message, sanitized, place.
 
-    ``files``: (path) of files that exist; those of the library if not given. Directories are settled
-    on their own, as names only collide there. A pattern that gives an empty name is an error.
+    ``files``: (path) of files that exist; those of the library if not given. Families of names are settled
+    on their own in each directory, as names only collide there; files that are themselves renamed give way. A pattern that gives an empty name is an error.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
@@ -84,12 +87,15 @@ def preview(lib: Library, ids: DataFrame, pattern: str, order: str = "grid", str
     good = good.withColumn("base", F.when(F.col("base") == "", F.raise_error(F.lit("the pattern gives an empty file name"))).otherwise(F.col("base")))
     dir_ = parent(F.col("path"))
     plan = good.select(F.lit("plan").alias("kind"), dir_.alias("dir"), "id", "place", F.col("path").alias("old_path"), "filename", "base", "ext", F.concat("base", "ext").alias("new_name"), (F.col("base") != F.col("raw")).alias("sanitized"), F.lower("filename").alias("old_key"), F.lit("").alias("key"))
+    plan = cut(plan, "plan")
     files = lib.captures.where("status = 'available'").select("path") if files is None else files
-    there = files.select(F.lit("file").alias("kind"), parent(F.col("path")).alias("dir"), *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("place", "long"), ("old_path", "string"), ("filename", "string"), ("base", "string"), ("ext", "string"), ("new_name", "string"), ("sanitized", "boolean"), ("old_key", "string"))), F.lower(filename(F.col("path"))).alias("key"))
-    # of the files that exist, those whose name a plan could take: its own, or its own with a number
-    wanted = plan.select("dir", F.explode(F.concat(F.array(F.lower("new_name")), F.transform(F.sequence(F.lit(2), F.lit(MOST_SUFFIX)), lambda n: F.lower(F.concat("base", F.lit("-"), n.cast("string"), "ext"))))).alias("key")).distinct()
-    there = there.join(wanted, ["dir", "key"], "left_semi").select(*plan.columns)
-    settled = plan.union(there).groupBy("dir").applyInPandas(lambda pdf: _settle(pdf, strategy), PLAN)
+    there = files.select(parent(F.col("path")).alias("dir"), F.lower(filename(F.col("path"))).alias("key")).distinct()
+    there = there.join(plan.select("dir", F.col("old_key").alias("key")), ["dir", "key"], "left_anti")
+    plan = plan.withColumn("family", family(F.col("new_name")))
+    there = there.withColumn("family", family(F.col("key"))).join(plan.select("dir", "family").distinct(), ["dir", "family"], "left_semi")
+    there = there.withColumn("kind", F.lit("file"))
+    there = there.select(*(F.col(c) if c in there.columns else F.lit(None).cast(plan.schema[c].dataType).alias(c) for c in plan.columns))
+    settled = plan.union(there).groupBy("dir", "family").applyInPandas(lambda pdf: _settle(pdf, strategy), PLAN)
     return settled.union(lost).orderBy("place", "id")
 
 
@@ -112,9 +118,9 @@ def journal(lib: Library, plan: DataFrame, batch: str) -> Library:
     """Intents of a batch, written before anything moves; each has a unique name in between."""
     from capturelake.operators.organize import _top, next_ids
 
-    rows = next_ids(plan.where("status = 'ok'"), "_n", F.col("id"), _top(lib.journal))
+    rows = next_ids(plan.where("status = 'ok'"), "_row", F.col("id"), _top(lib.journal))
     temp = F.concat(parent(F.col("old_path")), F.lit(f"/.rename-{batch}-"), F.col("id").cast("string"), extension(filename(F.col("old_path"))))
-    rows = rows.select(F.col("_n").cast("long").alias("id"), F.lit(batch).alias("batch_id"), F.col("id").alias("screenshot_id"), "old_path", "new_path", temp.alias("temp_path"), F.current_timestamp().alias("created_at"))
+    rows = rows.select(F.col("_row").cast("long").alias("id"), F.lit(batch).alias("batch_id"), F.col("id").alias("screenshot_id"), "old_path", "new_path", temp.alias("temp_path"), F.current_timestamp().alias("created_at"))
     return lib.with_(journal=lib.journal.unionByName(rows))
 
 
@@ -160,7 +166,3 @@ def reconcile(lib: Library, files: DataFrame, now: int) -> tuple[Library, DataFr
     }).select(*lib.captures.columns)
     rest = lib.journal.join(told.where("outcome <> 'temp_only'"), F.col("id") == F.col("entry"), "left_anti")
     return lib.with_(captures=shots, journal=rest), told
-
-
-def collides(directory, name):
-    return fold_key(directory, name)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from capturelake.functions.hashing import content_hash, perceptual_hash
 from capturelake.functions.text import IMAGE_EXTENSIONS, extension, filename, is_image
 from capturelake.operators.predicates import available
-from capturelake.plans.lineage import cut
+from capturelake.plans.lineage import cut, numbered
 from capturelake.schemas import CAPTURES, Library
 
 MOST_PIXELS = 80_000_000
@@ -98,7 +98,7 @@ def upsert(lib: Library, new: DataFrame) -> Library:
     merged = cut(both.withColumns(columns).select(*lib.captures.columns, (hit & ~again).alias("_fresh")), "merged")
     top = lib.captures.agg(F.max("id")).first()[0] or 0
     added = new.join(merged.select(F.col("path").alias("_p")), F.col("path") == F.col("_p"), "left_anti")
-    added = numbered(added, "path", top)
+    added = numbered(added, "id", [F.asc("path")], top + 1)
     fixed = {"status": F.lit("available"), "ocr_status": F.lit("none"), "ocr_attempts": F.lit(0).cast("long"), "starred": F.lit(False), "read_later": F.lit(False), "note": F.lit(""), "indexed_at": F.current_timestamp(), "last_verified_at": F.current_timestamp()}
     row = [fixed[c.name].alias(c.name) if c.name in fixed else F.col(c.name).cast(c.dataType) if c.name in added.columns else F.lit(None).cast(c.dataType).alias(c.name) for c in CAPTURES]
     stale = merged.where("_fresh").select(F.col("id").alias("_id"))
@@ -106,18 +106,6 @@ def upsert(lib: Library, new: DataFrame) -> Library:
     return lib.with_(captures=merged.drop("_fresh").unionByName(added.select(*row)), ocr_text=text)
 
 
-def numbered(df: DataFrame, by: str, top: int) -> DataFrame:
-    """Ids above ``top`` in order of a column: numbered within ranges, which one count each puts in place."""
-    dealt = cut(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "numbered")
-    before, rows = top, []
-    for r in sorted(dealt.groupBy("_part").count().collect()):
-        rows.append((r["_part"], before))
-        before += r["count"]
-    offsets = df.sparkSession.createDataFrame(rows, "_q int, _before long")
-    n = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    return dealt.withColumn("id", n.cast("long")).join(F.broadcast(offsets), F.col("_part") == F.col("_q")).withColumn("id", F.col("id") + F.col("_before")).drop("_part", "_q", "_before")
-
-
 def mark_missing(captures: DataFrame, listed: DataFrame, directories: list[str]) -> DataFrame:
     """Captures below directories whose file isn't listed any more become missing."""
     below = F.lit(False)
