@@ -180,5 +180,6 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     names = {k: options.get(k, k.removesuffix("_col") if k != "id_col" else "doc_id") for k in ("id_col", "text_col", "source_col")}
     taken = cube_mix(docs, **options).where("copies > 0").select(F.col("unit").alias(unit), F.col("copies").alias(copies))
     own = docs.withColumn(unit, unit_of(docs, names["id_col"], names["text_col"], names["source_col"]))
-    out = own.join(taken, unit).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    # a merge at any size: what is taken grows with the documents, and so must not be broadcast
+    out = own.join(taken.hint("merge"), unit).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return out.select(*docs.columns)
