@@ -67,6 +67,7 @@ def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], mak
     ``df`` pass through untouched, as Arrow; only the text is converted. The names
     of ``fields`` must be free (see :func:`free_name`).
     """
+    bounded_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *fields])
     kinds = [_arrow_type(f.dataType) for f in fields]
     at = df.columns.index(text_col)
@@ -83,7 +84,17 @@ def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], mak
 
 
 #: Text bytes that a Python worker handles at once; a longer text is a batch of its own.
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers, at most.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower Spark's own bound on Arrow batches to BATCH_BYTES, where it is higher: rows of
+    long texts would else make batches of 64 MB, several of them for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def in_parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:

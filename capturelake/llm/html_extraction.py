@@ -24,7 +24,8 @@ keys of host, path and content; no host and no node is gathered. Texts are read
 
 Nulls and odd input: null or empty html has empty text. Pages without a host are a
 site of their own each. A page that breaks off inside a tag ends before it. Repeated
-pages each have a row. Empty tables give no rows. A page of any length is held whole by one task.
+pages each have a row. Empty tables give no rows. A page of any length is held whole by one task;
+elements nested deeper than ``DEPTH`` lose their structure, not their text.
 """
 
 from __future__ import annotations
@@ -43,11 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import add_from_text, free_name, in_parts, written
+from capturelake.llm.common import add_from_text, bounded_batches, free_name, in_parts, written
 
 THRESHOLD, DECAY, MIN_PAGES = 0.2, 0.9, 5
 #: Noisy nodes that are sent to all executors, at most; beyond, they are joined by host.
 BROADCAST_NODES = 500_000
+#: Open elements of a page at most; what is nested deeper counts as lying in the last of them.
+DEPTH = 500
 #: Counters that a task holds before it passes them on.
 COUNTERS = 200_000
 
@@ -64,6 +67,7 @@ NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising spo
 ARTICLE_WORDS = frozenset("article post entry story articlebody postcontent entrycontent articlecontent content".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -174,7 +178,7 @@ def parse(page: str | None, host: str) -> tuple[list[Block], list[tuple[int, int
             break
         if lt > at:
             said(page[at:lt])
-        m = scan(page, lt)
+        m = scan(page, lt) or _LOOSE.match(page, lt)  # the second for a tag whose quotes don't pair
         if not m:
             if lt + 1 < len(page) and (page[lt + 1].isalpha() or page[lt + 1] == "/") and find(">", lt) < 0:
                 break  # a tag that the page breaks off in
@@ -205,7 +209,7 @@ def parse(page: str | None, host: str) -> tuple[list[Block], list[tuple[int, int
         if tag in ("br", "wbr", "img"):
             held.append(" " if tag == "br" else "")
             continue
-        name, never, article, link = _traits(tag, m[3])
+        name, never, article, link = (_traits if len(m[3]) < 500 else _traits.__wrapped__)(tag, m[3])
         if tag in BLOCKS:
             if tag in CLOSES_P and (n := place_of("p", ("table", "td", "th", "button"))):
                 close(n)
@@ -239,7 +243,7 @@ def parse(page: str | None, host: str) -> tuple[list[Block], list[tuple[int, int
         else:
             node = top.node
         plain = starts or (top.plain and (tag not in BLOCKS or (tag in PLAIN and name == tag)))
-        if tag in BLOCKS or not m[3].endswith("/"):
+        if len(stack) < DEPTH and (tag in BLOCKS or not m[3].endswith("/")):
             stack.append(_Open(tag, name, node, skip, inside, plain, header))
     close(1)
     flush()
@@ -316,6 +320,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A written table of the nodes of all hosts' trees on MIN_PAGES pages or more: node, pages,
     content and presentation importance (null where it has none), composite, noise."""
+    bounded_batches(pages.sparkSession)
     stats = written(pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(_statistics, STATS), "tree")
     m = stats.where("kind = 'pages'").groupBy("node").agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_PAGES)
     each = stats.where("kind = 'content'").groupBy("node", "value").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))

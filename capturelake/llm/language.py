@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import add_from_text, free_name, in_parts, written
+from capturelake.llm.common import add_from_text, bounded_batches, free_name, in_parts, written
 from capturelake.llm.joins import join_small
 
 #: N-grams of a profile; labelled documents of each language that profiles are learnt from, about.
@@ -103,6 +103,7 @@ def fold(id_col: Column) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> RankOrder:
     """Profiles of all languages of the training folds."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where((fold(F.col("i")) != 0) & F.col("lang").isNotNull())
     counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     place = F.pmod(F.xxhash64("i"), F.lit(1 << 20))

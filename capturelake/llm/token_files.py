@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import file_system, put_file, shared_path
+from capturelake.llm.common import bounded_batches, file_system, put_file, shared_path
 
 #: Rows of one record batch, and ids of one row where nothing else is said.
 ROWS, SEQ_LEN = 256, 1024
 #: Distinct words that a worker remembers with their ids.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 900_000
 #: Before a unit that has no space before it; never in a word, which has no white space at its ends.
 BARE = "\t"
 #: Characters of text that are looked up at once.
@@ -88,7 +88,8 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_words = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("post_processor") is None and not spec.get("truncation") and not spec.get("padding")
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r" (?=\s|\Z)", *special]))
+        self.special = re.compile("|".join(special)).search if special else lambda text: None
+        self.gap = re.compile(r" (?=\s|\Z)").search
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,10 +123,10 @@ class Encoder:
         return out
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
-        known, whole = self.known, self.whole.search
+        known, special, gap = self.known, self.special, self.gap
         found, odd, fresh = [], [], set()  # odd: texts that go as a whole
         for k, text in enumerate(texts):
-            if whole(text):
+            if special(text) or gap(text):
                 odd.append(k)
                 found.append([])
                 continue
@@ -268,6 +269,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
     ranges of ids; a task holds one record batch and one Arrow batch of texts.
     """
     path = tokenizer or default_tokenizer()
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
