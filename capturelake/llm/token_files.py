@@ -40,7 +40,7 @@ from capturelake.llm.common import bounded_batches, file_system, put_file, share
 #: Rows of one record batch, and ids of one row where nothing else is said.
 ROWS, SEQ_LEN = 256, 1024
 #: Distinct words that a worker remembers with their ids.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 550_000
 #: Before a unit that has no space before it; never in a word, which has no white space at its ends.
 BARE = "\t"
 #: Characters of text that are looked up at once.
