@@ -23,6 +23,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 import zlib
@@ -43,6 +44,8 @@ ROWS, SEQ_LEN = 256, 1024
 CACHE_WORDS = 550_000
 #: Before a unit that has no space before it; never in a word, which has no white space at its ends.
 BARE = "\t"
+#: Marks that may end a word, as units.
+MARKS = {c: BARE + c for c in ".,;:!?"}
 #: Characters of text that are looked up at once.
 SLICE = 1 << 20
 
@@ -97,13 +100,14 @@ class Encoder:
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of units. Letters, with or without a space before them, are one word to the
         library's pre-tokenizer, so they go to its model at once; others take the whole way."""
-        model, table, out, rest = self.tokenizer.model.tokenize, self.letters, [], []
+        model, table, space, out, rest = self.tokenizer.model.tokenize, self.letters, self.letters[32], [], []
         for u in units:
-            u = u[1:] if u[0] == BARE else " " + u
-            if u.lstrip(" ").isalpha():
-                out.append(array("I", [t.id for t in model(u.translate(table))]).tobytes())
+            word = u[1:] if u[0] == BARE else u
+            if word.isalpha():
+                letters = word if word.isascii() else word.translate(table)
+                out.append(array("I", [t.id for t in model(letters if word is not u else space + letters)]).tobytes())
             else:
-                rest.append((len(out), u))
+                rest.append((len(out), word if word is not u else " " + u))
                 out.append(b"")
         for (i, _), ids in zip(rest, self._encode([u for _, u in rest]), strict=True):
             out[i] = ids
@@ -115,11 +119,17 @@ class Encoder:
             return self._encode(texts)
         out: list[bytes] = []
         begin, held = 0, 0
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held > SLICE or i == len(texts) - 1:
-                out += self._by_words(texts[begin : i + 1])
-                begin, held = i + 1, 0
+        collecting = gc.isenabled()
+        gc.disable()  # a million small objects, none of them in a cycle
+        try:
+            for i, text in enumerate(texts):
+                held += len(text)
+                if held > SLICE or i == len(texts) - 1:
+                    out += self._by_words(texts[begin : i + 1])
+                    begin, held = i + 1, 0
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
@@ -159,6 +169,8 @@ class Encoder:
         """A word, with the space before it unless it starts with ``BARE``, cut into units
         that no token crosses: before a mark that ends a line and follows a letter, and around
         a line feed between non-spaces."""
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [word[:-1], MARKS[word[-1]]]
         bare = word[:1] == BARE
         lines = word[bare:].split("\n")
         if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
@@ -167,7 +179,7 @@ class Encoder:
         for i, x in enumerate(lines):
             if i:
                 out.append(BARE + "\n")
-            mark = len(x) > 1 and x[-1] in ".,;:!?" and x[-2].isalpha()
+            mark = len(x) > 1 and x[-1] in MARKS and x[-2].isalpha()
             out.append((BARE if i or bare else "") + (x[:-1] if mark else x))
             if mark:
                 out.append(BARE + x[-1])
