@@ -91,3 +91,17 @@ def test_stream_sessions_agree_with_a_batch(spark, tmp_path):
     got = watch.collect_stream(watch.stream_sessions(stream, "ts", 300), str(tmp_path))
     batch = detect_bursts(library(spark, [{"id": i, "created_ts": t} for t, i in rows]).captures, 300)
     assert sorted((r.start_ts, r.end_ts, r["count"]) for r in got.collect()) == sorted((r.start_ts, r.end_ts, r["count"]) for r in batch.collect()) == [(0, 200, 3), (5000, 5100, 2), (90000, 90010, 2)]
+
+
+def test_progress_is_throttled():
+    from types import SimpleNamespace as Ns
+
+    from capturelake.streaming.progress import Progress
+
+    told = []
+    p = Progress(lambda event, data: told.append(event), throttle=60)
+    p.onQueryStarted(Ns(id=1, name="w"))
+    for i in range(3):
+        p.onQueryProgress(Ns(progress=Ns(id=1, batchId=i, numInputRows=5)))
+    p.onQueryTerminated(Ns(id=1, exception=None))
+    assert told == ["started", "progress", "complete"]
