@@ -113,21 +113,26 @@ class Block:
 
 
 class _Open:
-    __slots__ = ("article", "children", "header", "name", "node", "plain", "skip", "tag")
+    """An open element. ``owner``: the nearest block-level element, itself included; ``chain``: its path of nodes."""
 
-    def __init__(self, tag, name, node, skip, article, plain, header):
-        self.tag, self.name, self.node, self.skip, self.article, self.plain, self.header, self.children = tag, name, node, skip, article, plain, header, []
+    __slots__ = ("article", "block", "chain", "children", "header", "name", "node", "owner", "plain", "skip", "tag")
 
+    def __init__(self, tag, name, node, skip, article, plain, header, block, parent):
+        self.tag, self.name, self.node, self.skip, self.article, self.plain, self.header, self.block = tag, name, node, skip, article, plain, header, block
+        self.children: list[str] = []
+        self.owner = self if block else parent.owner
+        self.chain = (*parent.owner.chain, node) if block and parent else ()
 
-def parse(page: str | None, host: str) -> tuple[list[Block], list[tuple[int, int]]]:
-    """Blocks of a page in order, and (node, style) of each block-level element.
+
+def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Blocks of a page in order, and (node, style) of each block-level element if asked for.
 
     ``article`` of a block is 2 inside an article element, 1 inside main or what
     is an article by class, else 0.
     """
     blocks: list[Block] = []
     styles: list[tuple[int, int]] = []
-    root = _Open("", "", _child(0, host), False, 0, False, False)
+    root = _Open("", "", _child(0, host), False, 0, False, False, True, None)
     stack, held, linked, links, at = [root], [], 0, [], 0
     in_link = 0
 
@@ -137,24 +142,26 @@ def parse(page: str | None, host: str) -> tuple[list[Block], list[tuple[int, int
             raw = "".join(held)
             text = " ".join(raw.split())
             if text:
-                top = next(o for o in reversed(stack) if o.tag in BLOCKS or o is root)
+                top = stack[-1].owner
                 skip = top.skip or (top.header and top.tag not in HEADINGS)
-                blocks.append(Block(text, tuple(o.node for o in stack[1:] if o.tag in BLOCKS) or (root.node,), top.tag, skip, top.article, top.plain, (min(1.0, linked / len(text)), tuple(links))))
+                blocks.append(Block(text, top.chain or (root.node,), top.tag, skip, top.article, top.plain, (min(1.0, linked / len(text)), tuple(links))))
             held.clear()
             links.clear()
             linked = 0
 
     def close(n: int) -> None:
         """Close all elements from place n of the stack on."""
-        if any(o.tag in BLOCKS for o in stack[n:]):
+        blocks_ = [o for o in stack[n:] if o.block]
+        if blocks_:
             flush()
-        for o in reversed(stack[n:]):
-            if o.tag in BLOCKS:
-                styles.append((o.node, xxhash.xxh3_64_intdigest(",".join(o.children)) - (1 << 63)))
+            if with_styles:
+                styles.extend((o.node, xxhash.xxh3_64_intdigest(",".join(o.children)) - (1 << 63)) for o in reversed(blocks_))
         del stack[n:]
 
     def said(chunk: str) -> None:
         nonlocal linked
+        if stack[-1].skip and not stack[-1].owner.skip:
+            return  # hidden within a line
         text = entities.unescape(chunk) if "&" in chunk else chunk
         held.append(text)
         if in_link:
@@ -235,16 +242,17 @@ def parse(page: str | None, host: str) -> tuple[list[Block], list[tuple[int, int
         starts = inside > top.article
         header = tag == "header" or top.header
         skip = top.skip or never or (tag == "header" and not top.article)
-        if tag in BLOCKS:
-            parent = next(o for o in reversed(stack) if o.tag in BLOCKS or o is root)
+        block = tag in BLOCKS
+        if block:
+            parent = top.owner
             if not parent.children or parent.children[-1] != name:  # a run of like children counts once
                 parent.children.append(name)
             node = _child(parent.node, name)
         else:
             node = top.node
-        plain = starts or (top.plain and (tag not in BLOCKS or (tag in PLAIN and name == tag)))
-        if len(stack) < DEPTH and (tag in BLOCKS or not m[3].endswith("/")):
-            stack.append(_Open(tag, name, node, skip, inside, plain, header))
+        plain = starts or (top.plain and (not block or (tag in PLAIN and name == tag)))
+        if len(stack) < DEPTH and (block or not m[3].endswith("/")):
+            stack.append(_Open(tag, name, node, skip, inside, plain, header, block, top))
     close(1)
     flush()
     return blocks, styles
@@ -293,7 +301,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             if not page or not host:
                 continue
-            blocks, own = parse(page, host)
+            blocks, own = parse(page, host, with_styles=True)
             seen: set[int] = set()
             for node, style in own:
                 seen.add(node)

@@ -18,7 +18,7 @@ def test_article_without_the_rest():
 
 @pytest.mark.parametrize(("page", "want"), [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("<p>a &am", "a &am"), ("<p>a</p><p cla", "a"), ("1 < 2 <p>x", "1 < 2\n\nx"),
-    ("<P>A</P>", "A"), ("<p title='a>b'>c</p>", "c"), ("<script>x", ""), ("<p>a</span>b</div></p>", "ab"), ("<p>a</p></>b", "a\n\nb"), ("<p hidden>a</p>b", "b"),
+    ("<P>A</P>", "A"), ("<p>a <span hidden>x <b>y</b></span>b</p>", "a b"), ("<p title='a>b'>c</p>", "c"), ("<script>x", ""), ("<p>a</span>b</div></p>", "ab"), ("<p>a</p></>b", "a\n\nb"), ("<p hidden>a</p>b", "b"),
     ("<td>a<td>b", "a\n\nb"), ("<p>a <b title=\"x>b</b> c</p>", "a b c"), ("<div>x" * 2000, "\n\n".join(["x"] * 2000)), ("<p>a<br/>b<hr>c", "a b\n\nc"), ("<div>" * 3000 + "deep", "deep"), ("<p>" + "x " * 50_000 + "</p>", ("x " * 50_000).strip()),
 ])
 def test_odd_pages(page, want):
