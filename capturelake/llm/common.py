@@ -7,6 +7,7 @@ without touching the other columns.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -59,6 +60,14 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, at the end of a task: an idle worker would else keep it from its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Add columns that a Python function computes from whole texts.
 
@@ -79,6 +88,7 @@ def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], mak
                 new = fn(part.column(at).to_pylist())
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *(f.name for f in fields)])
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -140,7 +150,11 @@ def put_file(uri: str, write: Callable[[object], None], attempt: str) -> None:
     tmp = f"{path}.{attempt}.tmp"
     with fs.open_output_stream(tmp) as out:
         write(out)
-    fs.move(tmp, path)
+    try:
+        fs.move(tmp, path)
+    except OSError:  # some stores don't replace what an earlier attempt left
+        fs.delete_file(path)
+        fs.move(tmp, path)
 
 
 def word_count(text: Column) -> Column:

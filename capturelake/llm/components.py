@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import written
+from capturelake.llm.common import release_memory, written
 
 #: Nodes that a task connects at once.
 NODES = 500_000
@@ -52,6 +52,7 @@ def contracted(edges: DataFrame) -> DataFrame:
                 yield from flush(kind)
         if above:
             yield from flush(kind)
+        release_memory()
 
     own = edges.select("a", "b")
     return own.repartition("a").mapInArrow(run, own.schema)

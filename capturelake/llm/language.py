@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import add_from_text, bounded_batches, free_name, in_parts, written
+from capturelake.llm.common import add_from_text, bounded_batches, free_name, in_parts, release_memory, written
 from capturelake.llm.joins import join_small
 
 #: N-grams of a profile; labelled documents of each language that profiles are learnt from, about.
@@ -127,6 +127,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield from flush()
                 size = 0
         yield from flush()
+        release_memory()
 
     sums = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))

@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import add_from_text, free_name, written
+from capturelake.llm.common import add_from_text, free_name, release_memory, written
 from capturelake.llm.components import components
 from capturelake.llm.joins import counted
 
 BANDS, ROWS = 25, 5
 #: Elements of the sets that meet in one task at most, about (16 bytes each and their texts).
-CLUSTER_ELEMENTS = 1_000_000
+CLUSTER_ELEMENTS = 500_000
 #: Words that a worker remembers with their hashes.
 CACHE_WORDS = 100_000
 _M = np.uint64
@@ -227,6 +227,8 @@ def group(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", tex
         if len(names) < 2:
             return pd.DataFrame({"a": [], "b": []})
         pairs = forest([own[k] for k in names], percent)
+        if len(pdf) > 200:
+            release_memory()
         return pd.DataFrame({"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs]})
 
     links = written(at.groupBy("cell").applyInPandas(verify, "a binary, b binary"), "links")

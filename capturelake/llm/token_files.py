@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import bounded_batches, file_system, put_file, shared_path
+from capturelake.llm.common import bounded_batches, file_system, put_file, release_memory, shared_path
 
 #: Rows of one record batch, and ids of one row where nothing else is said.
 ROWS, SEQ_LEN = 256, 1024
@@ -80,9 +80,11 @@ class Encoder:
     kind, is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
         from tokenizers import Tokenizer
 
+        self.cache_words = CACHE_WORDS if cache_words is None else cache_words
+
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.letters = _ByteLetters()
@@ -156,7 +158,7 @@ class Encoder:
             now[w] = known[w] = b"".join([known[u] for u in parts])
         get = known.__getitem__
         out = [b"".join(map(get, words)) for words in found]
-        if len(known) > CACHE_WORDS:
+        if len(known) > self.cache_words:
             for w in now:
                 del known[w]
         if odd:
@@ -187,9 +189,9 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int) -> Encoder:
     """One for each worker process, so that its memory serves all of its tasks."""
-    return Encoder(path)
+    return Encoder(path, cache_words)
 
 
 class _PartWriter:
@@ -273,11 +275,12 @@ class SequenceFile:
 PARTS = "part int, docs long, ids long"
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = None, end_id: int = 2, seq_len: int = SEQ_LEN, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int]]:
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = None, end_id: int = 2, seq_len: int = SEQ_LEN, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> list[tuple[int, int, int]]:
     """Encode ``docs`` into files under ``out_dir`` (a folder that all machines see).
 
     Returns (part, documents, ids) of each part in order: as many entries as
-    partitions, whatever the number of documents. The shuffle moves each text once, into
+    partitions, whatever the number of documents. ``cache_words``: how many words a worker
+    remembers, some 200 bytes each. The shuffle moves each text once, into
     ranges of ids; a task holds one record batch and one Arrow batch of texts.
     """
     path = tokenizer or default_tokenizer()
@@ -293,7 +296,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path, cache_words), np.array([end_id], dtype="<u4").tobytes()
         ids, lengths, sums = [], [], [0]
 
         def body(sink) -> None:
@@ -321,6 +324,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
 
         put_file(f"{out_dir}/part-{part:06d}.arrow", body, attempt)
         put_file(f"{out_dir}/part-{part:06d}.docs.arrow", index, attempt)
+        release_memory()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": [sum(map(len, lengths))], "ids": sums})
 
     rows = ordered.mapInArrow(write, PARTS).collect()
@@ -339,6 +343,8 @@ def read_token_files(spark: SparkSession, out_dir: str, parts: list[tuple[int, i
     table = spark.sparkContext.broadcast(where)  # two numbers for each part
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # all is written; a worker that waits for other work needn't keep words
+        release_memory()
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 part, begin = table.value[k]
