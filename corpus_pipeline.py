@@ -37,8 +37,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixture, read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_files(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+    """Token files of the mixture, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Workers come from other stages with memory in use, so they remember fewer words than op9's."""
+    return token_files(docs, cache_words=100_000).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [
