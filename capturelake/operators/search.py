@@ -42,6 +42,9 @@ def occurrences(words: Column, unit: list[str]) -> Column:
     n = len(unit)
     if n == 1:
         return F.size(F.filter(words, lambda w: w == unit[0]))
+    if not any(unit[:k] == unit[-k:] for k in range(1, n)):  # occurrences can't overlap: count them in one string
+        joined, mark = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")), f" {'  '.join(unit)} "
+        return ((F.length(joined) - F.length(F.replace(joined, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
     want = F.array(*map(F.lit, unit))
     places = F.sequence(F.lit(1), F.size(words) - (n - 1))
     hits = F.size(F.filter(places, lambda i: F.slice(words, i, F.lit(n)) == want))
