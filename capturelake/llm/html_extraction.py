@@ -16,7 +16,10 @@ A node on at least ``MIN_PAGES`` pages is noise if its own importance and that o
 nodes below it is under ``THRESHOLD``. A page loses its blocks in noisy branches. Some things
 are known without a tree and go by what they are: menus, site headers, footers, asides, forms,
 scripts and the like by tag, role or class; and an article element, where a page
-has one, bounds the text. Plain paragraphs and headings of that element are not removed, and if
+has one, bounds the text. Classes are only a guess: an article or main element, or a leaf that the tree
+rates ``WORTH`` or more, counts within a sidebar, widget or banner; one in what is named
+comments, related and the like, where a page has no other; and a page whose classes would leave nothing keeps
+what only they would remove. Plain paragraphs and headings of that element are not removed, and if
 noise would be more than half of a page's text (copies of one page, say), none is.
 
 All statistics are sums that are formed in each task before rows are shuffled, over
@@ -47,6 +50,10 @@ from pyspark.sql import types as T
 from capturelake.llm.common import add_from_text, bounded_batches, free_name, in_parts, written
 
 THRESHOLD, DECAY, MIN_PAGES = 0.2, 0.9, 5
+#: Importance from which a leaf counts in a wrapper that its class names as noise; the key of such a leaf is ``leaf ^ OPENED``.
+WORTH, OPENED = 0.8, 0x5DEECE66D1B54A32
+#: Why a block is skipped: a wrapper's class; a class of what has articles of its own; an article element in that; what it is.
+WRAPPED, OTHERS, OTHERS_ARTICLE, NOTHING = 1, 2, 3, 4
 #: Noisy nodes that are sent to all executors, at most; beyond, they are joined by host.
 BROADCAST_NODES = 500_000
 #: Open elements of a page at most; what is nested deeper counts as lying in the last of them.
@@ -64,6 +71,10 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table th
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments respond reply replies disqus discussion pagination pager toolbar search skip tags".split())
+#: Those of NOISE_WORDS that name a place in the layout, which can as well hold the article.
+WRAPPER_WORDS = frozenset("widget widgets sidebar side rail banner header masthead topbar toolbar notice notices notification alert popup modal overlay lightbox search skip tags".split())
+#: Words that may stand beside a noise word in a class name; with any other word ("has-sidebar") the name says something else.
+BESIDE = frozenset("a area bar block bottom box col column container footer global group inner item items left links list main outer primary right secondary section site the top wrap wrapper".split())
 ARTICLE_WORDS = frozenset("article post entry story articlebody postcontent entrycontent articlecontent content".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -73,10 +84,19 @@ _WORDS = re.compile(r"[a-z]+")
 _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _guess(label: str) -> int:
+    """What a whole class name or id says of an element: WRAPPED, OTHERS or 0."""
+    words = set(_WORDS.findall(_SPLIT.sub(" ", label).lower()))
+    noise = words & NOISE_WORDS
+    if not noise or words - NOISE_WORDS - BESIDE:
+        return 0
+    return OTHERS if noise - WRAPPER_WORDS else WRAPPED
+
+
 @functools.lru_cache(maxsize=50_000)
-def _traits(tag: str, attrs: str) -> tuple[str, bool, bool, str]:
-    """Name of an element in paths; whether it is noise by itself; whether it is an article by class; its link target."""
-    name, never, article, link = tag, tag in NEVER, False, ""
+def _traits(tag: str, attrs: str) -> tuple[str, int, int, str]:
+    """Name of an element in paths; why it is noise by itself, or 0; whether it is an article (1: by class, 2: by role); its link target."""
+    name, never, article, link = tag, NOTHING if tag in NEVER else 0, 0, ""
     if attrs and not attrs.isspace():
         own = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
         label = _SPLIT.sub(" ", f"{own.get('class', '')} {own.get('id', '')}").lower()
@@ -84,9 +104,11 @@ def _traits(tag: str, attrs: str) -> tuple[str, bool, bool, str]:
         classes = " ".join(sorted(set(re.sub(r"\d+", "#", own.get("class", "").lower()).split())))
         name = f"{tag}.{classes}" if classes else tag
         role = own.get("role", "").lower()
-        never = never or role in NOISE_ROLES or (tag not in ("html", "body", "main", "article", "p") and bool(NOISE_WORDS & set(words)))
-        never = never or "hidden" in own or own.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", own.get("style", "")))
-        article = role in ("main", "article") or own.get("itemprop") == "articleBody" or (tag in ("div", "section", "td") and bool(ARTICLE_WORDS & {*words, "".join(words)}))
+        if role in NOISE_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
+            never = NOTHING
+        elif not never and tag not in ("html", "body", "main", "article", "p"):
+            never = max((_guess(c) for c in f"{own.get('class', '')} {own.get('id', '')}".split()), default=0)
+        article = 2 if role in ("main", "article") or own.get("itemprop") == "articleBody" else int(tag in ("div", "section", "td") and bool(ARTICLE_WORDS & {*words, "".join(words)}))
         link = own.get("href", "")
     return name, never, article, link
 
@@ -132,7 +154,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
     """
     blocks: list[Block] = []
     styles: list[tuple[int, int]] = []
-    root = _Open("", "", _child(0, host), False, 0, False, False, True, None)
+    root = _Open("", "", _child(0, host), 0, 0, False, False, True, None)
     stack, held, linked, links, at = [root], [], 0, [], 0
     in_link = 0
 
@@ -143,7 +165,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
             text = " ".join(raw.split())
             if text:
                 top = stack[-1].owner
-                skip = top.skip or (top.header and top.tag not in HEADINGS)
+                skip = top.skip or (NOTHING if top.header and top.tag not in HEADINGS else 0)
                 blocks.append(Block(text, top.chain or (root.node,), top.tag, skip, top.article, top.plain, (min(1.0, linked / len(text)), tuple(links))))
             held.clear()
             links.clear()
@@ -241,7 +263,16 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
         inside = max(top.article, 2 if tag == "article" else 1 if tag == "main" or article else 0)
         starts = inside > top.article
         header = tag == "header" or top.header
-        skip = top.skip or never or (tag == "header" and not top.article)
+        skip = top.skip
+        if skip and (article == 2 or tag in ("main", "article")):
+            if skip == WRAPPED or (skip < NOTHING and tag == "main"):
+                skip = 0
+            elif skip == OTHERS:
+                skip = OTHERS_ARTICLE
+        if tag == "header" and not top.article:
+            never = NOTHING
+        if never:
+            skip = OTHERS if skip == OTHERS_ARTICLE and never < NOTHING else max(skip, never)
         block = tag in BLOCKS
         if block:
             parent = top.owner
@@ -259,9 +290,13 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
 
 
 def main_text(page: str | None, host: str, noise) -> str:
-    """The text of a page, given the noisy nodes (anything that has ``in``)."""
+    """The text of a page, given the noisy nodes and keys of leaves that count in a wrapper (anything that has ``in``)."""
     blocks, _ = parse(page, host)
-    left = [b for b in blocks if not b.skip]
+    left = [b for b in blocks if not b.skip or (b.skip == WRAPPED and b.chain[-1] ^ OPENED in noise)]
+    if not any(b.article for b in left) and any(b.skip == OTHERS_ARTICLE for b in blocks):
+        left = [b for b in blocks if b.skip == OTHERS_ARTICLE]
+    if not left:
+        left = [b for b in blocks if b.skip < NOTHING]
     bound = max((b.article for b in left), default=0)
     chosen = [b for b in left if b.article == bound] if bound else left
     if not bound:  # menus that no tag or class names: lists that are links nearly all
@@ -277,17 +312,17 @@ STATS = "node long, kind string, value long, n double, x double, chain array<lon
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over a task's pages: pages of each node; occurrences of each style; occurrences
-    of each content with n ln n summed over pages; the nodes above each content."""
+    of each content with n ln n summed over pages; the nodes above each content, with 1 where it was in a wrapper."""
     pages: dict[int, int] = {}
     styles: dict[tuple[int, int], int] = {}
     contents: dict[tuple[int, int], list[float]] = {}
-    chains: dict[int, tuple[int, ...]] = {}
+    chains: dict[tuple[int, bool], tuple[int, ...]] = {}
 
     def flush():
         rows = [(k, "pages", 0, float(n), 0.0, None) for k, n in pages.items()]
         rows += [(k, "style", s, float(n), 0.0, None) for (k, s), n in styles.items()]
         rows += [(k, "content", c, n, x, None) for (k, c), (n, x) in contents.items()]
-        rows += [(k, "chain", 0, 0.0, 0.0, list(c)) for k, c in chains.items()]
+        rows += [(k, "chain", int(w), 0.0, 0.0, list(c)) for (k, w), c in chains.items()]
         for d in (pages, styles, contents, chains):
             d.clear()
         if rows:
@@ -310,7 +345,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in blocks:
                 leaf = b.chain[-1]
                 seen.update(b.chain)
-                chains.setdefault(leaf, b.chain[:-1])
+                chains.setdefault((leaf, b.skip == WRAPPED), b.chain[:-1])
                 for c in (b.text, *b.links[1]):
                     key = leaf, xxhash.xxh3_64_intdigest(c) - (1 << 63)
                     here[key] = here.get(key, 0) + 1
@@ -327,7 +362,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A written table of the nodes of all hosts' trees on MIN_PAGES pages or more: node, pages,
-    content and presentation importance (null where it has none), composite, noise."""
+    content and presentation importance (null where it has none), composite, noise, and whether it counts in a wrapper."""
     bounded_batches(pages.sparkSession)
     stats = written(pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(_statistics, STATS), "tree")
     m = stats.where("kind = 'pages'").groupBy("node").agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_PAGES)
@@ -340,14 +375,15 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     tree = tree.select("node", "m", "styles", (1 - share("spread")).alias("content"), share("entropy").alias("presentation"))
     tree = written(tree, "nodes")
     leaves = tree.where("content is not null").select("node", "m", "content")
-    chains = stats.where("kind = 'chain'").groupBy("node").agg(F.first("chain").alias("chain"))
+    chains = stats.where("kind = 'chain'").groupBy("node").agg(F.first("chain").alias("chain"), F.max("value").alias("wrapped"))
     below = leaves.join(chains, "node").select(F.explode(F.concat("chain", F.array("node"))).alias("node"), "m", "content")
+    opened = leaves.join(chains, "node").where((F.col("wrapped") == 1) & (F.col("content") >= WORTH)).select("node", F.lit(True).alias("opened"))
     below = below.groupBy("node").agg(F.max("content").alias("most"), (F.sum(F.col("m") * F.col("content")) / F.sum("m")).alias("mean"))
     fade = F.pow(F.lit(DECAY), F.coalesce("styles", F.lit(1)))
     composite = F.when(F.col("presentation").isNull(), F.col("mean")).otherwise((1 - fade) * F.col("presentation") + fade * F.col("mean"))
     own = F.coalesce("content", composite)
-    out = tree.join(below, "node").withColumn("composite", composite)
-    return written(out.select("node", "m", "content", "presentation", "composite", ((own < THRESHOLD) & (F.col("most") < THRESHOLD)).alias("noise")), "importance")
+    out = tree.join(below, "node").join(opened, "node", "left").withColumn("composite", composite)
+    return written(out.select("node", "m", "content", "presentation", "composite", ((own < THRESHOLD) & (F.col("most") < THRESHOLD)).alias("noise"), F.coalesce("opened", F.lit(False)).alias("opened")), "importance")
 
 
 class _Nodes:
@@ -367,7 +403,8 @@ class _Nodes:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, str]:
     """``pages`` with one more column, and its name: the main text of each page."""
     name = free_name(pages, "text")
-    noise = style_tree(pages, url_col, html_col).where("noise").select("node")
+    tree = style_tree(pages, url_col, html_col)
+    noise = tree.where("noise").select("node").union(tree.where("opened").select(F.col("node").bitwiseXOR(F.lit(OPENED))))
     fields = [T.StructField(name, T.StringType())]
     n = noise.count()
     blocks = max(1, -(-n // BROADCAST_NODES))
@@ -391,7 +428,7 @@ def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (p for b in batches for p in in_parts(b, 2)):
         keys, nodes = [], []
         for key, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = {n for b in parse(page, host_of(url))[0] for n in b.chain}
+            own = {n for b in parse(page, host_of(url))[0] for n in (*b.chain, b.chain[-1] ^ OPENED)}
             keys += [key] * len(own)
             nodes += own
         yield pa.RecordBatch.from_pydict({"page": pa.array(keys, pa.int64()), "node": pa.array(nodes, pa.int64())})

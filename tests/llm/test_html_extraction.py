@@ -51,3 +51,21 @@ def test_few_or_copied_pages_lose_nothing(spark):
     got = {r.page_id: r.text for r in he.page_texts(spark.createDataFrame(copies, "page_id long, url string, html string, text int")).collect()}
     assert got == {**{i: "One story told here." for i in range(9)}, 10: "", 11: "t"}
     assert he.page_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("wrapper", ["page has-sidebar", "widget Blog", "post-with-comments", "comments", "sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_article_in_a_wrapper_counts(wrapper, tag):
+    assert text(f'<div class="{wrapper}"><{tag}><h1>T</h1><p>Story</p></{tag}></div><footer>End</footer>') == "T\n\nStory"
+
+
+def test_classes_never_leave_nothing():
+    assert text('<div class="widget"><p>Story</p></div><nav>Home</nav>') == "Story"
+    assert text('<p>Story</p><div class="widget"><p>Aside</p></div>') == "Story"
+    assert text('<article>Story</article><div class="comments"><article>First!</article></div>') == "Story"
+
+
+def test_tree_reopens_wrappers(spark):
+    pages = [(i, "https://w.org/a", f"<body><p>Notice</p><div class=widget><p>Story {i} of {i * 7}</p></div><div class=sidebar><b>Join us</b></div></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in he.page_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} of {i * 7}" for i in range(20)}
