@@ -19,11 +19,14 @@ scripts and the like by tag, role or class; and an article element, where a page
 has one, bounds the text. Classes are only a guess: an article or main element, or a leaf that the tree
 rates ``WORTH`` or more, counts within a sidebar, widget or banner; one in what is named
 comments, related and the like, where a page has no other; and a page whose classes would leave nothing keeps
-what only they would remove. Plain paragraphs and headings of that element are not removed, and if
-noise would be more than half of a page's text (copies of one page, say), none is.
+what only they would remove. Plain paragraphs and headings of that element are not removed.
+Copies of one page share all they have, which says nothing of them: pages of a host with the same text (markup,
+scripts and styles aside) count as one page in all sums, each of n copies with a weight of 1/n. Noise is
+removed whatever its share of a page.
 
 All statistics are sums that are formed in each task before rows are shuffled, over
-keys of host, path and content; no host and no node is gathered. Texts are read twice and not shuffled.
+keys of host, path and content; no host and no node is gathered. Texts are read three times and not shuffled, unless
+more than ``BROADCAST_NODES`` texts have copies.
 
 Nulls and odd input: null or empty html has empty text. Pages without a host are a
 site of their own each. A page that breaks off inside a tag ends before it. Repeated
@@ -125,6 +128,14 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[a-z/!?][^>]*(?:>|\Z)", re.S | re.I)
+
+
+def copy_key(page: str, host: str) -> int:
+    """Equal for pages of a host with the same text; links, markup, scripts, styles and spacing may differ."""
+    return xxhash.xxh3_64_intdigest(f"{host} {' '.join(_MARKUP.sub(' ', page).split())}") - (1 << 63)
+
+
 class Block:
     """A run of text between block borders, and where it is."""
 
@@ -302,19 +313,35 @@ def main_text(page: str | None, host: str, noise) -> str:
     if not bound:  # menus that no tag or class names: lists that are links nearly all
         chosen = [b for b in chosen if not (b.tag in ("li", "td", "div", "ul", "dd") and b.links[0] >= 0.8)]
     kept = [b for b in chosen if b.plain or not any(n in noise for n in b.chain)]
-    if 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in chosen):
-        kept = chosen
     return "\n\n".join(b.text for b in kept)
 
 
 STATS = "node long, kind string, value long, n double, x double, chain array<long>"
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over a task's pages: pages of each node; occurrences of each style; occurrences
+def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (p for b in batches for p in in_parts(b, 1)):
+        keys = [copy_key(page, host) if page and (host := host_of(url)) else None for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"copy": pa.array(keys, pa.int64())})
+
+
+class _Copies:
+    """Numbers of pages by copy key, 1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    def __getitem__(self, key: int) -> int:
+        i = int(np.searchsorted(self.keys, key))
+        return int(self.counts[i]) if i < len(self.keys) and int(self.keys[i]) == key else 1
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], copies=None) -> Iterator[pa.RecordBatch]:
+    """Sums over a task's pages, with the number of a page's copies from ``copies`` or a third column: pages of each node; occurrences of each style; occurrences
     of each content with n ln n summed over pages; the nodes above each content, with 1 where it was in a wrapper."""
-    pages: dict[int, int] = {}
-    styles: dict[tuple[int, int], int] = {}
+    pages: dict[int, float] = {}
+    styles: dict[tuple[int, int], float] = {}
     contents: dict[tuple[int, int], list[float]] = {}
     chains: dict[tuple[int, bool], tuple[int, ...]] = {}
 
@@ -332,15 +359,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     for batch in (p for b in batches for p in in_parts(b, 1)):
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        counts = [None] * batch.num_rows if copies is not None else batch.column(2).to_pylist()
+        for url, page, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), counts, strict=True):
             host = host_of(url)
             if not page or not host:
                 continue
+            w = 1.0 / (copies.value[copy_key(page, host)] if copies is not None else count or 1)
             blocks, own = parse(page, host, with_styles=True)
             seen: set[int] = set()
             for node, style in own:
                 seen.add(node)
-                styles[node, style] = styles.get((node, style), 0) + 1
+                styles[node, style] = styles.get((node, style), 0) + w
             here: dict[tuple[int, int], int] = {}
             for b in blocks:
                 leaf = b.chain[-1]
@@ -351,21 +380,38 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     here[key] = here.get(key, 0) + 1
             for key, n in here.items():
                 s = contents.setdefault(key, [0.0, 0.0])
-                s[0] += n
-                s[1] += n * math.log(n)
+                s[0] += w * n
+                s[1] += w * n * math.log(n)
             for node in seen:
-                pages[node] = pages.get(node, 0) + 1
+                pages[node] = pages.get(node, 0) + w
         if len(contents) + len(styles) > COUNTERS:
             yield from flush()
     yield from flush()
 
 
+def _weighted(src: DataFrame) -> DataFrame:
+    """Statistics of the pages (u, h), where copies count as one page."""
+    light = src.mapInArrow(_copy_keys, "copy long").where("copy is not null")
+    many = written(light.groupBy("copy").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    if many.count() <= BROADCAST_NODES:
+        rows = many.collect()  # BROADCAST_NODES at most
+        held = src.sparkSession.sparkContext.broadcast(_Copies(np.array([r.copy for r in rows], dtype=np.int64), np.array([r.copies for r in rows], dtype=np.int64)))
+        return src.mapInArrow(functools.partial(_statistics, copies=held), STATS)
+    keyed = src.mapInArrow(_with_copy_key, "u string, h string, copy long")
+    return keyed.join(many, "copy", "left").select("u", "h", "copies").mapInArrow(_statistics, STATS)
+
+
+def _with_copy_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (p for b in batches for p in in_parts(b, 1)):
+        yield from (pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), k.column(0)], names=["u", "h", "copy"]) for k in _copy_keys([batch]))
+
+
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A written table of the nodes of all hosts' trees on MIN_PAGES pages or more: node, pages,
     content and presentation importance (null where it has none), composite, noise, and whether it counts in a wrapper."""
     bounded_batches(pages.sparkSession)
-    stats = written(pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(_statistics, STATS), "tree")
-    m = stats.where("kind = 'pages'").groupBy("node").agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_PAGES)
+    stats = written(_weighted(pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h"))), "tree")
+    m = stats.where("kind = 'pages'").groupBy("node").agg(F.round(F.sum("n"), 6).alias("m")).where(F.col("m") >= MIN_PAGES)
     each = stats.where("kind = 'content'").groupBy("node", "value").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     content = each.groupBy("node").agg(F.avg(F.log("n") - F.col("x") / F.col("n")).alias("spread"))
     style = stats.where("kind = 'style'").groupBy("node", "value").agg(F.sum("n").alias("n"))

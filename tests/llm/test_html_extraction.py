@@ -69,3 +69,20 @@ def test_tree_reopens_wrappers(spark):
     pages = [(i, "https://w.org/a", f"<body><p>Notice</p><div class=widget><p>Story {i} of {i * 7}</p></div><div class=sidebar><b>Join us</b></div></body>") for i in range(20)]
     got = {r.page_id: r.text for r in he.page_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Story {i} of {i * 7}" for i in range(20)}
+
+
+def test_noise_goes_whatever_its_share(spark, monkeypatch):
+    law = "The same long notice of law that stands on each page of this host. " * 5
+    pages = [(i, "https://s.org/a", f"<body><div class=xa><p>{law}</p></div><div class=xb><p>Story {i}</p></div></body>") for i in range(20)]
+    pages += [(100 + i, "https://s.org/b", f"<body><!-- {i} --><script>n={i}</script><div class=xb><p>Told again and again {i % 2}</p></div></body>") for i in range(60)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {**{i: f"Story {i}" for i in range(20)}, **{100 + i: f"Told again and again {i % 2}" for i in range(60)}}
+    assert {r.page_id: r.text for r in he.page_texts(pages).collect()} == want
+    monkeypatch.setattr(he, "BROADCAST_NODES", 1)
+    assert {r.page_id: r.text for r in he.page_texts(pages).collect()} == want
+
+
+def test_copies_differ_in_markup_only():
+    key = he.copy_key("<p>One  story</p><script>a=1</script><!-- x", "h")
+    assert key == he.copy_key("<div id='7'>One story<br></div><style>p{}", "h")
+    assert key != he.copy_key("<p>One story", "g") and key != he.copy_key("<p>One < two story", "h")
