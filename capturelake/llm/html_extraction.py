@@ -13,13 +13,15 @@ composite     (1 - g^l) * presentation + g^l * the mean importance of the conten
               below it, for l styles and g = ``DECAY``
 
 A node on at least ``MIN_PAGES`` pages is noise if its own importance and that of all
-nodes below it is under ``THRESHOLD``. A page loses its blocks in noisy branches. Some things
+nodes below it is under ``THRESHOLD``. A page loses its blocks in noisy branches, and each
+block whose text is in the same node on most pages of the host, with an importance of its own (1 - ln k / ln m, on k of m pages)
+under ``THRESHOLD``: a line that is the same everywhere goes though its neighbours of the same node are stories. Some things
 are known without a tree and go by what they are: menus, site headers, footers, asides, forms,
 scripts and the like by tag, role or class; and an article element, where a page
-has one, bounds the text. Classes are only a guess: an article or main element, or a leaf that the tree
+has one, bounds the text. Inside of it the tree decides as anywhere else. Classes are only a guess: an article or main element, or a leaf that the tree
 rates ``WORTH`` or more, counts within a sidebar, widget or banner; one in what is named
 comments, related and the like, where a page has no other; and a page whose classes would leave nothing keeps
-what only they would remove. Plain paragraphs and headings of that element are not removed.
+what only they would remove.
 Copies of one page share all they have, which says nothing of them: pages of a host with the same text (markup,
 scripts and styles aside) count as one page in all sums, each of n copies with a weight of 1/n. Noise is
 removed whatever its share of a page.
@@ -70,7 +72,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html head td th tr tbody thead tfoot option caption".split())
 NEVER = frozenset("nav footer aside form button select fieldset menu dialog option legend label input head".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption hgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments respond reply replies disqus discussion pagination pager toolbar search skip tags".split())
@@ -121,6 +122,15 @@ def _child(parent: int, name: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{parent}/{name}") - (1 << 63)
 
 
+def _value(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def repeat_key(block: Block) -> int:
+    """A block's leaf and text in one number."""
+    return block.chain[-1] ^ _value(block.text)
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -139,19 +149,19 @@ def copy_key(page: str, host: str) -> int:
 class Block:
     """A run of text between block borders, and where it is."""
 
-    __slots__ = ("article", "chain", "links", "plain", "skip", "tag", "text")
+    __slots__ = ("article", "chain", "links", "skip", "tag", "text")
 
-    def __init__(self, text, chain, tag, skip, article, plain, links):
-        self.text, self.chain, self.tag, self.skip, self.article, self.plain, self.links = text, chain, tag, skip, article, plain, links
+    def __init__(self, text, chain, tag, skip, article, links):
+        self.text, self.chain, self.tag, self.skip, self.article, self.links = text, chain, tag, skip, article, links
 
 
 class _Open:
     """An open element. ``owner``: the nearest block-level element, itself included; ``chain``: its path of nodes."""
 
-    __slots__ = ("article", "block", "chain", "children", "header", "name", "node", "owner", "plain", "skip", "tag")
+    __slots__ = ("article", "block", "chain", "children", "header", "name", "node", "owner", "skip", "tag")
 
-    def __init__(self, tag, name, node, skip, article, plain, header, block, parent):
-        self.tag, self.name, self.node, self.skip, self.article, self.plain, self.header, self.block = tag, name, node, skip, article, plain, header, block
+    def __init__(self, tag, name, node, skip, article, header, block, parent):
+        self.tag, self.name, self.node, self.skip, self.article, self.header, self.block = tag, name, node, skip, article, header, block
         self.children: list[str] = []
         self.owner = self if block else parent.owner
         self.chain = (*parent.owner.chain, node) if block and parent else ()
@@ -165,7 +175,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
     """
     blocks: list[Block] = []
     styles: list[tuple[int, int]] = []
-    root = _Open("", "", _child(0, host), 0, 0, False, False, True, None)
+    root = _Open("", "", _child(0, host), 0, 0, False, True, None)
     stack, held, linked, links, at = [root], [], 0, [], 0
     in_link = 0
 
@@ -177,7 +187,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
             if text:
                 top = stack[-1].owner
                 skip = top.skip or (NOTHING if top.header and top.tag not in HEADINGS else 0)
-                blocks.append(Block(text, top.chain or (root.node,), top.tag, skip, top.article, top.plain, (min(1.0, linked / len(text)), tuple(links))))
+                blocks.append(Block(text, top.chain or (root.node,), top.tag, skip, top.article, (min(1.0, linked / len(text)), tuple(links))))
             held.clear()
             links.clear()
             linked = 0
@@ -272,7 +282,6 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
             in_link += 1
         top = stack[-1]
         inside = max(top.article, 2 if tag == "article" else 1 if tag == "main" or article else 0)
-        starts = inside > top.article
         header = tag == "header" or top.header
         skip = top.skip
         if skip and (article == 2 or tag in ("main", "article")):
@@ -292,16 +301,16 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
             node = _child(parent.node, name)
         else:
             node = top.node
-        plain = starts or (top.plain and (not block or (tag in PLAIN and name == tag)))
         if len(stack) < DEPTH and (block or not m[3].endswith("/")):
-            stack.append(_Open(tag, name, node, skip, inside, plain, header, block, top))
+            stack.append(_Open(tag, name, node, skip, inside, header, block, top))
     close(1)
     flush()
     return blocks, styles
 
 
 def main_text(page: str | None, host: str, noise) -> str:
-    """The text of a page, given the noisy nodes and keys of leaves that count in a wrapper (anything that has ``in``)."""
+    """The text of a page, given the noisy nodes, keys of repeated texts, and keys of leaves that count in a wrapper
+    (anything that has ``in``, and is false if empty)."""
     blocks, _ = parse(page, host)
     left = [b for b in blocks if not b.skip or (b.skip == WRAPPED and b.chain[-1] ^ OPENED in noise)]
     if not any(b.article for b in left) and any(b.skip == OTHERS_ARTICLE for b in blocks):
@@ -312,11 +321,11 @@ def main_text(page: str | None, host: str, noise) -> str:
     chosen = [b for b in left if b.article == bound] if bound else left
     if not bound:  # menus that no tag or class names: lists that are links nearly all
         chosen = [b for b in chosen if not (b.tag in ("li", "td", "div", "ul", "dd") and b.links[0] >= 0.8)]
-    kept = [b for b in chosen if b.plain or not any(n in noise for n in b.chain)]
+    kept = [b for b in chosen if not any(n in noise for n in b.chain) and repeat_key(b) not in noise] if noise else chosen
     return "\n\n".join(b.text for b in kept)
 
 
-STATS = "node long, kind string, value long, n double, x double, chain array<long>"
+STATS = "node long, kind string, value long, n double, x double, p double, chain array<long>"
 
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,23 +348,23 @@ class _Copies:
 
 def _statistics(batches: Iterator[pa.RecordBatch], copies=None) -> Iterator[pa.RecordBatch]:
     """Sums over a task's pages, with the number of a page's copies from ``copies`` or a third column: pages of each node; occurrences of each style; occurrences
-    of each content with n ln n summed over pages; the nodes above each content, with 1 where it was in a wrapper."""
+    of each content with n ln n summed over pages, and its pages; the host and the nodes above each content, with 1 where it was in a wrapper."""
     pages: dict[int, float] = {}
     styles: dict[tuple[int, int], float] = {}
     contents: dict[tuple[int, int], list[float]] = {}
     chains: dict[tuple[int, bool], tuple[int, ...]] = {}
 
     def flush():
-        rows = [(k, "pages", 0, float(n), 0.0, None) for k, n in pages.items()]
-        rows += [(k, "style", s, float(n), 0.0, None) for (k, s), n in styles.items()]
-        rows += [(k, "content", c, n, x, None) for (k, c), (n, x) in contents.items()]
-        rows += [(k, "chain", int(w), 0.0, 0.0, list(c)) for (k, w), c in chains.items()]
+        rows = [(k, "pages", 0, float(n), 0.0, 0.0, None) for k, n in pages.items()]
+        rows += [(k, "style", s, float(n), 0.0, 0.0, None) for (k, s), n in styles.items()]
+        rows += [(k, "content", c, n, x, p, None) for (k, c), (n, x, p) in contents.items()]
+        rows += [(k, "chain", int(w), 0.0, 0.0, 0.0, list(c)) for (k, w), c in chains.items()]
         for d in (pages, styles, contents, chains):
             d.clear()
         if rows:
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            names = ("node", "kind", "value", "n", "x", "chain")
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+            names = ("node", "kind", "value", "n", "x", "p", "chain")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     for batch in (p for b in batches for p in in_parts(b, 1)):
@@ -366,7 +375,8 @@ def _statistics(batches: Iterator[pa.RecordBatch], copies=None) -> Iterator[pa.R
                 continue
             w = 1.0 / (copies.value[copy_key(page, host)] if copies is not None else count or 1)
             blocks, own = parse(page, host, with_styles=True)
-            seen: set[int] = set()
+            root = _child(0, host)
+            seen = {root}
             for node, style in own:
                 seen.add(node)
                 styles[node, style] = styles.get((node, style), 0) + w
@@ -374,14 +384,15 @@ def _statistics(batches: Iterator[pa.RecordBatch], copies=None) -> Iterator[pa.R
             for b in blocks:
                 leaf = b.chain[-1]
                 seen.update(b.chain)
-                chains.setdefault((leaf, b.skip == WRAPPED), b.chain[:-1])
+                chains.setdefault((leaf, b.skip == WRAPPED), (root, *b.chain[:-1]))
                 for c in (b.text, *b.links[1]):
-                    key = leaf, xxhash.xxh3_64_intdigest(c) - (1 << 63)
+                    key = leaf, _value(c)
                     here[key] = here.get(key, 0) + 1
             for key, n in here.items():
-                s = contents.setdefault(key, [0.0, 0.0])
+                s = contents.setdefault(key, [0.0, 0.0, 0.0])
                 s[0] += w * n
                 s[1] += w * n * math.log(n)
+                s[2] += w
             for node in seen:
                 pages[node] = pages.get(node, 0) + w
         if len(contents) + len(styles) > COUNTERS:
@@ -407,12 +418,18 @@ def _with_copy_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The tree of ``trees``."""
+    return trees(pages, url_col, html_col)[0]
+
+
+def trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
     """A written table of the nodes of all hosts' trees on MIN_PAGES pages or more: node, pages,
-    content and presentation importance (null where it has none), composite, noise, and whether it counts in a wrapper."""
+    content and presentation importance (null where it has none), composite, noise, and opened if it counts in a wrapper.
+    Also a table of the keys of texts that most pages of their host repeat."""
     bounded_batches(pages.sparkSession)
     stats = written(_weighted(pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h"))), "tree")
     m = stats.where("kind = 'pages'").groupBy("node").agg(F.round(F.sum("n"), 6).alias("m")).where(F.col("m") >= MIN_PAGES)
-    each = stats.where("kind = 'content'").groupBy("node", "value").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    each = stats.where("kind = 'content'").groupBy("node", "value").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.round(F.sum("p"), 6).alias("p"))
     content = each.groupBy("node").agg(F.avg(F.log("n") - F.col("x") / F.col("n")).alias("spread"))
     style = stats.where("kind = 'style'").groupBy("node", "value").agg(F.sum("n").alias("n"))
     style = style.groupBy("node").agg(F.count("*").alias("styles"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"))
@@ -422,14 +439,17 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     tree = written(tree, "nodes")
     leaves = tree.where("content is not null").select("node", "m", "content")
     chains = stats.where("kind = 'chain'").groupBy("node").agg(F.first("chain").alias("chain"), F.max("value").alias("wrapped"))
-    below = leaves.join(chains, "node").select(F.explode(F.concat("chain", F.array("node"))).alias("node"), "m", "content")
+    below = leaves.join(chains, "node").select(F.explode(F.concat(F.expr("slice(chain, 2, size(chain))"), F.array("node"))).alias("node"), "m", "content")
     opened = leaves.join(chains, "node").where((F.col("wrapped") == 1) & (F.col("content") >= WORTH)).select("node", F.lit(True).alias("opened"))
     below = below.groupBy("node").agg(F.max("content").alias("most"), (F.sum(F.col("m") * F.col("content")) / F.sum("m")).alias("mean"))
     fade = F.pow(F.lit(DECAY), F.coalesce("styles", F.lit(1)))
     composite = F.when(F.col("presentation").isNull(), F.col("mean")).otherwise((1 - fade) * F.col("presentation") + fade * F.col("mean"))
     own = F.coalesce("content", composite)
     out = tree.join(below, "node").join(opened, "node", "left").withColumn("composite", composite)
-    return written(out.select("node", "m", "content", "presentation", "composite", ((own < THRESHOLD) & (F.col("most") < THRESHOLD)).alias("noise"), F.coalesce("opened", F.lit(False)).alias("opened")), "importance")
+    often = each.where(F.col("p") > MIN_PAGES ** (1 - THRESHOLD)).join(chains.select("node", F.col("chain")[0].alias("host")), "node")
+    often = often.join(m.withColumnRenamed("node", "host"), "host").where((2 * F.col("p") > F.col("m")) & (1 - F.log("p") / F.log("m") < THRESHOLD))
+    repeats = written(often.select(F.col("node").bitwiseXOR(F.col("value")).alias("node")), "repeats")
+    return written(out.select("node", "m", "content", "presentation", "composite", ((own < THRESHOLD) & (F.col("most") < THRESHOLD)).alias("noise"), F.coalesce("opened", F.lit(False)).alias("opened")), "importance"), repeats
 
 
 class _Nodes:
@@ -439,6 +459,9 @@ class _Nodes:
         self.nodes = np.sort(nodes)
         self.known = frozenset(self.nodes.tolist()) if len(nodes) <= 100_000 else None
 
+    def __len__(self) -> int:
+        return len(self.nodes)
+
     def __contains__(self, node: int) -> bool:
         if self.known is not None:
             return node in self.known
@@ -449,8 +472,8 @@ class _Nodes:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, str]:
     """``pages`` with one more column, and its name: the main text of each page."""
     name = free_name(pages, "text")
-    tree = style_tree(pages, url_col, html_col)
-    noise = tree.where("noise").select("node").union(tree.where("opened").select(F.col("node").bitwiseXOR(F.lit(OPENED))))
+    tree, repeats = trees(pages, url_col, html_col)
+    noise = tree.where("noise").select("node").union(repeats).union(tree.where("opened").select(F.col("node").bitwiseXOR(F.lit(OPENED))))
     fields = [T.StructField(name, T.StringType())]
     n = noise.count()
     blocks = max(1, -(-n // BROADCAST_NODES))
@@ -474,7 +497,7 @@ def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (p for b in batches for p in in_parts(b, 2)):
         keys, nodes = [], []
         for key, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = {n for b in parse(page, host_of(url))[0] for n in (*b.chain, b.chain[-1] ^ OPENED)}
+            own = {n for b in parse(page, host_of(url))[0] for n in (*b.chain, repeat_key(b), b.chain[-1] ^ OPENED)}
             keys += [key] * len(own)
             nodes += own
         yield pa.RecordBatch.from_pydict({"page": pa.array(keys, pa.int64()), "node": pa.array(nodes, pa.int64())})

@@ -86,3 +86,12 @@ def test_copies_differ_in_markup_only():
     key = he.copy_key("<p>One  story</p><script>a=1</script><!-- x", "h")
     assert key == he.copy_key("<div id='7'>One story<br></div><style>p{}", "h")
     assert key != he.copy_key("<p>One story", "g") and key != he.copy_key("<p>One < two story", "h")
+
+
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_repeated_texts_in_articles_go(spark, monkeypatch, most):
+    monkeypatch.setattr(he, "BROADCAST_NODES", most)
+    rare = lambda i: "<p>Seen now and then</p>" if i < 8 else ""
+    pages = [(i, "https://a.org/a", f"<article><h1>Story {i}</h1><p>It is {i * 7}</p>{rare(i)}<p>Subscribe to our letter</p><ul><li>Share</ul></article>") for i in range(20)]
+    got = {r.page_id: r.text for r in he.page_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join([f"Story {i}", f"It is {i * 7}"] + ["Seen now and then"] * (i < 8)) for i in range(20)}
