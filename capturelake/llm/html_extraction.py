@@ -67,7 +67,13 @@ DEPTH = 500
 COUNTERS = 200_000
 
 # What elements are, and words of classes, ids and roles that name what is no article.
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas audio video noembed noframes xmp".split())
+RAW = frozenset("script style textarea title xmp".split())
+EMBEDDED = frozenset("noscript iframe template svg math object canvas audio video noembed noframes".split())
+#: Elements of these lie within themselves only by a forgotten end tag.
+FLAT = EMBEDDED - frozenset("template svg math object".split())
+#: What ends the search for an element that a start tag closes.
+STOPS = ("table", *sorted(EMBEDDED))
+P_STOPS, LI_STOPS, DL_STOPS = (*STOPS, "td", "th", "button"), (*STOPS, "ul", "ol", "menu"), (*STOPS[1:], "dl")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html head td th tr tbody thead tfoot option caption".split())
@@ -146,6 +152,22 @@ def copy_key(page: str, host: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{host} {' '.join(_MARKUP.sub(' ', page).split())}") - (1 << 63)
 
 
+def _pairs(page: str, tag: str, at: int) -> set[int]:
+    """Where the start tags of an embedded element end that have an end tag, from ``at`` on."""
+    paired, open_ = set(), []
+    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.S | re.I).finditer(page, at):
+        if m[1] is None:
+            continue
+        if m[1]:
+            if open_:
+                paired.add(open_.pop())
+        elif not m[0].endswith("/>"):
+            if tag in FLAT:
+                open_.clear()
+            open_.append(m.end())
+    return paired
+
+
 class Block:
     """A run of text between block borders, and where it is."""
 
@@ -177,6 +199,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
     styles: list[tuple[int, int]] = []
     root = _Open("", "", _child(0, host), 0, 0, False, True, None)
     stack, held, linked, links, at = [root], [], 0, [], 0
+    pairs: dict[str, set[int]] = {}
     in_link = 0
 
     def flush() -> None:
@@ -248,7 +271,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
                 in_link = max(0, in_link - 1)
             if tag == "br":
                 held.append(" ")
-            elif n := place_of(tag, ("table",) if tag not in ("table", "html", "body") else ()):
+            elif n := place_of(tag, STOPS if tag == "p" or tag not in BLOCKS else ("table",) if tag not in ("table", "html", "body") else ()):
                 close(n)
             continue
         if tag in RAW:
@@ -256,20 +279,28 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
             held.append(" ")
             at = end.end() if end else len(page)
             continue
+        if tag in EMBEDDED:
+            held.append(" ")
+            if tag not in pairs:
+                pairs[tag] = _pairs(page, tag, lt)
+            if at in pairs[tag]:  # else it is empty: self-closed, or its end tag is missing
+                top = stack[-1]
+                stack.append(_Open(tag, tag, top.node, NOTHING, top.article, top.header, False, top))
+            continue
         if tag in ("br", "wbr", "img"):
             held.append(" " if tag == "br" else "")
             continue
         name, never, article, link = (_traits if len(m[3]) < 500 else _traits.__wrapped__)(tag, m[3])
         if tag in BLOCKS:
-            if tag in CLOSES_P and (n := place_of("p", ("table", "td", "th", "button"))):
+            if tag in CLOSES_P and (n := place_of("p", P_STOPS)):
                 close(n)
-            elif tag in ("td", "th", "tr") and (n := place_of(tag, ("table",))):
+            elif tag in ("td", "th", "tr") and (n := place_of(tag, STOPS)):
                 close(n)
             elif tag == "option" and stack[-1].tag == "option":
                 close(len(stack) - 1)
-            if tag == "li" and (n := place_of("li", ("ul", "ol", "menu", "table"))):
+            if tag == "li" and (n := place_of("li", LI_STOPS)):
                 close(n)
-            elif tag in ("dt", "dd") and (n := place_of("dt", ("dl",)) or place_of("dd", ("dl",))):
+            elif tag in ("dt", "dd") and (n := place_of("dt", DL_STOPS) or place_of("dd", DL_STOPS)):
                 close(n)
             flush()
             if tag == "hr":

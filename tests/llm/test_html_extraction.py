@@ -95,3 +95,15 @@ def test_repeated_texts_in_articles_go(spark, monkeypatch, most):
     pages = [(i, "https://a.org/a", f"<article><h1>Story {i}</h1><p>It is {i * 7}</p>{rare(i)}<p>Subscribe to our letter</p><ul><li>Share</ul></article>") for i in range(20)]
     got = {r.page_id: r.text for r in he.page_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n\n".join([f"Story {i}", f"It is {i * 7}"] + ["Seen now and then"] * (i < 8)) for i in range(20)}
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "audio", "video", "iframe", "noscript", "template"])
+def test_embedded_elements_cut_nothing_else(tag):
+    for page in (f"<p>a<{tag} x=1 /> b</p><p>c</p>", f"<p>a<{tag} x='>'> b</p><p>c</p>", f"<p>a<{tag} /> b</p><p>c<{tag}>no<p>no</{tag}></p>"):
+        assert text(f"<article>{page}</article>") == "a b\n\nc"
+    assert text(f"<p>a<{tag}><p>no</p></p>no<b>no</{tag}>b</p><p>c") in ("a b\n\nc", "a\n\nb\n\nc")
+    assert text(f"<p>a<{tag}>b</p><p>c</p><{tag}>no</{tag}><p>d") in ("a b\n\nc\n\nd", "a\n\nc\n\nd")
+
+
+def test_raw_text_runs_to_its_end():
+    assert text("<p>a<script>if (x < 1) '<svg>' </p></script>b<!-- <svg> --><p>c<textarea><p>no") == "a b\n\nc"
