@@ -33,7 +33,7 @@ more than ``BROADCAST_NODES`` texts have copies.
 Nulls and odd input: null or empty html has empty text. Pages without a host are a
 site of their own each. A page that breaks off inside a tag ends before it. Repeated
 pages each have a row. Empty tables give no rows. A page of any length is held whole by one task;
-elements nested deeper than ``DEPTH`` lose their structure, not their text.
+elements nested deeper than ``DEPTH`` have no nodes of their own, but are opened, skipped and closed as any.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ WORTH, OPENED = 0.8, 0x5DEECE66D1B54A32
 WRAPPED, OTHERS, OTHERS_ARTICLE, NOTHING = 1, 2, 3, 4
 #: Noisy nodes that are sent to all executors, at most; beyond, they are joined by host.
 BROADCAST_NODES = 500_000
-#: Open elements of a page at most; what is nested deeper counts as lying in the last of them.
+#: Length of paths in the tree; what is nested deeper counts there as lying in the last node of its path.
 DEPTH = 500
 #: Counters that a task holds before it passes them on.
 COUNTERS = 200_000
@@ -178,15 +178,17 @@ class Block:
 
 
 class _Open:
-    """An open element. ``owner``: the nearest block-level element, itself included; ``chain``: its path of nodes."""
+    """An open element. ``owner``: the nearest block-level element, itself included; ``chain``: its path of nodes;
+    ``own``: whether the last of these is its own."""
 
-    __slots__ = ("article", "block", "chain", "children", "header", "name", "node", "owner", "skip", "tag")
+    __slots__ = ("article", "block", "chain", "children", "header", "name", "node", "own", "owner", "skip", "tag")
 
     def __init__(self, tag, name, node, skip, article, header, block, parent):
         self.tag, self.name, self.node, self.skip, self.article, self.header, self.block = tag, name, node, skip, article, header, block
         self.children: list[str] = []
         self.owner = self if block else parent.owner
-        self.chain = (*parent.owner.chain, node) if block and parent else ()
+        self.own = block and parent is not None and node != parent.owner.node
+        self.chain = () if not block or not parent else (*parent.owner.chain, node) if self.own else parent.owner.chain
 
 
 def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[Block], list[tuple[int, int]]]:
@@ -200,6 +202,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
     root = _Open("", "", _child(0, host), 0, 0, False, True, None)
     stack, held, linked, links, at = [root], [], 0, [], 0
     pairs: dict[str, set[int]] = {}
+    places: dict[str, list[int]] = {}
     in_link = 0
 
     def flush() -> None:
@@ -221,9 +224,18 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
         if blocks_:
             flush()
             if with_styles:
-                styles.extend((o.node, xxhash.xxh3_64_intdigest(",".join(o.children)) - (1 << 63)) for o in reversed(blocks_))
+                styles.extend((o.node, xxhash.xxh3_64_intdigest(",".join(o.children)) - (1 << 63)) for o in reversed(blocks_) if o.own)
+        for o in stack[n:]:
+            places[o.tag].pop()
         del stack[n:]
 
+    def push(tag: str, name: str, node: int, skip: int, article: int, header: bool, block: bool, top: _Open) -> None:
+        if tag in places:
+            places[tag].append(len(stack))
+        else:
+            places[tag] = [len(stack)]
+        stack.append(_Open(tag, name, node, skip, article, header, block, top))
+
     def said(chunk: str) -> None:
         nonlocal linked
         if stack[-1].skip and not stack[-1].owner.skip:
@@ -233,13 +245,15 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
         if in_link:
             linked += len(text.strip())
 
-    def place_of(tag: str, stop: frozenset | tuple) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                return i
-            if stack[i].tag in stop:
+    def place_of(tag: str, stop: tuple) -> int:
+        """Place of the last open element of that name; 0 if there is none, or a stop after it."""
+        if not (at_ := places.get(tag)):
+            return 0
+        n = at_[-1]
+        for other in stop:
+            if (at_ := places.get(other)) and at_[-1] > n:
                 return 0
-        return 0
+        return n
 
     page = page or ""
     scan = _TOKEN.match
@@ -285,7 +299,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
                 pairs[tag] = _pairs(page, tag, lt)
             if at in pairs[tag]:  # else it is empty: self-closed, or its end tag is missing
                 top = stack[-1]
-                stack.append(_Open(tag, tag, top.node, NOTHING, top.article, top.header, False, top))
+                push(tag, tag, top.node, NOTHING, top.article, top.header, False, top)
             continue
         if tag in ("br", "wbr", "img"):
             held.append(" " if tag == "br" else "")
@@ -329,11 +343,11 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
             parent = top.owner
             if not parent.children or parent.children[-1] != name:  # a run of like children counts once
                 parent.children.append(name)
-            node = _child(parent.node, name)
+            node = _child(parent.node, name) if len(parent.chain) < DEPTH else parent.node
         else:
             node = top.node
-        if len(stack) < DEPTH and (block or not m[3].endswith("/")):
-            stack.append(_Open(tag, name, node, skip, inside, header, block, top))
+        if block or not m[3].endswith("/"):
+            push(tag, name, node, skip, inside, header, block, top)
     close(1)
     flush()
     return blocks, styles

@@ -107,3 +107,20 @@ def test_embedded_elements_cut_nothing_else(tag):
 
 def test_raw_text_runs_to_its_end():
     assert text("<p>a<script>if (x < 1) '<svg>' </p></script>b<!-- <svg> --><p>c<textarea><p>no") == "a b\n\nc"
+
+
+def test_deep_elements_close_what_they_opened():
+    deep = "<div>" * 600 + "deep" + "</div>" * 600
+    assert text(f"<div><article><p>a</p>{deep}<p>rest</p></article><p>no</p></div>") == "a\n\ndeep\n\nrest"
+    assert text("<div>" * 600 + "<nav>no</nav><p>a</p><footer>no</footer>") == "a"
+    assert text("<p>no</p>" + "<div>" * 600 + "<article>a</article>b") == "a"
+    styles = he.parse("<body>" + "<div>" * 3000 + "x", "h", with_styles=True)[1]
+    assert len(styles) == he.DEPTH == len(he.parse("<div>" * 3000 + "x", "h")[0][0].chain)
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    assert text("<p><button>" * 20_000 + "<div>" * 20_000 + "<p>x" * 20_000) == ""
+    assert time.process_time() - began < 20
