@@ -143,22 +143,22 @@ def search_mixed(spark, sf_dir):
 
 @query
 def search_filters(spark, sf_dir):
-    return search.search_ids(archive(spark, sf_dir), "app:src1 type:png after:2026-01-01 site:example", NOW)
+    return search.search_ids(archive(spark, sf_dir), "app:src1 type:png after:2026-01-01 site:example", NOW, limit=None)
 
 
 @query
 def search_member(spark, sf_dir):
-    return search.search_ids(archive(spark, sf_dir), "tag:quality collection:src1 is:starred has:text", NOW)
+    return search.search_ids(archive(spark, sf_dir), "tag:quality collection:src1 is:starred has:text", NOW, limit=None)
 
 
 @query
 def search_dir(spark, sf_dir):
-    return search.search_ids(archive(spark, sf_dir), "dir:/archive/src1 has:notext", NOW)
+    return search.search_ids(archive(spark, sf_dir), "dir:/archive/src1 has:notext", NOW, limit=None)
 
 
 @query
 def is_duplicate(spark, sf_dir):
-    return search.search_ids(archive(spark, sf_dir), "is:duplicate", NOW)
+    return search.search_ids(archive(spark, sf_dir), "is:duplicate", NOW, limit=None)
 
 
 @query

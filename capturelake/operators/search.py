@@ -122,8 +122,11 @@ def search_total(lib: Library, text: str, now: int | None = None) -> DataFrame:
     return ranked(lib, parse(text, now), now).agg(F.count("*").alias("total"))
 
 
-def search_ids(lib: Library, text: str, now: int | None = None, limit: int = MOST_IDS) -> DataFrame:
-    """Ids in rank order, 1 to 100,000 of them."""
+def search_ids(lib: Library, text: str, now: int | None = None, limit: int | None = MOST_IDS) -> DataFrame:
+    """Ids in rank order: 1 to 100,000 of them, which is for interactive callers, or all with ``limit`` None."""
     now = int(time.time()) if now is None else now
     query = parse(text, now)
-    return ranked(lib, query, now).orderBy(*order_of(query)).limit(min(MOST_IDS, max(1, limit))).select("id")
+    found = ranked(lib, query, now).orderBy(*order_of(query))
+    if limit is not None:
+        found = found.limit(min(MOST_IDS, max(1, limit)))
+    return found.select("id")

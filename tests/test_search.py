@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 
 from archive import NOW, ids, library
+from capturelake import catalogue
 from capturelake.operators import search as s
 from capturelake.plans.query_parser import parse
 
@@ -73,3 +74,13 @@ def test_snippets():
     out = s.snippet(text, [["w20"], ["w22"]])
     assert "[w20]" in out and "[w22]" in out and out.startswith("…") and len(out.split()) == 16
     assert s.snippet(None, [["a"]]) == "" and s.snippet("one two", [["zz"]]) == "one two"
+
+
+@pytest.mark.parametrize("name", ["search_filters", "search_member", "search_dir", "is_duplicate"])
+def test_registered_queries_return_all_ids(spark, monkeypatch, name):
+    rows = [{"id": i, "path": f"/archive/src1/{i}.png", "app_name": "src1", "website_domain": "example.org", "starred": True, "content_hash": "h", "created_ts": NOW - i} for i in range(1, 6)]
+    lib = library(spark, rows, [(i, "words") for i in range(1, 6)] if name != "search_dir" else (), [(i, "quality") for i in range(1, 6)], [("src1", list(range(1, 6)))])
+    monkeypatch.setattr(s, "MOST_IDS", 2)
+    monkeypatch.setattr(catalogue, "archive", lambda spark, sf_dir: lib)
+    assert ids(catalogue.queries()[name](spark, "")) == [1, 2, 3, 4, 5]
+    assert len(ids(s.search_ids(lib, "", NOW, limit=9))) == 2
