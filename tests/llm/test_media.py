@@ -73,3 +73,14 @@ def test_hash_is_of_low_frequencies():
     noisy = np.clip(smooth + np.random.default_rng(0).integers(-6, 7, smooth.shape), 0, 255).astype(np.uint8)
     bits = lambda a: np.unpackbits(np.frombuffer(media.low_frequencies(a), np.uint8))
     assert (bits(smooth) != bits(noisy)).sum() < (bits(smooth) != bits(np.roll(smooth, 17, axis=0))).sum()
+
+
+def test_query_writes_real_filters(spark):
+    docs = spark.createDataFrame([(1, "the same words over and over " * 200), (2, "aabbccddeeff" * 9)], "doc_id long, text string")
+    seen = set()
+    for r in media.to_images(docs).collect():
+        raw = zlib.decompress(r.media[8 + 25 + 8 : -12 - 4])  # one IDAT between IHDR and IEND
+        kinds = raw[:: media.WIDTH + 1]
+        seen |= set(kinds)
+        assert media.read_png(r.media).tobytes() == media.payload_of(r.text)[0]
+    assert {1, 2} <= seen
