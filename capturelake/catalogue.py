@@ -358,6 +358,13 @@ def classify_reference(spark, sf_dir):
     return _classified(spark, sf_dir, classify.CATEGORIES)
 
 
+@query
+def classify_apps(spark, sf_dir):
+    """The reference's apps and categories over whole texts, with the confidence that goes with each."""
+    df = classify.classify(table(spark, sf_dir, "documents"), "source", "lang", "text")
+    return df.select(F.col("doc_id").alias("id"), F.col("found_app").alias("app"), F.col("found_category").alias("category"), F.round("found_confidence", 2).alias("confidence"))
+
+
 @query
 def thumbnails_plan(spark, sf_dir):
     return thumbnails.plan(archive(spark, sf_dir).captures, "/cache").select("id", "thumbnail", "t_width", "t_height")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from capturelake.adapters import NOW
-from capturelake.operators.classify import CATEGORIES
+from capturelake.operators.classify import APPS, CATEGORIES
 
 #: The archive that ``adapters.archive`` makes.
 PREFIX = f"""
@@ -111,6 +111,16 @@ def _category_words(words: dict[str, tuple[str, ...]]) -> str:
     return f"SELECT id, {pick} AS category, CAST(CASE WHEN {best} > 0 THEN round(least(0.9, 0.55 + 0.1 * {best}), 2) ELSE 0.0 END AS DOUBLE) AS confidence FROM (SELECT id, {cases} FROM (SELECT doc_id AS id, lower(coalesce(source, '')) || chr(10) || lower(coalesce(lang, '')) || chr(10) || lower(coalesce(text, '')) AS t FROM documents))"
 
 
+def _apps_and_categories() -> str:
+    """``classify.classify`` with its own lists; a name is null where a part of it is."""
+    app = "CASE " + " ".join(f"WHEN contains(n, '{w}') OR contains(t, '{w}') THEN '{a}'" for w, a in APPS) + " END"
+    url = lambda s: rf"""contains(raw, '{s}') AND contains(regexp_replace(regexp_extract(raw, '{s}([^/\s<>\"''()\[\]{{}}]*)', 1), '^www\.', ''), '.')"""
+    domain = rf"({url('https://')}) OR ({url('http://')}) OR regexp_matches(t, 'www\.[a-z0-9-]*\.')"
+    texts = "SELECT doc_id AS id, coalesce(text, '') AS raw, lower(coalesce(text, '')) AS t, lower(source || chr(10) || lang) AS n FROM documents"
+    return f"""WITH c AS ({_category_words(dict(CATEGORIES))}), a AS (SELECT id, {app} AS app, {domain} AS has_domain FROM ({texts}))
+        SELECT id, app, category, CASE WHEN category IS NULL AND (app IS NOT NULL OR has_domain) THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM a JOIN c USING (id)"""
+
+
 #: Words that occur in the driver's texts, by category.
 CORPUS_WORDS = {"legal": ("license", "copyright", "rights"), "secret": ("token", "password", "key"), "english": ("that", "with", "this"), "german": ("und", "der", "nicht")}
 
@@ -234,6 +244,7 @@ SQL: dict[str, str] = {
     "classify_www": "SELECT page_id AS id, nullif(regexp_extract(lower(html), 'www\\.[a-z0-9-]*\\.[a-z0-9.-]*'), '') AS found_domain FROM pages",
     "classify_category": _category_words(CORPUS_WORDS),
     "classify_reference": _category_words(dict(CATEGORIES)),
+    "classify_apps": _apps_and_categories(),
     "thumbnails": lib("SELECT id, '/cache/' || substr(content_hash, 1, 2) || '/' || content_hash || '_256.png' AS thumbnail, greatest(1, round(width * least(1.0::DOUBLE, 256.0::DOUBLE / width, 256.0::DOUBLE / height)))::BIGINT AS t_width, greatest(1, round(height * least(1.0::DOUBLE, 256.0::DOUBLE / width, 256.0::DOUBLE / height)))::BIGINT AS t_height FROM captures"),
     "safe_names": r"""SELECT p_partkey AS id, CASE WHEN upper(split_part(n, '.', 1)) IN ('CON', 'PRN', 'AUX', 'NUL') THEN n || '_' ELSE n END AS safe, lower(p_name) AS folded
         FROM (SELECT *, regexp_replace(regexp_replace(p_type || ':' || p_name, '[<>:"/\\|?*]', '_', 'g'), '[ .]+$', '') AS n FROM part)""",

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archive import NOW, ids, library
+from capturelake import catalogue
 from capturelake.functions import hashing, text
 from capturelake.operators import classify as c
 from capturelake.operators import suggest as s
@@ -104,3 +105,16 @@ def test_proposal_keys(spark):
     rows = [("a", "d", "c", "app:a\x1fdom:d"), ("a", "", "c", "app:a\x1fcat:c"), (None, "d", "c", "cat:c"), ("", "d", "c", None), ("a", None, None, None)]
     df = spark.createDataFrame(rows, "app_name string, website_domain string, category string, want string")
     assert all(r[0] == r[1] for r in df.select(s.proposal_key(), "want").collect())
+
+
+def test_registered_query_finds_apps(spark, monkeypatch):
+    texts = ["we talked on slack at noon", "see https://a.example/x here", "see https://nodot/x here", "www.b.example is up", "GitHub pull request", "nothing", None]
+    docs = spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(catalogue, "table", lambda spark, sf_dir, name: docs)
+    got = {r.id: (r.app, r.category, r.confidence) for r in catalogue.queries()["classify_apps"](spark, "").collect()}
+    assert got == {0: ("slack", "communication", 0.65), 1: (None, None, 0.5), 2: (None, None, 0.0), 3: (None, None, 0.5), 4: ("github", "code", 0.65), 5: (None, None, 0.0), 6: (None, None, 0.0)}
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, 'en', 'src1')", list(enumerate(texts)))
+    assert {r[0]: r[1:] for r in con.sql(catalogue.oracle_sql()["classify_apps"]).fetchall()} == got
