@@ -23,15 +23,14 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import functools
-import gc
+import itertools
 import json
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +40,17 @@ from capturelake.llm.common import bounded_batches, file_system, put_file, relea
 #: Rows of one record batch, and ids of one row where nothing else is said.
 ROWS, SEQ_LEN = 256, 1024
 #: Distinct words that a worker remembers with their ids.
-CACHE_WORDS = 550_000
-#: Before a unit that has no space before it; never in a word, which has no white space at its ends.
+CACHE_WORDS = 650_000
+#: Before a text's first word, which has no space before it; no other word begins with white space.
 BARE = "\t"
-#: Marks that may end a word, as units.
-MARKS = {c: BARE + c for c in ".,;:!?"}
-#: Characters of text that are looked up at once.
-SLICE = 1 << 20
+#: Bytes of text that are cut into words at once, and new words that go to the library as one text.
+SLICE, JOINED = 8 << 20, 50
+#: Marks and line feeds that are words of their own where what stands around them allows it.
+MARKS = ",.;:!?"
+#: White space as Python's and the library's patterns have it, for a pattern that knows ASCII only.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+#: Texts in which a mark before a space, or a line feed, can be part of a longer token.
+TIED_MARK, TIED_LINE = rf"[^\pL\pN][{MARKS}] ", rf"{SPACE}\n|\n(?:{SPACE}|\z)"
 
 
 def default_tokenizer() -> str:
@@ -56,136 +59,145 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _ByteLetters(dict):
-    """Code points to the letters that stand for their bytes, as the library has them."""
-
-    def __init__(self):
-        from tokenizers import pre_tokenizers
-
-        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def __missing__(self, point: int) -> str:
-        self[point] = out = self.level.pre_tokenize_str(chr(point))[0][0]
-        return out
-
-
 class Encoder:
     """Whole texts to ids, by the tokenizers library, with a memory for words.
 
     A byte-level tokenizer of this family never makes a token over the border
     before a space that a non-space follows, wherever that border lies. So a text
-    cut there has the ids of its pieces one after the other, and each piece is
-    encoded once. A text in which that might not hold (a space before other white
-    space or at the end, the text of a special token), or a tokenizer of another
-    kind, is encoded as a whole.
+    cut there has the ids of its words (with the space before each) one after the other.
+    Arrow cuts a slice of texts and numbers its distinct words; new ones go to the
+    library, many as one text, whose tokens that begin with a space begin a word; ids
+    are gathered by number. A text in which that might not hold (a space before other
+    white space or at the end, the text of a special token), or a tokenizer of
+    another kind, is encoded as a whole.
     """
 
     def __init__(self, path: str, cache_words: int | None = None):
         from tokenizers import Tokenizer
 
         self.cache_words = CACHE_WORDS if cache_words is None else cache_words
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.letters = _ByteLetters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_words = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("post_processor") is None and not spec.get("truncation") and not spec.get("padding")
-        special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(special)).search if special else lambda text: None
-        self.gap = re.compile(r" (?=\s|\Z)").search
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids of units. Letters, with or without a space before them, are one word to the
-        library's pre-tokenizer, so they go to its model at once; others take the whole way."""
-        model, table, space, out, rest = self.tokenizer.model.tokenize, self.letters, self.letters[32], [], []
-        for u in units:
-            word = u[1:] if u[0] == BARE else u
-            if word.isalpha():
-                letters = word if word.isascii() else word.translate(table)
-                out.append(array("I", [t.id for t in model(letters if word is not u else space + letters)]).tobytes())
-            else:
-                rest.append((len(out), word if word is not u else " " + u))
-                out.append(b"")
-        for (i, _), ids in zip(rest, self._encode([u for _, u in rest]), strict=True):
-            out[i] = ids
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        vocabulary = self.tokenizer.get_vocab()
+        space = "\u0120"  # stands for the byte 32
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.known: dict[str, int] = {}  # a word to its place in the arrays below
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.held = 0  # ids of known words; what lies behind them serves one slice
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and their number for each text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         if not self.by_words:
-            return self._encode(texts)
-        out: list[bytes] = []
-        begin, held = 0, 0
-        collecting = gc.isenabled()
-        gc.disable()  # a million small objects, none of them in a cycle
-        try:
-            for i, text in enumerate(texts):
-                held += len(text)
-                if held > SLICE or i == len(texts) - 1:
-                    out += self._by_words(texts[begin : i + 1])
-                    begin, held = i + 1, 0
-        finally:
-            if collecting:
-                gc.enable()
-        return out
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        known, special, gap = self.known, self.special, self.gap
-        found, odd, fresh = [], [], set()  # odd: texts that go as a whole
-        for k, text in enumerate(texts):
-            if special(text) or gap(text):
-                odd.append(k)
-                found.append([])
+            return self._joined(self._encode(texts.to_pylist()))
+        apart = pc.match_substring_regex(texts, f" (?:{SPACE}|\\z)")
+        for content in self.special:
+            apart = pc.or_(apart, pc.match_substring(texts, content))
+        odd = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return self._by_words(texts)
+        ids, sizes = self._by_words(texts.filter(pc.invert(apart)))
+        plain = np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        out = np.empty(len(texts), dtype=object)
+        for places, found in ((np.setdiff1d(np.arange(len(texts)), odd), plain), (odd, self._encode(texts.take(pa.array(odd)).to_pylist()))):
+            for i, x in zip(places.tolist(), found, strict=True):
+                out[i] = x
+        return self._joined(list(out))
+
+    @staticmethod
+    def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._slice(*x) for x in self._slices(texts)]
+        if len(found) == 1:
+            return found[0][:2]
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for _, n, at in found:
+            sizes[at : at + len(n)] += n
+        return np.concatenate([ids for ids, _, _ in found]) if found else np.zeros(0, np.uint32), sizes
+
+    @staticmethod
+    def _slices(texts: pa.Array) -> Iterator[tuple[pa.Array, int]]:
+        """Texts of about SLICE bytes, ``BARE`` before each, and the first one's place; a longer text comes in pieces."""
+        nbytes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        begin = held = 0
+        for i, n in enumerate([*nbytes.tolist(), SLICE]):
+            if held + n <= SLICE:
+                held += n
                 continue
-            words = text.split(" ")
-            words[0] = BARE + words[0]
-            fresh.update(words)
-            found.append(words)
-        fresh = fresh.difference(known)
-        units, made = {w for w in fresh if w.isalpha()}, []
-        for w in fresh.difference(units):
-            made.append((w, parts := self._units(w)))
-            units.update(parts)
-        units = list(units.difference(known))
-        now = dict(zip(units, self._encode_units(units), strict=True))
-        known.update(now)
-        for w, parts in made:
-            now[w] = known[w] = b"".join([known[u] for u in parts])
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in found]
-        if len(known) > self.cache_words:
-            for w in now:
-                del known[w]
-        if odd:
-            for k, ids in zip(odd, self._encode([texts[k] for k in odd]), strict=True):
-                out[k] = ids
-        return out
+            if i > begin:
+                yield pc.binary_join_element_wise(BARE, texts.slice(begin, i - begin), ""), begin
+            begin, held = i, n
+            if n > SLICE:
+                text, at, mark = texts[i].as_py(), 0, BARE
+                while True:
+                    end = text.find(" ", at + SLICE // 4)
+                    yield pa.array([mark + (text[at:end] if end >= 0 else text[at:])]), i
+                    if end < 0:
+                        break
+                    at, mark = end + 1, ""
+                begin, held = i + 1, 0
 
     @staticmethod
-    def _units(word: str) -> list[str]:
-        """A word, with the space before it unless it starts with ``BARE``, cut into units
-        that no token crosses: before a mark that ends a line and follows a letter, and around
-        a line feed between non-spaces."""
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return [word[:-1], MARKS[word[-1]]]
-        bare = word[:1] == BARE
-        lines = word[bare:].split("\n")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            return [word] if len(word) > bare else []
-        out = []
-        for i, x in enumerate(lines):
-            if i:
-                out.append(BARE + "\n")
-            mark = len(x) > 1 and x[-1] in MARKS and x[-2].isalpha()
-            out.append((BARE if i or bare else "") + (x[:-1] if mark else x))
-            if mark:
-                out.append(BARE + x[-1])
-        return out
+    def _apart(texts: pa.Array) -> pa.Array:
+        """Texts with line feeds and marks as words, ``BARE`` before them: the library's pattern always
+        cuts before a mark that follows a letter or digit, and around a line feed between non-spaces."""
+        lines = pc.replace_substring(texts, "\n", f" {BARE}\n {BARE}")
+        texts = pc.if_else(pc.match_substring_regex(texts, TIED_LINE), texts, lines)
+        out = texts
+        for mark in MARKS:
+            out = pc.replace_substring(out, f"{mark} ", f" {BARE}{mark} ")
+        return pc.if_else(pc.match_substring_regex(texts, TIED_MARK), texts, out)
+
+    def _slice(self, texts: pa.Array, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+        lists = pc.split_pattern(self._apart(texts), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        place = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._learn([distinct[i] for i in new.tolist()])
+        place = place[words.indices.to_numpy()]
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(total)]
+        border = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, np.diff(border), at
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Places of new words: after those of known ones, which they join while there is room."""
+        bare = [i for i, w in enumerate(words) if w[0] == BARE]
+        plain = [i for i, w in enumerate(words) if w[0] != BARE]
+        joined = [" " + " ".join([words[i] for i in plain[k : k + JOINED]]) for k in range(0, len(plain), JOINED)]
+        flat, _ = self._joined(self._encode(joined))
+        first = np.flatnonzero(self.opens[flat]) if len(flat) else np.zeros(0, np.int64)
+        if len(first) != len(plain):
+            raise ValueError("a word's first token has no space: not a tokenizer of this kind")
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[plain], sizes[plain] = first, np.diff(np.append(first, len(flat)))
+        own, n = self._joined(self._encode([words[i][1:] for i in bare]))
+        starts[bare], sizes[bare] = len(flat) + np.cumsum(n) - n, n
+        flat = np.concatenate([flat, own])
+        k = len(self.known)
+        keep = k + len(words) <= self.cache_words
+        self.starts = np.concatenate([self.starts[:k], starts + self.held])
+        self.sizes = np.concatenate([self.sizes[:k], sizes])
+        self.ids = np.concatenate([self.ids[: self.held], flat])
+        if keep:
+            self.known.update(zip(words, range(k, k + len(words)), strict=True))
+            self.held += len(flat)
+        return np.arange(k, k + len(words))
 
 
 @functools.cache
@@ -199,29 +211,17 @@ class _PartWriter:
 
     def __init__(self, sink, seq_len: int, kind: pa.DataType):
         self.kind = kind
-        self.n, self.pending, self.held, self.total = seq_len, [], 0, 0
+        self.n, self.rest, self.total = seq_len, np.zeros(0, np.uint32), 0
         self.schema = pa.schema([("input_ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = pa.ipc.new_file(sink, self.schema)
 
-    def add(self, ids: bytes) -> None:
-        self.pending.append(ids)
-        self.held += len(ids)
-        self.total += len(ids) // 4
-        if self.held >= 4 * self.n * ROWS:
-            self._flush(last=False)
-
-    def _flush(self, last: bool) -> None:
-        data = np.frombuffer(b"".join(self.pending), dtype="<u4")
-        block = self.n * ROWS
+    def add(self, ids: np.ndarray) -> None:
+        self.total += len(ids)
+        data, block = np.concatenate([self.rest, ids]), self.n * ROWS
         whole = len(data) // block * block
         for i in range(0, whole, block):
             self._rows(data[i : i + block], block)
-        rest = data[whole:]
-        if last and len(rest):
-            size = -(-len(rest) // self.n) * self.n
-            self._rows(np.concatenate([rest, np.zeros(size - len(rest), dtype="<u4")]), len(rest))
-            rest = rest[:0]
-        self.pending, self.held = [rest.tobytes()], 4 * len(rest)
+        self.rest = data[whole:].copy()
 
     def _rows(self, ids: np.ndarray, real: int) -> None:
         values = pa.array(ids.astype(self.kind.to_pandas_dtype())), pa.array(np.arange(len(ids)) < real)
@@ -229,7 +229,9 @@ class _PartWriter:
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
-        self._flush(last=True)
+        if real := len(self.rest):
+            size = -(-real // self.n) * self.n
+            self._rows(np.concatenate([self.rest, np.zeros(size - real, dtype=np.uint32)]), real)
         self.out.close()
 
 
@@ -272,6 +274,19 @@ class SequenceFile:
             start, n = start + len(got), n - len(got)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of SLICE bytes together, or one larger one."""
+    group, held = [], 0
+    for batch in batches:
+        if group and held + batch.nbytes > SLICE:
+            yield group
+            group, held = [], 0
+        group.append(batch)
+        held += batch.nbytes
+    if group:
+        yield group
+
+
 PARTS = "part int, docs long, ids long"
 
 
@@ -296,23 +311,17 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encode, end = encoder(path, cache_words), np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(path, cache_words)
         ids, lengths, sums = [], [], [0]
 
         def body(sink) -> None:
-            from itertools import chain
-
-            from capturelake.llm.common import in_parts
-
             wide = max(encode.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
             writer = _PartWriter(sink, seq_len, pa.uint32() if wide else pa.uint16())
-            for batch in (p for b in chain([first], batches) for p in in_parts(b, 1)):
-                ids.append(batch.column(0))
-                own = []
-                for doc in encode(batch.column(1).to_pylist()):
-                    writer.add(doc + end)
-                    own.append(len(doc) // 4 + 1)
-                lengths.append(np.array(own, dtype=np.int64))
+            for group in _grouped(itertools.chain([first], batches)):
+                ids.extend(b.column(0) for b in group)
+                flat, sizes = encode(pa.concat_arrays([b.column(1) for b in group]))
+                writer.add(np.insert(flat, np.cumsum(sizes), end_id))
+                lengths.append(sizes + 1)
             writer.close()
             sums[0] = writer.total
 

@@ -14,6 +14,12 @@ def plain():
     return tokenizers.Tokenizer.from_file(tf.default_tokenizer())
 
 
+def each(encode, texts):
+    ids, sizes = encode(texts)
+    assert len(sizes) == len(texts) and sizes.sum() == len(ids)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def ids_of(plain, text):
     return plain.encode(text or "", add_special_tokens=False).ids
 
@@ -24,8 +30,8 @@ def test_encoder_equals_library(plain):
     texts = ["", " ", "\n", " a", "a ", "\tfoo bar", "foo\n bar", "foo \n bar", "foo.\n\nBar baz", *("".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(3000))]
     got = tf.Encoder(tf.default_tokenizer())
     for part in (texts, list(reversed(texts)), texts[:1]):
-        for t, ids in zip(part, got(part), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == ids_of(plain, t), repr(t)
+        for t, ids in zip(part, each(got, part), strict=True):
+            assert ids == ids_of(plain, t), repr(t)
 
 
 def test_full_memory_gives_the_same(plain, monkeypatch):
@@ -33,7 +39,13 @@ def test_full_memory_gives_the_same(plain, monkeypatch):
     got = tf.Encoder(tf.default_tokenizer())
     texts = ["one two three four.", "five six one two", "four. seven\nEight nine"]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in got(texts)] == [ids_of(plain, t) for t in texts]
+        assert each(got, texts) == [ids_of(plain, t) for t in texts]
+
+
+def test_long_texts_in_pieces(plain, monkeypatch):
+    monkeypatch.setattr(tf, "SLICE", 40)
+    texts = ["", "one two, three\nfour five " * 9 + "six", "short one", "x" * 100, "a b", "\ttab first " * 20 + ".", ""]
+    assert each(tf.Encoder(tf.default_tokenizer()), texts) == [ids_of(plain, t) for t in texts]
 
 
 def test_round_trip(spark, plain, tmp_path):
