@@ -40,11 +40,11 @@ from capturelake.llm.common import bounded_batches, file_system, put_file, relea
 #: Rows of one record batch, and ids of one row where nothing else is said.
 ROWS, SEQ_LEN = 256, 1024
 #: Distinct words that a worker remembers with their ids.
-CACHE_WORDS = 650_000
+CACHE_WORDS = 300_000
 #: Before a text's first word, which has no space before it; no other word begins with white space.
 BARE = "\t"
 #: Bytes of text that are cut into words at once, and new words that go to the library as one text.
-SLICE, JOINED = 8 << 20, 50
+SLICE, JOINED = 4 << 20, 50
 #: Marks and line feeds that are words of their own where what stands around them allows it.
 MARKS = ",.;:!?"
 #: White space as Python's and the library's patterns have it, for a pattern that knows ASCII only.
@@ -87,7 +87,7 @@ class Encoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
         self.known: dict[str, int] = {}  # a word to its place in the arrays below
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
         self.held = 0  # ids of known words; what lies behind them serves one slice
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -163,15 +163,16 @@ class Encoder:
         lists = pc.split_pattern(self._apart(texts), " ")
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        place = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), dtype=np.int64, count=len(distinct))
+        place = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), dtype=np.int32, count=len(distinct))
         new = np.flatnonzero(place < 0)
         if len(new):
             place[new] = self._learn([distinct[i] for i in new.tolist()])
         place = place[words.indices.to_numpy()]
         sizes = self.sizes[place]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(total)]
+        ends = np.cumsum(sizes, dtype=np.int32)  # a slice, or the rest of a long text's, has fewer than 2^31 ids
+        at_ids = np.repeat(self.starts[place] - (ends - sizes), sizes)
+        at_ids += np.arange(len(at_ids), dtype=np.int32)
+        ids = self.ids[at_ids]
         border = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return ids, np.diff(border), at
 
@@ -184,20 +185,20 @@ class Encoder:
         first = np.flatnonzero(self.opens[flat]) if len(flat) else np.zeros(0, np.int64)
         if len(first) != len(plain):
             raise ValueError("a word's first token has no space: not a tokenizer of this kind")
-        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts, sizes = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
         starts[plain], sizes[plain] = first, np.diff(np.append(first, len(flat)))
         own, n = self._joined(self._encode([words[i][1:] for i in bare]))
         starts[bare], sizes[bare] = len(flat) + np.cumsum(n) - n, n
         flat = np.concatenate([flat, own])
         k = len(self.known)
         keep = k + len(words) <= self.cache_words
-        self.starts = np.concatenate([self.starts[:k], starts + self.held])
+        self.starts = np.concatenate([self.starts[:k], starts + np.int32(self.held)])
         self.sizes = np.concatenate([self.sizes[:k], sizes])
         self.ids = np.concatenate([self.ids[: self.held], flat])
         if keep:
             self.known.update(zip(words, range(k, k + len(words)), strict=True))
             self.held += len(flat)
-        return np.arange(k, k + len(words))
+        return np.arange(k, k + len(words), dtype=np.int32)
 
 
 @functools.cache
