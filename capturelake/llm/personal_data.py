@@ -1,8 +1,9 @@
 """Personal data in texts, by weak supervision.
 
-Candidates are spans of six kinds. Five labelers vote on each one yes, no or
-abstain: the strict pattern, a structure test (checksum, ranges, digits), a
-gazetteer (top-level domains, card prefixes, calling codes, given names, ...), words
+Candidates are spans of six kinds: what the four base patterns match, looser forms of
+e-mail addresses and phone numbers, bank accounts, and secrets (keys, tokens, passwords). Five labelers vote on each one yes, no or
+abstain: the strict pattern, a structure test (checksum, ranges, digits, entropy), a
+gazetteer (top-level domains, card prefixes, calling codes, prefixes of keys, ...), words
 before the span, and its neighbours. How often each combination of votes occurs is counted
 over all documents; expectation-maximisation on those counts estimates how
 reliable each labeler is and how likely each kind, and gives every combination a probability. A
@@ -11,7 +12,8 @@ combinations, is the final classifier. The combinations are few whatever the cor
 only counts reach the driver; texts are read once.
 
 Base spans (patterns ``email``, ``ip``, ``card``, ``phone`` that pass their tests) always
-stay. The classifier adds candidates it gives ``ACCEPT`` or more that overlap no base span.
+stay. The classifier adds candidates it gives ``ACCEPT`` or more that overlap no base span, whose
+structure isn't refuted and that pattern, gazetteer or context speaks for. Names of persons are no kind: without a full gazetteer they can't be told from other words.
 
 All searches take time in proportion to the text, whatever it holds.
 
@@ -25,7 +27,9 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +38,7 @@ from pyspark.sql import types as T
 
 from capturelake.llm.common import add_from_text, written
 
-KINDS = ("email", "ip", "card", "phone", "iban", "person")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 #: Probability from which the classifier adds a span.
 ACCEPT = 0.9
 YES, NO, ABSTAIN = "y", "n", "-"
@@ -44,16 +48,16 @@ TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co ai app dev d
 CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "30", "38")
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "94", "98")
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
-GIVEN_NAMES = frozenset("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Paul Maria Laura Emma Olivia Noah Liam Sophia Hans Klaus Jürgen Ursula Petra Sabine Stefan Andreas Pierre Jean Marie Claire Luc Sophie Camille Antoine José Juan Carlos Carmen Pilar Javier Miguel Lucía Pablo Elena".split())
+SECRET_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "AIza", "sk_live_", "rk_live_", "sk-", "eyJ", "npm_", "pypi-")
 BEFORE = {
     "email": "email e-mail mail contact write reach correo courriel kontakt",
     "ip": "ip address host server from adresse dirección",
     "card": "card visa mastercard credit debit amex cc karte carte tarjeta",
     "phone": "phone tel telephone call mobile cell fax telefon téléphone teléfono",
     "iban": "iban account konto compte cuenta",
-    "person": "name mr mrs ms dr prof herr frau monsieur madame señor señora sincerely",
+    "secret": "token secret password passwd passphrase pwd key apikey api_key access_key secret_key private_key credential credentials auth authorization bearer passwort kennwort contraseña",
 }
-AGAINST = frozenset("version ver build release isbn issn order invoice page section chapter ref id no serial sku".split())
+AGAINST = frozenset("version ver build release isbn issn order invoice page section chapter ref id no serial sku commit sha sha1 sha256 md5 hash checksum digest etag uuid rev revision".split())
 
 _BEFORE = {k: frozenset(v.split()) for k, v in BEFORE.items()}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -62,10 +66,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _OBFUSCATED = re.compile(r"(?<![\w.-])[\w.-]{1,64}+ ?[\[(]at[\])] ?[\w-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]{1,63}){1,4}", re.ASCII)
-_LOCAL_PHONE = re.compile(r"(?<![\w+.])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ -/])[0-9]{2,5}[ -][0-9]{2,6}(?![\w])")
+_LOCAL_PHONE = re.compile(r"(?<![\w+.])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ /-])[0-9]{2,5}[ -][0-9]{2,6}(?![\w])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_PERSON = re.compile(r"(?<!\w)(?:" + "|".join(sorted(GIVEN_NAMES)) + r") [A-ZÀ-Þ][\w'-]{1,30}(?!\w)")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_LETTER = re.compile(r"[A-Za-z]")
+_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|(?:sk|rk)_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9-]{20,}|glpat-[A-Za-z0-9_-]{20}")
 _WORD = re.compile(r"\w+")
+#: What stands before an assigned value.
+_ASSIGNED = re.compile(r"[=:] ?[\"'`]?\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -119,6 +127,7 @@ def _loose(text: str) -> list[tuple[str, int, int]]:
         out += [("email", *m.span()) for m in _OBFUSCATED.finditer(text)]
     out += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
+    out += [("secret", *m.span()) for m in _SECRET.finditer(text) if _DIGIT.search(s := m.group()) and _LETTER.search(s)]
     return out
 
 
@@ -127,6 +136,11 @@ def _iban_ok(s: str) -> bool:
     return IBAN_LENGTHS.get(s[:2]) == len(s) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def entropy(s: str) -> float:
+    """Bits a character of a string's own distribution."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
 def votes(kind: str, text: str, start: int, end: int, strict: bool) -> str:
     """One letter for each labeler: pattern, structure, gazetteer, context, neighbours."""
     s = text[start:end]
@@ -144,10 +158,14 @@ def votes(kind: str, text: str, start: int, end: int, strict: bool) -> str:
     elif kind == "iban":
         structure, gazetteer = YES if _iban_ok(s) else NO, YES if s[:2] in IBAN_LENGTHS else NO
     else:
-        structure, gazetteer = ABSTAIN, YES
+        pattern = YES if _KEY.fullmatch(s) else ABSTAIN
+        structure = YES if entropy(s) >= 3 and max(map(len, re.split(r"[0-9_/+-]+", s))) < 16 else NO  # else words in a row
+        gazetteer = YES if s.startswith(SECRET_PREFIXES) else ABSTAIN
     before = _WORD.findall(text[max(0, start - 40) : start].lower())[-4:]
     context = YES if _BEFORE[kind] & set(before) else NO if AGAINST & set(before[-2:]) else ABSTAIN
     left, right = text[start - 1 : start], text[end : end + 1]
+    if kind == "secret":
+        return pattern + structure + gazetteer + context + (YES if _ASSIGNED.search(text, max(0, start - 4), start) else ABSTAIN)
     joined = (left.isalnum() or left in ("-", "_", "/", "=", "#") and left) or (right.isalnum() or right in ("_", "=") and right)
     return pattern + structure + gazetteer + context + (NO if joined else YES)
 
@@ -171,17 +189,24 @@ def candidates(text: str | None) -> list[dict]:
     if digits or "@" in text:
         found = [(k, a, b, True, ok) for k, a, b, ok in matches(text)]
     if digits or "at]" in text or "at)" in text:
-        taken = {(a, b) for _, a, b, _, _ in found}
-        found += [(k, a, b, False, False) for k, a, b in _loose(text) if (a, b) not in taken]
-    found += [("person", *m.span(), False, False) for m in _PERSON.finditer(text)]
+        taken = _merged([(a, b) for _, a, b, ok, _ in found if ok])
+        found += [(k, a, b, False, False) for k, a, b in _loose(text) if _is_free(taken, a, b)]
+    # what fails a base pattern's test is still a candidate, for labelers to learn from
     return [{"kind": k, "start": a, "end": b, "base": ok, "pattern": f"{k}|{votes(k, text, a, b, strict)}|{shape(text, a, b)}"} for k, a, b, strict, ok in found]
 
 
+def _no_worse_than_chance(sure: np.ndarray) -> np.ndarray:
+    """Chances (truth, labeler) of a yes: where a labeler says yes no more often of personal data than of the rest, it says nothing."""
+    wrong = sure[1] < sure[0]
+    return np.where(wrong, sure.mean(axis=0), sure)
+
+
 def estimate(counts: dict[str, int], rounds: int = 50) -> dict[tuple[str, str], float]:
     """Probability that a candidate is personal data for each (kind, votes), by EM.
 
-    Labelers are independent given the truth; each has a law over its three votes for
-    either truth, shared by all kinds, and each kind has its own prior. Starts from the
+    Labelers are independent given the truth. Each has, for either truth, a chance to say yes where it doesn't
+    abstain, shared by all kinds; whether it abstains depends on the kind and says nothing of the truth. Each kind has its own
+    prior. A labeler is never worse than chance, or the two truths could change places. Starts from the
     majority of votes, smoothed by one pseudo-count.
     """
     tally: dict[tuple[str, str], int] = {}
@@ -192,18 +217,15 @@ def estimate(counts: dict[str, int], rounds: int = 50) -> dict[tuple[str, str],
         return {}
     keys = sorted(tally)
     n = np.array([tally[k] for k in keys], dtype=np.float64)
-    v = np.array([[(YES, NO, ABSTAIN).index(c) for c in k[1]] for k in keys])
+    yes = np.array([[c == YES for c in k[1]] for k in keys], dtype=np.float64)
+    no = np.array([[c == NO for c in k[1]] for k in keys], dtype=np.float64)
     kinds = np.array([KINDS.index(k[0]) for k in keys])
-    yes, no = (v == 0).sum(axis=1), (v == 1).sum(axis=1)
-    p = np.clip((yes + 0.5) / (yes + no + 1), 0.05, 0.95)
+    p = (yes.sum(axis=1) + 0.5) / (yes.sum(axis=1) + no.sum(axis=1) + 1)
     for _ in range(rounds):
-        law = np.ones((2, v.shape[1], 3))
-        for y, w in enumerate((n * (1 - p), n * p)):
-            for j in range(v.shape[1]):
-                law[y, j] += np.bincount(v[:, j], weights=w, minlength=3)
-            law[y] /= law[y].sum(axis=1, keepdims=True)
+        sure = np.array([(1 + w @ yes) / (2 + w @ (yes + no)) for w in (n * (1 - p), n * p)])
+        sure = _no_worse_than_chance(sure)
         prior = np.array([(1 + (n * p)[kinds == k].sum()) / (2 + n[kinds == k].sum()) for k in range(len(KINDS))])[kinds]
-        odds = np.log(prior) - np.log1p(-prior) + sum(np.log(law[1, j, v[:, j]]) - np.log(law[0, j, v[:, j]]) for j in range(v.shape[1]))
+        odds = np.log(prior) - np.log1p(-prior) + yes @ np.log(sure[1] / sure[0]) + no @ np.log((1 - sure[1]) / (1 - sure[0]))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return dict(zip(keys, p.tolist(), strict=True))
 
@@ -237,21 +259,36 @@ def train(counts: dict[str, int], steps: int = 30, ridge: float = 1.0) -> dict[s
     return dict(zip(keys, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order that cover the same."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _is_free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    i = bisect.bisect_left(taken, (end, -1))  # all before i start before the span ends
+    return i == 0 or taken[i - 1][1] <= start
+
+
+def _vouched(v: str) -> bool:
+    """Whether structure doesn't refute a span and pattern, gazetteer or context speaks for it: digits alone never do."""
+    return v[1] != NO and YES in (v[0], v[2], v[3])
+
+
 def choose(found: list[dict], chance: dict[str, float]) -> list[tuple[str, int, int]]:
     """Base spans and accepted others, by kind as listed, then start; the likelier first where others overlap."""
     out = [(s["kind"], s["start"], s["end"]) for s in found if s["base"]]
-    more = [s for s in found if not s["base"] and s["pattern"][len(s["kind"]) + 2] != NO and chance.get(s["pattern"], 0) >= ACCEPT]
+    more = [s for s in found if not s["base"] and chance.get(s["pattern"], 0) >= ACCEPT and _vouched(s["pattern"].split("|")[1])]
     if more:
-        taken: list[tuple[int, int]] = []  # disjoint, in order
-        for a, b in sorted((a, b) for _, a, b in out):
-            if taken and a < taken[-1][1]:
-                taken[-1] = taken[-1][0], max(b, taken[-1][1])
-            else:
-                taken.append((a, b))
+        taken = _merged([(a, b) for _, a, b in out])
         for s in sorted(more, key=lambda s: (-chance[s["pattern"]], s["start"], s["end"])):
-            i = bisect.bisect_left(taken, (s["end"], -1))  # all before i start before the span ends
-            if i == 0 or taken[i - 1][1] <= s["start"]:
-                taken.insert(i, (s["start"], s["end"]))
+            if _is_free(taken, s["start"], s["end"]):
+                bisect.insort(taken, (s["start"], s["end"]))
                 out.append((s["kind"], s["start"], s["end"]))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -270,11 +307,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all), n_added."""
     table, chance = find_spans(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(chance)
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    fields = [*(T.StructField(c, T.LongType()) for c in names[:4]), *(T.StructField(c, T.StringType()) for c in names[4:])]
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"]
+    fields = [T.StructField(c, T.StringType() if c in ("base_sha256", "spans") else T.LongType()) for c in names]
 
     def make():
         def run(rows):
@@ -284,7 +321,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for i, kind in enumerate(KINDS[:4]):
                     out[i].append(sum(k == kind for k, _, _ in base))
                 out[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
-                out[5].append(joined(choose(found, held.value)))
+                every = choose(found, held.value)
+                out[5].append(joined(every))
+                out[6].append(len(every))
+                out[7].append(len(every) - len(base))
             return out
 
         return run

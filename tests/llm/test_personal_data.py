@@ -35,7 +35,7 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_long_runs_take_linear_time():
-    for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" * 50_000, "1.1 " * 50_000, "@" * 200_000, "Anna " * 30_000, "+1" + "(" * 100_000):
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" * 50_000, "1.1 " * 50_000, "@" * 200_000, "a1" * 100_000, "a1/" * 60_000, "x" * 15 + " 1" * 50_000, "10 " * 60_000, "+1" + "(" * 100_000):
         pii.candidates(t)
 
 
@@ -80,3 +80,84 @@ def test_overlaps_go_to_the_likelier():
     found = [span("email", 5, 9, True, "email|yyyyy|000"), span("phone", 8, 12, False, "phone|-y-yy|000"), span("iban", 20, 30, False, "iban|-y-yy|000"), span("phone", 25, 35, False, "phone|-yyyy|000")]
     chance = {"phone|-y-yy|000": 0.99, "iban|-y-yy|000": 0.95, "phone|-yyyy|000": 0.97}
     assert pii.choose(found, chance) == [("email", 5, 9), ("phone", 25, 35)]
+
+
+def plain_estimate(rows, rounds):
+    """EM over single candidates, by the formulas of the docstring."""
+    p = []
+    for _, v in rows:
+        yes, no = v.count(pii.YES), v.count(pii.NO)
+        p.append((yes + 0.5) / (yes + no + 1))
+    for _ in range(rounds):
+        sure = [[0.0] * 5, [0.0] * 5]
+        for y in (0, 1):
+            for j in range(5):
+                said, all_ = 1.0, 2.0
+                for (_, v), q in zip(rows, p, strict=True):
+                    w = q if y else 1 - q
+                    all_ += w * (v[j] != pii.ABSTAIN)
+                    said += w * (v[j] == pii.YES)
+                sure[y][j] = said / all_
+        for j in range(5):
+            if sure[1][j] < sure[0][j]:
+                sure[0][j] = sure[1][j] = (sure[0][j] + sure[1][j]) / 2
+        prior = {}
+        for k in pii.KINDS:
+            own = [q for (kind, _), q in zip(rows, p, strict=True) if kind == k]
+            prior[k] = (1 + sum(own)) / (2 + len(own))
+        new = []
+        for kind, v in rows:
+            real, none = prior[kind], 1 - prior[kind]
+            for j in range(5):
+                if v[j] != pii.ABSTAIN:
+                    real *= sure[1][j] if v[j] == pii.YES else 1 - sure[1][j]
+                    none *= sure[0][j] if v[j] == pii.YES else 1 - sure[0][j]
+            new.append(real / (real + none))
+        p = new
+    return dict(zip(rows, p, strict=True))
+
+
+def test_estimation_equals_plain_em():
+    rng = random.Random(8)
+    for rounds in (1, 7, 50):
+        rows = [(rng.choice(pii.KINDS), "".join(rng.choices("yn-", (5, 2, 3), k=5))) for _ in range(150)]
+        counts = {}
+        for k, v in rows:
+            shape = f"{k}|{v}|{rng.randint(0, 3)}10"
+            counts[shape] = counts.get(shape, 0) + 1
+        got, want = pii.estimate(counts, rounds), plain_estimate(rows, rounds)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_truths_keep_their_places():
+    counts = {"email|yyy-y|100": 180, "card|yyy-y|130": 160, "card|ynn-y|130": 130, "ip|yy--y|130": 170, "phone|yyy-y|121": 157, "secret|-y-yy|320": 160}
+    p, fitted = pii.estimate(counts), pii.train(counts)
+    assert p["email", "yyy-y"] > 0.9 and p["secret", "-y-yy"] > 0.9 and p["card", "ynn-y"] < 0.1
+    assert fitted["email|yyy-y|100"] > 0.9 and fitted["secret|-y-yy|320"] > 0.9 and fitted["card|ynn-y|130"] < 0.5
+
+
+def test_added_kinds_are_found_and_others_left(spark):
+    """Recall and precision on planted spans beyond the base patterns."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    plant = {
+        "secret": lambda: rng.choice([f'token = "{hexes(40)}"', f"password: {hexes(20)}X", f"api_key={hexes(32)}", f"key AKIA{hexes(16).upper()}"]),
+        "phone": lambda: f"phone 0{rng.randint(20, 99)} {rng.randint(100, 999)} {rng.randint(10000, 99999)}",
+        "email": lambda: f"mail jo{rng.randint(1, 99)} [at] mail [dot] com",
+    }
+    clean = [lambda: f"commit {hexes(40)} fixed it", lambda: "sum 12,34 5678 and 1999&20 3000 and 10.50 200", lambda: "100 000 000 words", lambda: f"see /wiki/{hexes(24)} there", lambda: f"order 0{rng.randint(20, 99)} {rng.randint(100, 999)} {rng.randint(10000, 99999)}", lambda: "Weltraumforschungszentrum2 Donaudampfschifffahrtsgesellschaft"]
+    base = ["mail jo@mail.com now", "call +1 (555) 010-9999 soon", "card 4111111111111111 ok", "host 10.1.2.3 up", "card 4111111111111112 no"]
+    rows, want = [], {}
+    for i in range(400):
+        kind = list(plant)[i % 3]
+        if i % 4 == 0:
+            rows.append((i, f"some words {plant[kind]()} and more"))
+            want[i] = kind
+        elif i % 4 == 1:
+            rows.append((i, f"some words {rng.choice(clean)()} and more"))
+        else:
+            rows.append((i, rng.choice(base)))
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [i for i, kind in want.items() if got[i].spans.split(":")[0] == kind]
+    assert len(found) >= 0.9 * len(want)
+    assert all(got[i].n_added == got[i].n_spans == 0 for i, _ in rows if i % 4 == 1)
