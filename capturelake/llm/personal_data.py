@@ -189,7 +189,7 @@ def candidates(text: str | None) -> list[dict]:
     if digits or "@" in text:
         found = [(k, a, b, True, ok) for k, a, b, ok in matches(text)]
     if digits or "at]" in text or "at)" in text:
-        taken = _merged([(a, b) for _, a, b, ok, _ in found if ok])
+        taken = _merged([(a, b) for _, a, b, _, ok in found if ok])
         found += [(k, a, b, False, False) for k, a, b in _loose(text) if _is_free(taken, a, b)]
     # what fails a base pattern's test is still a candidate, for labelers to learn from
     return [{"kind": k, "start": a, "end": b, "base": ok, "pattern": f"{k}|{votes(k, text, a, b, strict)}|{shape(text, a, b)}"} for k, a, b, strict, ok in found]
