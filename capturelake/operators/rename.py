@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturelake.functions.text import extension, filename, parent, render_template, safe_basename, stem
@@ -14,6 +14,9 @@ from capturelake.schemas import Library
 ORDERS, STRATEGIES = ("grid", "oldest", "newest", "name"), ("stop", "append")
 MOST_BYTES, MOST_SUFFIX, STALE_SECONDS = 255, 100, 600
 PLAN = "id long, old_path string, new_path string, status string, message string, sanitized boolean, place long"
+#: What a plan says of a row.
+LOST, OFFLINE, SAME = "this capture isn't in the library", "the file isn't there", "has this name already"
+LONG, TWICE, TAKEN, NUMBERED, FULL = f"the name has more than {MOST_BYTES} bytes", "an earlier file of the plan takes this name", "a file of this name is there", "a number keeps it apart", f"all numbers up to {MOST_SUFFIX} are taken"
 
 
 def first_collection(lib: Library) -> DataFrame:
@@ -36,67 +39,106 @@ def ordered(df: DataFrame, order: str) -> DataFrame:
 
 def family(name: Column) -> Column:
     """Names of different families can't collide: a name in lower case without numbers that were, or could be, appended."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"(-[0-9]+)+$", ""), r"(-[0-9]+)+(\.[^.]*)$", "$2")
+    number = rf"(-([2-9]|[1-9][0-9]|{MOST_SUFFIX}))+"
+    return F.regexp_replace(F.regexp_replace(F.lower(name), rf"{number}$", ""), rf"{number}(\.[^.]*)$", "$3")
 
 
-def _settle(pdf: pd.DataFrame, strategy: str) -> pd.DataFrame:
-    """Collisions of one directory and family, in order of place: with names claimed before and with files that stay."""
-    pdf = pdf.sort_values("place")
-    staying = set(pdf.loc[pdf["kind"] == "file", "key"])
-    claimed: set[str] = set()
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Numbers for one directory and family, in order of place, among names claimed before and files that stay."""
+    busy = set(pdf.loc[pdf["kind"] == "file", "key"])
     rows = []
-    for r in pdf[pdf["kind"] == "plan"].itertuples():
-        new, status, message = r.new_name, "ok", ""
-        key = new.lower()
-        if len(new.encode()) > MOST_BYTES:
-            rows.append((r.id, r.old_path, "", "conflict", "resulting filename is too long", r.sanitized, r.place))
-            continue
-        if new == r.filename:
-            rows.append((r.id, r.old_path, r.old_path, "skipped", "name unchanged", r.sanitized, r.place))
-            continue
-        if key in claimed or key in staying:
-            batch = key in claimed
-            status, message = "conflict", "another selected file resolves to the same name" if batch else f"{r.dir}/{new} already exists"
-            if strategy == "append":
-                names = (f"{r.base}-{n}{r.ext}" for n in range(2, MOST_SUFFIX + 1))
-                free = next((x for x in names if x.lower() not in claimed and x.lower() not in staying), None)
-                message = "could not resolve the filename conflict"
-                if free:
-                    new, status, message = free, "ok", "number appended to avoid a conflict"
-        if status == "ok":
-            claimed.add(new.lower())
-        rows.append((r.id, r.old_path, f"{r.dir}/{new}", status, message, r.sanitized, r.place))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in PLAN.split(", ")])
+    for r in pdf[pdf["kind"] == "plan"].sort_values("place").itertuples():
+        number = next((n for n in range(1, MOST_SUFFIX + 1) if _name(r.lbase, n, r.lext) not in busy), 0)
+        if number:
+            busy.add(_name(r.lbase, number, r.lext))
+        rows.append((r.id, number))
+    return pd.DataFrame(rows, columns=["id", "number"])
+
+
+def _name(base: str, n: int, ext: str) -> str:
+    return f"{base}-{n}{ext}" if n > 1 else base + ext
+
+
+def _files_that_stay(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """(dir, key) of files in the plan's directories that the plan doesn't rename."""
+    there = files.select(parent(F.col("path")).alias("dir"), F.lower(filename(F.col("path"))).alias("key")).distinct()
+    return there.join(plan.select("dir", F.col("old_key").alias("key")), ["dir", "key"], "left_anti")
+
+
+def _contested(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """Names (dir, key) that more than one row of the plan wants or a file keeps: how many rows, the first one's place, and whether a file stays there."""
+    stay = _files_that_stay(plan, files).withColumn("stays", F.lit(True))
+    wanted = plan.where("verdict is null").groupBy("dir", "key").agg(F.count("*").alias("n"), F.min("place").alias("first"), (F.min("lext") != F.max("lext")).alias("mixed"))
+    return wanted.join(stay, ["dir", "key"], "full").select("dir", "key", F.coalesce("n", F.lit(0)).alias("n"), "first", F.coalesce("mixed", F.lit(False)).alias("mixed"), F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
+def _stopped(plan: DataFrame, names: DataFrame) -> DataFrame:
+    """The first row takes a name unless a file stays there; all others are conflicts."""
+    own = names.where("n > 0 and (n > 1 or stays)").drop("n", "mixed")
+    first = F.col("first") == F.col("place")
+    told = F.when(F.col("first").isNull(), 1).when(F.col("stays"), 0).when(first, 1).otherwise(0)
+    df = plan.where("verdict is null").join(own, ["dir", "key"], "left").withColumn("number", told)
+    return df.withColumn("why", F.when(F.col("number") == 1, "").when(F.col("stays"), TAKEN).otherwise(TWICE)).drop("first", "stays")
+
+
+def _appended(plan: DataFrame, names: DataFrame) -> DataFrame:
+    """A number for each row of a name that others want too, up to MOST_SUFFIX; 0 where none is left.
+
+    Rows are numbered by their rank among those of their name, of which no more than MOST_SUFFIX can
+    get one, so that a rank is never sought beyond it. Names that
+    meet others' numbered ones, as "a-2" does those of "a", are settled family by family: MOST_SUFFIX rows of each name.
+    """
+    names = cut(names.withColumn("family", family(F.col("key"))), "names")
+    mixed = names.groupBy("dir", "family").agg(F.count("*").alias("keys"), F.max((F.col("n") > 1) | (F.col("stays") & (F.col("n") > 0))).alias("needs"), F.max("mixed").alias("mixed"))
+    knit = cut(mixed.where("needs and (keys > 1 or mixed)").select("dir", "family", F.lit(True).alias("knit")), "families")
+    own = names.join(knit, ["dir", "family"], "left").where("knit or n > 1 or (stays and n > 0)").select("dir", "key", "stays", F.coalesce("knit", F.lit(False)).alias("knit"), "family")
+    own = cut(own, "contested")
+    rows = plan.where("verdict is null")
+    alone = rows.join(own, ["dir", "key"], "left_anti").withColumn("number", F.lit(1))
+    among = rows.join(own, ["dir", "key"])
+    rank = F.row_number().over(Window.partitionBy("dir", "key").orderBy("place"))
+    top = cut(among.withColumn("rank", rank).where(F.col("rank") <= MOST_SUFFIX), "ranked")
+    last = cut(top.groupBy("dir", "key").agg(F.max("place").alias("last"), F.count("*").alias("n")).where(F.col("n") == MOST_SUFFIX).select("dir", "key", "last"), "last")
+    late = rows.join(last, ["dir", "key"]).where("place > last").select(*rows.columns, F.lit(0).alias("number"))
+    after = F.col("rank") + F.col("stays").cast("int")
+    plain = top.where("not knit").withColumn("number", F.when(after <= MOST_SUFFIX, after).otherwise(0))
+    kept = names.where("stays").join(knit, ["dir", "family"]).select(F.lit("file").alias("kind"), "dir", "family", "key", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("place"), F.lit("").alias("lbase"), F.lit("").alias("lext"))
+    tied = top.where("knit").select(F.lit("plan").alias("kind"), "dir", "family", "key", "id", "place", "lbase", "lext")
+    settled = tied.unionByName(kept).groupBy("dir", "family").applyInPandas(_settle, "id long, number int")
+    tied = top.where("knit").join(settled, "id")
+    df = alone.unionByName(late).unionByName(plain.select(*alone.columns)).unionByName(tied.select(*alone.columns))
+    return df.withColumn("why", F.when(F.col("number") == 0, FULL).when(F.col("number") > 1, NUMBERED).otherwise(""))
 
 
 def preview(lib: Library, ids: DataFrame, pattern: str, order: str = "grid", strategy: str = "stop", start: int = 0, padding: int = 3, files: DataFrame | None = None) -> DataFrame:
     """A plan, one row for each id of ``ids`` (id, seq): id, old_path, new_path, status (ok, skipped, conflict), message, sanitized, place.
 
-    ``files``: (path) of files that exist; those of the library if not given. Families of names are settled
-    on their own in each directory, as names only collide there; files that are themselves renamed give way. A pattern that gives an empty name is an error.
+    ``files``: (path) of files that exist; those of the library if not given. Files that are themselves renamed give way.
+    A pattern that gives an empty name is an error.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     known = ids.join(lib.captures, "id", "left").join(first_collection(lib), F.col("id") == F.col("screenshot_id"), "left")
     lost = known.where(F.col("path").isNull() | (F.col("status") != "available"))
-    lost = lost.select("id", F.coalesce("path", F.lit("")).alias("old_path"), F.lit("").alias("new_path"), F.lit("skipped").alias("status"), F.when(F.col("path").isNull(), "record not found").otherwise("file not available").alias("message"), F.lit(False).alias("sanitized"), F.lit(-1).cast("long").alias("place"))
+    lost = lost.select("id", F.coalesce("path", F.lit("")).alias("old_path"), F.lit("").alias("new_path"), F.lit("skipped").alias("status"), F.when(F.col("path").isNull(), LOST).otherwise(OFFLINE).alias("message"), F.lit(False).alias("sanitized"), F.lit(-1).cast("long").alias("place"))
     good = ordered(known.where("status = 'available'").withColumn("ts", F.coalesce(ev(), F.lit(0))), order)
     name = F.col("filename")
     raw = render_template(pattern, F.lit(max(0, start)) + F.col("place"), padding, F.col("ts"), stem(name), F.col("collection"), F.col("app_name"))
     good = good.withColumns({"raw": raw}).withColumns({"base": safe_basename(F.col("raw")), "ext": extension(name)})
     good = good.withColumn("base", F.when(F.col("base") == "", F.raise_error(F.lit("the pattern gives an empty file name"))).otherwise(F.col("base")))
-    dir_ = parent(F.col("path"))
-    plan = good.select(F.lit("plan").alias("kind"), dir_.alias("dir"), "id", "place", F.col("path").alias("old_path"), "filename", "base", "ext", F.concat("base", "ext").alias("new_name"), (F.col("base") != F.col("raw")).alias("sanitized"), F.lower("filename").alias("old_key"), F.lit("").alias("key"))
+    new = F.concat("base", "ext")
+    verdict = F.when(F.octet_length(new) > MOST_BYTES, LONG).when(new == name, SAME)
+    plan = good.select(parent(F.col("path")).alias("dir"), "id", "place", F.col("path").alias("old_path"), "base", "ext", F.lower("base").alias("lbase"), F.lower("ext").alias("lext"), F.lower(new).alias("key"), (F.col("base") != F.col("raw")).alias("sanitized"), F.lower("filename").alias("old_key"), verdict.alias("verdict"))
     plan = cut(plan, "plan")
     files = lib.captures.where("status = 'available'").select("path") if files is None else files
-    there = files.select(parent(F.col("path")).alias("dir"), F.lower(filename(F.col("path"))).alias("key")).distinct()
-    there = there.join(plan.select("dir", F.col("old_key").alias("key")), ["dir", "key"], "left_anti")
-    plan = plan.withColumn("family", family(F.col("new_name")))
-    there = there.withColumn("family", family(F.col("key"))).join(plan.select("dir", "family").distinct(), ["dir", "family"], "left_semi")
-    there = there.withColumn("kind", F.lit("file"))
-    there = there.select(*(F.col(c) if c in there.columns else F.lit(None).cast(plan.schema[c].dataType).alias(c) for c in plan.columns))
-    settled = plan.union(there).groupBy("dir", "family").applyInPandas(lambda pdf: _settle(pdf, strategy), PLAN)
-    return settled.union(lost).orderBy("place", "id")
+    names = _contested(plan, files)
+    free = (_stopped if strategy == "stop" else _appended)(plan, names)
+    number = F.when(F.col("number") > 1, F.concat(F.lit("-"), F.col("number").cast("string"))).otherwise("")
+    free = free.select("id", "old_path", F.concat("dir", F.lit("/"), "base", number, "ext").alias("new_path"), F.when(F.col("number") > 0, "ok").otherwise("conflict").alias("status"), F.col("why").alias("message"), "sanitized", "place")
+    told = plan.where("verdict is not null")
+    long = F.col("verdict") == LONG
+    told = told.select("id", "old_path", F.when(long, "").otherwise(F.col("old_path")).alias("new_path"), F.when(long, "conflict").otherwise("skipped").alias("status"), F.col("verdict").alias("message"), "sanitized", "place")
+    return free.union(told).union(lost).orderBy("place", "id")
 
 
 def directories(plan: DataFrame) -> DataFrame:

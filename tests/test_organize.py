@@ -82,6 +82,51 @@ def test_rename_conflicts(spark):
     assert plan(spark, lib, "{counter}", order="newest")[1].status == "ok"
 
 
+def one_by_one(rows, files, strategy):
+    """Names settled in order of place, one row after another."""
+    old = {f"{d}/{n}".lower() for _, d, n, _, _ in rows}
+    stay = {f.lower() for f in files} - old
+    claimed, out = set(), {}
+    for i, d, name, base, ext in rows:
+        full = lambda n: f"{d}/{base}{f'-{n}' if n > 1 else ''}{ext}"  # noqa: E731,B023
+        if base + ext == name:
+            out[i] = (f"{d}/{name}", "skipped")
+            continue
+        tries = range(1, 101) if strategy == "append" else (1,)
+        n = next((n for n in tries if full(n).lower() not in claimed | stay), 0)
+        if n:
+            claimed.add(full(n).lower())
+        out[i] = (full(max(n, 1)), "ok" if n else "conflict")
+    return out
+
+
+@pytest.mark.parametrize("strategy", ["stop", "append"])
+def test_rename_equals_one_by_one(spark, strategy):
+    import random
+
+    rng = random.Random(3)
+    bases, exts = ["a", "A", "a-2", "a-2-2", "a-100", "a-101", "b", "b.x", "c-02", "d"], [".png", ".PNG", "", ".x-3", ".jpg"]
+    shots, rows, seen = [], [], set()
+    for i in range(1, 420):
+        d, ext = f"/f{rng.randint(0, 1)}", rng.choice(exts)
+        base = rng.choice(bases[:3] if i < 150 else bases)
+        name = rng.choice([f"old{i}", rng.choice(bases)]) + ext
+        if f"{d}/{name}".lower() in seen:
+            name = f"old{i}{ext}"
+        seen.add(f"{d}/{name}".lower())
+        shots.append({"id": i, "path": f"{d}/{name}", "app_name": base})
+        rows.append((i, d, name, base, ext if "." in name[1:] else ""))
+    shots += [{"id": 500 + i, "path": f"/g/n{i}.png", "app_name": "z"} for i in range(130)]  # more than there are numbers
+    rows += [(500 + i, "/g", f"n{i}.png", "z", ".png") for i in range(130)]
+    files = [s["path"] for s in shots] + ["/f0/b-2.png", "/f1/A-3.PNG", "/f1/d.jpg", "/g/Z.png", "/g/z-7.png"]
+    real = [(i, d, n, b, e if (at := n.rfind(".")) > 0 and n[at:] == e else n[at:] if at > 0 else "") for i, d, n, b, e in rows]
+    got = plan(spark, library(spark, shots), "{source}", files=spark.createDataFrame([(f,) for f in files], "path string"), strategy=strategy)
+    want = one_by_one(real, files, strategy)
+    assert {i: (x.new_path, x.status) for i, x in got.items()} == want
+    assert {x.status for x in got.values()} == {"ok", "skipped", "conflict"}
+    assert all(x.message == r.FULL for x in got.values() if x.status == "conflict") or strategy == "stop"
+
+
 def test_journal(spark):
     lib = library(spark, [{"id": i, "path": f"/d/{i}.png"} for i in (1, 2, 3)])
     p = r.preview(lib, lib.captures.select("id", "id").toDF("id", "seq"), "n{counter}")
