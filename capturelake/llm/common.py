@@ -68,11 +68,11 @@ def release_memory() -> None:
         trim(0)
 
 
-def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], done: Callable[[], None] | None = None) -> DataFrame:
     """Add columns that a Python function computes from whole texts.
 
     ``make()`` runs once in each task and returns a function from a list of texts
-    (None for null) to one list of values for each of ``fields``. All columns of
+    (None for null) to one list of values for each of ``fields``; ``done()`` runs at the task's end. All columns of
     ``df`` pass through untouched, as Arrow; only the text is converted. The names
     of ``fields`` must be free (see :func:`free_name`).
     """
@@ -88,6 +88,8 @@ def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], mak
                 new = fn(part.column(at).to_pylist())
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *(f.name for f in fields)])
+        if done:
+            done()
         release_memory()
 
     return df.mapInArrow(run, schema)

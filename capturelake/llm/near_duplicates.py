@@ -61,6 +61,11 @@ class _Hashes(dict):
 _words = _Hashes()
 
 
+def _forget() -> None:
+    """Words of a task are of no use to a worker that waits."""
+    _words.clear()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> _M(33)
     h *= _M(0xFF51AFD7ED558CCD)
@@ -179,7 +184,7 @@ def classes_of(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame
 
         return run
 
-    return add_from_text(docs, text_col, FIELDS, make)
+    return add_from_text(docs, text_col, FIELDS, make, done=_forget)
 
 
 def _clusters(classes: DataFrame, percent: int) -> DataFrame:

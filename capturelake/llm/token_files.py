@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +45,9 @@ CACHE_WORDS = 300_000
 #: Before a text's first word, which has no space before it; no other word begins with white space.
 BARE = "\t"
 #: Bytes of text that are cut into words at once, and new words that go to the library as one text.
-SLICE, JOINED = 4 << 20, 50
+SLICE, JOINED = 2 << 20, 50
+#: Texts that the library encodes in one call.
+AT_ONCE = 100
 #: Marks and line feeds that are words of their own where what stands around them allows it.
 MARKS = ",.;:!?"
 #: White space as Python's and the library's patterns have it, for a pattern that knows ASCII only.
@@ -73,6 +76,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache_words: int | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.cache_words = CACHE_WORDS if cache_words is None else cache_words
@@ -91,7 +95,10 @@ class Encoder:
         self.held = 0  # ids of known words; what lies behind them serves one slice
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), AT_ONCE):  # the library holds a hundred bytes or more for each token
+            out += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and their number for each text."""
