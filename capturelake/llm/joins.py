@@ -11,6 +11,8 @@ from capturelake.llm.common import free_name, written
 BROADCAST_ROWS = 100_000
 #: Pieces of each key of the large side where the small one is too large for that.
 SALTS = 64
+#: A key is hot with more than this part of all rows.
+SHARE = 1000
 
 
 def counted(small: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,6 +40,22 @@ def join_small(large: DataFrame, small: DataFrame, on: str, how: str = "inner",
     return left.join(right, equal, how).drop(key, salt, salt + "_r")
 
 
+def join_hot(large: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Inner join of two written tables; ``small`` has each key of ``on`` once, and may have as many rows as ``large``.
+
+    A key with more than a ``SHARE``-th of all rows of ``large`` is hot. There are fewer than ``SHARE`` of these, so
+    their rows of ``small`` are broadcast and those of ``large`` stay where they are; a merge joins the rest, in which no
+    key has many rows. Null keys match nothing.
+    """
+    rows = large.where(F.col(on).isNotNull())
+    most = rows.count() // SHARE
+    hot = written(rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > most).select(on), "hot") if most else None
+    if hot is None or not hot.limit(1).count():
+        return rows.join(small.hint("merge"), on)
+    hot = F.broadcast(hot)  # SHARE rows at most
+    return rows.join(hot, on, "left_anti").join(small.hint("merge"), on).unionByName(rows.join(F.broadcast(small.join(hot, on, "left_semi")), on))
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Add for each of ``sums`` the sum over all rows before this one in ``order``.
 

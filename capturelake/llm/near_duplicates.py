@@ -14,9 +14,11 @@ connected components of these ties are clusters: any two classes that share a bu
 in one cluster. The texts of a cluster's classes meet in one task, which finds links on
 full sets through an inverted index, least sets first, skipping what is already
 connected, and returns a spanning forest of the links. A cluster of more than
-``CLUSTER_ELEMENTS`` elements is first cut by set size into overlapping levels (sets
-that differ more in size can't be linked), then into parts, and each pair of parts is a task
-of bounded memory, so no link is lost and nothing is gathered. Components of the links are
+``CLUSTER_ELEMENTS`` elements is cut by set size into overlapping levels (sets
+that differ more in size can't be linked), then into parts. Each part meets ``HEADS`` classes of its level
+in a task of bounded memory, which connects near copies of one text, however many, in work that grows with
+their number; only classes that are outside of the level's largest component then meet
+all parts of it. So no link is lost and nothing is gathered. Components of the links are
 the groups; the document with the least id stays.
 
 Nulls and odd input: a null or empty text, or one of white space, has an empty set and is linked
@@ -38,11 +40,13 @@ from pyspark.sql import types as T
 
 from capturelake.llm.common import add_from_text, free_name, release_memory, written
 from capturelake.llm.components import components
-from capturelake.llm.joins import counted
+from capturelake.llm.joins import counted, join_hot
 
 BANDS, ROWS = 25, 5
 #: Elements of the sets that meet in one task at most, about (16 bytes each and their texts).
-CLUSTER_ELEMENTS = 500_000
+CLUSTER_ELEMENTS = 150_000
+#: Classes of a large cluster's level that meet each of its parts.
+HEADS = 8
 #: Words that a worker remembers with their hashes.
 CACHE_WORDS = 100_000
 _M = np.uint64
@@ -126,8 +130,8 @@ def linked(a: int, b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what all links between ``sets`` connect.
+def forest(sets: list[np.ndarray], percent: int, known: list | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what all links between ``sets`` connect; sets with one value in ``known`` are connected already.
 
     Sets are taken by size. The elements that are rarest here form a prefix so long that a linked
     pair must share one of them; the sets before that do are counted on full sets, but
@@ -149,6 +153,9 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     postings = np.repeat(np.arange(m, dtype=np.int32), sizes[order])[np.argsort(ids, kind="stable")]
     at = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(counts)))])
     root, out, n = np.arange(m), [], sizes[order]
+    if known is not None:
+        first: dict = {}
+        root = np.array([first.setdefault(known[i], k) for k, i in enumerate(order.tolist())])
     for i in range(m):
         own = np.sort(ids[starts[i] : starts[i + 1]])
         need = -(-percent * n[i] // 100)  # elements that a linked set shares at least
@@ -187,69 +194,110 @@ def classes_of(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame
     return add_from_text(docs, text_col, FIELDS, make, done=_forget)
 
 
-def _clusters(classes: DataFrame, percent: int) -> DataFrame:
-    """(class, cell): which tasks each class goes to; classes with no neighbour are left out."""
+def _clusters(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables (class, cluster, elements) of the classes that have a neighbour: of clusters that one task can hold, and of larger ones."""
     buckets = classes.select("class", F.posexplode("bands").alias("band", "h")).select("class", F.xxhash64("band", "h").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = buckets.join(heads, "bucket").where(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
     found = components(ties)
     member = written(found.join(classes.select(F.col("class").alias("node"), "elements"), "node").select(F.col("node").alias("class"), F.col("label").alias("cluster"), "elements"), "members")
-    stats = member.groupBy("cluster").agg(F.sum("elements").alias("total"))
-    large = member.join(stats.where(F.col("total") > CLUSTER_ELEMENTS), "cluster")
-    small = member.join(stats.where(F.col("total") <= CLUSTER_ELEMENTS), "cluster").select("class", F.col("cluster").alias("c"), F.lit(0).alias("level"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    # sets whose sizes differ by more than the threshold's factor can't be linked: each is in its level and the one below
+    large = written(member.groupBy("cluster").agg(F.sum("elements").alias("total")).where(F.col("total") > CLUSTER_ELEMENTS).select("cluster"), "large")
+    if not large.limit(1).count():
+        return member, member.limit(0)
+    narrow = counted(large)
+    return member.join(narrow, "cluster", "left_anti"), member.join(narrow, "cluster", "left_semi")
+
+
+def _levels(large: DataFrame, percent: int) -> DataFrame:
+    """A written table (class, cluster, level, elements, parts, own): sets whose sizes differ by more than the
+    threshold's factor can't be linked, so each is in its level and the one below."""
     level = F.floor(F.log(F.col("elements").cast("double")) / F.lit(-np.log(percent / 100))).cast("int")
     levels = written(large.select("class", "cluster", "elements", F.explode(F.array(level, level - 1)).alias("level")), "levels")
     parts = levels.groupBy("cluster", "level").agg(F.ceil(2 * F.sum("elements") / CLUSTER_ELEMENTS).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-    dealt = levels.join(parts, ["cluster", "level"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("class", F.col("cluster").alias("c"), "level", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return small.union(dealt).select("class", F.xxhash64("c", "level", "i", "j").alias("cell"))
+    return written(levels.join(counted(written(parts, "parts")), ["cluster", "level"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")), "dealt")
+
+
+def _with_heads(levels: DataFrame) -> DataFrame:
+    """(class, cell): each part of a level, with the level's heads."""
+    rank = F.row_number().over(Window.partitionBy("cluster", "level").orderBy("class"))
+    heads = levels.withColumn("rank", rank).where(F.col("rank") <= HEADS).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = levels.select("class", "cluster", "level", "own").union(heads.select("class", "cluster", "level", "own"))
+    return both.select("class", F.xxhash64("cluster", "level", "own").alias("cell"))
+
+
+def _with_rest(levels: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(class, cell, known): classes outside of their level's largest component, each part of them with
+    each part of the level; ``known`` is the component. None if there are no such classes."""
+    found = components(links)
+    labelled = written(levels.join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("known", F.coalesce("label", "class")).drop("label"), "known")
+    sizes = labelled.groupBy("cluster", "level", "known").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster", "level").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    main = counted(written(main.select("cluster", "level", "main"), "main"))
+    rest = written(labelled.join(main, ["cluster", "level"]).where("known <> main").drop("main"), "rest")
+    if not rest.limit(1).count():
+        return None
+    rest_parts = written(rest.groupBy("cluster", "level").agg(F.ceil(2 * F.sum("elements") / CLUSTER_ELEMENTS).cast("int").alias("rest_parts")), "rest_parts")
+    rest = rest.join(counted(rest_parts), ["cluster", "level"]).withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("rest_parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = labelled.join(counted(rest_parts), ["cluster", "level"]).withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
+    columns = ["class", F.xxhash64("cluster", "level", "i", "j").alias("cell"), "known"]
+    return rest.select(*columns).union(every.select(*columns))
 
 
 def group(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two written tables: every row of ``docs`` as (doc_id, print, elements, class), and the groups as
     (class, label, component_id), each class once. ``print`` is a hash of the text."""
-    light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(classes_of(light.withColumn("print", F.xxhash64("text")), width).drop("text"), "sets")
-    per = table.where("elements > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("elements").alias("elements"), F.first("bands").alias("bands"))
-    classes = written(per, "classes")
-    cells = written(_clusters(classes, percent), "cells")
-    # one text for each class that has a neighbour: the row with its least id, tested by its set
-    wanted = written(cells.select("class").distinct().join(classes.select("class", "least"), "class"), "wanted")
-    texts = light.join(counted(wanted), light.doc_id.eqNullSafe(wanted["least"])).select("class", "text")
-    at = texts.join(cells, "class")
+    light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    table = written(classes_of(light, width).drop("text"), "sets")
+    of_class = [F.min(F.struct("doc_id", "print")).alias("one"), F.min("doc_id").alias("least"), F.first("elements").alias("elements"), F.first("bands").alias("bands")]
+    classes = written(table.where("elements > 0").groupBy("class").agg(*of_class), "classes")
+    small, large = _clusters(classes)
+    levels = _levels(large, percent)
+    cells = small.select("class", F.xxhash64("cluster").alias("cell")).union(_with_heads(levels))
+    cells = written(cells.withColumn("known", F.lit(None).cast("binary")), "cells")
+    # one text for each class that has a neighbour: that of one row, or of those that repeat it
+    wanted = written(cells.select("class").distinct().join(classes.select("class", "one.doc_id", "one.print"), "class"), "wanted")
+    near = light.join(counted(wanted), light.doc_id.eqNullSafe(wanted["doc_id"]) & (light["print"] == wanted["print"]))
+    texts = written(near.groupBy("class").agg(F.first("text").alias("text")), "texts")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         own: dict[bytes, np.ndarray] = {}
-        for key, text in zip(pdf["class"], pdf["text"], strict=True):
+        known: dict[bytes, bytes] = {}
+        for key, text, label in zip(pdf["class"], pdf["text"], pdf["known"], strict=True):
             key = bytes(key)
-            if key not in own:  # names of one text each
+            if key not in own:
                 s = elements(text, width)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:  # else another text under the same id
-                    own[key] = s
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:  # else another text with the same hash
+                    own[key], known[key] = s, key if label is None else bytes(label)
         names = sorted(own)
         if len(names) < 2:
             return pd.DataFrame({"a": [], "b": []})
-        pairs = forest([own[k] for k in names], percent)
+        pairs = forest([own[k] for k in names], percent, [known[k] for k in names])
         if len(pdf) > 200:
+            _forget()
             release_memory()
         return pd.DataFrame({"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs]})
 
-    links = written(at.groupBy("cell").applyInPandas(verify, "a binary, b binary"), "links")
+    def verified(cells: DataFrame) -> DataFrame:
+        return written(cells.join(texts, "class").groupBy("cell").applyInPandas(verify, "a binary, b binary"), "links")
+
+    links = verified(cells)
+    more = _with_rest(levels, links) if levels.limit(1).count() else None
+    if more is not None:
+        links = links.union(verified(more))
     found = components(links)
     labelled = classes.join(found.select(F.col("node").alias("class"), "label"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     labelled = written(labelled, "labelled")
-    of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return table.drop("bands"), written(labelled.join(of_label, "label").select("class", "label", "component_id"), "groups")
+    of_label = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "labels")
+    return table.drop("bands"), written(join_hot(labelled, of_label, "label").select("class", "label", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     table, groups = group(docs, width, percent, id_col, text_col)
-    out = table.join(groups, "class", "left")
-    component = F.when(F.col("elements") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("elements").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    grouped = join_hot(table, groups, "class").select("doc_id", "elements", "component_id")
+    alone = table.where("elements = 0").select("doc_id", "elements", F.col("doc_id").alias("component_id"))
+    out = grouped.union(alone)
+    return out.select("doc_id", F.col("elements").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,12 +306,14 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     Rows are told apart by id and a hash of the text, so that what goes is a narrow table.
     """
     table, groups = group(docs, width, percent, id_col, text_col)
-    rows = written(table.where("elements > 0").join(groups, "class").select("doc_id", "print", "label", "component_id"), "rows")
+    rows = written(join_hot(table, groups, "class").select("doc_id", "print", "label", "component_id"), "rows")
+    # rows with their group's least id: one text of these stays, and of its rows one
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    best = rows.where(first).groupBy("label").agg(F.min("print").alias("best"), F.count("*").alias("rows"))
-    judged = written(rows.join(best, "label").select("doc_id", "print", (first & (F.col("print") == F.col("best"))).alias("stays"), "rows"), "judged")
-    gone = written(judged.where(~F.col("stays")).select("doc_id", "print").distinct(), "gone")
-    twice = written(judged.where("stays and rows > 1").groupBy("doc_id", "print").count().where("count > 1").select("doc_id", "print"), "twice")
+    texts = written(rows.where(first).groupBy("label", "doc_id", "print").agg(F.count("*").alias("rows")), "firsts")
+    best = texts.groupBy("label").agg(F.min(F.struct("print", "rows")).alias("best"))
+    other = texts.join(best, "label").where(F.col("print") != F.col("best.print")).select("doc_id", "print")
+    gone = written(rows.where(~first).select("doc_id", "print").union(other).distinct(), "gone")
+    twice = written(best.where("best.rows > 1").select("label", F.col("best.print").alias("print")).join(texts, ["label", "print"]).select("doc_id", "print"), "twice")
     mark, rank = free_name(docs, "print"), free_name(docs, "rank")
     marked = docs.withColumn(mark, F.xxhash64(text_col))
     same = lambda t: marked[id_col].eqNullSafe(t["doc_id"]) & (marked[mark] == t["print"])

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from capturelake.llm import joins
 from capturelake.llm import near_duplicates as nd
 from capturelake.llm.components import components
 
@@ -40,9 +41,11 @@ def corpus(n=120, seed=1):
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "most"), [(3, 85, 1_000_000), (5, 80, 3_000)])
-def test_equals_all_pairs(spark, monkeypatch, width, percent, most):
+@pytest.mark.parametrize(("width", "percent", "most", "heads", "share"), [(3, 85, 1_000_000, 8, 1000), (5, 80, 3_000, 8, 20), (3, 85, 1_000, 1, 100)])
+def test_equals_all_pairs(spark, monkeypatch, width, percent, most, heads, share):
     monkeypatch.setattr(nd, "CLUSTER_ELEMENTS", most)
+    monkeypatch.setattr(nd, "HEADS", heads)
+    monkeypatch.setattr(joins, "SHARE", share)
     rows = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
     want = {d: (n, c, c == d) for (d, _), (n, c) in zip(rows, brute(rows, width, percent), strict=True)}
@@ -59,6 +62,16 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7]
 
 
+def test_near_copies_with_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CLUSTER_ELEMENTS", 500)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*words[:i], "x", *words[i + 1 :]])) for i in range(0, 60, 2)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nd.near_duplicates(docs, 3, 85).collect()
+    assert len(got) == 60 and all(r.component_id is None and r.kept and r.n_shingles == 58 for r in got)
+    assert nd.deduplicated(docs, 3, 85).count() == 1
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(docs).collect() == [] and nd.deduplicated(docs).collect() == []
