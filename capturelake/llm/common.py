@@ -23,10 +23,12 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where it is unset, as in tests on one machine, a temporary folder is made
-    once and set on the session and its context.
+    once and set on the session and its context; on a cluster that is an error, as machines don't share one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="capturelake-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

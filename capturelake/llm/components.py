@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.llm.common import release_memory, written
+from capturelake.llm.joins import hot_keys, join_hot
 
 #: Nodes that a task connects at once.
 NODES = 500_000
+#: Tasks that a node's edges are dealt to at most, before they are contracted.
+SALTS = 32
 
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what ``edges`` connect, fewer of them.
 
-    All edges of a node ``a`` meet in one task with those of other nodes; the task connects
-    them in memory and returns one edge, to the least node it has found, for each. A node
-    with very many edges of its own gives as many rows as the nodes it meets, but no more.
+    The edges of a node ``a`` meet in a task with those of other nodes, those of a hub in ``SALTS`` tasks; a task connects
+    them in memory and returns one edge, to the least node it has found, for each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +57,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         release_memory()
 
     own = edges.select("a", "b")
-    return own.repartition("a").mapInArrow(run, own.schema)
+    return own.repartition("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).mapInArrow(run, own.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -64,14 +66,15 @@ def components(edges: DataFrame) -> DataFrame:
     Edges are contracted within tasks first. Then each round every node takes the least label of its neighbours and itself, then
     the label of its label, so that rounds grow with the logarithm of the longest
     path in practice. Labels are written in the shared folder each round. A
-    minimum is computed before rows are shuffled, and a join on a hub's key can be
-    split, so a hub of many edges is no bottleneck.
+    minimum is computed before rows are shuffled, and hubs are joined apart,
+    so a hub of many edges is no bottleneck.
     """
     few = written(contracted(edges), "few")
     both = written(few.union(few.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
+    hubs = hot_keys(both, "b")
     while True:
-        near = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
+        near = join_hot(both, labels.withColumnRenamed("node", "b"), "b", hubs).select(F.col("a").alias("node"), "label")
         new = labels.select("node", "label").union(near).groupBy("node").agg(F.min("label").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
         jumped = new.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("label"))

@@ -532,10 +532,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> t
     own = free_name(pages, "own_nodes")
     asked = pages.select(F.xxhash64(url_col, html_col).alias("page"), url_col, html_col).mapInArrow(_nodes_of, "page long, node long").distinct()
     mine = asked.join(noise, "node").groupBy("page").agg(F.collect_list("node").alias(own))  # nodes of one page
-    joined = pages.withColumn("page_key_", F.xxhash64(url_col, html_col)).join(mine.withColumnRenamed("page", "page_key_"), "page_key_", "left")
+    page = free_name(pages, "page_key")
+    joined = pages.withColumn(page, F.xxhash64(url_col, html_col)).join(mine.withColumnRenamed("page", page), page, "left")
     key = free_name(joined, "page_source")
     src = joined.withColumn(key, F.struct(F.col(url_col).alias("u"), F.col(html_col).alias("h"), F.col(own).alias("o")))
-    return _texts(src, key, fields, lambda row: frozenset(row.get("o") or ())).drop(key, own, "page_key_"), name
+    return _texts(src, key, fields, lambda row: frozenset(row.get("o") or ())).drop(key, own, page), name
 
 
 def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,17 +40,22 @@ def join_small(large: DataFrame, small: DataFrame, on: str, how: str = "inner",
     return left.join(right, equal, how).drop(key, salt, salt + "_r")
 
 
-def join_hot(large: DataFrame, small: DataFrame, on: str) -> DataFrame:
+def hot_keys(large: DataFrame, on: str) -> DataFrame | None:
+    """The keys of a written table with more than a ``SHARE``-th of its rows each, fewer than ``SHARE``; None if there are none."""
+    rows = large.where(F.col(on).isNotNull())
+    most = rows.count() // SHARE
+    hot = written(rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > most).select(on), "hot") if most else None
+    return hot if hot is not None and hot.limit(1).count() else None
+
+
+def join_hot(large: DataFrame, small: DataFrame, on: str, hot: DataFrame | None = None) -> DataFrame:
     """Inner join of two written tables; ``small`` has each key of ``on`` once, and may have as many rows as ``large``.
 
-    A key with more than a ``SHARE``-th of all rows of ``large`` is hot. There are fewer than ``SHARE`` of these, so
-    their rows of ``small`` are broadcast and those of ``large`` stay where they are; a merge joins the rest, in which no
-    key has many rows. Null keys match nothing.
+    ``hot``: the keys of ``large`` that no task should get whole, see :func:`hot_keys`. Their rows of ``small`` are broadcast
+    and those of ``large`` stay where they are; a merge joins the rest. Null keys match nothing.
     """
     rows = large.where(F.col(on).isNotNull())
-    most = rows.count() // SHARE
-    hot = written(rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > most).select(on), "hot") if most else None
-    if hot is None or not hot.limit(1).count():
+    if hot is None:
         return rows.join(small.hint("merge"), on)
     hot = F.broadcast(hot)  # SHARE rows at most
     return rows.join(hot, on, "left_anti").join(small.hint("merge"), on).unionByName(rows.join(F.broadcast(small.join(hot, on, "left_semi")), on))

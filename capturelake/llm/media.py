@@ -157,11 +157,10 @@ def _shrink(samples: np.ndarray) -> np.ndarray:
     return sums / np.outer(np.diff(np.append(rows, h)), np.diff(np.append(cols, w)))
 
 
-FIELDS = T.StructType([T.StructField("media", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
-
-
 def to_images(docs: DataFrame, text_col: str = "text", filter_type: int | None = None) -> DataFrame:
-    """``docs`` with two more columns in place of any of these names: media (a PNG), n_bytes of the text."""
+    """``docs`` with two more columns at its end: media (a PNG) and n_bytes of the text. Where ``docs`` has columns of
+    these names, they stay and the new ones have underscores before theirs."""
+    fields = [T.StructField(free_name(docs, "media"), T.BinaryType()), T.StructField(free_name(docs, "n_bytes"), T.LongType())]
 
     def make():
         def run(texts):
@@ -170,7 +169,7 @@ def to_images(docs: DataFrame, text_col: str = "text", filter_type: int | None =
 
         return run
 
-    return add_from_text(docs.drop(*(c for c in ("media", "n_bytes") if c != text_col)), text_col, list(FIELDS), make)
+    return add_from_text(docs, text_col, fields, make)
 
 
 READ = T.StructType([

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.llm.common import free_name, word_count, written
@@ -59,9 +59,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return filled.withColumn("target", target)
 
 
-def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities moved to 0 or 1, all but two at most; their sum and the sum of p * size stay."""
+def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, rows: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities moved to 0 or 1, all but two at most; the sums of p * rows (1 each if not given) and of p * size stay."""
     p = p.copy()
+    r = [1] * len(p) if rows is None else rows.tolist()
     todo = [i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS]
     x, q = sizes.tolist(), p.tolist()
     draws = iter(rng.random(len(todo) + 8).tolist())
@@ -72,11 +73,11 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.nda
             active.append(todo.pop())
         if len(active) == 3:
             a, b, c = active
-            u = (x[c] - x[b], x[a] - x[c], x[b] - x[a])
+            u = (r[b] * x[c] - r[c] * x[b], r[c] * x[a] - r[a] * x[c], r[a] * x[b] - r[b] * x[a])
             if not any(u):
-                u = (1, -1, 0)
-        elif len(active) == 2 and x[active[0]] == x[active[1]]:
-            u = (1, -1)
+                u = (r[b], -r[a], 0)
+        elif len(active) == 2 and r[active[0]] * x[active[1]] == r[active[1]] * x[active[0]]:
+            u = (r[active[1]], -r[active[0]])
         else:
             break
         up = min(((1 - q[i]) if v > 0 else q[i]) / abs(v) for i, v in zip(active, u, strict=True) if v)
@@ -92,41 +93,42 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.array(q)
 
 
-def land(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The open probabilities, a few, rounded so that the sizes' total and then the count is nearest."""
+def land(p: np.ndarray, sizes: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """The open probabilities, a few, rounded so that the sizes' total and then the rows' is nearest."""
     open_ = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
     picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
     off = picks - p[open_]
     x = sizes[open_].astype(np.float64)
-    best = picks[np.argmin(np.abs(off @ x) + 0.01 * (x.mean() if len(x) else 0) * np.abs(off.sum(axis=1)))]
+    count = np.ones(len(x)) if rows is None else rows[open_].astype(np.float64)
+    best = picks[np.argmin(np.abs(off @ x) + 0.01 * (x.mean() if len(x) else 0) * np.abs(off @ count))]
     out = p.copy()
     out[open_] = best
     return np.round(out)
 
 
-def settle(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
+def settle(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, last: bool, rows: np.ndarray | None = None) -> np.ndarray:
     """One chunk, sizes in descending order. The last chunk of a source keeps up to
     ``LANDING`` documents out of the flight, most of them large, since large ones stay open
     longest; so what lands is a small problem with a near solution."""
     if not last:
-        return flight(p, sizes, rng)
+        return flight(p, sizes, rng, rows)
     open_ = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
     kept = open_ if len(open_) <= LANDING + 2 else open_[np.unique(np.geomspace(1, len(open_), LANDING).astype(int)) - 1]
     flying = np.setdiff1d(open_, kept, assume_unique=True)
     out = p.copy()
-    out[flying] = flight(p[flying], sizes[flying], rng)
-    return land(out, sizes)
+    out[flying] = flight(p[flying], sizes[flying], rng, None if rows is None else rows[flying])
+    return land(out, sizes, rows)
 
 
-UNIT = "unit long, doc_id {id}, source string, size long, rows long, words long, base long, p double, source_size long, target double"
+UNIT = "unit long, twin long, doc_id {id}, source string, size long, rows long, words long, base long, p double, source_size long, target double"
 
 
 def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per distinct document: unit (its hash), doc_id, source, size, rows (how often it
+    """One row per distinct document: unit and twin (its hash, 128 bits), doc_id, source, size, rows (how often it
     repeats in ``docs``), copies (how often each is taken), source_size, target."""
     kind = docs.schema[id_col].dataType.simpleString()
-    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), unit_of(docs, id_col, text_col, source_col).alias("unit"))
-    units = written(light.groupBy("unit").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("rows")), "units")
+    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *unit_of(docs, ("unit", "twin"), id_col, text_col, source_col))
+    units = written(light.groupBy("unit", "twin").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("rows")), "units")
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units"))
     aimed = written(targets(sources, weights), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -142,7 +144,7 @@ def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 11
         def move(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["words", "unit"], ascending=[False, True], kind="stable", ignore_index=True)
             p, x = pdf["p"].to_numpy(), pdf["words"].to_numpy()
-            p = settle(p, x, np.random.default_rng([seed, now, int(pdf["unit"].iloc[0]) & 0xFFFFFFFF]), pdf["chunks"].iloc[0] == 1)
+            p = settle(p, x, np.random.default_rng([seed, now, int(pdf["unit"].iloc[0]) & 0xFFFFFFFF]), pdf["chunks"].iloc[0] == 1, pdf["rows"].to_numpy())
             return pdf.assign(p=p).drop(columns="chunk")
 
         chunk = F.pmod(F.xxhash64("unit", F.lit(seed + level)), F.col("chunks"))
@@ -152,19 +154,19 @@ def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 11
         rest = moved.where("p > 0 and p < 1 and chunks > 1").withColumn("chunks", F.ceil(2 * F.col("chunks") / CHUNK).cast("long"))
         most, level = (0 if most == 1 else -(-2 * most // CHUNK)), level + 1
     if not done:
-        out = rest.limit(0).select("unit", "doc_id", "source", "size", "rows", "base", "p", "source_size", "target")
+        out = rest.limit(0).select("unit", "twin", "doc_id", "source", "size", "rows", "base", "p", "source_size", "target")
     else:
         out = done[0]
         for d in done[1:]:
             out = out.unionByName(d)
     copies = F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(0)
-    return out.select("unit", "doc_id", "source", "size", "rows", copies.alias("copies"), "source_size", "target")
+    return out.select("unit", "twin", "doc_id", "source", "size", "rows", copies.alias("copies"), "source_size", "target")
 
 
-def unit_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-    """A hash that tells documents apart; nulls are values of their own."""
-    cols = [docs[c] for c in (id_col, source_col, text_col)]
-    return F.xxhash64(*(c for x in cols for c in (x, x.isNull())))
+def unit_of(docs: DataFrame, names: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> list[Column]:
+    """Two hashes that together tell documents apart; nulls are values of their own."""
+    cols = [c for x in (docs[id_col], docs[source_col], docs[text_col]) for c in (x, x.isNull())]
+    return [F.xxhash64(*cols).alias(names[0]), F.xxhash64(F.lit(names[1]), *cols).alias(names[1])]
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
@@ -176,10 +178,11 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mixture takes it."""
-    unit, copies = free_name(docs, "unit"), free_name(docs, "copies")
+    unit, twin, copies = (free_name(docs, n) for n in ("unit", "twin", "copies"))
     names = {k: options.get(k, k.removesuffix("_col") if k != "id_col" else "doc_id") for k in ("id_col", "text_col", "source_col")}
-    taken = cube_mix(docs, **options).where("copies > 0").select(F.col("unit").alias(unit), F.col("copies").alias(copies))
-    own = docs.withColumn(unit, unit_of(docs, names["id_col"], names["text_col"], names["source_col"]))
+    taken = cube_mix(docs, **options).where("copies > 0").select(F.col("unit").alias(unit), F.col("twin").alias(twin), F.col("copies").alias(copies))
+    hashes = [h.alias(n) for h, n in zip(unit_of(docs, ("unit", "twin"), names["id_col"], names["text_col"], names["source_col"]), (unit, twin), strict=True)]
+    own = docs.select("*", *hashes)
     # a merge at any size: what is taken grows with the documents, and so must not be broadcast
-    out = own.join(taken.hint("merge"), unit).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    out = own.join(taken.hint("merge"), [unit, twin]).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return out.select(*docs.columns)

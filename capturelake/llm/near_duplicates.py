@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from capturelake.llm.common import add_from_text, free_name, release_memory, written
 from capturelake.llm.components import components
-from capturelake.llm.joins import counted, join_hot
+from capturelake.llm.joins import counted, hot_keys, join_hot
 
 BANDS, ROWS = 25, 5
 #: Elements of the sets that meet in one task at most, about (16 bytes each and their texts).
@@ -288,13 +288,13 @@ def group(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", tex
     labelled = classes.join(found.select(F.col("node").alias("class"), "label"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     labelled = written(labelled, "labelled")
     of_label = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "labels")
-    return table.drop("bands"), written(join_hot(labelled, of_label, "label").select("class", "label", "component_id"), "groups")
+    return table.drop("bands"), written(join_hot(labelled, of_label, "label", hot_keys(labelled, "label")).select("class", "label", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     table, groups = group(docs, width, percent, id_col, text_col)
-    grouped = join_hot(table, groups, "class").select("doc_id", "elements", "component_id")
+    grouped = join_hot(table, groups, "class", hot_keys(table, "class")).select("doc_id", "elements", "component_id")
     alone = table.where("elements = 0").select("doc_id", "elements", F.col("doc_id").alias("component_id"))
     out = grouped.union(alone)
     return out.select("doc_id", F.col("elements").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -306,7 +306,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     Rows are told apart by id and a hash of the text, so that what goes is a narrow table.
     """
     table, groups = group(docs, width, percent, id_col, text_col)
-    rows = written(join_hot(table, groups, "class").select("doc_id", "print", "label", "component_id"), "rows")
+    rows = written(join_hot(table, groups, "class", hot_keys(table, "class")).select("doc_id", "print", "label", "component_id"), "rows")
     # rows with their group's least id: one text of these stays, and of its rows one
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     texts = written(rows.where(first).groupBy("label", "doc_id", "print").agg(F.count("*").alias("rows")), "firsts")

@@ -27,7 +27,7 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,18 +78,38 @@ class BrokenRecord(ValueError):
     pass
 
 
-def records(stream) -> Iterator[tuple[Headers, bytes]]:
-    """Records of a WARC file, gzip or plain, one at a time."""
+def records(stream, bad: Callable[[str], None] | None = None) -> Iterator[tuple[Headers, bytes]]:
+    """Records of a WARC file, gzip or plain, one at a time. What is no record is an error; or ``bad`` is told
+    why, and reading goes on at the next line that begins a record, or ends where the file can't be unpacked."""
+    try:
+        yield from _records(stream, bad)
+    except (EOFError, OSError, zlib.error) as e:
+        if not bad:
+            raise BrokenRecord(f"the file can't be unpacked: {e}") from e
+        bad(f"the file can't be unpacked: {e}")
+
+
+def _records(stream, bad: Callable[[str], None] | None) -> Iterator[tuple[Headers, bytes]]:
+    def broken(why: str) -> None:
+        if not bad:
+            raise BrokenRecord(why)
+        bad(why)
+
     if isinstance(stream, pa.NativeFile):
         stream = io.BufferedReader(stream, 1 << 20)
     packed = stream.read(2) == b"\x1f\x8b"
     stream.seek(0)
     stream = gzip.GzipFile(fileobj=stream) if packed else stream
+    lost = False
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            raise BrokenRecord(f"no record begins with {line[:40]!r}")
+            if not lost:
+                broken(f"no record begins with {line[:40]!r}")
+            lost = True
+            continue
+        lost = False
         headers: Headers = []
         while (line := stream.readline()).strip():
             text = line.decode("utf-8", "replace").rstrip("\r\n")
@@ -98,21 +118,46 @@ def records(stream) -> Iterator[tuple[Headers, bytes]]:
             else:
                 name, _, value = text.partition(":")
                 headers.append((name.strip(), value.strip()))
-        size = int(get(headers, "Content-Length") or 0)
-        block = stream.read(size)
-        if len(block) != size:
-            raise BrokenRecord("a record is cut off")
+        length = get(headers, "Content-Length") or "0"
+        if not (length.isascii() and length.isdigit()):
+            broken(f"a record has a length of {length[:40]!r}")
+            lost = True
+            continue
+        block = stream.read(int(length))
+        if len(block) != int(length):
+            broken("a record is cut off")
+            return
         yield headers, block
 
 
-def response_of(key: str, url: str | None, page: str | None, date: str = "2026-01-01T00:00:00Z") -> tuple[Headers, bytes]:
-    """A page as the response record that a crawler would have written."""
+def quoted(value: str) -> str:
+    """Any text as a header's value that is read back as it was: one that no line can hold, an empty one, or one in quotes is quoted as in JSON."""
+    return value if value and value.isprintable() and _clean(value) == value and value[0] != '"' else json.dumps(value)
+
+
+def unquoted(value: str | None) -> str | None:
+    """What :func:`quoted` was given; a value that isn't quoted as it is."""
+    if value is None or not value.startswith('"'):
+        return value
+    try:
+        return json.loads(value)
+    except ValueError:
+        return value
+
+
+def response_of(key: str | None, url: str | None, page: str | None, date: str = "2026-01-01T00:00:00Z") -> tuple[Headers, bytes]:
+    """A page as the response record that a crawler would have written. Its key, and a url that no header's line can hold
+    as it is, are kept in headers of their own."""
     body = (page or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     payload = digest(body)
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(f"{key} {url} {payload}")), ("WARC-Date", date), ("WARC-Source-Key", key)]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(f"{'' if key is None else key} {url} {payload}")), ("WARC-Date", date)]
+    if key is not None:
+        headers.append(("WARC-Source-Key", quoted(key)))
     if url is not None:
         headers.append(("WARC-Target-URI", url))
+        if _clean(url) != url or not url.isprintable():
+            headers.append(("WARC-Source-URL", quoted(url)))
     return [*headers, ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))], block
 
 
@@ -179,30 +224,41 @@ def _write(out_dir: str, made: Iterator[tuple[Headers, bytes]]) -> Iterator[pa.R
     yield pa.RecordBatch.from_pydict({"file": [name]})
 
 
-def derive_files(spark: SparkSession, sources: list[str], out_dir: str) -> list[str]:
-    """Derivatives of WARC files: one file for each, in ``out_dir``. Returns the names."""
-    names = spark.sparkContext.broadcast(sources)
+def derive_files(spark: SparkSession, sources: list[str], out_dir: str, problems: list[tuple[str, str]] | None = None) -> list[str]:
+    """Derivatives of WARC files: one file for each, in ``out_dir``. Returns the names.
+
+    What is no whole record is passed over, and ``problems`` gets (source, reason) of each; without it, that is an error.
+    """
+    names, strict = spark.sparkContext.broadcast(sources), problems is None
 
     def run(batches):
+        told: list[tuple[str, str]] = []
+
         def made():
             for batch in batches:
                 for i in batch.column(0).to_pylist():
                     fs, path = file_system(names.value[i])
                     with fs.open_input_file(path) as f:
-                        for headers, block in records(f):
+                        for headers, block in records(f, None if strict else lambda why, n=names.value[i]: told.append((n, why))):
                             yield from derive(headers, block)
 
-        yield from _write(out_dir, made())
+        for batch in _write(out_dir, made()):
+            yield pa.RecordBatch.from_pydict({"file": batch.column(0), "source": pa.nulls(batch.num_rows, pa.string()), "reason": pa.nulls(batch.num_rows, pa.string())})
+        if told:
+            yield pa.RecordBatch.from_pydict({"file": pa.nulls(len(told), pa.string()), "source": [n for n, _ in told], "reason": [w for _, w in told]})
 
     if not sources:
         return []
-    return sorted(r.file for r in spark.range(0, len(sources), 1, len(sources)).mapInArrow(run, "file string").collect())
+    rows = spark.range(0, len(sources), 1, len(sources)).mapInArrow(run, "file string, source string, reason string").collect()
+    if problems is not None:
+        problems.extend(sorted((r.source, r.reason) for r in rows if r.file is None))
+    return sorted(r.file for r in rows if r.file is not None)
 
 
 def derive_pages(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[str]:
     """Derivatives of a table of pages, by way of their response records: a file for each task. Returns the names."""
     bounded_batches(pages.sparkSession)
-    light = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
+    light = pages.select(F.col(id_col).cast("string").alias("k"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
 
     def run(batches):
         def made():
@@ -246,7 +302,7 @@ def read_records(spark: SparkSession, files: list[str]) -> DataFrame:
                         elif kind == "conversion":
                             items = len(block.decode())
                         own = (get(headers, n) for n in ("WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Payload-Digest", "WARC-Block-Digest"))
-                        held.append((get(headers, "WARC-Source-Key"), get(headers, "WARC-Target-URI"), kind, *own, len(block), items, ok, hashlib.sha256(block).hexdigest()))
+                        held.append((unquoted(get(headers, "WARC-Source-Key")), unquoted(get(headers, "WARC-Source-URL")) or get(headers, "WARC-Target-URI"), kind, *own, len(block), items, ok, hashlib.sha256(block).hexdigest()))
                         if len(held) == 5000:
                             yield _rows(held)
                             held = []
@@ -270,4 +326,4 @@ def page_derivatives(pages: DataFrame, out_dir: str | None = None, **columns) ->
     files = derive_pages(pages, out_dir or shared_path(spark, "warc"), **columns)
     kind = pages.schema[columns.get("id_col", "page_id")].dataType
     rows = read_records(spark, files)
-    return rows.select(F.when(F.col("source_key") != "", F.col("source_key").cast(kind)).alias("page_id"), *ROW.names[1:])
+    return rows.select(F.col("source_key").cast(kind).alias("page_id"), *ROW.names[1:])

@@ -84,3 +84,11 @@ def test_query_writes_real_filters(spark):
         seen |= set(kinds)
         assert media.read_png(r.media).tobytes() == media.payload_of(r.text)[0]
     assert {1, 2} <= seen
+
+
+def test_columns_of_the_table_stay(spark):
+    docs = spark.createDataFrame([(1, "abc", "own", 7)], "doc_id long, text string, media string, n_bytes int")
+    got = media.to_images(docs)
+    assert got.columns == ["doc_id", "text", "media", "n_bytes", "_media", "_n_bytes"]
+    row = got.first()
+    assert (row.media, row.n_bytes, row._n_bytes) == ("own", 7, 3) and media.read_png(bytes(row._media)).tobytes()[:3] == b"abc"

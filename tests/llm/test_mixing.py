@@ -75,3 +75,12 @@ def test_odd_rows(spark):
     assert mixed.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in got)
     assert mixing.mixture(docs.limit(0)).collect() == [] and mixing.mixed_rows(docs.limit(0)).collect() == []
+
+
+def test_flight_keeps_rows_and_words():
+    rng = np.random.default_rng(5)
+    rows, p = rng.integers(1, 6, 300), rng.random(300)
+    words = rows * rng.integers(1, 900, 300)
+    out = mixing.flight(p, words, rng, rows)
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert abs((out - p) @ rows) < 1e-6 and abs((out - p) @ words) < 1e-4

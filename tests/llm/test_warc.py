@@ -46,9 +46,9 @@ def test_files_and_rows(spark, tmp_path):
     by_id = {h["WARC-Record-ID"]: (h, b) for h, b in found}
     for r in rows:
         head, block = by_id[r.record_id]
-        html = next(h or "" for i, u, h in PAGES if (i, " ".join(u.split()) if u else u) == (r.page_id, r.url)).encode()
+        html = next(h or "" for i, u, h in PAGES if (i, u) == (r.page_id, r.url)).encode()
         assert (head["WARC-Type"], head["WARC-Refers-To"], head["WARC-Block-Digest"], head["WARC-Payload-Digest"]) == (r.kind, r.refers_to, sha1(block), sha1(html))
-        assert (r.n_bytes, r.block_sha256, head.get("WARC-Target-URI")) == (len(block), hashlib.sha256(block).hexdigest(), r.url)
+        assert (r.n_bytes, r.block_sha256, head.get("WARC-Target-URI")) == (len(block), hashlib.sha256(block).hexdigest(), r.url and " ".join(r.url.split()))
         other = by_id[r.concurrent_to][0]
         assert other["WARC-Concurrent-To"] == r.record_id and other["WARC-Refers-To"] == r.refers_to and other["WARC-Type"] != r.kind
     meta = json.loads(next(b for h, b in found if h["WARC-Type"] == "metadata" and h.get("WARC-Source-Key") == "1"))
@@ -73,6 +73,29 @@ def test_files_of_a_crawler(spark, tmp_path):
     assert warc.derive_files(spark, [], f"file://{tmp_path}/no") == []
 
 
+def test_ids_and_urls_come_back_as_they_were(spark, tmp_path):
+    keys = [None, "", " a ", "b\nc", '"q"', "é", "plain", "tab\t", "\u2028"]
+    pages = spark.createDataFrame([(k, k, f"<p>{i}") for i, k in enumerate(keys)], "page_id string, url string, html string")
+    got = warc.page_derivatives(pages, f"file://{tmp_path}/k").collect()
+    assert sorted((str(r.page_id), str(r.url)) for r in got) == sorted((str(k), str(k)) for k in keys for _ in "mc")
+
+
+def test_broken_records_are_told_and_passed_over(spark, tmp_path):
+    head = [("WARC-Type", "response"), ("WARC-Target-URI", "http://z.org")]
+    block = b"HTTP/1.1 200 OK\r\n\r\n<p>text"
+    whole = lambda i: warc.to_bytes([*head, ("WARC-Record-ID", f"<urn:uuid:{i}>"), ("Content-Length", str(len(block)))], block)
+    bad = warc.to_bytes([*head, ("Content-Length", "many")], block)
+    (tmp_path / "a.warc").write_bytes(whole(1) + bad + whole(2) + b"junk\r\n" * 3 + whole(3) + whole(4)[:-9])
+    (tmp_path / "b.warc.gz").write_bytes(warc.member(whole(5)) + warc.member(whole(6))[:-12])
+    sources, problems = [f"file://{tmp_path}/{n}" for n in ("a.warc", "b.warc.gz")], []
+    names = warc.derive_files(spark, sources, f"file://{tmp_path}/out", problems)
+    refers = [r.refers_to for r in warc.read_records(spark, names).where("kind = 'conversion'").collect()]
+    assert {f"<urn:uuid:{i}>" for i in (1, 2, 3, 5)} <= set(refers) and "<urn:uuid:4>" not in refers
+    assert [n for n, _ in problems] == [sources[0]] * 3 + [sources[1]] and any("many" in why for _, why in problems)
+    with pytest.raises(Exception, match="length"):
+        warc.derive_files(spark, sources, f"file://{tmp_path}/strict")
+
+
 def test_broken_files():
     whole = warc.to_bytes([("WARC-Type", "x"), ("Content-Length", "5")], b"hello")
     assert list(warc.records(io.BytesIO(whole * 2))) == [([("WARC-Type", "x"), ("Content-Length", "5")], b"hello")] * 2
