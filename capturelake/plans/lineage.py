@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back.
 
-    Where that is unset, as on one machine in tests, a temporary folder is set."""
+    Where that is unset, as on one machine in tests, a temporary folder is set; on a cluster that is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="capturelake-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
