@@ -70,11 +70,11 @@ def release_memory() -> None:
         trim(0)
 
 
-def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], done: Callable[[], None] | None = None) -> DataFrame:
+def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], done: Callable[[], None] | None = None, hold: int = 0) -> DataFrame:
     """Add columns that a Python function computes from whole texts.
 
     ``make()`` runs once in each task and returns a function from a list of texts
-    (None for null) to one list of values for each of ``fields``; ``done()`` runs at the task's end. All columns of
+    (None for null) to one list of values for each of ``fields``; ``done()`` runs at the task's end; a list has PART_BYTES of text, or ``hold``, or one longer text. All columns of
     ``df`` pass through untouched, as Arrow; only the text is converted. The names
     of ``fields`` must be free (see :func:`free_name`).
     """
@@ -85,11 +85,13 @@ def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], mak
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            for part in in_parts(batch, at):
-                new = fn(part.column(at).to_pylist())
-                arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(new, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *(f.name for f in fields)])
+        for group in together((p for b in batches for p in in_parts(b, at)), hold):
+            new = fn([t for p in group for t in p.column(at).to_pylist()])
+            begin = 0
+            for part in group:
+                own = (v.slice(begin, part.num_rows) if isinstance(v, pa.Array) else pa.array(v[begin : begin + part.num_rows], type=k) for v, k in zip(new, kinds, strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[*part.schema.names, *(f.name for f in fields)])
+                begin += part.num_rows
         if done:
             done()
         release_memory()
@@ -97,6 +99,19 @@ def add_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], mak
     return df.mapInArrow(run, schema)
 
 
+def together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of ``most`` bytes together, or one larger one."""
+    group, held = [], 0
+    for batch in batches:
+        if group and held + batch.nbytes > most:
+            yield group
+            group, held = [], 0
+        group.append(batch)
+        held += batch.nbytes
+    if group:
+        yield group
+
+
 #: Text bytes that a Python worker handles at once; a longer text is a batch of its own.
 PART_BYTES = 2 << 20
 #: Bytes of an Arrow batch between Spark and its Python workers, at most.

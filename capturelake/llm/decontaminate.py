@@ -1,10 +1,12 @@
 """Benchmark passages in documents, by one Aho-Corasick automaton.
 
-All test items are normalised to words, cut into windows of ``width``
-consecutive words (a shorter item is one window), and put into one automaton.
-Each document is normalised the same way and scanned once; the place of a match
-in the normalised text gives the words it covers, and with ``offsets`` the
-characters of the original text.
+All test items are normalised to words. What is sought are windows of ``width``
+consecutive words of an item (a shorter item is one window). An item is cut into segments of half a
+window, one after the other; each window holds a whole one. So the automaton has these segments
+(and short items) as its patterns, a tenth of what all windows would take. Each document is
+normalised the same way and scanned once; only where a segment occurs, windows of the
+document are looked up among the items' windows by hash and compared word by word. The place of a
+match gives the words it covers, and with ``offsets`` the characters of the original text.
 
 Normalisation works on UTF-8 bytes: one table maps A-Z to a-z and every ASCII
 byte that is neither letter nor digit to a space, so words are
@@ -12,8 +14,8 @@ byte that is neither letter nor digit to a space, so words are
 
 The items are sent to the executors only up to ``BLOCK_BYTES``, a measured size.
 A larger benchmark is cut into blocks of at most that size, written to the
-shared folder; each batch of documents is then scanned once for every block, so
-memory stays bounded by one block and no match is lost.
+shared folder; ``HOLD_BYTES`` of documents at a time are then scanned once for every block, so
+memory stays bounded by one block and no match is lost. A document of any length is held whole by one task.
 
 Nulls and odd input: a null or empty text has no words and no hits; a null
 or empty item has no window; a null item_id is not counted as an item, though its
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,8 +36,10 @@ from pyspark.sql import types as T
 
 from capturelake.llm.common import add_from_text, file_system, free_name, put_file, shared_path
 
-#: Bytes of item text in one automaton, which takes about 300 times as much memory.
-BLOCK_BYTES = 1 << 20
+#: Bytes of item text in one automaton, which takes about 40 times as much memory.
+BLOCK_BYTES = 4 << 20
+#: Bytes of documents that are scanned by each block in turn, where there are several.
+HOLD_BYTES = 32 << 20
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -43,38 +48,89 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_KEEP).split() if text else []
 
 
-def windows_of(words: list[bytes], width: int) -> set[str]:
-    """Windows as strings of one character per byte, a space before and after each word."""
-    n = max(1, len(words) - width + 1) if words else 0
-    return {" " + b" ".join(words[i : i + width]).decode("latin-1") + " " for i in range(n)}
-
-
 class Automaton:
     """The windows of some items, and what a text has of them."""
 
     def __init__(self, items: list[tuple[object, str | None]], width: int):
         import ahocorasick
 
+        self.width, self.half = width, (width + 1) // 2
         self.machine = ahocorasick.Automaton()
-        self.items: list[set] = []
-        at: dict[str, int] = {}
-        for item, text in items:
-            for w in windows_of(words_of(text), width):
-                if w not in at:
-                    at[w] = len(self.items)
-                    self.items.append(set())
-                    self.machine.add_word(w, (at[w], len(w), w.count(" ") - 1))
-                if item is not None:
-                    self.items[at[w]].add(item)
-        self.empty = not at
-        if at:
+        self.ids = [i for i, _ in items]
+        self.short: list[set] = []  # items of each short pattern
+        number: dict[bytes, int] = {}
+        marks: dict[bytes, tuple[int, bool, int]] = {}  # a pattern's words, whether it is a segment, its place in short
+        texts, owners = [], []
+        for k, (_, text) in enumerate(items):
+            words = words_of(text)
+            if not words:
+                continue
+            if len(words) < width:
+                n, segment, at = marks.get(key := b" ".join(words), (len(words), False, -1))
+                if at < 0:
+                    at = len(self.short)
+                    self.short.append(set())
+                marks[key] = n, segment, at
+                self.short[at].add(k)
+                continue
+            for i in range(0, len(words) - self.half + 1, self.half):
+                n, _, at = marks.get(key := b" ".join(words[i : i + self.half]), (self.half, True, -1))
+                marks[key] = n, True, at
+            texts.append(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32))
+            owners.append(k)
+        self.number = number
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.words = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        begin = np.cumsum(sizes) - sizes
+        count = sizes - width + 1
+        starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum())) if texts else np.zeros(0, np.int64)
+        hashes = self._hashes(self.words)[starts] if texts else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts = hashes[order], starts[order]
+        self.owners = np.repeat(np.array(owners, dtype=np.int64), count)[order]
+        for key, mark in marks.items():
+            self.machine.add_word(f" {key.decode('latin-1')} ", (len(key) + 2, *mark))
+        self.empty = not marks
+        if marks:
             self.machine.make_automaton()
 
-    def spans(self, joined: str) -> list[tuple[int, int, int]]:
-        """(first byte, words, window) of each occurrence in ' word word ... word '."""
-        if self.empty:
-            return []
-        return [(end - size + 1, n, w) for end, (w, size, n) in self.machine.iter(joined)]
+    def _hashes(self, numbers: np.ndarray) -> np.ndarray:
+        """A hash of the window that begins at each word."""
+        h = np.zeros(max(0, len(numbers) - self.width + 1), dtype=np.uint64)
+        for k in range(self.width):
+            h = (h ^ (numbers[k : k + len(h)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def find(self, words: list[bytes], joined: str) -> tuple[list[tuple[int, int]], set]:
+        """Runs (first word, end) of hit words of ' word word ... word ', and places of the items they are of."""
+        runs: list[tuple[int, int]] = []
+        found: set = set()
+        if self.empty or not (hits := list(self.machine.iter(joined))):
+            return runs, found
+        spaces = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), dtype=np.uint8) == 32)
+        firsts = np.searchsorted(spaces, np.array([end - size + 1 for end, (size, _, _, _) in hits]))
+        near = []
+        for first, (_, (_, n, segment, short)) in zip(firsts.tolist(), hits, strict=True):
+            if short >= 0:
+                runs.append((first, first + n))
+                found |= self.short[short]
+            if segment:
+                near.append(first)
+        if near and len(words) >= self.width:
+            number = self.number
+            own = np.array([number.get(w, -1) for w in words], dtype=np.int32)
+            at = np.unique(np.add.outer(np.array(near), np.arange(self.half - self.width, 1)))
+            at = at[(at >= 0) & (at <= len(words) - self.width)]
+            wanted = self._hashes(own)[at]
+            low, high = np.searchsorted(self.hashes, wanted), np.searchsorted(self.hashes, wanted, side="right")
+            some = low < high
+            for first, lo, hi in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+                same = (self.words[self.starts[lo:hi, None] + np.arange(self.width)] == own[first : first + self.width]).all(axis=1)
+                if same.any():
+                    runs.append((first, first + self.width))
+                    found.update(self.owners[lo:hi][same].tolist())
+        return runs, found
 
 
 def original_offsets(text: str) -> list[tuple[int, int]]:
@@ -112,7 +168,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, bound: int) -> tup
             if k == len(rows) - 1 or sum(len(t) for _, t in held[-1:]) + made > bound:
                 name = f"{folder}/block-{block:06d}-{len(names):06d}"
                 data = pickle.dumps(held)
-                put_file(name, lambda out, data=data: out.write(data), "w")
+                put_file(name, lambda out, data=data: out.write(data), uuid.uuid4().hex)
                 names.append(name)
                 made, held = 0, []
             else:
@@ -152,15 +208,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col:
             runs: list[list[tuple[int, int]]] = [[] for _ in texts]
             for machine in machines():
                 for k, text in enumerate(joined):
-                    if not text:
-                        continue
-                    found = machine.spans(text)
-                    if found:
-                        spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), dtype=np.uint8) == 32)
-                        firsts = np.searchsorted(spaces, np.array([b for b, _, _ in found]))
-                        for first, (_, n, w) in zip(firsts.tolist(), found, strict=True):
-                            runs[k].append((first, first + n))
-                            hits[k] |= machine.items[w]
+                    if text:
+                        own_runs, found = machine.find(words[k], text)
+                        runs[k] += own_runs
+                        hits[k].update(i for i in (machine.ids[j] for j in found) if i is not None)
             out = []
             for k, w in enumerate(words):
                 n_hit, spans = 0, []
@@ -181,7 +232,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col:
 
         return run
 
-    return add_from_text(docs, text_col, [T.StructField(name, kind)], make), name
+    return add_from_text(docs, text_col, [T.StructField(name, kind)], make, hold=HOLD_BYTES if files else 0), name
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

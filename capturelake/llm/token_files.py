@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import bounded_batches, file_system, put_file, release_memory, shared_path
+from capturelake.llm.common import bounded_batches, file_system, put_file, release_memory, shared_path, together
 
 #: Rows of one record batch, and ids of one row where nothing else is said.
 ROWS, SEQ_LEN = 256, 1024
@@ -282,19 +282,6 @@ class SequenceFile:
             start, n = start + len(got), n - len(got)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches of SLICE bytes together, or one larger one."""
-    group, held = [], 0
-    for batch in batches:
-        if group and held + batch.nbytes > SLICE:
-            yield group
-            group, held = [], 0
-        group.append(batch)
-        held += batch.nbytes
-    if group:
-        yield group
-
-
 PARTS = "part int, docs long, ids long"
 
 
@@ -325,7 +312,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
         def body(sink) -> None:
             wide = max(encode.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
             writer = _PartWriter(sink, seq_len, pa.uint32() if wide else pa.uint16())
-            for group in _grouped(itertools.chain([first], batches)):
+            for group in together(itertools.chain([first], batches), SLICE):
                 ids.extend(b.column(0) for b in group)
                 flat, sizes = encode(pa.concat_arrays([b.column(1) for b in group]))
                 writer.add(np.insert(flat, np.cumsum(sizes), end_id))

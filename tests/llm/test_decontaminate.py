@@ -48,6 +48,36 @@ def test_equals_brute_force(spark, bound):
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(brute(docs, items, 5), key=key)
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 10])
+def test_widths_and_shared_segments(width):
+    """Items that share segments, overlap themselves, and are shorter than a window."""
+    rng = random.Random(width)
+    line = lambda n: " ".join(rng.choices("abc", k=n))
+    items = [(i, line(rng.randint(0, 3 * width))) for i in range(30)] + [(40, "a " * 4 * width), (41, "a " * (width - 1))]
+    docs = [(i, line(rng.randint(0, 60))) for i in range(200)] + [(300, "a " * 50), (301, items[3][1] + " zz " + items[4][1])]
+    machine = dc.Automaton(items, width)
+    for (_, text), (_, n, n_hit, n_items, sha, _) in zip(docs, brute(docs, items, width), strict=True):
+        words = dc.words_of(text)
+        runs, found = machine.find(words, " " + b" ".join(words).decode("latin-1") + " ") if words else ([], set())
+        names = sorted({str(items[k][0]) for k in found})
+        assert (len(words), len({i for a, b in runs for i in range(a, b)}), len(names)) == (n, n_hit, n_items)
+        assert hashlib.sha256(",".join(names).encode()).hexdigest() == sha
+
+
+def test_many_items_take_bounded_memory_and_time():
+    import time
+
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(100))) for i in range(3000)]
+    began = time.process_time()
+    machine = dc.Automaton(items, 10)
+    words = dc.words_of(items[7][1] + " between " + items[8][1])
+    runs, found = machine.find(words, " " + b" ".join(words).decode("latin-1") + " ")
+    assert found == {7, 8} and len({i for a, b in runs for i in range(a, b)}) == 200
+    size = sum(len(t) for _, t in items)
+    assert machine.machine.get_stats()["total_size"] < 60 * size and time.process_time() - began < 30
+
+
 def test_offsets_in_the_original(spark):
     docs = spark.createDataFrame([(1, "Ünïcode: THE quick--Brown fox!")], "doc_id long, text string")
     found, f = dc.find_items(docs, spark.createDataFrame([(1, "the quick brown")], "item_id long, text string"), offsets=True)
