@@ -6,6 +6,7 @@ Lists are joined to strings so that both engines' results compare.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +101,15 @@ def similar_groups(spark, sf_dir):
     return lead.groupBy(F.col("leader").alias("key")).agg(F.count("*").alias("count"), F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
 
 
+@query
+def similar_captures(spark, sf_dir):
+    """Groups of near pictures, by sight hashes that keep four bits of 16 each."""
+    shots = archive(spark, sf_dir).captures
+    few = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.rpad(F.substring("content_hash", i * 4 + 1, F.lit(1)), 4, "0"))
+    g = insights.similar_groups(shots.withColumn("phash", F.array_join(few, "")), 1)
+    return g.select("kind", "key", "count", F.array_join(F.sort_array("ids").cast("array<string>"), ",").alias("members"))
+
+
 @query
 def bursts(spark, sf_dir):
     return insights.detect_bursts(timeline(spark, sf_dir).captures, 300)
@@ -161,6 +171,21 @@ def is_duplicate(spark, sf_dir):
     return search.search_ids(archive(spark, sf_dir), "is:duplicate", NOW, limit=None)
 
 
+@query
+def search_page(spark, sf_dir):
+    """The second page of a search, with its scores."""
+    return search.search(archive(spark, sf_dir), "that with", NOW, limit=60, offset=60).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def search_dates(spark, sf_dir):
+    """How many captures each kind of date words finds."""
+    lib = archive(spark, sf_dir)
+    words = ("today", "yesterday", "this week", "last week", "this month", "last month", "this year", "last year", "in march", "from december")
+    out = [search.search_total(lib, w, NOW).select(F.lit(w).alias("words"), "total") for w in words]
+    return functools.reduce(DataFrame.union, out)
+
+
 @query
 def search_total(spark, sf_dir):
     return search.search_total(archive(spark, sf_dir), "before:2026-03-02", NOW)
@@ -226,10 +251,82 @@ def suggest_tags(spark, sf_dir):
     return suggest.suggest_tags(archive(spark, sf_dir)).select("id", "name", "score", "rank")
 
 
+@query
+def suggest_not_dismissed(spark, sf_dir):
+    """Suggestions after labels of 0 refused the least collection, and everybody the tag 'en'."""
+    lib = archive(spark, sf_dir)
+    no = _quality(spark, sf_dir).where("quality = 0").crossJoin(lib.collections.agg(F.min("id").alias("cid")))  # one row
+    rows = no.select(F.col("id").alias("screenshot_id"), F.concat(F.lit("collection:"), F.col("cid").cast("string")).alias("target"))
+    rows = rows.union(spark.createDataFrame([(None, "tag:en")], "screenshot_id long, target string")).select(F.lit(0).cast("long").alias("id"), "screenshot_id", "target", F.lit("dismiss").alias("action"), F.lit(None).cast("timestamp").alias("created_at"))
+    lib = lib.with_(feedback=rows)
+    cols = suggest.suggest_collections(lib).select("id", F.lit("collection").alias("kind"), "name", "rank")
+    return cols.union(suggest.suggest_tags(lib).select("id", F.lit("tag"), "name", "rank"))
+
+
+@query
+def filled_captures(spark, sf_dir):
+    """What classification fills where app, site and category are null."""
+    lib = archive(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    lib = lib.with_(captures=lib.captures.withColumns({"app_name": none, "website_domain": none, "category": F.when(F.col("size") % 2 == 0, F.col("category"))}))
+    return classify.apply_classification(lib)[0].captures.select("id", F.col("app_name").alias("app"), "category")
+
+
+@query
+def tags_after_edits(spark, sf_dir):
+    """Tags and their counts after one is added, one spelled otherwise, and one removed."""
+    lib = archive(spark, sf_dir)
+    first = lib.captures.agg(F.min("id")).first()[0]
+    lib = organize.add_tag(organize.add_tag(lib, first, " Fresh "), first, "EN")
+    lib = organize.remove_tag(organize.add_tag(lib, first, "gone soon"), first, "GONE SOON")
+    return organize.list_tags(lib).select("name", "count")
+
+
+@query
+def collections_after_edits(spark, sf_dir):
+    """Collections and their live counts after one is made and filled, one renamed, one deleted, and a capture taken out."""
+    lib = archive(spark, sf_dir)
+    lib, new = organize.create_collection(lib, "Kept")
+    lib, _ = organize.add_to_collection(lib, new, _quality(spark, sf_dir).where("quality = 1").select("id"))
+    lib = organize.rename_collection(lib, 1, "First")
+    lib = organize.delete_collection(lib, 2)
+    least = lib.collection_items.where(F.col("collection_id") == new).agg(F.min("screenshot_id")).first()[0]
+    return organize.list_collections(organize.remove_from_collection(lib, new, least)).select("name", "item_count")
+
+
+@query
+def flags_after_edits(spark, sf_dir):
+    """Marks and notes of the least captures after they were set."""
+    lib = archive(spark, sf_dir)
+    first = lib.captures.agg(F.min("id")).first()[0]
+    lib = organize.set_note(organize.set_read_later(organize.set_starred(lib, first, True), first, True), first, "a note")
+    return lib.captures.select("id", "starred", "read_later", "note")
+
+
+@query
+def trashed_and_restored(spark, sf_dir):
+    """Labels are trashed, those of 1 restored: each capture's status, and whether a record of it was kept."""
+    lib, q = archive(spark, sf_dir), _quality(spark, sf_dir).where("quality is not null")
+    lib, _ = cleanup.trash(lib, q.select("id", F.lit(True).alias("moved")))
+    back = lib.captures.join(q.where("quality = 1").select("id"), "id", "left_semi").select("path", F.lit(1).alias("time_deleted"), F.lit(True).alias("restored"))
+    lib, told = cleanup.restore(lib, q.select("id"), back)
+    kept = lib.deleted.select("screenshot_id", F.lit(True).alias("kept"))
+    df = lib.captures.join(told, "id", "left").join(kept, F.col("id") == F.col("screenshot_id"), "left")
+    return df.select("id", "status", "outcome", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query
+def problems_listed(spark, sf_dir):
+    """The latest problems, after one for each label was recorded."""
+    lib = archive(spark, sf_dir)
+    rows = lib.captures.join(_quality(spark, sf_dir).where("quality is not null"), "id").select("path", F.lit("unreadable").alias("kind"), F.lit("x").alias("message"))
+    return organize.record_problems(lib, rows).problems.select("path", "kind")
+
+
 @query
 def cleanup_overview(spark, sf_dir):
-    o = cleanup.overview(archive(spark, sf_dir), NOW)
-    return o.drop("near_groups", "near_count", "near_candidate_bytes", "old_age_days", "large_min_bytes")
+    o = cleanup.overview(archive(spark, sf_dir), NOW, distance=0)
+    return o.drop("old_age_days", "large_min_bytes")
 
 
 @query
@@ -324,6 +421,40 @@ def rename_plan(spark, sf_dir):
     return rename.preview(lib, ids, "{source}_{date}_{counter}", order="oldest", start=1).select("id", "old_path", "new_path", "status")
 
 
+@query
+def rename_stop(spark, sf_dir):
+    """All captures of a folder and day want one name: the first has it."""
+    lib = archive(spark, sf_dir)
+    return rename.preview(lib, lib.captures.select("id", F.col("id").alias("seq")), "{date}", order="grid").select("id", "new_path", "status", "place")
+
+
+@query
+def rename_full(spark, sf_dir):
+    """One folder, more captures of a name than there are numbers, in order of name."""
+    lib = archive(spark, sf_dir)
+    lib = lib.with_(captures=lib.captures.withColumn("path", F.concat(F.lit("/all/"), "filename")))
+    return rename.preview(lib, lib.captures.select("id", F.col("id").alias("seq")), "all", order="name", strategy="append").select("id", "new_path", "status", "place")
+
+
+@query
+def rename_by_collection(spark, sf_dir):
+    """The first collection's name of each capture."""
+    lib = archive(spark, sf_dir)
+    return rename.preview(lib, lib.captures.select("id", F.col("id").alias("seq")), "{collection}-{original}").select("id", "new_path", "status")
+
+
+@query
+def rename_reconciled(spark, sf_dir):
+    """A journal whose moves happened for labels of 1 only, reconciled with the files there are."""
+    lib = archive(spark, sf_dir)
+    shots = lib.captures.join(_quality(spark, sf_dir), "id").where("quality is not null")
+    new = F.concat(F.lit("/new"), "path")
+    rows = shots.select("id", F.lit("b").alias("batch_id"), F.col("id").alias("screenshot_id"), F.col("path").alias("old_path"), new.alias("new_path"), F.concat(F.lit("/tmp"), "path").alias("temp_path"), F.timestamp_seconds(F.lit(NOW - 3600)).alias("created_at"))
+    there = shots.where("quality = 1").select(new.alias("path")).union(shots.where("quality = 0 and size % 2 = 0").select("path"))
+    after, told = rename.reconcile(lib.with_(journal=rows), there, NOW)
+    return after.captures.join(told.select("screenshot_id", "outcome"), F.col("id") == F.col("screenshot_id")).select("id", "path", "status", "outcome")
+
+
 @query
 def rename_clashes(spark, sf_dir):
     lib = archive(spark, sf_dir)
@@ -367,7 +498,8 @@ def classify_apps(spark, sf_dir):
 
 @query
 def thumbnails_plan(spark, sf_dir):
-    return thumbnails.plan(archive(spark, sf_dir).captures, "/cache").select("id", "thumbnail", "t_width", "t_height")
+    shots = archive(spark, sf_dir).captures.withColumn("width", F.col("size") % 700)
+    return thumbnails.plan(shots, "/cache").select("id", "thumbnail", "t_width", "t_height")
 
 
 @query
@@ -402,6 +534,14 @@ def stream_sessions(spark, sf_dir):
     return watch.collect_stream(watch.stream_sessions(stream, "ts", 300), root)
 
 
+@query
+def display_names(spark, sf_dir):
+    """Names as people read them."""
+    part = table(spark, sf_dir, "part").withColumn("file", F.concat(F.when(F.col("p_partkey") % 2 == 0, "Screenshot from ").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".png")))
+    title = F.concat("p_name", F.lit(" · "), F.col("p_partkey").cast("string"))
+    return part.select(F.col("p_partkey").alias("id"), text.display_name(F.col("file")).alias("shown"), text.plain_title(title).alias("title"))
+
+
 @query
 def apply_events(spark, sf_dir):
     """A batch of watch events: labelled captures are removed or, with quality 1, written again."""
@@ -409,7 +549,10 @@ def apply_events(spark, sf_dir):
     q = _quality(spark, sf_dir).where("quality is not null").join(lib.captures.select("id", "path"), "id")
     events = q.select("path", F.when(F.col("quality") == 1, "changed").otherwise("removed").alias("kind"), F.col("id").alias("seq"))
     found = lib.captures.join(q.where("quality = 1").select("id"), "id", "left_semi")
-    return watch.apply_events(lib, events, found).captures.select("id", "path", "status", "ocr_status")
+    new = found.withColumns({"path": F.concat(F.lit("/fresh"), "path"), "content_hash": F.concat(F.lit("fresh"), "content_hash")}).where("size % 2 = 0")
+    events = events.union(new.select("path", F.lit("changed"), F.lit(0).cast("long")))
+    after = watch.apply_events(lib, events, found.unionByName(new)).captures
+    return after.select("path", "status", "ocr_status", F.col("id").isNotNull().alias("known"))
 
 
 def _shared(spark) -> str:

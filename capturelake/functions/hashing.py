@@ -31,7 +31,7 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("long")
 
 
-def _weights(n_in: int, n_out: int) -> np.ndarray:
+def triangle_weights(n_in: int, n_out: int) -> np.ndarray:
     """A triangle filter's matrix from n_in to n_out samples, each row summing to 1."""
     scale = n_in / n_out
     reach = max(1.0, scale)
@@ -42,7 +42,7 @@ def _weights(n_in: int, n_out: int) -> np.ndarray:
 
 def dhash(grey: np.ndarray) -> int:
     """64 bits of left > right, row by row, most significant first."""
-    grid = np.rint(_weights(grey.shape[0], GRID_H) @ grey @ _weights(grey.shape[1], GRID_W).T)
+    grid = np.rint(triangle_weights(grey.shape[0], GRID_H) @ grey @ triangle_weights(grey.shape[1], GRID_W).T)
     bits = np.packbits(grid[:, :-1] > grid[:, 1:]).tobytes()
     return int.from_bytes(bits, "big")
 

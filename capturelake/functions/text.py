@@ -15,23 +15,15 @@ MAX_TAG, MAX_COLLECTION, MAX_NOTE, MAX_TARGET = 64, 120, 10_000, 240
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff", "avif")
 RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 
-_ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFD", c)[0].isascii() and unicodedata.normalize("NFD", c) != c]
+_ACCENTED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0].isascii() and unicodedata.normalize("NFD", c) != c]
 _PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
 
 
-def normal_name(name: Column, most: int) -> Column:
-    """Trimmed and cut to ``most`` characters; null if nothing is left."""
-    cut = F.substring(F.trim(name), 1, most)
-    return F.when(F.length(cut) > 0, cut)
-
-
-def check_name(name: str, most: int, what: str) -> str:
-    """The same for one name on the driver; an empty or too long one is an error."""
-    name = name.strip()
+def capped_name(name: str, most: int, what: str) -> str:
+    """A name that a user gave, trimmed and cut to ``most`` characters; an empty one is an error."""
+    name = name.strip()[:most]
     if not name:
         raise ValueError(f"a {what} needs a name")
-    if len(name) > most:
-        raise ValueError(f"a {what}'s name has {most} characters at most")
     return name
 
 
@@ -56,11 +48,6 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
-def fold_key(directory: Column, name: Column) -> Column:
-    """Names that only differ in case collide."""
-    return F.concat(directory, F.lit("//"), F.lower(name))
-
-
 def normalize_path(path: str) -> str:
     """Absolute and without ``.`` and ``..``, by text alone."""
     out = os.path.normpath(os.path.join(os.getcwd(), path))
@@ -68,8 +55,8 @@ def normalize_path(path: str) -> str:
 
 
 def fold_accents(text: Column) -> Column:
-    """Latin letters without their marks."""
-    return F.translate(text, "".join(_ACCENTED), "".join(_PLAIN))
+    """Latin letters without their marks, in one character or as combining ones."""
+    return F.regexp_replace(F.translate(text, "".join(_ACCENTED), "".join(_PLAIN)), r"[\x{300}-\x{36F}]", "")
 
 
 def tokens(text: Column) -> Column:
@@ -80,7 +67,7 @@ def tokens(text: Column) -> Column:
 
 def fold_term(term: str) -> str:
     """A word as :func:`tokens` would have it."""
-    return "".join(_PLAIN[_ACCENTED.index(c)] if c in _ACCENTED else c for c in term.lower())
+    return "".join(_PLAIN[_ACCENTED.index(c)] if c in _ACCENTED else c for c in term.lower() if not "\u0300" <= c <= "\u036f")
 
 
 _URL_STOP = r"\s<>\"'()\[\]{}"

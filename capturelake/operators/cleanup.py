@@ -183,11 +183,3 @@ def restore(lib: Library, ids: DataFrame, trashed: DataFrame) -> tuple[Library,
 def redundant_ids(captures: DataFrame) -> DataFrame:
     """Members of all exact groups but the newest, for keeping one copy everywhere."""
     return all_but_newest(captures)
-
-
-def group_sizes(captures: DataFrame) -> DataFrame:
-    return exact_duplicates(captures).select("key", "count")
-
-
-def reclaimable(size: Column, copies: Column) -> Column:
-    return (copies - 1) * size

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from capturelake.schemas import BASE_COLS, Library
 GAP_LEAST, GAP_MOST, GAP = 60, 86_400, 1800
 DISTANCE_MOST, DISTANCE = 16, 8
 PREVIEWS, TOP_TAGS = 4, 3
+#: Values that a hash asks for in one block, at most.
+MOST_MASKS = 4096
 
 
 # --- timelines -------------------------------------------------------------------------------------------------------
@@ -166,20 +169,38 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
 
 
+def _blocks(distance: int, rows: int) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of the blocks that make the fewest rows and candidates for so many random hashes.
+
+    Few, wide blocks ask for many values that few hashes have; many, narrow ones for few that many have.
+    """
+    best = None
+    for n in range(1, distance + 2):
+        widths, radius = [64 // n + (i < 64 % n) for i in range(n)], distance // n
+        masks = [sum(comb(w, r) for r in range(radius + 1)) for w in widths]
+        cost = sum(m * (1 + rows / 2**w) for m, w in zip(masks, widths, strict=True))
+        if max(masks) <= MOST_MASKS and (best is None or cost < best[0]):
+            best = cost, [(sum(widths[:i]), w, radius) for i, w in enumerate(widths)]
+    return best[1]
+
+
 def hamming_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     """(lo, hi, d) for pairs of (id, bits) with lo < hi within ``distance``, by equal joins alone.
 
-    The 64 bits are cut into blocks; two hashes within the distance agree in one block
+    The 64 bits are cut into blocks, by the number of rows; two hashes within the distance agree in one block
     but for distance // blocks bits, so one side asks for all values within that radius.
     """
-    n_blocks = distance + 1 if distance < 4 else 4
-    width, radius = 64 // n_blocks, distance // n_blocks
-    ones = (1 << width) - 1 if width < 64 else -1
-    block = lambda i: F.shiftrightunsigned(F.col("bits"), i * width).bitwiseAND(F.lit(ones))
-    keyed = nodes.select("id", "bits", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), block(i).alias("value")) for i in range(n_blocks)))).alias("k"))
-    keyed = keyed.select("id", "bits", "k.block", "k.value")
-    masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
-    asked = keyed.withColumn("value", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value")))))
+    blocks = _blocks(distance, nodes.count())
+    value = lambda shift, width: F.shiftrightunsigned(F.col("bits"), shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    own = F.array(*(F.struct(F.lit(i).alias("block"), value(s, w).alias("value")) for i, (s, w, _) in enumerate(blocks)))
+
+    def asked_of(i: int, shift: int, width: int, radius: int) -> Column:
+        masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("block"), m.bitwiseXOR(value(shift, width)).alias("value")))
+
+    near = F.flatten(F.array(*(asked_of(i, *b) for i, b in enumerate(blocks))))
+    keyed = nodes.select("id", "bits", F.explode(own).alias("k")).select("id", "bits", "k.block", "k.value")
+    asked = nodes.select("id", "bits", F.explode(near).alias("k")).select("id", "bits", "k.block", "k.value")
     a, b = asked.alias("a"), keyed.alias("b")
     d = hamming(F.col("a.bits"), F.col("b.bits"))
     near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))

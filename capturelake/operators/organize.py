@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.functions.text import MAX_COLLECTION, MAX_NOTE, MAX_TAG, MAX_TARGET, check_name, normalize_path
+from capturelake.functions.text import MAX_COLLECTION, MAX_NOTE, MAX_TAG, MAX_TARGET, capped_name, normalize_path
 from capturelake.operators.predicates import available, ev, live
 from capturelake.plans.lineage import numbered
 from capturelake.schemas import BASE_COLS, DETAIL_COLS, Library
@@ -90,7 +90,7 @@ def _top(df: DataFrame, column: str = "id") -> int:
 
 def add_tag(lib: Library, id_: int, name: str, origin: str = "manual") -> Library:
     """Unknown captures change nothing; the first spelling and the first origin of a tag stay."""
-    name = check_name(name, MAX_TAG, "tag")
+    name = capped_name(name, MAX_TAG, "tag")
     spark = lib.tags.sparkSession
     if not lib.captures.where(F.col("id") == id_).limit(1).count():
         return lib
@@ -164,7 +164,7 @@ def collections_of(lib: Library, id_: int | None = None) -> DataFrame:
 
 def create_collection(lib: Library, name: str, kind: str = "manual", rule_json: str | None = None) -> tuple[Library, int]:
     """The library and the collection's id; an existing name (case counts) is returned as it is."""
-    name = check_name(name, MAX_COLLECTION, "collection")
+    name = capped_name(name, MAX_COLLECTION, "collection")
     known = lib.collections.where(F.col("name") == name).first()
     if known:
         return lib, known.id
@@ -174,7 +174,7 @@ def create_collection(lib: Library, name: str, kind: str = "manual", rule_json:
 
 
 def rename_collection(lib: Library, id_: int, name: str) -> Library:
-    name = check_name(name, MAX_COLLECTION, "collection")
+    name = capped_name(name, MAX_COLLECTION, "collection")
     if lib.collections.where((F.col("name") == name) & (F.col("id") != id_)).limit(1).count():
         raise ValueError(f"there is a collection {name!r}")
     return lib.with_(collections=lib.collections.withColumn("name", F.when(F.col("id") == id_, name).otherwise(F.col("name"))))

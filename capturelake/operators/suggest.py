@@ -166,7 +166,3 @@ def create_proposed(lib: Library, key: str, name: str, ids: DataFrame) -> tuple[
     lib = organize.set_collection_rule(lib, new, "auto", json.dumps({"key": key}))
     lib, _ = organize.add_to_collection(lib, new, ids, "suggested")
     return organize.record_feedback(lib, f"proposal:{key}", "accept"), new
-
-
-def looks_similar(a: Column, b: Column) -> Column:
-    return hamming(phash_from_hex(a), phash_from_hex(b)) <= DISTANCE

@@ -121,6 +121,16 @@ def _apps_and_categories() -> str:
         SELECT id, app, category, CASE WHEN category IS NULL AND (app IS NOT NULL OR has_domain) THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM a JOIN c USING (id)"""
 
 
+def _fill() -> str:
+    """(id, size, old, app, category) of captures ``t`` by the reference's lists."""
+    app = "CASE " + " ".join(f"WHEN contains(n, '{w}') OR contains(t, '{w}') THEN '{a}'" for w, a in APPS) + " END"
+    cases = ", ".join("(" + " + ".join(f"contains(n || chr(10) || t, '{w}')::INT" for w in ws) + f") AS h_{c}" for c, ws in CATEGORIES)
+    best = "greatest(" + ", ".join(f"h_{c}" for c, _ in CATEGORIES) + ")"
+    pick = "CASE " + " ".join(f"WHEN h_{c} = {best} AND h_{c} > 0 THEN '{c}'" for c, _ in CATEGORIES) + " END"
+    return f"found AS (SELECT id, size, old, {app} AS app, {pick} AS category FROM (SELECT *, {cases} FROM t))"
+
+
+_FILL = _fill()
 #: Words that occur in the driver's texts, by category.
 CORPUS_WORDS = {"legal": ("license", "copyright", "rights"), "secret": ("token", "password", "key"), "english": ("that", "with", "this"), "german": ("und", "der", "nicht")}
 
@@ -213,9 +223,10 @@ SQL: dict[str, str] = {
         f"""SELECT count(*) AS total_count, coalesce(sum(size), 0)::BIGINT AS total_bytes, count_if(ev < {NOW - 365 * 86400})::BIGINT AS old_count, coalesce(sum(CASE WHEN ev < {NOW - 365 * 86400} THEN size END), 0)::BIGINT AS old_bytes,
         count_if(size >= 5000000)::BIGINT AS large_count, coalesce(sum(CASE WHEN size >= 5000000 THEN size END), 0)::BIGINT AS large_bytes, count_if({_NOTEXT})::BIGINT AS notext_count, coalesce(sum(CASE WHEN {_NOTEXT} THEN size END), 0)::BIGINT AS notext_bytes,
         (SELECT count(*) FROM dup) AS exact_groups, (SELECT coalesce(sum(count), 0)::BIGINT FROM dup) AS exact_count, (SELECT coalesce(sum((count - 1) * keep_size), 0)::BIGINT FROM dup) AS exact_reclaim_bytes,
+        (SELECT count(*) FROM near) AS near_groups, (SELECT coalesce(sum(n), 0)::BIGINT FROM near) AS near_count, (SELECT coalesce(sum(b), 0)::BIGINT FROM near) AS near_candidate_bytes,
         (SELECT count(*) FROM runs) AS burst_groups, (SELECT coalesce(sum(n), 0)::BIGINT FROM runs) AS burst_count, (SELECT coalesce(sum(size), 0)::BIGINT FROM member WHERE status = 'available') AS burst_bytes
         FROM avail LEFT JOIN ocr USING (id)""",
-        f"{_DUP}, {_sessions('live', 1800)}",
+        f"{_DUP}, {_sessions('live', 1800)}, near AS (SELECT phash, count(*) AS n, sum(size) AS b FROM avail GROUP BY phash HAVING count(*) > 1)",
     ),
     "cleanup_old": lib(f"SELECT id, size FROM avail WHERE ev < {NOW - 90 * 86400} ORDER BY ev, id LIMIT 200"),
     "cleanup_notext": lib(f"SELECT id, size FROM avail LEFT JOIN ocr USING (id) WHERE {_NOTEXT} ORDER BY size DESC, id DESC LIMIT 200"),
@@ -245,9 +256,63 @@ SQL: dict[str, str] = {
     "classify_category": _category_words(CORPUS_WORDS),
     "classify_reference": _category_words(dict(CATEGORIES)),
     "classify_apps": _apps_and_categories(),
-    "thumbnails": lib("SELECT id, '/cache/' || substr(content_hash, 1, 2) || '/' || content_hash || '_256.png' AS thumbnail, greatest(1, round(width * least(1.0::DOUBLE, 256.0::DOUBLE / width, 256.0::DOUBLE / height)))::BIGINT AS t_width, greatest(1, round(height * least(1.0::DOUBLE, 256.0::DOUBLE / width, 256.0::DOUBLE / height)))::BIGINT AS t_height FROM captures"),
+    "thumbnails": lib(
+        """SELECT id, '/cache/' || substr(content_hash, 1, 2) || '/' || content_hash || '_256.png' AS thumbnail, CASE WHEN w = 0 THEN 256 ELSE greatest(1, round(w * 256.0::DOUBLE / greatest(w, height))) END::BIGINT AS t_width,
+        CASE WHEN w = 0 THEN 256 ELSE greatest(1, round(height * 256.0::DOUBLE / greatest(w, height))) END::BIGINT AS t_height FROM (SELECT *, size % 700 AS w FROM captures)"""
+    ),
     "safe_names": r"""SELECT p_partkey AS id, CASE WHEN upper(split_part(n, '.', 1)) IN ('CON', 'PRN', 'AUX', 'NUL') THEN n || '_' ELSE n END AS safe, lower(p_name) AS folded
         FROM (SELECT *, regexp_replace(regexp_replace(p_type || ':' || p_name, '[<>:"/\\|?*]', '_', 'g'), '[ .]+$', '') AS n FROM part)""",
     "last_events": "SELECT user_id AS id, arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id",
     "hash_text": "SELECT doc_id AS id, sha256(text) AS content_hash, substr(sha256(text), 1, 16) AS phash FROM documents",
+    "rename_stop": lib(
+        f"""SELECT id, regexp_replace(path, '/[^/]*$', '') || '/' || day || '.' || format AS new_path, CASE WHEN row_number() OVER (PARTITION BY app_name, day, format ORDER BY id) = 1 THEN 'ok' ELSE 'conflict' END AS status,
+        row_number() OVER (ORDER BY id) - 1 AS place FROM (SELECT *, strftime(make_timestamp(ev * 1000000), '%Y-%m-%d') AS day FROM avail)
+        UNION ALL SELECT id, '', 'skipped', -1 FROM captures WHERE status <> 'available'"""
+    ),
+    "rename_full": lib(
+        """SELECT id, '/all/all' || CASE WHEN k BETWEEN 2 AND 100 THEN '-' || k ELSE '' END || '.' || format AS new_path, CASE WHEN k <= 100 THEN 'ok' ELSE 'conflict' END AS status, place
+        FROM (SELECT *, row_number() OVER (PARTITION BY format ORDER BY lower(filename), id) AS k, row_number() OVER (ORDER BY lower(filename), id) - 1 AS place FROM avail)
+        UNION ALL SELECT id, '', 'skipped', -1 FROM captures WHERE status <> 'available'"""
+    ),
+    "rename_by_collection": lib(
+        """SELECT avail.id, regexp_replace(path, '/[^/]*$', '') || '/' || coalesce(n, '') || '-' || filename AS new_path, 'ok' AS status FROM avail
+        LEFT JOIN (SELECT id, min(name) AS n FROM items JOIN collections USING (cid) GROUP BY id) k USING (id) UNION ALL SELECT id, '', 'skipped' FROM captures WHERE status <> 'available'"""
+    ),
+    "rename_reconciled": lib(
+        """SELECT id, CASE WHEN quality = 1 THEN '/new' || path ELSE path END AS path, CASE WHEN quality = 0 AND size % 2 = 1 THEN 'missing' ELSE status END AS status,
+        CASE WHEN quality = 1 THEN 'new' WHEN size % 2 = 0 THEN 'old' ELSE 'missing' END AS outcome FROM (SELECT c.*, d.quality FROM captures c JOIN d ON doc_id = id) WHERE quality IS NOT NULL"""
+    ),
+    "search_dates": lib(
+        f"""SELECT words, (SELECT count(*) FROM live WHERE ev >= a AND (b IS NULL OR ev < b)) AS total FROM (SELECT words, a::BIGINT AS a, b::BIGINT AS b FROM (VALUES
+        ('today', epoch(day), NULL), ('yesterday', epoch(day - 1), epoch(day)), ('this week', epoch(day - 6), epoch(day + 1)), ('last week', epoch(day - 13), epoch(day - 6)),
+        ('this month', epoch(date_trunc('month', day)), epoch(date_trunc('month', day) + INTERVAL 1 MONTH)), ('last month', epoch(date_trunc('month', day - 30)), epoch(date_trunc('month', day - 30) + INTERVAL 1 MONTH)),
+        ('this year', epoch(date_trunc('year', day)), epoch(date_trunc('year', day) + INTERVAL 1 YEAR)), ('last year', epoch(date_trunc('year', day - 365)), epoch(date_trunc('year', day - 365) + INTERVAL 1 YEAR)),
+        ('in march', epoch(make_date(year(day), 3, 1)), epoch(make_date(year(day), 4, 1))), ('from december', epoch(make_date(year(day) - 1, 12, 1)), epoch(make_date(year(day), 1, 1)))) t(words, a, b))""",
+        f"now AS (SELECT make_timestamp({NOW}::BIGINT * 1000000)::DATE AS day)",
+    ).replace("FROM (VALUES", "FROM now, LATERAL (VALUES"),
+    "search_page": f"SELECT id, score FROM ({bm25([['that'], ['with']], phrase='that with')}) JOIN (SELECT doc_id AS id, CASE WHEN n_chars % 13 <> 0 THEN {NOW} - ((doc_id % 700) * 90001 + (doc_id // 700) * 600) END AS created_ts FROM documents) USING (id) ORDER BY sort_key DESC, created_ts DESC NULLS LAST, id DESC LIMIT 60 OFFSET 60",
+    "similar_captures": f"""WITH RECURSIVE {PREFIX}, n AS (SELECT id, row_number() OVER (ORDER BY id) AS rn, [('0x' || substr(content_hash, i, 1))::INT FOR i IN [1, 5, 9, 13]] AS h FROM avail),
+        r(rn, reps) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, h INT[])[] UNION ALL
+            SELECT n.rn, CASE WHEN len(list_filter(r.reps, lambda s: bit_count(xor(s.h[1], n.h[1])) + bit_count(xor(s.h[2], n.h[2])) + bit_count(xor(s.h[3], n.h[3])) + bit_count(xor(s.h[4], n.h[4])) <= 1)) > 0 THEN r.reps ELSE list_append(r.reps, {{'id': n.id, 'h': n.h}}) END FROM r JOIN n ON n.rn = r.rn + 1),
+        reps AS (SELECT unnest(reps, recursive := true) FROM (SELECT reps FROM r ORDER BY rn DESC LIMIT 1)),
+        lead AS (SELECT n.id, min(reps.id) AS leader FROM n JOIN reps ON bit_count(xor(n.h[1], reps.h[1])) + bit_count(xor(n.h[2], reps.h[2])) + bit_count(xor(n.h[3], reps.h[3])) + bit_count(xor(n.h[4], reps.h[4])) <= 1 AND reps.id <= n.id GROUP BY n.id)
+        SELECT 'similar' AS kind, leader AS key, count(*) AS count, string_agg(id, ',' ORDER BY id) AS members FROM lead GROUP BY leader HAVING count(*) > 1""",
+    "filled_captures": f"""WITH {PREFIX}, t AS (SELECT c.id, c.size, c.category AS old, lower(c.filename) || chr(10) || lower(c.path) AS n, lower(coalesce(text, '')) AS t FROM captures c LEFT JOIN ocr USING (id)), {_FILL}
+        SELECT id, app, CASE WHEN size % 2 = 0 THEN old ELSE category END AS category FROM found""",
+    "tags_after_edits": lib("SELECT name, count(*) AS count FROM (SELECT name, id FROM tagged UNION SELECT 'Fresh', (SELECT min(id) FROM captures) UNION SELECT 'en', (SELECT min(id) FROM captures)) GROUP BY name"),
+    "collections_after_edits": lib("""SELECT CASE WHEN c.cid = 1 THEN 'First' ELSE c.name END AS name, count(live.id) AS item_count FROM collections c LEFT JOIN items USING (cid) LEFT JOIN live ON live.id = items.id WHERE c.cid <> 2 GROUP BY c.cid, c.name
+        UNION ALL SELECT 'Kept', count(live.id) FROM d JOIN live ON live.id = doc_id WHERE quality = 1 AND doc_id <> (SELECT min(doc_id) FROM d WHERE quality = 1)"""),
+    "flags_after_edits": lib("SELECT id, starred OR id = (SELECT min(id) FROM captures) AS starred, id = (SELECT min(id) FROM captures) AS read_later, CASE WHEN id = (SELECT min(id) FROM captures) THEN 'a note' ELSE '' END AS note FROM captures"),
+    "trashed_and_restored": lib("""SELECT id, CASE WHEN quality = 1 THEN 'available' WHEN quality = 0 THEN 'missing' ELSE status END AS status, CASE WHEN quality = 1 THEN 'restored' WHEN quality = 0 THEN 'failed' END AS outcome,
+        coalesce(quality IS NOT NULL AND status <> 'missing', false) AS kept FROM (SELECT c.*, d.quality FROM captures c JOIN d ON doc_id = id)"""),
+    "problems_listed": lib("SELECT path, 'unreadable' AS kind FROM captures JOIN d ON doc_id = id WHERE quality IS NOT NULL"),
+    "apply_events": lib("""SELECT path, CASE WHEN quality = 0 THEN 'missing' WHEN quality = 1 THEN 'available' ELSE status END AS status, CASE WHEN quality = 1 THEN 'queued' ELSE ocr_status END AS ocr_status, true AS known FROM (SELECT c.*, d.quality FROM captures c JOIN d ON doc_id = id)
+        UNION ALL SELECT '/fresh' || path, 'available', 'queued', true FROM captures JOIN d ON doc_id = id WHERE quality = 1 AND size % 2 = 0"""),
+    "stream_sessions": f"""WITH {EVENTS}, {_sessions('ev', 300)}, last AS (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) AS w FROM events)
+        SELECT start_ts, end_ts, n AS count FROM runs, last WHERE (end_ts + 300) * 1000000 <= w - w % 1000""",
+    "display_names": "SELECT p_partkey AS id, regexp_replace(replace(p_name, ' ', '_'), '[_-]+', ' ', 'g') AS shown, p_name AS title FROM part",
 }
+_REFUSED = " AND NOT (p.cid = (SELECT min(cid) FROM collections) AND p.id IN (SELECT doc_id FROM d WHERE quality = 0))"
+_BY_HAND = SQL["suggest_collections"].replace("NOT IN (SELECT (id, cid) FROM items)", "NOT IN (SELECT (id, cid) FROM items)" + _REFUSED)
+_NO_EN = SQL["suggest_tags"].replace("NOT IN (SELECT (id, name) FROM tagged)", "NOT IN (SELECT (id, name) FROM tagged) AND name <> 'en'")
+SQL["suggest_not_dismissed"] = f"SELECT id, 'collection' AS kind, name, rank FROM ({_BY_HAND}) UNION ALL SELECT id, 'tag', name, rank FROM ({_NO_EN})"

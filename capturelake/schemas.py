@@ -70,10 +70,10 @@ class Library:
         return replace(self, **tables)
 
     def save(self, path: str) -> None:
-        """One Parquet folder for each table; a new folder is a new version."""
+        """One Parquet folder for each table; a new folder is a new version, and what a broken run left there goes."""
         for f in fields(self):
             if f.name in TABLES:
-                getattr(self, f.name).write.parquet(f"{path}/{f.name}")
+                getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
 
 
 def empty(spark: SparkSession, **tables: DataFrame) -> Library:
@@ -91,3 +91,29 @@ def empty(spark: SparkSession, **tables: DataFrame) -> Library:
 
 def load(spark: SparkSession, path: str) -> Library:
     return Library(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()})
+
+
+def version_path(root: str, version: int, batch: int = -1) -> str:
+    """Where a version of a library lies; ``batch``: the batch of a stream that made it."""
+    return f"{root.rstrip('/')}/v{version:08d}" + (f"-{batch:08d}" if batch >= 0 else "")
+
+
+def latest(root: str) -> str:
+    """The last whole version below ``root``, a local or shared folder."""
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    names = sorted(i.base_name for i in where.get_file_info(fs.FileSelector(path)) if i.base_name[:1] == "v")
+    whole = [n for n in names if all(where.get_file_info(f"{path.rstrip('/')}/{n}/{t}/_SUCCESS").is_file for t in TABLES)]
+    if not whole:
+        raise FileNotFoundError(f"no whole version of a library below {root}")
+    return f"{root.rstrip('/')}/{whole[-1]}"
+
+
+def version_of(path: str) -> int:
+    return int(path.rpartition("/v")[2].partition("-")[0])
+
+
+def batch_of(path: str) -> int:
+    """The batch that made a version, -1 if none did."""
+    return int(path.rpartition("/v")[2].partition("-")[2] or -1)

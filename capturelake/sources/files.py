@@ -1,15 +1,23 @@
 """From image files to captures: listing, what has changed, reading, and merging.
 
-A file's content is read once, and only if its size or time differ from what is known:
-the listing prunes the content column, and what is left is joined to a second read.
+Only files whose size or time differ from what is known are read: their bytes are hashed as a
+stream, of any length, and their header tells how many pixels there are before anything is decoded.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+import struct
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capturelake.functions.hashing import content_hash, perceptual_hash
+from capturelake.functions.hashing import perceptual_hash
 from capturelake.functions.text import IMAGE_EXTENSIONS, extension, filename, is_image
 from capturelake.operators.predicates import available
 from capturelake.plans.lineage import cut, numbered
@@ -17,8 +25,8 @@ from capturelake.schemas import CAPTURES, Library
 
 MOST_PIXELS = 80_000_000
 LISTED = "path string, modified_ts long, size long"
-#: Longest file that is read; a longer one is a problem. Bounded because a row holds a file.
-MOST_BYTES = 256 << 20
+#: Bytes of a file that are read at once, and paths that go to one read of Spark's image source.
+BUFFER, CHUNK = 1 << 20, 10_000
 
 
 def plain_path(path):
@@ -39,22 +47,78 @@ def changed(listed: DataFrame, captures: DataFrame) -> DataFrame:
     return listed.join(same, (listed.path == same.path) & (listed.size == F.col("_size")) & listed.modified_ts.eqNullSafe(F.col("_mtime")), "left_anti")
 
 
-def read_images(spark: SparkSession, files: DataFrame, directories: list[str]) -> tuple[DataFrame, DataFrame]:
+def header_size(head: bytes) -> tuple[int, int] | None:
+    """Width and height by the first bytes of a PNG, GIF, BMP, WebP or JPEG file; None where they don't tell."""
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
+        return struct.unpack(">II", head[16:24])
+    if head[:4] == b"GIF8" and len(head) >= 10:
+        return struct.unpack("<HH", head[6:10])
+    if head[:2] == b"BM" and len(head) >= 26:
+        width, height = struct.unpack("<ii", head[18:26])
+        return width, abs(height)
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP" and len(head) >= 30:
+        if head[12:16] == b"VP8X":
+            return 1 + int.from_bytes(head[24:27], "little"), 1 + int.from_bytes(head[27:30], "little")
+        if head[12:16] == b"VP8L":
+            bits = int.from_bytes(head[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        return tuple(x & 0x3FFF for x in struct.unpack("<HH", head[26:30]))
+    if head[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(head) and head[at] == 0xFF:
+            kind, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", head[at + 5 : at + 9])
+                return width, height
+            at += 1 if kind == 0xFF else 2 + size
+    return None
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each path's file, null if it can't be read, and the size in its header."""
+    for batch in batches:
+        rows = []
+        for path in batch.column(0).to_pylist():
+            try:
+                fs, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+                sum_, first = hashlib.sha256(), None
+                with fs.open_input_stream(name, compression=None) as f:
+                    while part := f.read(BUFFER):
+                        first = part if first is None else first
+                        sum_.update(part)
+                rows.append((path, sum_.hexdigest(), *(header_size(first or b"") or (None, None))))
+            except OSError:
+                rows.append((path, None, None, None))
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "content_hash", "h_width", "h_height"])
+
+
+def decoded(spark: SparkSession, paths: DataFrame, use: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """What ``use`` makes of decoded pictures (path, width, height, nChannels, data) of a table of paths, written.
+
+    Spark's image source takes a list of paths, so CHUNK of them at a time pass through the driver; each chunk's result is written.
+    """
+    origin = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))  # a URI, in which a plus is a plus
+    out, todo = spark.createDataFrame([], schema), paths.select("path").toLocalIterator()
+    while chunk := [re.sub(r"([\\{}\[\]*?])", r"\\\1", r.path) for r in itertools.islice(todo, CHUNK)]:
+        img = spark.read.format("image").option("dropInvalid", False).load(chunk).select("image.*")
+        out = out.union(cut(use(img.select(plain_path(origin).alias("path"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "nChannels", "data")), "pictures"))
+    return out
+
+
+def read_images(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, problems) of files: good have size, hashes and dimensions; problems path, kind, message.
 
-    Each file's bytes are hashed in the JVM and decoded by Spark's image source; pictures of too
-    many pixels are not hashed by sight but kept out as problems.
+    Pictures of too many pixels are known by their header, and are problems before they are decoded.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directories)
-    raw = raw.select(plain_path(F.col("path")).alias("path"), F.col("length"), "content")
-    bytes_ = files.join(raw, "path").select(*files.columns, F.when(F.col("length") <= MOST_BYTES, content_hash(F.col("content"))).alias("content_hash"))
-    img = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(directories).select("image.*")
-    img = img.select(plain_path(F.col("origin")).alias("path"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "nChannels", "data")
+    hashed = cut(files.select("path").repartition("path").mapInArrow(_hashed, "path string, content_hash string, h_width long, h_height long"), "hashed")
+    large = F.coalesce(F.col("h_width") * F.col("h_height") > MOST_PIXELS, F.lit(False))
     ok = (F.col("height") > 0) & (F.col("width") * F.col("height") <= MOST_PIXELS)
-    decoded = files.select("path").join(img, "path").select("path", "width", "height", F.when(ok, perceptual_hash(F.when(ok, F.col("data")), "height", "width", "nChannels")).alias("phash"))
-    seen = cut(bytes_.join(decoded, "path", "left"), "images")
-    bad = F.when(F.col("content_hash").isNull(), "hash_failed").when(F.col("width").isNull() | (F.col("width") <= 0), "unreadable").when(F.col("width") * F.col("height") > MOST_PIXELS, "too_large")
-    marked = seen.withColumn("kind", bad)
+    seen = lambda img: img.select("path", "width", "height", F.when(ok, perceptual_hash(F.when(ok, F.col("data")), "height", "width", "nChannels")).alias("phash"))
+    pictures = decoded(spark, hashed.where(F.col("content_hash").isNotNull() & ~large), seen, "path string, width long, height long, phash string")
+    known = cut(files.join(hashed, "path").join(pictures, "path", "left"), "images")
+    bad = F.when(F.col("content_hash").isNull(), "hash_failed").when(large | (F.col("width") * F.col("height") > MOST_PIXELS), "too_large").when(F.col("width").isNull() | (F.col("width") <= 0), "unreadable")
+    marked = known.withColumn("kind", bad)
     problems = marked.where("kind is not null").select("path", "kind", F.concat(F.lit("the file can't be used: "), "kind").alias("message"))
     ext = F.lower(F.substring(extension(filename(F.col("path"))), 2, 10))
     fmt = F.when(ext == "jpeg", "jpg").when(ext == "tif", "tiff").otherwise(ext)
@@ -130,7 +194,7 @@ def scan(lib: Library, directories: list[str]) -> tuple[Library, DataFrame]:
     spark = lib.captures.sparkSession
     listed = cut(list_files(spark, directories), "listed")
     work = cut(changed(listed, lib.captures), "work")
-    good, problems = read_images(spark, work, directories)
+    good, problems = read_images(spark, work)
     good, problems = cut(good, "good"), cut(problems, "problems")
     lib = record_problems(upsert(lib, good), problems)
     counts = listed.agg(F.count("*").alias("found")).crossJoin(work.agg(F.count("*").alias("work"))).crossJoin(good.agg(F.count("*").alias("indexed"))).crossJoin(problems.agg(F.count("*").alias("failed")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from capturelake.functions.text import is_image
+from capturelake.operators import ocr
 from capturelake.operators.rename import pending_paths
 from capturelake.plans.lineage import cut
 from capturelake.schemas import Library
@@ -16,7 +19,8 @@ from capturelake.sources import files
 
 #: Schema of the binary file source, which a stream must be told.
 FILE = "path string, modificationTime timestamp, length long, content binary"
-QUIET_SECONDS = 1
+#: How long a file may take to come to rest, and the time between two looks at it.
+STABLE_SECONDS, POLL_SECONDS = 6.0, 0.25
 
 
 def last_events(events: DataFrame) -> DataFrame:
@@ -41,13 +45,60 @@ def apply_events(lib: Library, events: DataFrame, found: DataFrame) -> Library:
     gone = last.join(here, F.col("path") == F.col("_p"), "left").where("kind = 'removed' and _p is null or kind <> 'removed' and _p is null").select("path")
     ids = lib.captures.join(gone, "path", "left_semi").select("id")
     lib = lib.with_(captures=cut(files.set_status(lib.captures, ids, "missing"), "removed"))
-    fresh = found.join(last, "path", "left_semi")
-    return files.upsert(lib, fresh)
+    fresh = cut(found.join(last, "path", "left_semi"), "fresh")
+    known = lib.captures.select(F.col("id").alias("_k"))
+    lib = files.upsert(lib, fresh)
+    new = lib.captures.join(known, F.col("id") == F.col("_k"), "left_anti").select("id")
+    return lib.with_(captures=ocr.queue(lib.captures, new))
 
 
-def settled(stream: DataFrame, at: Column) -> DataFrame:
-    """Files that were last written a while ago; others come with a later listing."""
-    return stream.where(F.col("modificationTime") <= at - F.expr(f"interval {QUIET_SECONDS} seconds"))
+def stable(spark: SparkSession, listed: DataFrame, timeout: float = STABLE_SECONDS, poll: float = POLL_SECONDS) -> DataFrame:
+    """(path, modified_ts, size) of a batch's files once two looks in a row agree on size and time.
+
+    Files that are still being written after ``timeout``, or are gone, aren't there. A batch is bounded (see
+    :func:`file_stream`), so its paths may pass through the driver.
+    """
+    paths = [r.path for r in listed.select("path").collect()]
+
+    def look() -> dict[str, tuple[int, int]]:
+        found = {}
+        for path in paths:
+            fs, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+            info = fs.get_file_info(name)
+            if info.is_file:
+                found[path] = int((info.mtime_ns or 0) // 1000), info.size
+        return found
+
+    began, last, done = time.monotonic(), look(), {}
+    while time.monotonic() - began < timeout and len(done) < len(last):
+        time.sleep(poll)
+        now = look()
+        done |= {p: v for p, v in now.items() if last.get(p) == v}
+        last = now
+    rows = [(p, t // 1_000_000, n) for p, (t, n) in sorted(done.items()) if last.get(p) == (t, n)]
+    return spark.createDataFrame(rows, files.LISTED)
+
+
+def follow(spark: SparkSession, library_path: str, directory: str, checkpoint: str, once: bool = False, wait: float = STABLE_SECONDS) -> StreamingQuery:
+    """Keep a saved library up with a directory: each batch of new files is awaited until stable, read, merged, queued
+    for reading, and saved as the next version, ``<library_path>/v<n>``. Deletions are told by a listing (:func:`deletions`)."""
+    from capturelake import schemas
+    from capturelake.operators.organize import record_problems
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        listed = stable(own, batch, wait)
+        latest = schemas.latest(library_path)
+        if schemas.batch_of(latest) >= number:
+            return  # this batch is saved; the query was started again before it had noted that
+        lib = schemas.load(own, latest)
+        good, problems = files.read_images(own, files.changed(listed, lib.captures))
+        events = listed.select("path", F.lit("changed").alias("kind"), F.lit(0).alias("seq"))
+        events = events.join(good, "path", "left_semi")  # unchanged files tell nothing
+        lib = record_problems(apply_events(lib, events, good), problems)
+        lib.save(schemas.version_path(library_path, schemas.version_of(latest) + 1, number))
+
+    return watch(spark, directory, on_batch, checkpoint, once)
 
 
 def file_stream(spark: SparkSession, directory: str, max_files: int = 64) -> DataFrame:
@@ -70,7 +121,9 @@ def deletions(captures: DataFrame, listed: DataFrame, directories: list[str]) ->
 
 
 def stream_sessions(events: DataFrame, ts: str, gap_seconds: int, watermark: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
-    """Sessions of two or more rows with steps of a gap at most, as they close behind the watermark."""
+    """Sessions of two or more rows with steps of a gap at most, as they close behind the watermark. Times count in
+    whole seconds, as in a batch. Without keys all rows are one sequence, whose open session one task holds, a row for each."""
+    events = events.withColumn(ts, F.date_trunc("second", ts))
     if keys is None:
         events, keys = events.withColumn("_all", F.lit(0)), ["_all"]  # a stream's session needs a key
     w = F.session_window(ts, f"{gap_seconds} seconds")

@@ -57,8 +57,8 @@ def test_same_content_restores_in_order(spark):
 
 
 def test_thumbnails(spark):
-    df = spark.createDataFrame([(1, "p", "abcd", 1000, 500), (2, "p", "efgh", 10, 4000), (3, "p", "ijkl", 50, 20)], "id long, path string, content_hash string, width long, height long")
-    assert [(r.thumbnail, r.t_width, r.t_height) for r in thumbnails.plan(df, "/c/").collect()] == [("/c/ab/abcd_256.png", 256, 128), ("/c/ef/efgh_256.png", 1, 256), ("/c/ij/ijkl_256.png", 50, 20)]
+    df = spark.createDataFrame([(1, "p", "abcd", 1000, 500), (2, "p", "efgh", 10, 4000), (3, "p", "ijkl", 50, 20), (4, "p", "mnop", 0, 7)], "id long, path string, content_hash string, width long, height long")
+    assert [(r.thumbnail, r.t_width, r.t_height) for r in thumbnails.plan(df, "/c/").collect()] == [("/c/ab/abcd_256.png", 256, 128), ("/c/ef/efgh_256.png", 1, 256), ("/c/ij/ijkl_256.png", 256, 102), ("/c/mn/mnop_256.png", 256, 256)]
 
 
 def test_events(spark):
@@ -105,3 +105,75 @@ def test_progress_is_throttled():
         p.onQueryProgress(Ns(progress=Ns(id=1, batchId=i, numInputRows=5)))
     p.onQueryTerminated(Ns(id=1, exception=None))
     assert told == ["started", "progress", "complete"]
+
+
+def test_headers_and_long_files(spark, tmp_path):
+    import hashlib
+
+    png(tmp_path / "a+ü [1] %41.png", 30, 20)
+    head = bytearray((tmp_path / "a+ü [1] %41.png").read_bytes())
+    head[16:24] = struct.pack(">II", 100_000, 100_000)
+    (tmp_path / "huge.png").write_bytes(bytes(head))
+    (tmp_path / "long.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 7, 9) + b"x" * 3_000_000)
+    listed = files.list_files(spark, [str(tmp_path)]).union(spark.createDataFrame([(f"{tmp_path}/gone.png", 0, 1)], files.LISTED))
+    good, problems = files.read_images(spark, listed)
+    assert [(os.path.basename(r.path), r.width, r.height) for r in good.collect()] == [("a+ü [1] %41.png", 30, 20)]
+    assert {os.path.basename(r.path): r.kind for r in problems.collect()} == {"huge.png": "too_large", "long.gif": "unreadable", "gone.png": "hash_failed"}
+    (row,) = (b.to_pylist() for b in files._hashed(iter([__import__("pyarrow").RecordBatch.from_pydict({"path": [f"{tmp_path}/long.gif"]})])))
+    assert row[0]["content_hash"] == hashlib.sha256((tmp_path / "long.gif").read_bytes()).hexdigest() and (row[0]["h_width"], row[0]["h_height"]) == (7, 9)
+    assert files.header_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20") == (32, 16)
+    assert files.header_size(b"RIFF....WEBPVP8X" + b"\0" * 8 + b"\x1f\0\0\x0f\0\0") == (32, 16) and files.header_size(b"no") is None
+
+
+def test_thumbnails_are_made_once(spark, tmp_path):
+    png(tmp_path / "in" / "one.png", 1000, 500, 4)
+    lib, _ = files.scan(library(spark, []), [str(tmp_path / "in")])
+    cache = str(tmp_path / "cache")
+    (made,) = thumbnails.generate(spark, lib.captures, cache).collect()
+    assert (made.t_width, made.t_height, made.problem) == (256, 128, None) and thumbnails.cache_count(spark, cache) == 1
+    assert files.header_size(open(made.thumbnail, "rb").read(64)) == (256, 128)
+    before = os.stat(made.thumbnail).st_mtime_ns
+    (again,) = thumbnails.generate(spark, lib.captures, cache).collect()
+    assert again.thumbnail == made.thumbnail and again.t_width is None and os.stat(made.thumbnail).st_mtime_ns == before
+    assert thumbnails.plan(lib.captures, cache).first().thumbnail == made.thumbnail
+
+
+def test_library_follows_a_directory(spark, tmp_path):
+    from capturelake import schemas
+
+    root = str(tmp_path / "lib")
+    library(spark, []).save(schemas.version_path(root, 1))
+    png(tmp_path / "in" / "a.png", 40, 30, 1)
+    watch.follow(spark, root, str(tmp_path / "in"), str(tmp_path / "state"), once=True, wait=3).awaitTermination()
+    png(tmp_path / "in" / "b.png", 40, 30, 2)
+    (tmp_path / "in" / "c.png").write_bytes(b"broken")
+    watch.follow(spark, root, str(tmp_path / "in"), str(tmp_path / "state"), once=True, wait=3).awaitTermination()
+    lib = schemas.load(spark, schemas.latest(root))
+    assert sorted((r.id, r.filename, r.ocr_status) for r in lib.captures.collect()) == [(1, "a.png", "queued"), (2, "b.png", "queued")]
+    assert [os.path.basename(r.path) for r in lib.problems.collect()] == ["c.png"] and schemas.version_of(schemas.latest(root)) == 3
+
+
+def test_files_in_motion_are_left_for_later(spark, tmp_path):
+    import threading
+    import time
+
+    png(tmp_path / "still.png", 10, 10)
+    moving = tmp_path / "moving.png"
+    moving.write_bytes(b"x")
+    stop = threading.Event()
+
+    def grow():
+        while not stop.is_set():
+            with moving.open("ab") as f:
+                f.write(b"x")
+            time.sleep(0.02)
+
+    t = threading.Thread(target=grow)
+    t.start()
+    try:
+        batch = spark.createDataFrame([(str(moving),), (str(tmp_path / "still.png"),), (str(tmp_path / "gone.png"),)], "path string")
+        got = watch.stable(spark, batch, timeout=1.0, poll=0.2).collect()
+    finally:
+        stop.set()
+        t.join()
+    assert [os.path.basename(r.path) for r in got] == ["still.png"]
