@@ -124,3 +124,67 @@ def test_deep_pages_take_time_in_proportion():
     began = time.process_time()
     assert text("<p><button>" * 20_000 + "<div>" * 20_000 + "<p>x" * 20_000) == ""
     assert time.process_time() - began < 20
+
+
+def plain_tree(pages):
+    """Importances of every node, from single pages, by the formulas of the module's docstring."""
+    import math
+    from collections import Counter, defaultdict
+
+    on, contents, styles, chains, hosts = Counter(), defaultdict(lambda: defaultdict(list)), defaultdict(Counter), {}, {}
+    for url, page in pages:
+        host = he.host_of(url)
+        if not host or not page:
+            continue
+        blocks, own = he.parse(page, host, with_styles=True)
+        root = he._child(0, host)
+        here = Counter((b.chain[-1], c) for b in blocks for c in (b.text, *b.links[1]))
+        for (leaf, c), n in here.items():
+            contents[leaf][c].append(n)
+        for b in blocks:
+            chains[b.chain[-1]] = (root, *b.chain)
+            hosts[b.chain[-1]] = root
+        for node, style in own:
+            styles[node][style] += 1
+        for node in {root, *(n for b in blocks for n in b.chain), *(n for n, _ in own)}:
+            on[node] += 1
+    share = lambda h, m: max(0.0, min(1.0, h / math.log(m)))
+    entropy = lambda counts: -sum(n / sum(counts) * math.log(n / sum(counts)) for n in counts)
+    m = {n: k for n, k in on.items() if k >= he.MIN_PAGES}
+    content = {n: 1 - share(sum(entropy(c) for c in contents[n].values()) / len(contents[n]), m[n]) for n in m if n in contents}
+    out = {}
+    for node in m:
+        below = [leaf for leaf in content if node in chains[leaf][1:]]
+        if not below:
+            continue
+        mean = sum(m[x] * content[x] for x in below) / sum(m[x] for x in below)
+        look = share(entropy(list(styles[node].values())), m[node]) if node in styles else None
+        fade = he.DECAY ** len(styles[node]) if node in styles else he.DECAY
+        both = mean if look is None else (1 - fade) * look + fade * mean
+        own = content.get(node, both)
+        out[node] = (m[node], content.get(node), look, both, own < he.THRESHOLD and max(content[x] for x in below) < he.THRESHOLD)
+    repeats = {leaf ^ he._value(c) for leaf in contents for c, ns in contents[leaf].items() if 2 * len(ns) > (top := on[hosts[leaf]]) >= he.MIN_PAGES and len(ns) > he.MIN_PAGES ** (1 - he.THRESHOLD) and 1 - math.log(len(ns)) / math.log(top) < he.THRESHOLD}
+    return out, repeats
+
+
+def test_tree_equals_plain_sums(spark):
+    import random
+
+    rng = random.Random(12)
+    tags = ["div", "p", "ul", "section", "article", "div class=a", "div class='b c'", "div id=x"]
+
+    def node(depth):
+        tag = rng.choice(tags)
+        inner = "".join(node(depth - 1) for _ in range(rng.randint(1, 3))) if depth else rng.choice(["Same", "Same again", "<a href=/m>Menu</a>", f"Text {rng.random()}", f"Of {rng.randint(0, 3)}"])
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    pages = [(i, f"https://h{i % 3}.org/{i}", f"<body><div class=nav>Home</div>{node(2)}{node(1)}<p>{i}</p></body>") for i in range(90)] + [(90, None, "<p>x"), (91, "https://h0.org", None)]
+    tree, repeats = he.trees(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r.node: r for r in tree.collect()}
+    want, often = plain_tree([(u, h) for _, u, h in pages])
+    assert got.keys() == want.keys() and len(want) > 20 and {r.node for r in repeats.collect()} == often and often
+    near = lambda a, b: a is b is None or abs(a - b) < 1e-6
+    for n, (m, content, look, both, noise) in want.items():
+        r = got[n]
+        assert r.m == m and near(r.content, content) and near(r.presentation, look) and near(r.composite, both) and r.noise == noise
+    assert any(r.noise for r in got.values()) and not all(r.noise for r in got.values())
