@@ -20,7 +20,8 @@ memory stays bounded by one block and no match is lost. A document of any length
 Nulls and odd input: a null or empty text has no words and no hits; a null
 or empty item has no window; a null item_id is not counted as an item, though its
 windows hit. Items with the same id count once, documents with
-the same id each have a row. Empty tables give no rows or no hits.
+the same id each have a row. Empty tables give no rows or no hits. A text of any length
+is scanned whole. An own column named ``found`` stays.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ more than ``BROADCAST_NODES`` texts have copies.
 
 Nulls and odd input: null or empty html has empty text. Pages without a host are a
 site of their own each. A page that breaks off inside a tag ends before it. Repeated
-pages each have a row. Empty tables give no rows. A page of any length is held whole by one task;
+pages each have a row. Empty tables give no rows. Own columns stay, whatever their names. A page of any length is held whole by one task;
 elements nested deeper than ``DEPTH`` have no nodes of their own, but are opened, skipped and closed as any.
 """
 

@@ -14,7 +14,8 @@ hash of the id. Predictions read whole texts and nothing but texts.
 Nulls and odd input: a null text, or one without letters, is ``und`` with score 0; so is
 every text if nothing could be learnt. Rows with a null language or a null id are not
 learnt from; a null id is not held out. Equal texts get equal predictions, repeated
-rows stay. Empty tables give no rows.
+rows stay. Empty tables give no rows. A text of any length is counted whole. Own columns named ``lang_pred`` or
+``score`` stay; the new ones then have underscores before their names.
 """
 
 from __future__ import annotations
@@ -72,24 +73,25 @@ def profile(text: str | None) -> np.ndarray:
 
 
 class RankOrder:
-    """Language profiles, and the distance of texts from them."""
+    """Language profiles, and the distance of texts from them. What it holds grows with the number of languages, ``TOP`` entries each."""
 
     def __init__(self, ranks: dict[str, list[int]]):
         self.langs = sorted(ranks)
-        self.codes = np.unique(np.concatenate([np.array(r, dtype=np.int64) for r in ranks.values()] or [np.zeros(0, dtype=np.int64)]))
-        self.table = np.full((len(self.codes), len(self.langs)), -1, dtype=np.int64)
-        for j, lang in enumerate(self.langs):
-            self.table[np.searchsorted(self.codes, np.array(ranks[lang], dtype=np.int64)), j] = np.arange(len(ranks[lang]))
+        codes = np.concatenate([np.array(ranks[x], dtype=np.int64) for x in self.langs] or [np.zeros(0, dtype=np.int64)])
+        order = np.argsort(codes, kind="stable")
+        self.codes = codes[order]
+        self.lang = np.repeat(np.arange(len(self.langs)), [len(ranks[x]) for x in self.langs])[order]
+        self.rank = np.concatenate([np.arange(len(ranks[x])) for x in self.langs] or [np.zeros(0, dtype=np.int64)])[order]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         own = profile(text)
         if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-        known = self.codes[at] == own
-        ranks = self.table[at[known]]
-        away = np.where(ranks < 0, TOP, np.minimum(np.abs(ranks - np.flatnonzero(known)[:, None]), TOP))
-        d = away.sum(axis=0) + TOP * int((~known).sum())
+        begin = np.searchsorted(self.codes, own)
+        n = np.searchsorted(self.codes, own, side="right") - begin
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        near = TOP - np.minimum(np.abs(self.rank[at] - np.repeat(np.arange(len(own)), n)), TOP)  # how much less than TOP a known n-gram counts
+        d = TOP * len(own) - np.bincount(self.lang[at], weights=near, minlength=len(self.langs)).astype(np.int64)
         best = int(np.argmin(d))
         rest = np.delete(d, best)
         second = int(rest.min()) if len(rest) else TOP * len(own)

@@ -12,6 +12,7 @@ Nulls and odd input: a null or empty text is one row of spaces. Equal texts
 give equal rows; repeated rows stay. A text of any length is one image, held
 whole by one task. A damaged file raises :class:`DamagedImage`; in
 ``read_images`` it gives null columns and the reason. Empty tables give no rows.
+Own columns named ``media``, ``n_bytes`` or ``read`` stay; the new ones then have underscores before their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ The sample is a function of rows and seed: reruns and tasks that are run again a
 
 Nulls and odd input: a null source is a source, the last in order. A null or
 empty text has no words and is taken 0 times. A null id is an id. Rows that repeat with the
-same id, source and text are taken equally often. An empty table gives no rows.
+same id, source and text are taken equally often. An empty table gives no rows. A text of any length is counted in the JVM
+and goes no further; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations

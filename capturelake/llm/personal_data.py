@@ -18,7 +18,8 @@ structure isn't refuted and that pattern, gazetteer or context speaks for. Names
 All searches take time in proportion to the text, whatever it holds.
 
 Nulls and odd input: a null or empty text has no spans. Equal texts have equal
-spans, repeated rows stay. Empty tables give no rows. Offsets are code points, ends
+spans, repeated rows stay. A text of any length is searched whole. Other columns are ignored,
+whatever their names. Empty tables give no rows. Offsets are code points, ends
 exclusive.
 """
 

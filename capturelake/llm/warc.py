@@ -13,7 +13,9 @@ record; readers stream, also through files of any length.
 Nulls and odd input: a null or empty page is a response without a body; its records are there with an
 empty text. A null url has no target. A response whose declared digest is wrong gives
 records that say so (``digest_ok`` false). Repeated rows each have records, with equal ids
-where all is equal. Pages of any length are one record. Empty tables give no rows.
+where all is equal. Pages of any length are one record. Empty tables give no rows. Ids and urls
+come back as they were, line breaks included. Other columns are ignored, whatever their names. What is no whole record of a given
+file is passed over and reported, or an error (see :func:`derive_files`).
 """
 
 from __future__ import annotations
