@@ -16,6 +16,7 @@ IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff", "
 RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 
 _ACCENTED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0].isascii() and unicodedata.normalize("NFD", c) != c]
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
 _PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
 
 
@@ -56,18 +57,21 @@ def normalize_path(path: str) -> str:
 
 def fold_accents(text: Column) -> Column:
     """Latin letters without their marks, in one character or as combining ones."""
-    return F.regexp_replace(F.translate(text, "".join(_ACCENTED), "".join(_PLAIN)), r"[\x{300}-\x{36F}]", "")
+    return F.translate(text, "".join(_ACCENTED) + _MARKS, "".join(_PLAIN))  # marks have no counterpart, so they go
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits, without marks; an empty array for null."""
-    words = F.split(fold_accents(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+")
-    return F.filter(words, lambda w: w != "")
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    words = F.split(lower, r"[^\p{L}\p{N}\x{300}-\x{36F}]+")
+    beyond = r"[^\x00-\x7F]"  # translating goes letter by letter: only for words that need it
+    plain = F.transform(words, lambda w: F.when(w.rlike(beyond), fold_accents(w)).otherwise(w))
+    return F.array_remove(F.when(lower.rlike(beyond), plain).otherwise(words), "")
 
 
 def fold_term(term: str) -> str:
     """A word as :func:`tokens` would have it."""
-    return "".join(_PLAIN[_ACCENTED.index(c)] if c in _ACCENTED else c for c in term.lower() if not "\u0300" <= c <= "\u036f")
+    return "".join(_PLAIN[_ACCENTED.index(c)] if c in _ACCENTED else c for c in term.lower() if c not in _MARKS)
 
 
 _URL_STOP = r"\s<>\"'()\[\]{}"

@@ -1,8 +1,8 @@
 """Full-text search with weighted bm25, boosts and filters.
 
 The text of a capture is six token arrays. Every unit (a word or a phrase) must occur
-in some of them. The number of rows, their mean length and each unit's row count come
-from one pass over all rows, missing ones too; they are three kinds of scalars, so they go
+in some of them. Texts are cut into tokens once a search, or once at ingest with an index (:mod:`text_index`); what
+captures have of the query is written, and from it come each unit's row count, over missing captures too, and scores. Counts and the mean length are scalars, so they go
 into the plan as literals. The score of a row is a closed expression; nothing leaves the JVM.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.text import tokens
 from capturelake.operators.predicates import apply_filter, ev, live
+from capturelake.plans.lineage import cut
 from capturelake.plans.query_parser import ParsedQuery, parse
 from capturelake.schemas import BASE_COLS, Library
 
@@ -41,7 +42,7 @@ def occurrences(words: Column, unit: list[str]) -> Column:
     """How often a unit occurs in a token array."""
     n = len(unit)
     if n == 1:
-        return F.size(F.filter(words, lambda w: w == unit[0]))
+        return F.size(words) - F.size(F.array_remove(words, unit[0]))
     if not any(unit[:k] == unit[-k:] for k in range(1, n)):  # occurrences can't overlap: count them in one string
         joined, mark = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")), f" {'  '.join(unit)} "
         return ((F.length(joined) - F.length(F.replace(joined, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
@@ -51,25 +52,44 @@ def occurrences(words: Column, unit: list[str]) -> Column:
     return F.when(F.size(words) >= n, hits).otherwise(0)
 
 
-def _weighted(unit: list[str]) -> Column:
+def weighted(unit: list[str]) -> Column:
     return sum((w * occurrences(F.col(f"t_{c}"), unit) for c, w in WEIGHTS.items()), F.lit(0.0))
 
 
-def ranked(lib: Library, query: ParsedQuery, now: int) -> DataFrame:
-    """All matching rows with score (bm25 alone) and ``_sort`` (with boosts); 0 and event time without words."""
-    docs = documents(lib)
+def ranked(lib: Library, query: ParsedQuery, now: int, index=None) -> DataFrame:
+    """All matching rows with score (bm25 alone) and ``_sort`` (with boosts); 0 and event time without words.
+
+    ``index``: a :class:`text_index.TextIndex` of the library. With it only the query's tokens are read, and texts of what they
+    are in; without it all texts are cut into tokens."""
     units = query.units
-    for f in query.filters:
-        docs = apply_filter(docs, f, lib)
     if not units:
-        return docs.where(live()).withColumn("score", F.lit(0.0)).withColumn("_sort", F.lit(0.0))
-    freq = {f"f_{i}": _weighted(u) for i, u in enumerate(units)}
-    length = sum((F.size(f"t_{c}") for c in WEIGHTS), F.lit(0))
-    every = documents(lib).select(length.alias("d"), *(c.alias(n) for n, c in freq.items()))
-    stats = every.agg(F.count("*").alias("n"), F.avg("d").alias("avg"), *(F.count_if(F.col(n) > 0).alias(n) for n in freq)).first()
+        docs = lib.captures.withColumns({"score": F.lit(0.0), "_sort": F.lit(0.0)}).where(live())
+        for f in query.filters:
+            docs = apply_filter(docs, f, lib)
+        return docs
+    freq = {f"f_{i}": weighted(u) for i, u in enumerate(units)}
+    if index is None:
+        length = sum((F.size(f"t_{c}") for c in WEIGHTS), F.lit(0))
+        every = documents(lib).select("id", length.alias("d"), *(c.alias(n) for n, c in freq.items()))
+        rows = every.agg(F.count("*").alias("n"), F.avg("d").alias("avg"))
+    else:
+        from capturelake.operators.text_index import frequencies
+
+        rows = index.lengths.agg(F.count("*").alias("n"), F.avg("d").alias("avg"))
+        every = frequencies(index, lib, units).join(index.lengths, "id")
+    # what each capture has of the units, written once for statistics and scores: only captures that have some of them
+    some = F.lit(False)
+    for n in freq:
+        some = some | (F.col(n) > 0)
+    found = cut(every.where(some), "found")
+    stats = rows.crossJoin(found.agg(*(F.count_if(F.col(n) > 0).alias(n) for n in freq))).first()  # one row each
     score = F.lit(0.0)
     hit = F.lit(True)
-    docs = docs.withColumns(freq).withColumn("d", length)
+    docs = lib.captures
+    for f in query.filters:
+        docs = apply_filter(docs, f, lib)
+    ocr = lib.ocr_text.select(F.col("screenshot_id").alias("_ocr"), F.col("text").alias("ocr"))
+    docs = docs.join(found, "id").join(ocr, F.col("id") == F.col("_ocr"), "left").drop("_ocr")
     for n in freq:
         idf = math.log((stats.n - stats[n] + 0.5) / (stats[n] + 0.5))
         idf = idf if idf > 0 else LEAST_IDF
@@ -104,11 +124,11 @@ def snippet(text: str | None, units: list[list[str]], most: int = SNIPPET_TOKENS
     return ("…" if best else "") + " ".join(part) + ("…" if best + most < len(words) else "")
 
 
-def search(lib: Library, text: str, now: int | None = None, limit: int = 60, offset: int = 0) -> DataFrame:
-    """One page of results: grid columns, score and snippet. Snippets are cut for the page's rows only."""
+def search(lib: Library, text: str, now: int | None = None, limit: int = 60, offset: int = 0, index=None) -> DataFrame:
+    """One page of results: grid columns, score and snippet. Snippets are cut for the page's rows only. ``index``: see :func:`ranked`."""
     now = int(time.time()) if now is None else now
     query = parse(text, now)
-    page = ranked(lib, query, now).orderBy(*order_of(query)).offset(max(0, offset)).limit(max(0, limit))
+    page = ranked(lib, query, now, index).orderBy(*order_of(query)).offset(max(0, offset)).limit(max(0, limit))
     units = query.units
     if not units:
         return page.select(*BASE_COLS, F.lit(None).cast("string").alias("snippet"), "score")
@@ -116,17 +136,17 @@ def search(lib: Library, text: str, now: int | None = None, limit: int = 60, off
     return page.select(*BASE_COLS, cut("ocr").alias("snippet"), "score")
 
 
-def search_total(lib: Library, text: str, now: int | None = None) -> DataFrame:
+def search_total(lib: Library, text: str, now: int | None = None, index=None) -> DataFrame:
     """One row: how many captures match."""
     now = int(time.time()) if now is None else now
-    return ranked(lib, parse(text, now), now).agg(F.count("*").alias("total"))
+    return ranked(lib, parse(text, now), now, index).agg(F.count("*").alias("total"))
 
 
-def search_ids(lib: Library, text: str, now: int | None = None, limit: int | None = MOST_IDS) -> DataFrame:
+def search_ids(lib: Library, text: str, now: int | None = None, limit: int | None = MOST_IDS, index=None) -> DataFrame:
     """Ids in rank order: 1 to 100,000 of them, which is for interactive callers, or all with ``limit`` None."""
     now = int(time.time()) if now is None else now
     query = parse(text, now)
-    found = ranked(lib, query, now).orderBy(*order_of(query))
+    found = ranked(lib, query, now, index).orderBy(*order_of(query))
     if limit is not None:
         found = found.limit(min(MOST_IDS, max(1, limit)))
     return found.select("id")

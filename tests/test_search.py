@@ -84,3 +84,28 @@ def test_registered_queries_return_all_ids(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue, "archive", lambda spark, sf_dir: lib)
     assert ids(catalogue.queries()[name](spark, "")) == [1, 2, 3, 4, 5]
     assert len(ids(s.search_ids(lib, "", NOW, limit=9))) == 2
+
+
+def test_index_gives_the_same(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from capturelake.operators import text_index
+
+    rng = random.Random(3)
+    words = ["docker", "error", "invoice", "the", "of", "café", "build"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    shots = [{"id": i, "path": f"/a/{rng.choice(words)}_{i}.png", "app_name": rng.choice(words), "note": text(rng.randint(0, 3)), "status": rng.choice(["available", "available", "missing"]), "starred": i % 3 == 0, "created_ts": 1788350400 - i * 90_000} for i in range(1, 60)]
+    lib = library(spark, shots, [(i, text(rng.randint(1, 30))) for i in range(1, 50)], tags=[(i, rng.choice(words)) for i in range(1, 60, 4)])
+    index = text_index.build(lib, str(tmp_path / "v1"))
+    for q in ("docker", "docker error", '"of the"', 'cafe "the of" is:starred', '"invoice build docker" the', "nothing here", "is:starred"):
+        query = parse(q, 1788350400)
+        rows = lambda df: sorted((r.id, round(r.score, 9), round(r._sort, 9)) for r in df.collect())
+        assert rows(s.ranked(lib, query, 1788350400, index)) == rows(s.ranked(lib, query, 1788350400)), q
+    there = next(x["id"] for x in shots if x["status"] == "available" and x["id"] not in (5, *range(50, 60)))
+    later = lib.with_(captures=lib.captures.where("id <> 5"), ocr_text=lib.ocr_text.withColumn("text", F.when(F.col("screenshot_id") == there, "zebra docker").otherwise(F.col("text"))))
+    again = text_index.updated(index, later, spark.createDataFrame([(5,), (there,)], "id long"), str(tmp_path / "v2"))
+    whole = text_index.build(later, str(tmp_path / "v3"))
+    assert sorted(map(tuple, again.postings.collect())) == sorted(map(tuple, whole.postings.collect())) and sorted(map(tuple, again.lengths.collect())) == sorted(map(tuple, whole.lengths.collect()))
+    assert ids(s.search(later, "zebra", 1788350400, index=again)) == [there]
