@@ -72,8 +72,8 @@ EMBEDDED = frozenset("noscript iframe template svg math object canvas audio vide
 #: Elements of these lie within themselves only by a forgotten end tag.
 FLAT = EMBEDDED - frozenset("template svg math object".split())
 #: What ends the search for an element that a start tag closes.
-STOPS = ("table", *sorted(EMBEDDED))
-P_STOPS, LI_STOPS, DL_STOPS = (*STOPS, "td", "th", "button"), (*STOPS, "ul", "ol", "menu"), (*STOPS[1:], "dl")
+STOPS = EMBEDDED | {"table"}
+P_STOPS, LI_STOPS, DL_STOPS, TABLE, NO_STOPS = STOPS | {"td", "th", "button"}, STOPS | {"ul", "ol", "menu"}, EMBEDDED | {"dl"}, frozenset({"table"}), frozenset()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html head td th tr tbody thead tfoot option caption".split())
@@ -220,6 +220,15 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
 
     def close(n: int) -> None:
         """Close all elements from place n of the stack on."""
+        if n == len(stack) - 1:
+            top = stack[n]
+            if top.block:
+                flush()
+                if with_styles and top.own:
+                    styles.append((top.node, xxhash.xxh3_64_intdigest(",".join(top.children)) - (1 << 63)))
+            places[top.tag].pop()
+            stack.pop()
+            return
         blocks_ = [o for o in stack[n:] if o.block]
         if blocks_:
             flush()
@@ -245,11 +254,16 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
         if in_link:
             linked += len(text.strip())
 
-    def place_of(tag: str, stop: tuple) -> int:
+    def place_of(tag: str, stop: frozenset) -> int:
         """Place of the last open element of that name; 0 if there is none, or a stop after it."""
         if not (at_ := places.get(tag)):
             return 0
         n = at_[-1]
+        if len(stack) - n < 8:
+            for o in stack[n + 1 :]:
+                if o.tag in stop:
+                    return 0
+            return n
         for other in stop:
             if (at_ := places.get(other)) and at_[-1] > n:
                 return 0
@@ -285,7 +299,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
                 in_link = max(0, in_link - 1)
             if tag == "br":
                 held.append(" ")
-            elif n := place_of(tag, STOPS if tag == "p" or tag not in BLOCKS else ("table",) if tag not in ("table", "html", "body") else ()):
+            elif n := place_of(tag, STOPS if tag == "p" or tag not in BLOCKS else TABLE if tag not in ("table", "html", "body") else NO_STOPS):
                 close(n)
             continue
         if tag in RAW:

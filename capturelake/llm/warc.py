@@ -21,6 +21,7 @@ file is passed over and reported, or an error (see :func:`derive_files`).
 from __future__ import annotations
 
 import base64
+import functools
 import gzip
 import hashlib
 import html as entities
@@ -48,8 +49,13 @@ _LINK = re.compile(r"<(a|area|link|img|script|iframe|source|form)\b[^>]*?\b(href
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 
 
+@functools.lru_cache(maxsize=64)
+def _base32(data: bytes) -> str:
+    return base64.b32encode(data).decode()
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return "sha1:" + _base32(hashlib.sha1(data).digest())  # a response's digests are asked for twice
 
 
 def record_id(name: str) -> str:
@@ -62,7 +68,7 @@ def get(headers: Headers, name: str) -> str | None:
 
 def _clean(value: str) -> str:
     """A header's value on one line."""
-    return re.sub(r"\s*[\r\n]\s*", " ", value).strip()
+    return (re.sub(r"\s*[\r\n]\s*", " ", value) if "\n" in value or "\r" in value else value).strip()
 
 
 def to_bytes(headers: Headers, block: bytes) -> bytes:
