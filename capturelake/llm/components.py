@@ -12,15 +12,13 @@ from capturelake.llm.common import release_memory, written
 
 #: Nodes that a task connects at once.
 NODES = 500_000
-#: Tasks that a node's edges are dealt to at most, before they are contracted.
-SALTS = 32
 
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what ``edges`` connect, fewer of them.
 
-    The edges of a node ``a`` meet in a task with those of other nodes, those of a hub in ``SALTS`` tasks; a task connects
-    them in memory and returns one edge, to the least node it has found, for each.
+    All edges of a node ``a`` meet in one task with those of other nodes; the task connects
+    them in memory and returns one edge, to the least node it has found, for each. So hubs belong on the other side, ``b``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +54,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         release_memory()
 
     own = edges.select("a", "b")
-    return own.repartition("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).mapInArrow(run, own.schema)
+    return own.repartition("a").mapInArrow(run, own.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def group(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", tex
         if len(pdf) > 200:
             _forget()
             release_memory()
-        return pd.DataFrame({"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs]})
+        return pd.DataFrame({"a": [names[j] for _, j in pairs], "b": [names[i] for i, _ in pairs]})  # the earlier one, which may be a hub, is b
 
     def verified(cells: DataFrame) -> DataFrame:
         return written(cells.join(texts, "class").groupBy("cell").applyInPandas(verify, "a binary, b binary"), "links")
