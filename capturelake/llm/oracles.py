@@ -42,3 +42,21 @@ MERKLE = f"""
                         list_reduce(list_prepend(changed, coalesce(p, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
                  FROM leaves JOIN subs ON subs.source IS NOT DISTINCT FROM leaves.source LEFT JOIN paths USING (rid))
         SELECT *, folded_root = root AS verified FROM done"""
+
+PANES = f"""
+        WITH a AS (SELECT click_id, ts, kind, value, epoch_us(arrived_at) // 86400000000 AS day FROM clicks WHERE ts IS NOT NULL),
+        b AS (SELECT click_id, least(9, day % 10 + greatest(0, {crc32("click_id::VARCHAR")} % 30 - 23)) AS batch, epoch_us(ts) - (day - day % 10) * 86400000000 AS event,
+                     coalesce(kind, 'none') AS kind, coalesce(floor(100 * value + 0.5), 0)::BIGINT AS cents FROM a),
+        r AS (SELECT *, floor(event / 3600000000)::BIGINT AS hour FROM b QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY batch, event, kind, cents) = 1),
+        m AS (SELECT batch, max(event) AS most FROM r GROUP BY batch),
+        w AS (SELECT n AS batch, (SELECT max(most) FROM m WHERE m.batch < n) AS w FROM range(10) t(n)),
+        s AS (SELECT r.*, coalesce(w >= (hour + 1) * 3600000000 + 172800000000, false) AS late FROM r JOIN w USING (batch)),
+        p AS (SELECT kind, hour, batch, count(*) AS n, sum(cents) AS c FROM s WHERE NOT late GROUP BY ALL),
+        t AS (SELECT *, sum(n) OVER v AS all_n, sum(c) OVER v AS all_c, min(batch) OVER (PARTITION BY kind, hour) AS first FROM p WINDOW v AS (PARTITION BY kind, hour ORDER BY batch)),
+        e AS (SELECT t.*, (SELECT min(w.batch) FROM w WHERE w.batch >= t.first AND w >= (t.hour + 1) * 3600000000 + 43200000000) AS emitted FROM t),
+        o AS (SELECT batch, hour, click_id, 1 AS n_rows, cents, 'late' AS record, kind FROM s WHERE late
+            UNION ALL SELECT any_value(emitted), hour, -1, sum(n), sum(c), 'emit', kind FROM e WHERE batch <= emitted GROUP BY kind, hour
+            UNION ALL SELECT batch, hour, -1, all_n - n, all_c - c, 'retract', kind FROM e WHERE batch > emitted
+            UNION ALL SELECT batch, hour, -1, all_n, all_c, 'replace', kind FROM e WHERE batch > emitted
+            UNION ALL SELECT 9, hour, -1, sum(n), sum(c), 'final', kind FROM e WHERE emitted IS NULL GROUP BY kind, hour)
+        SELECT batch::BIGINT AS batch, hour::BIGINT AS hour, click_id::BIGINT AS click_id, n_rows::BIGINT AS n_rows, cents::BIGINT AS cents, record, kind FROM o"""
