@@ -54,7 +54,7 @@ class RevisedPanes:
     def __init__(self, spark: SparkSession, width: int = HOUR, due_after: int = 12 * HOUR, close_after: int = 2 * DAY):
         self.spark, self.width, self.due_after, self.close_after = spark.newSession(), width, due_after, close_after
         self.own, self.root = spark, shared_path(spark, "panes")
-        for k, v in SETTINGS.items():
+        for k, v in (SETTINGS | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
             self.spark.conf.set(k, v)
         self.marks: list[int | None] = []  # W of each batch that was fed
         self.seen: int | None = None
