@@ -60,3 +60,17 @@ PANES = f"""
             UNION ALL SELECT batch, hour, -1, all_n, all_c, 'replace', kind FROM e WHERE batch > emitted
             UNION ALL SELECT 9, hour, -1, sum(n), sum(c), 'final', kind FROM e WHERE emitted IS NULL GROUP BY kind, hour)
         SELECT batch::BIGINT AS batch, hour::BIGINT AS hour, click_id::BIGINT AS click_id, n_rows::BIGINT AS n_rows, cents::BIGINT AS cents, record, kind FROM o"""
+
+REPEATS = """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        c AS (SELECT doc_id, q, substr(x, 2 * q + 1, 700) AS y, length(x) // 2 - 100 AS last FROM d, LATERAL (SELECT unnest(range(0, length(x) // 2 - 99, 250)) AS q)),
+        w AS (SELECT doc_id, q + i AS p, substr(y, 2 * i + 1, 200) AS s FROM c, range(250) r(i) WHERE q + i <= last),
+        f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM w),
+        n AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS new FROM f WHERE again),
+        g AS (SELECT doc_id, p, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM n),
+        s AS (SELECT doc_id, g, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY ALL),
+        t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, list_prepend(0, list(b ORDER BY a)) AS froms, list(a ORDER BY a) AS untils FROM s GROUP BY doc_id),
+        k AS (SELECT d.*, removed, spans, coalesce(froms, [0]) AS froms, list_append(coalesce(untils, []), length(x) // 2) AS untils FROM d LEFT JOIN t USING (doc_id))
+        SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda i: substr(x, 2 * froms[i] + 1, 2 * (untils[i] - froms[i]))), ''))) AS kept_sha256
+        FROM k"""

@@ -76,6 +76,12 @@ def op11_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return click_panes(table(spark, sf_dir, "clicks"))
 
 
+def op12_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from capturelake.llm.suffixes import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from capturelake.llm.merkle import manifest
 
@@ -110,6 +116,7 @@ ORACLES = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op11_window_panes": oracles.PANES,
+    "op12_repeated_strings": oracles.REPEATS,
     "op13_merkle_manifest": oracles.MERKLE,
 }
 
