@@ -20,7 +20,7 @@ than ranks, whatever the ties.
 *Hot buckets.* A core that has more than ``LOCAL`` different runs in one task's batch, or ``HOT`` in all, is split: its suffixes are sent one by one, to buckets by the
 hash of the whole head. So no task gets a third of all rows for one common line.
 
-Equal runs are told by 128 bits of hashes; heads of different runs by their bytes.
+Equal runs of a bucket are told by 80 bits of hashes; heads of different runs by their bytes.
 
 Nulls and odd input: a null text is empty and has nothing to remove, nor has one shorter than ``length``. Documents stand in order of id, null ids first, those
 with one id in order of a hash of their text; of rows that repeat with id and text the first stays. Long texts are hashed in
@@ -189,6 +189,11 @@ def _row(ids, keys, lists, extra) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([bucket, ids, keys, lists.cast(pa.list_(pa.int64())), pa.nulls(n, pa.binary())], schema=_ARROW)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """As few bytes a number as will do; hashes are as wide as they are."""
+    return values if values.dtype != np.int64 else values.astype(np.min_scalar_type(int(values.max()))) if values.min() >= 0 else values.astype(np.int32)
+
+
 def _packets(docs: Documents, text: np.ndarray, route: np.ndarray, buckets: int, columns: dict[str, np.ndarray], blobs: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
     """Entries, dealt to buckets by ``route``, with their documents; a packet is an Arrow stream."""
     bucket = (route >> np.uint64(33)).astype(np.int64) % buckets
@@ -197,8 +202,7 @@ def _packets(docs: Documents, text: np.ndarray, route: np.ndarray, buckets: int,
     for a, b in zip(edges, np.r_[edges[1:], len(by)] if len(by) else [], strict=True):
         own = by[a:b]
         used, local = np.unique(text[own], return_inverse=True)
-        names = {"text": local.astype(np.int32)} | {n: c[own] for n, c in columns.items()}
-        arrays = {n: pa.array(c) for n, c in names.items()}
+        arrays = {n: pa.array(_narrow(c)) for n, c in ({"text": local} | {n: c[own] for n, c in columns.items()}).items()}
         if blobs is not None:
             arrays["bytes"] = pa.array([blobs[i] for i in own], pa.binary())
         out = pa.BufferOutputStream()
@@ -231,8 +235,8 @@ class Gathered:
         return Documents(*(c.combine_chunks() if isinstance(c := t[n], pa.ChunkedArray) else c for n in ("doc_id", "key")))
 
     def column(self, name: str) -> np.ndarray:
-        shift = name == "text"
-        return np.concatenate([np.asarray(t[name]).astype(np.int64) + n if shift else np.asarray(t[name]) for n, t in self.entries])
+        shift, wide = name == "text", name in ("text", "first")
+        return np.concatenate([np.asarray(t[name]).astype(np.int64) + n * shift if wide else np.asarray(t[name]) for n, t in self.entries])
 
 
 def census(core: np.ndarray, own: np.ndarray, place: np.ndarray, number: np.ndarray, most: int, split: np.ndarray) -> np.ndarray:
@@ -268,7 +272,7 @@ def _census_map(length: int, buckets: int):
             rest = ~told
             marks = np.unique(core[done == SPLIT])  # every task is told that these are split: an entry without a number
             text, core, own, number = (np.r_[x[rest], m] for x, m in ((text, np.zeros(len(marks), np.int64)), (core, marks), (own, np.zeros(len(marks), np.uint64)), (number, np.full(len(marks), -1))))
-            yield from _packets(docs, text, core, buckets, {"core": core, "own": own, "number": number.astype(np.int32)})
+            yield from _packets(docs, text, core, buckets, {"core": core.astype(np.uint32), "own": (own >> np.uint64(16)).astype(np.uint32), "more": own.astype(np.uint16), "number": number + 1})
 
         for batch in batches:
             for part in in_parts(batch, 2):
@@ -291,11 +295,11 @@ def _census_reduce():
             if (passing := got.take(batch)) is not None:
                 yield passing
         if got.n:
-            docs, text, core, own, number = got.documents(), *map(got.column, ("text", "core", "own", "number"))
-            got = None
+            docs, text, core, own, more, number = got.documents(), *map(got.column, ("text", "core", "own", "more", "number"))
+            own, number, got = own.astype(np.uint64) << np.uint64(16) | more, number.astype(np.int64) - 1, None
             real = number >= 0
             split = np.unique(core[~real])
-            text, core, own, number = text[real], core[real], own[real], number[real].astype(np.int64)
+            text, core, own, number = text[real], core[real], own[real], number[real]
             done = census(core, own, docs.place[text], number, HOT, split) if len(text) else np.zeros(0, np.int64)
             told = done > 0
             # documents that came in several packets have one row for each
@@ -329,7 +333,7 @@ def _sort_map(length: int, buckets: int):
                         last, core = first, _head_hashes(data, offsets[text] + first, length)
                     for a, b in _slices(last - first + length, BATCH):
                         begins, ends = (offsets[text[a:b]] + first[a:b]).tolist(), (offsets[text[a:b]] + last[a:b] + length).tolist()
-                        yield from _packets(docs, text[a:b], core[a:b], buckets, {"core": core[a:b], "first": first[a:b]}, [data[i:j].tobytes() for i, j in zip(begins, ends, strict=True)])
+                        yield from _packets(docs, text[a:b], core[a:b], buckets, {"core": core[a:b].astype(np.uint32), "first": first[a:b]}, [data[i:j].tobytes() for i, j in zip(begins, ends, strict=True)])
         release_memory()
 
     return run
@@ -496,12 +500,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
     bounded_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), F.col(text).alias("text"))
-    long = texts.where(F.octet_length("text") >= length)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    long, short = texts.where(size >= length), texts.where(size < length)
     told = long.mapInArrow(_census_map(length, buckets), PACKET).repartitionById(buckets, F.col("bucket")).mapInArrow(_census_reduce(), PACKET)
     spans = _with_found(long, told, "inner").mapInArrow(_sort_map(length, buckets), PACKET).repartitionById(buckets, F.col("bucket")).mapInArrow(_sort_reduce(length), PACKET)
     schema = f"doc_id long, key long, n_bytes long, n_removed long, spans {SPANS}, kept_sha256 string" + ", kept binary" * with_kept
     names = [c.split()[0] for c in schema.split(", ")]
-    out = _with_found(texts, spans, "left").mapInArrow(_text_map(names, with_kept), schema)
+    out = _with_found(long, spans, "left").mapInArrow(_text_map(names, with_kept), schema)  # the texts' shuffle is that of the first join
+    whole = F.coalesce("text", F.lit(""))
+    same = short.select("doc_id", "key", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(SPANS).alias("spans"), F.sha2(whole, 256).alias("kept_sha256"), *[whole.cast("binary").alias("kept")] * with_kept)
+    out = out.unionByName(same)
     # rows that repeat with id and text: all but one lose everything, if there is a whole string
     copies = out.groupBy(*names).count().withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
     gone = (F.col("copy") > 1) & (F.col("n_bytes") >= length)
