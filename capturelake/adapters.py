@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capturelake.operators import text_index
+from capturelake.plans.lineage import shared_path
 from capturelake.schemas import Library, empty
 
 #: The clock of all queries.
@@ -65,6 +67,17 @@ def archive(spark: SparkSession, sf_dir: str) -> Library:
     )
 
 
+_INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    """The text index of :func:`archive`, written once for an application, as ingest would."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = text_index.build(archive(spark, sf_dir), shared_path(spark, "text-index"))
+    return _INDEXES[key]
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> Library:
     """Events as captures: their type is the category, their user the app."""
     e = table(spark, sf_dir, "events")

@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.adapters import NOW, archive, sign_bits, table, timeline
+from capturelake.adapters import NOW, archive, indexed, sign_bits, table, timeline
 from capturelake.functions import hashing, text
-from capturelake.operators import classify, cleanup, insights, ocr, organize, predicates, rename, search, suggest
+from capturelake.operators import classify, cleanup, insights, ocr, organize, predicates, rename, search, suggest, text_index
 from capturelake.oracles import CORPUS_WORDS, SQL
-from capturelake.plans.lineage import cut
+from capturelake.plans.lineage import cut, shared_path
 from capturelake.plans.query_parser import parse
 from capturelake.schemas import BASE_COLS
 from capturelake.sources import files, thumbnails
@@ -131,8 +131,17 @@ def burst_membership(spark, sf_dir):
     return insights.burst_membership(archive(spark, sf_dir).captures)
 
 
+@query
+def index_tokens(spark, sf_dir):
+    """The archive's text index: how many captures have each token."""
+    return indexed(spark, sf_dir).vocabulary()
+
+
 def _searched(spark, sf_dir, q: str) -> DataFrame:
-    r = search.ranked(archive(spark, sf_dir), parse(q, NOW), NOW)
+    return _rows_of(search.ranked(archive(spark, sf_dir), parse(q, NOW), NOW, indexed(spark, sf_dir)))
+
+
+def _rows_of(r: DataFrame) -> DataFrame:
     return r.select("id", F.round("score", 6).alias("score"), F.round("_sort", 6).alias("sort_key"))
 
 
@@ -174,7 +183,23 @@ def is_duplicate(spark, sf_dir):
 @query
 def search_page(spark, sf_dir):
     """The second page of a search, with its scores."""
-    return search.search(archive(spark, sf_dir), "that with", NOW, limit=60, offset=60).select("id", F.round("score", 6).alias("score"))
+    return search.search(archive(spark, sf_dir), "that with", NOW, limit=60, offset=60, index=indexed(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def search_snippets(spark, sf_dir):
+    """The first page of a search, with its snippets."""
+    return search.search(archive(spark, sf_dir), "with the", NOW, index=indexed(spark, sf_dir)).select("id", "snippet")
+
+
+@query
+def search_after_edits(spark, sf_dir):
+    """A search over an archive in which well rated captures got a tag after the index was written; the index follows by one small segment."""
+    lib = archive(spark, sf_dir)
+    rated = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    lib = organize.tag_all(lib, rated, "Fresh")
+    index = text_index.follow(text_index.branch(indexed(spark, sf_dir), shared_path(spark, "edited-index")), lib)
+    return _rows_of(search.ranked(lib, parse("fresh with", NOW), NOW, index))
 
 
 @query

@@ -103,6 +103,20 @@ def add_tag(lib: Library, id_: int, name: str, origin: str = "manual") -> Librar
     return lib.with_(tags=tags, screenshot_tags=links)
 
 
+def tag_all(lib: Library, ids: DataFrame, name: str, origin: str = "manual") -> Library:
+    """A tag for all captures of ``ids`` (id), as :func:`add_tag` gives it to one."""
+    name = capped_name(name, MAX_TAG, "tag")
+    spark = lib.tags.sparkSession
+    known = lib.tags.where(F.lower("name") == name.lower()).first()
+    tags, tag = lib.tags, known.id if known else _top(lib.tags) + 1
+    if not known:
+        tags = tags.unionByName(spark.createDataFrame([(tag, name)], lib.tags.schema))
+    have = lib.screenshot_tags.where(F.col("tag_id") == tag).select(F.col("screenshot_id").alias("id"))
+    new = lib.captures.select("id").join(ids.select("id"), "id", "left_semi").join(have, "id", "left_anti")
+    links = new.select(F.col("id").alias("screenshot_id"), F.lit(tag).cast("long").alias("tag_id"), F.lit(origin).alias("origin"))
+    return lib.with_(tags=tags, screenshot_tags=lib.screenshot_tags.unionByName(links))
+
+
 def prune_tags(lib: Library) -> Library:
     """Without tags that no capture has."""
     return lib.with_(tags=lib.tags.join(lib.screenshot_tags, F.col("id") == F.col("tag_id"), "left_semi"))

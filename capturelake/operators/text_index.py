@@ -1,85 +1,262 @@
-"""An inverted index of an archive's texts, written at ingest and read by searches.
+"""An inverted index of an archive's texts that is kept up by small writes.
 
-``postings`` has a row for each token of each capture with its weighted frequency, in files by
-bucket of the token, so that a search reads its own tokens' buckets only. ``lengths`` has each capture's number of
-tokens. Words are scored from the index alone; a phrase is counted in the captures that have all of its words.
+An index is a list of immutable *segments*, oldest first, named by a manifest; each version has a manifest of its own. An update writes one new
+segment with what captures have now, and the ids whose entries in older segments no longer count. When there are
+``MERGE`` segments of about one size at the end of the list, they are written as one, without what is dead.
+
+A segment has four tables:
+
+* ``blocks``: a token's postings (id, weighted frequency, length), ``BLOCK`` at most in a row, with their number and what bounds their scores: the greatest
+  frequency, the least length and the latest time. Strong postings come first, the latest first among equally strong ones, so that few blocks
+  can have the best results. Rows lie in folders by a hash of the token, sorted by token;
+* ``forward``: for each capture its tokens with frequencies, length and a hash of its texts, sorted by id;
+* ``replaced``: ids whose older entries are dead;
+* ``retired``: for each token and older segment how many postings that are dead, so that a token's captures are counted from blocks' numbers.
+
+Postings of a token with more than ``CHUNK`` captures are cut into blocks in several tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import uuid
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from capturelake.operators import search
+from capturelake.plans.lineage import cut
+from capturelake.plans.query_parser import ParsedQuery
 from capturelake.schemas import Library
 
-BUCKETS = 64
-POSTINGS = T.StructType([T.StructField("token", T.StringType()), T.StructField("id", T.LongType()), T.StructField("f", T.DoubleType()), T.StructField("bucket", T.IntegerType())])
-LENGTHS = T.StructType([T.StructField("id", T.LongType()), T.StructField("d", T.IntegerType())])
+BLOCK, CLASSES, CHUNK = 128, 8, 100_000
+#: Segments of one size that are merged, and captures up to which sizes count as one.
+MERGE, SMALL = 4, 64
+#: Captures for each folder of a segment's blocks, and the most folders.
+PER_BUCKET, MOST_BUCKETS = 2_000, 4096
 
+_ENTRY = "array<struct<token:string,f:double>>"
+_POSTING = "array<struct<id:bigint,f:double,d:int>>"
+BLOCKS = f"token string, salt int, block long, n long, max_f double, min_d int, max_ts long, postings {_POSTING}, bucket int"
+FORWARD = f"id long, ts long, d int, hash long, entries {_ENTRY}"
+REPLACED, RETIRED = "id long", "token string, seq int, n long"
+MANIFEST = "segment string, seq int, rows long, buckets int, live_rows long, live_length long, version int"
 
-def bucket_of(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+@dataclass(frozen=True)
+class Segment:
+    path: str
+    seq: int
+    rows: int
+    buckets: int
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """The two tables of an index."""
+    """A version of an index below ``root``; ``rows`` and ``length`` are the captures that count and the sum of their lengths."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    spark: SparkSession
+    root: str
+    version: int
+    segments: tuple[Segment, ...]
+    rows: int
+    length: int
 
-    def tokens(self, tokens: list[str]) -> DataFrame:
-        """Postings of some tokens, from their buckets."""
-        spark = self.postings.sparkSession
-        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(bucket_of(F.col("t"))).collect()]
-        return self.postings.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*tokens)).select("token", "id", "f")
+    def read(self, name: str, schema: str, segments: tuple[Segment, ...] | None = None) -> DataFrame:
+        """A table of all segments, with their numbers ``seq``."""
+        parts = [self.spark.read.schema(schema).parquet(f"{s.path}/{name}").withColumn("seq_", F.lit(s.seq)) for s in (self.segments if segments is None else segments)]
+        out = parts[0] if parts else self.spark.createDataFrame([], schema + ", seq_ int")
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
+    def alive(self, rows: DataFrame, segments: tuple[Segment, ...] | None = None) -> DataFrame:
+        """``rows`` (id, seq_, ...) that no later one of the segments replaces."""
+        dead = self.read("replaced", REPLACED, segments).groupBy(F.col("id").alias("_id")).agg(F.max("seq_").alias("_until"))
+        if len(self.segments if segments is None else segments) < 2:
+            return rows
+        return rows.join(dead, (F.col("id") == F.col("_id")) & (F.col("seq_") < F.col("_until")), "left_anti")
+
+    def forward(self) -> DataFrame:
+        return self.alive(self.read("forward", FORWARD))
+
+    def blocks(self, tokens: list[str]) -> DataFrame:
+        """The blocks of some tokens, dead postings included: only their folders are read."""
+        out = None
+        for s in self.segments:
+            here = sorted({_bucket(self.spark, t, s.buckets) for t in tokens})
+            part = self.spark.read.schema(BLOCKS).parquet(f"{s.path}/blocks").where(F.col("bucket").isin(*here) & F.col("token").isin(*tokens)).withColumn("seq_", F.lit(s.seq))
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], BLOCKS + ", seq_ int") if out is None else out
+
+    def postings(self, blocks: DataFrame) -> DataFrame:
+        """(token, id, f, d) of blocks, those that count."""
+        rows = blocks.select("token", "seq_", F.explode("postings").alias("p")).select("token", "seq_", "p.id", "p.f", "p.d")
+        return self.alive(rows).select("token", "id", "f", "d")
+
+    def counts(self, tokens: list[str]) -> dict[str, tuple[int, float]]:
+        """For each token how many captures have it, and a bound of what it adds to a score but its rarity. No posting is read."""
+        impact = impact_of(F.col("max_f"), F.col("min_d"), self.mean)
+        there = self.blocks(tokens).groupBy("token").agg(F.sum("n").alias("n"), F.max(impact).alias("bound"))
+        gone = self.read("retired", RETIRED).where(F.col("token").isin(*tokens)).groupBy("token").agg(F.sum("n").alias("gone"))
+        return {r.token: (r.n - (r.gone or 0), r.bound) for r in there.join(gone, "token", "left").collect()}  # a row for each word of a query
+
+    def vocabulary(self) -> DataFrame:
+        """(token, n): how many captures have each token."""
+        n = self.read("blocks", BLOCKS).select("token", "n").unionByName(self.read("retired", RETIRED).select("token", (-F.col("n")).alias("n")))
+        return n.groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
+
+    @property
+    def mean(self) -> float:
+        return self.length / self.rows if self.rows and self.length else 1.0
 
-def _entries(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    weighed = F.concat(*map(_weighed, search.WEIGHTS))
-    postings = docs.select("id", F.explode(weighed).alias("e")).groupBy(F.col("e.token").alias("token"), "id").agg(F.sum("e.w").alias("f"))
-    lengths = docs.select("id", sum((F.size(f"t_{c}") for c in search.WEIGHTS), F.lit(0)).alias("d"))
-    return postings.withColumn("bucket", bucket_of(F.col("token"))), lengths
+
+def impact_of(f: Column, d: Column, mean: float) -> Column:
+    """The part of bm25 that a posting alone decides; grows with ``f`` and falls with ``d``."""
+    return f * (search.K1 + 1) / (f + search.K1 * (1 - search.B + search.B * d / F.lit(mean)))
+
+
+def _hash_bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def _bucket(spark: SparkSession, token: str, buckets: int) -> int:
+    return spark.range(1).select(_hash_bucket(F.lit(token), buckets)).first()[0] if buckets > 1 else 0
+
+
+def _texts(docs: DataFrame) -> Column:
+    """A hash of what the index has of a capture."""
+    return F.xxhash64(F.col("created_ts"), *(F.array_join(f"t_{c}", " ") for c in search.WEIGHTS))
 
 
 def _weighed(column: str) -> Column:
     return F.transform(f"t_{column}", lambda w: F.struct(w.alias("token"), F.lit(search.WEIGHTS[column]).alias("w")))
 
 
-def build(lib: Library, path: str) -> TextIndex:
-    """Write the index of all captures to a new folder that all machines see."""
-    postings, lengths = _entries(search.documents(lib))
-    # each bucket is sorted by token, so that a search skips what it doesn't ask for; hot tokens are spread over files
-    postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.write.parquet(f"{path}/lengths")
-    return load(lib.captures.sparkSession, path)
+def _forward(docs: DataFrame) -> DataFrame:
+    """A row for each capture of :func:`search.documents`."""
+    length = sum((F.size(f"t_{c}") for c in search.WEIGHTS), F.lit(0))
+    weighed = F.concat(*map(_weighed, search.WEIGHTS))
+    rows = docs.select("id", F.col("created_ts").alias("ts"), length.cast("int").alias("d"), _texts(docs).alias("hash"), weighed.alias("e")).repartition("id")
+    keys = ("id", "ts", "d", "hash")
+    each = rows.select(*keys, F.explode_outer("e").alias("e")).groupBy(*keys, F.col("e.token").alias("token")).agg(F.sum("e.w").alias("f"))
+    entry = F.when(F.col("token").isNotNull(), F.struct("token", "f"))
+    return each.groupBy(*keys).agg(F.collect_list(entry).alias("entries"))
+
+
+def _write(spark: SparkSession, root: str, forward: DataFrame, replaced: DataFrame | None, retired: DataFrame | None, seq: int, mean: float | None = None) -> tuple[Segment, int]:
+    """A segment of ``forward`` rows; also the sum of their lengths."""
+    path = f"{root}/segments/s{seq:06d}-{uuid.uuid4().hex[:8]}"
+    forward.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/forward")
+    forward = spark.read.schema(FORWARD).parquet(f"{path}/forward")
+    size = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")).first()
+    buckets = min(MOST_BUCKETS, max(1, size.n // PER_BUCKET))
+    posts = forward.select("id", "ts", "d", F.explode("entries").alias("e")).select("id", "ts", "d", "e.token", "e.f")
+    salts = posts.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK)  # none in a small segment
+    posts = posts.join(salts, F.col("token") == F.col("_t"), "left")
+    posts = posts.withColumn("salt", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.floor(F.col("_n") / CHUNK) + 1)).cast("int"))
+    strength = F.floor(impact_of(F.col("f"), F.col("d"), mean or max(1.0, size.d / max(1, size.n))) * CLASSES / (search.K1 + 1))
+    w = Window.partitionBy("token", "salt").orderBy(strength.desc(), F.desc_nulls_last("ts"), F.desc("id"))
+    posts = posts.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK))
+    blocks = posts.groupBy("token", "salt", "block").agg(F.count("*").alias("n"), F.max("f").alias("max_f"), F.min("d").alias("min_d"), F.max("ts").alias("max_ts"), F.collect_list(F.struct("id", "f", "d")).alias("postings"))
+    blocks = blocks.withColumn("bucket", _hash_bucket(F.col("token"), buckets))
+    blocks.repartition("bucket", "salt", F.pmod(F.xxhash64("token"), F.lit(8))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    (replaced if replaced is not None else spark.createDataFrame([], REPLACED)).write.parquet(f"{path}/replaced")
+    (retired if retired is not None else spark.createDataFrame([], RETIRED)).write.parquet(f"{path}/retired")
+    return Segment(path, seq, size.n, buckets), size.d
+
+
+def _publish(index: TextIndex) -> TextIndex:
+    """Write the manifest that makes a version: a row for each segment."""
+    rows = [(s.path, s.seq, s.rows, s.buckets, index.rows, index.length) for s in index.segments]
+    index.spark.createDataFrame(rows, MANIFEST.rpartition(",")[0]).coalesce(1).write.parquet(f"{index.root}/manifests/version={index.version}")
+    return index
 
 
-def load(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(LENGTHS).parquet(f"{path}/lengths"))
+def build(lib: Library, root: str) -> TextIndex:
+    """The index of all captures, as version 0 in a new folder that all machines see."""
+    spark = lib.captures.sparkSession
+    segment, length = _write(spark, root, _forward(search.documents(lib)), None, None, 0)
+    return _publish(TextIndex(spark, root, 0, (segment,), segment.rows, length))
 
 
-def updated(index: TextIndex, lib: Library, ids: DataFrame, path: str) -> TextIndex:
-    """The index as a new version in another folder, with captures of ``ids`` read again from the library; gone ones lose their entries."""
-    only = lib.with_(captures=lib.captures.join(ids, "id", "left_semi"))
-    postings, lengths = _entries(search.documents(only))
-    kept = index.postings.join(ids, "id", "left_anti").select(*POSTINGS.names)
-    kept.unionByName(postings).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index.lengths.join(ids, "id", "left_anti").unionByName(lengths).write.parquet(f"{path}/lengths")
-    return load(ids.sparkSession, path)
+def load(spark: SparkSession, root: str, version: int | None = None) -> TextIndex:
+    """A version of an index, the last one by default."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{root}/manifests")
+    version = rows.agg(F.max("version")).first()[0] if version is None else version
+    rows = rows.where(F.col("version") == version).orderBy("seq").collect()  # the segments: few, as they are merged
+    if not rows:
+        raise FileNotFoundError(f"no version {version} of an index below {root}")
+    return TextIndex(spark, root, version, tuple(Segment(r.segment, r.seq, r.rows, r.buckets) for r in rows), rows[0].live_rows, rows[0].live_length)
+
+
+def branch(index: TextIndex, root: str) -> TextIndex:
+    """The same version, whose further ones are written in another folder."""
+    return replace(index, root=root)
+
+
+def update(index: TextIndex, lib: Library, ids: DataFrame) -> TextIndex:
+    """The next version, with captures of ``ids`` as the library has them; those it doesn't have lose their entries.
+
+    What is written is a segment of these captures, and now and then a merged one."""
+    spark, seq = index.spark, max((s.seq for s in index.segments), default=-1) + 1
+    ids = cut(ids.select("id").where("id is not null").distinct(), "changed")
+    only = lib.with_(captures=lib.captures.join(ids, "id", "left_semi"), ocr_text=lib.ocr_text.join(ids, F.col("screenshot_id") == F.col("id"), "left_semi"), screenshot_tags=lib.screenshot_tags.join(ids, F.col("screenshot_id") == F.col("id"), "left_semi"))
+    old = cut(index.forward().join(ids, "id", "left_semi"), "retired")
+    retired = old.select("seq_", F.explode("entries").alias("e")).groupBy(F.col("e.token").alias("token"), F.col("seq_").alias("seq")).agg(F.count("*").alias("n"))
+    gone = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")).first()
+    segment, length = _write(spark, index.root, _forward(search.documents(only)), ids, retired, seq, index.mean)
+    out = replace(index, version=index.version + 1, segments=(*index.segments, segment), rows=index.rows - gone.n + segment.rows, length=index.length - gone.d + length)
+    return _publish(_merged(out))
+
+
+def changes(index: TextIndex, lib: Library) -> DataFrame:
+    """Ids of captures whose texts, tags, names or time differ from what the index has, of new ones and of those that are gone."""
+    docs = search.documents(lib)
+    now = docs.select("id", _texts(docs).alias("hash"))
+    old = index.forward().select(F.col("id").alias("old_id"), F.col("hash").alias("old_hash"))
+    both = now.join(old, F.col("id") == F.col("old_id"), "full")
+    return both.where(~F.col("hash").eqNullSafe(F.col("old_hash"))).select(F.coalesce("id", "old_id").alias("id"))
+
+
+def follow(index: TextIndex, lib: Library) -> TextIndex:
+    """The version that goes with a library, whatever was done to it; the same one if nothing differs."""
+    ids = cut(changes(index, lib), "changes")
+    return index if ids.isEmpty() else update(index, lib, ids)
+
+
+def _tier(rows: int) -> int:
+    return max(0, math.ceil(math.log(max(1, rows) / SMALL, MERGE)))
+
+
+def _merged(index: TextIndex) -> TextIndex:
+    """With the last segments as one for as long as there are MERGE of one size or less."""
+    while True:
+        tail, most = [], 0
+        for s in reversed(index.segments):
+            most = max(most, _tier(s.rows)) if not tail else most
+            if _tier(s.rows) > most:
+                break
+            tail.append(s)
+        if len(tail) < MERGE:
+            return index
+        tail = tuple(reversed(tail))
+        older = index.segments[: -len(tail)]
+        rows = index.alive(index.read("forward", FORWARD, tail), tail).drop("seq_")
+        replaced = index.read("replaced", REPLACED, tail).select("id").distinct() if older else None
+        retired = index.read("retired", RETIRED, tail).where(F.col("seq") < tail[0].seq).groupBy("token", "seq").agg(F.sum("n").alias("n")) if older else None
+        segment, _ = _write(index.spark, index.root, rows, replaced, retired, tail[-1].seq, index.mean)
+        index = replace(index, segments=(*older, segment))
 
 
 def frequencies(index: TextIndex, lib: Library, units: list[list[str]]) -> DataFrame:
-    """(id, f_0, f_1, ...) of captures that have some unit: how often, weighted by column."""
+    """(id, d, f_0, f_1, ...) of captures that have some unit: their length, and how often, weighted by column."""
     words = sorted({w for u in units for w in u})
-    found = index.tokens(words)
+    found = index.postings(index.blocks(words))
+    by_word = found.groupBy("id").agg(F.max("d").alias("d"), *(F.coalesce(F.sum(F.when(F.col("token") == w, F.col("f"))), F.lit(0.0)).alias(f"w_{k}") for k, w in enumerate(words)))
     single = [i for i, u in enumerate(units) if len(u) == 1]
-    by_word = found.groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("token") == w, F.col("f"))), F.lit(0.0)).alias(f"w_{k}") for k, w in enumerate(words)))
-    out = by_word.select("id", *(F.col(f"w_{words.index(units[i][0])}").alias(f"f_{i}") for i in single), *(F.col(f"w_{k}") for k in range(len(words))))
+    out = by_word.select("id", "d", *(F.col(f"w_{words.index(units[i][0])}").alias(f"f_{i}") for i in single), *(F.col(f"w_{k}") for k in range(len(words))))
     for i, u in enumerate(units):
         if len(u) > 1:
             have = F.lit(True)
@@ -89,4 +266,73 @@ def frequencies(index: TextIndex, lib: Library, units: list[list[str]]) -> DataF
             only = lib.with_(captures=lib.captures.join(wanted, "id", "left_semi"))
             counted = search.documents(only).select(F.col("id").alias("_i"), search.weighted(u).alias(f"f_{i}"))
             out = out.join(counted, F.col("id") == F.col("_i"), "left").drop("_i").withColumn(f"f_{i}", F.coalesce(f"f_{i}", F.lit(0.0)))
-    return out.select("id", *(f"f_{i}" for i in range(len(units))))
+    return out.select("id", "d", *(f"f_{i}" for i in range(len(units))))
+
+
+def frequencies_of(index: TextIndex, candidates: DataFrame, words: list[str]) -> DataFrame:
+    """(id, d, f_0, ...) of candidates (id), from their own token lists."""
+    rows = index.forward().join(candidates.select("id"), "id", "left_semi")
+    f = lambda w: F.coalesce(F.get(F.filter("entries", lambda e: e["token"] == w), F.lit(0))["f"], F.lit(0.0))
+    return rows.select("id", "d", *(f(w).alias(f"f_{i}") for i, w in enumerate(words)))
+
+
+@dataclass(frozen=True)
+class Best:
+    """The best results of a query, and how many of its driving word's blocks were read for them."""
+
+    rows: DataFrame
+    blocks_read: int
+    blocks: int
+
+
+def best(index: TextIndex, lib: Library, query: ParsedQuery, now: int, k: int) -> Best:
+    """The first ``k`` results of a query of single words, without scoring all matches.
+
+    The rarest word drives: all results are in its blocks. A block's bound is what its own greatest frequency and least length can give, what the other words give at
+    most, the phrase's boost, and the recency boosts of its latest time. The blocks of the highest bounds are scored first; they give a least score, and
+    then only blocks whose bound reaches it are read. Filters may leave too few results: then more blocks are taken up, eight times as many each round.
+    """
+    words = [u[0] for u in query.units]
+    counts = index.counts(sorted(set(words)))
+    if any(counts.get(w, (0, 0))[0] <= 0 for w in words):
+        return Best(search.scored(lib, query, now, _nothing(index, words), [1.0] * len(words), 1.0).limit(0), 0, 0)
+    idf = [search.rarity(index.rows, counts[w][0]) for w in words]
+    driver = min(words, key=lambda w: (counts[w][0], w))
+    own = sum(i for i, w in zip(idf, words, strict=True) if w == driver)
+    others = sum(i * counts[w][1] for i, w in zip(idf, words, strict=True) if w != driver)
+    bound = own * impact_of(F.col("max_f"), F.col("min_d"), index.mean) + others + search.PHRASE_BOOST * bool(query.boost_phrase) + search.recency(F.col("max_ts"), now)
+    key = ["seq_", "salt", "block"]
+    left = index.blocks([driver]).select(*key, "max_ts", (bound * (1 + 1e-9) + 1e-9).alias("bound"))  # sums are rounded
+    left = cut(left, "bounds")
+    total, read, least, tops, most = left.count(), 0, None, None, max(2, -(-2 * k // BLOCK))
+    while True:
+        if least is None:
+            chosen = left.orderBy(F.desc("bound"), F.desc_nulls_last("max_ts")).limit(most)
+        else:
+            tie = (F.col("bound") <= least["_sort"] + 2e-9 * (1 + abs(least["_sort"]))) & (F.coalesce("max_ts", F.lit(-(2**63))) < F.lit(least["created_ts"] if least["created_ts"] is not None else -(2**63)))
+            chosen = left.where((F.col("bound") >= least["_sort"]) & ~tie)
+        chosen = cut(chosen.select(*key), "chosen")
+        n = chosen.count()
+        if not n:
+            break
+        read += n
+        blocks = index.blocks([driver]).join(chosen, key, "left_semi")
+        candidates = index.postings(blocks).select("id")
+        found = frequencies_of(index, candidates, words)
+        top = search.scored(lib, query, now, found, idf, index.mean)
+        if tops is not None:
+            top = top.unionByName(tops)
+        tops = cut(top.orderBy(*search.order_of(query)).limit(k), "best")
+        done = least is not None
+        last = tops.orderBy(F.asc("_sort"), F.asc_nulls_first("created_ts"), F.asc("id")).first() if tops.count() >= k else None
+        left = cut(left.join(chosen, key, "left_anti"), "bounds")
+        if done:  # all blocks that reach an earlier, lower score have been read
+            break
+        least, most = last, most * 8
+    if tops is None:
+        tops = search.scored(lib, query, now, _nothing(index, words), idf, index.mean)
+    return Best(tops, read, total)
+
+
+def _nothing(index: TextIndex, words: list[str]) -> DataFrame:
+    return index.spark.createDataFrame([], "id long, d int" + "".join(f", f_{i} double" for i in range(len(words))))

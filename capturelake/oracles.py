@@ -290,6 +290,13 @@ SQL: dict[str, str] = {
         ('in march', epoch(make_date(year(day), 3, 1)), epoch(make_date(year(day), 4, 1))), ('from december', epoch(make_date(year(day) - 1, 12, 1)), epoch(make_date(year(day), 1, 1)))) t(words, a, b))""",
         f"now AS (SELECT make_timestamp({NOW}::BIGINT * 1000000)::DATE AS day)",
     ).replace("FROM (VALUES", "FROM now, LATERAL (VALUES"),
+    "search_after_edits": bm25([["fresh"], ["with"]], phrase="fresh with").replace("FROM tagged GROUP BY id", "FROM (SELECT id, name FROM tagged UNION ALL SELECT doc_id, 'Fresh' FROM d WHERE quality = 1) GROUP BY id"),
+    "index_tokens": lib(
+        "SELECT token, count(*) AS n FROM (SELECT DISTINCT id, unnest(list_concat(" + ", ".join(f"t_{c}" for c in _WEIGHTS) + ")) AS token FROM tk) GROUP BY token",
+        f"""tt AS (SELECT id, string_agg(name, ' ' ORDER BY name) AS tagtext FROM tagged GROUP BY id),
+        base AS (SELECT captures.*, ocr.text, tagtext FROM captures LEFT JOIN ocr USING (id) LEFT JOIN tt USING (id)),
+        tk AS (SELECT id, {", ".join(f"{tokens(c)} AS t_{c}" for c in _WEIGHTS)} FROM base)""",
+    ),
     "search_page": f"SELECT id, score FROM ({bm25([['that'], ['with']], phrase='that with')}) JOIN (SELECT doc_id AS id, CASE WHEN n_chars % 13 <> 0 THEN {NOW} - ((doc_id % 700) * 90001 + (doc_id // 700) * 600) END AS created_ts FROM documents) USING (id) ORDER BY sort_key DESC, created_ts DESC NULLS LAST, id DESC LIMIT 60 OFFSET 60",
     "similar_captures": f"""WITH RECURSIVE {PREFIX}, n AS (SELECT id, row_number() OVER (ORDER BY id) AS rn, [('0x' || substr(content_hash, i, 1))::INT FOR i IN [1, 5, 9, 13]] AS h FROM avail),
         r(rn, reps) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, h INT[])[] UNION ALL

@@ -5,24 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back.
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path under ``spark.checkpoint.dir``, used by nobody else.
 
     Where that is unset, as on one machine in tests, a temporary folder is set; on a cluster that is an error."""
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="capturelake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back; see :func:`shared_path`."""
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, name: str, order: list[Column], first: int = 0) -> DataFrame:
