@@ -80,11 +80,13 @@ CLOSES_P = BLOCKS - frozenset("body html head td th tr tbody thead tfoot option
 NEVER = frozenset("nav footer aside form button select fieldset menu dialog option legend label input head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments respond reply replies disqus discussion pagination pager toolbar search skip tags".split())
+NOISE_WORDS = frozenset("ad ads adv adsense adslot adunit advert adverts advertisement advertisements advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments respond reply replies disqus discussion pagination pager toolbar search skip tags".split())
 #: Those of NOISE_WORDS that name a place in the layout, which can as well hold the article.
 WRAPPER_WORDS = frozenset("widget widgets sidebar side rail banner header masthead topbar toolbar notice notices notification alert popup modal overlay lightbox search skip tags".split())
-#: Words that may stand beside a noise word in a class name; with any other word ("has-sidebar") the name says something else.
-BESIDE = frozenset("a area bar block bottom box col column container footer global group inner item items left links list main outer primary right secondary section site the top wrap wrapper".split())
+#: Words that may stand beside a noise word in a class name, as may those of an article ("sponsored-content", "post-comments"); with any other word the name says something else.
+BESIDE = frozenset("a area articles bar block body bottom box button col column container entries feed footer form global google group inline inner item items left link links list main native outer page posts primary reader readers right secondary section site slot space stories text the thread top unit user users wrap wrapper zone".split())
+#: Those of NOISE_WORDS that beside an article's word name a part of the article; words that say what an element has beside it ("has-sidebar").
+HEADS, HOLDING = frozenset("banner header masthead".split()), frozenset("has no not with without".split())
 ARTICLE_WORDS = frozenset("article post entry story articlebody postcontent entrycontent articlecontent content".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -94,13 +96,25 @@ _WORDS = re.compile(r"[a-z]+")
 _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _words(label: str) -> set[str]:
+    return set(_WORDS.findall(_SPLIT.sub(" ", label).lower()))
+
+
 def _guess(label: str) -> int:
-    """What a whole class name or id says of an element: WRAPPED, OTHERS or 0."""
-    words = set(_WORDS.findall(_SPLIT.sub(" ", label).lower()))
+    """What a whole class name or id says of an element: WRAPPED, OTHERS or 0. A noise word wins over an article's word beside it."""
+    words = _words(label)
     noise = words & NOISE_WORDS
-    if not noise or words - NOISE_WORDS - BESIDE:
+    if not noise or words & HOLDING or words - NOISE_WORDS - BESIDE - ARTICLE_WORDS:
         return 0
-    return OTHERS if noise - WRAPPER_WORDS else WRAPPED
+    if noise - WRAPPER_WORDS:
+        return OTHERS
+    return 0 if words & ARTICLE_WORDS and not noise - HEADS else WRAPPED
+
+
+def _of_article(label: str) -> bool:
+    """Whether a class name or id says that an element is an article: by an article's word, and no noise word."""
+    words = _words(label)
+    return bool(ARTICLE_WORDS & {*words, "".join(_WORDS.findall(label.lower()))}) and not words & NOISE_WORDS
 
 
 @functools.lru_cache(maxsize=50_000)
@@ -109,16 +123,17 @@ def _traits(tag: str, attrs: str) -> tuple[str, int, int, str]:
     name, never, article, link = tag, NOTHING if tag in NEVER else 0, 0, ""
     if attrs and not attrs.isspace():
         own = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-        label = _SPLIT.sub(" ", f"{own.get('class', '')} {own.get('id', '')}").lower()
-        words = _WORDS.findall(label)
+        labels = f"{own.get('class', '')} {own.get('id', '')}".split()
         classes = " ".join(sorted(set(re.sub(r"\d+", "#", own.get("class", "").lower()).split())))
         name = f"{tag}.{classes}" if classes else tag
         role = own.get("role", "").lower()
         if role in NOISE_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
             never = NOTHING
-        elif not never and tag not in ("html", "body", "main", "article", "p"):
-            never = max((_guess(c) for c in f"{own.get('class', '')} {own.get('id', '')}".split()), default=0)
-        article = 2 if role in ("main", "article") or own.get("itemprop") == "articleBody" else int(tag in ("div", "section", "td") and bool(ARTICLE_WORDS & {*words, "".join(words)}))
+        elif not never and tag not in ("html", "body", "main"):
+            never = max(map(_guess, labels), default=0)
+            if tag == "article" and never != OTHERS:
+                never = 0  # where an article stands in the layout doesn't matter
+        article = 2 if role in ("main", "article") or own.get("itemprop") == "articleBody" else int(tag in ("div", "section", "td") and any(map(_of_article, labels)))
         link = own.get("href", "")
     return name, never, article, link
 
@@ -194,7 +209,7 @@ class _Open:
 def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[Block], list[tuple[int, int]]]:
     """Blocks of a page in order, and (node, style) of each block-level element if asked for.
 
-    ``article`` of a block is 2 inside an article element, 1 inside main or what
+    ``article`` of a block is 3 inside an article element, 2 inside main or what has such a role, 1 inside of what
     is an article by class, else 0.
     """
     blocks: list[Block] = []
@@ -340,7 +355,7 @@ def parse(page: str | None, host: str, with_styles: bool = False) -> tuple[list[
                 links.append(link)
             in_link += 1
         top = stack[-1]
-        inside = max(top.article, 2 if tag == "article" else 1 if tag == "main" or article else 0)
+        inside = max(top.article, 3 if tag == "article" else 2 if tag == "main" or article == 2 else article)
         header = tag == "header" or top.header
         skip = top.skip
         if skip and (article == 2 or tag in ("main", "article")):
@@ -378,6 +393,8 @@ def main_text(page: str | None, host: str, noise) -> str:
         left = [b for b in blocks if b.skip < NOTHING]
     bound = max((b.article for b in left), default=0)
     chosen = [b for b in left if b.article == bound] if bound else left
+    if bound == 1 and 2 * sum(len(b.text) for b in chosen) < sum(len(b.text) for b in left if b.links[0] < 0.8):
+        bound, chosen = 0, left  # a class name alone bounds the text only if that has most of it
     if not bound:  # menus that no tag or class names: lists that are links nearly all
         chosen = [b for b in chosen if not (b.tag in ("li", "td", "div", "ul", "dd") and b.links[0] >= 0.8)]
     kept = [b for b in chosen if not any(n in noise for n in b.chain) and repeat_key(b) not in noise] if noise else chosen

@@ -188,3 +188,26 @@ def test_tree_equals_plain_sums(spark):
         r = got[n]
         assert r.m == m and near(r.content, content) and near(r.presentation, look) and near(r.composite, both) and r.noise == noise
     assert any(r.noise for r in got.values()) and not all(r.noise for r in got.values())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div><p>Real article</p></div><div class="sponsored-content"><p>Buy now</p></div>', "Real article"),
+        ('<p>Real article</p><ul><li><div class="comment-content">first!</div></li></ul>', "Real article"),
+        ('<main><div class="story">Story</div><article class="comment">c1</article></main>', "Story"),
+        ('<div class="lead">story of the day</div><div class="post">Other</div>', "story of the day\n\nOther"),
+        ('<div class="post">A story that is longer than all the rest of it</div><div class="lead">more</div>', "A story that is longer than all the rest of it"),
+        ('<article class="post has-sidebar"><h1 class="entry-title">T</h1><div class="post-header">H</div><p>x</p></article>', "T\n\nH\n\nx"),
+        ('<article class="sidebar-item"><p>x</p></article>', "x"),
+        ('<div class="content-with-sidebar"><p>x</p></div>', "x"),
+    ],
+)
+def test_class_names_weigh_noise_and_article_words(page, want):
+    assert he.main_text(page, "h", ()) == want
+
+
+@pytest.mark.parametrize("name", ["ad", "advert", "cookie-notice", "post-comments", "user-comments", "reader-comments", "related-posts", "ad-slot", "adsense", "subscribe-form", "entry-footer", "article-footer", "sponsored-post", "comment-body", "promoted-content"])
+@pytest.mark.parametrize("tag", ["p", "div", "section", "aside"])
+def test_noise_within_an_article(tag, name):
+    assert he.main_text(f'<article><p>One.</p><{tag} class="{name}">No.</{tag}><p>Two.</p></article>', "h", ()) == "One.\n\nTwo."

@@ -93,7 +93,7 @@ def test_broken_records_are_told_and_passed_over(spark, tmp_path):
     assert {f"<urn:uuid:{i}>" for i in (1, 2, 3, 5)} <= set(refers) and "<urn:uuid:4>" not in refers
     assert [n for n, _ in problems] == [sources[0]] * 3 + [sources[1]] and any("many" in why for _, why in problems)
     with pytest.raises(Exception, match="length"):
-        warc.derive_files(spark, sources, f"file://{tmp_path}/strict")
+        warc.derive_files(spark, sources[:1], f"file://{tmp_path}/strict")
 
 
 def test_broken_files():
