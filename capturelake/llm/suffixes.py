@@ -185,7 +185,11 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("key", pa.i
 def _row(ids, keys, lists, extra) -> pa.RecordBatch:
     n = len(ids)
     bucket = extra.get("bucket")
-    bucket = pa.array((np.asarray(keys).astype(np.uint64) % np.uint64(bucket)).astype(np.int32)) if bucket else pa.nulls(n, pa.int32())
+    if bucket:  # by id and text, as one text may have any number of copies
+        spread = mixed(np.asarray(keys).astype(np.uint64) ^ np.asarray(ids.fill_null(0)).astype(np.uint64) * np.uint64(_STEP))
+        bucket = pa.array((spread % np.uint64(bucket)).astype(np.int32))
+    else:
+        bucket = pa.nulls(n, pa.int32())
     return pa.RecordBatch.from_arrays([bucket, ids, keys, lists.cast(pa.list_(pa.int64())), pa.nulls(n, pa.binary())], schema=_ARROW)
 
 
