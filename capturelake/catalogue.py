@@ -92,7 +92,7 @@ def path_by_hash(spark, sf_dir):
 
 @query
 def hamming_pairs(spark, sf_dir):
-    return insights.hamming_pairs(sign_bits(spark, sf_dir), 14)
+    return insights.hamming_pairs(sign_bits(spark, sf_dir), 20)
 
 
 @query
@@ -350,7 +350,11 @@ def problems_listed(spark, sf_dir):
 
 @query
 def cleanup_overview(spark, sf_dir):
-    o = cleanup.overview(archive(spark, sf_dir), NOW, distance=0)
+    """The overview of an archive in which sight hashes of six captures each differ in 16 bits at most."""
+    lib = archive(spark, sf_dir)
+    six = F.sha2(F.floor(F.col("id") / 6).cast("string"), 256)
+    lib = lib.with_(captures=lib.captures.withColumn("phash", F.concat(F.substring(six, 1, 12), F.substring("content_hash", 1, 4))))
+    o = cleanup.overview(lib, NOW)
     return o.drop("old_age_days", "large_min_bytes")
 
 
@@ -561,10 +565,13 @@ def stream_sessions(spark, sf_dir):
 
 @query
 def display_names(spark, sf_dir):
-    """Names as people read them."""
-    part = table(spark, sf_dir, "part").withColumn("file", F.concat(F.when(F.col("p_partkey") % 2 == 0, "Screenshot from ").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".png")))
-    title = F.concat("p_name", F.lit(" · "), F.col("p_partkey").cast("string"))
-    return part.select(F.col("p_partkey").alias("id"), text.display_name(F.col("file")).alias("shown"), text.plain_title(title).alias("title"))
+    """Names as people read them: with extensions, underscores and hyphens, and titles that are a count alone."""
+    key = F.col("p_partkey")
+    lead = F.when(key % 2 == 0, "Screenshot from ").when(key % 3 == 0, "screenshot FROM ").when(key % 5 == 0, "Screenshot-from ").otherwise("")
+    file = F.concat(lead, F.replace("p_name", F.lit(" "), F.when(key % 4 == 0, "-").otherwise("_")), F.lit(".png"))
+    title = F.concat(F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("  "), "p_name")), F.when(key % 11 == 0, "\u00a0·\t").otherwise(" · "), key.cast("string"))
+    part = table(spark, sf_dir, "part")
+    return part.select(key.alias("id"), text.display_name(file).alias("shown"), text.plain_title(title).alias("title"))
 
 
 @query

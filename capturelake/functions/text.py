@@ -97,14 +97,19 @@ def escape_like(text: str) -> str:
     return text.replace("\\", "\\\\")
 
 
+#: White space as scripts of web pages have it.
+_SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
 def display_name(name: Column) -> Column:
-    """A capture's file name as people read it."""
-    return F.regexp_replace(F.regexp_replace(stem(name), r"(?i)^screen ?shot (from )?", ""), r"[_-]+", " ")
+    """A capture's file name in lists: without a leading "Screenshot from ", else as it is."""
+    return F.regexp_replace(name, r"(?i)^screenshot from ", "")
 
 
 def plain_title(name: Column) -> Column:
-    """A proposal's name without its count."""
-    return F.regexp_replace(name, r" · [0-9]+$", "")
+    """A proposal's name without its count and trimmed; the name as it is if nothing is left."""
+    rest = F.regexp_replace(F.regexp_replace(name, rf"{_SPACE}·{_SPACE}[0-9]+\z", ""), rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.when(rest == "", name).otherwise(rest)
 
 
 def sanitize_term(word: str) -> str:

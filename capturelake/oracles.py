@@ -90,6 +90,13 @@ def bm25(units: list[list[str]], where: str = "true", phrase: str | None = None)
 
 BITS = "bits AS (SELECT vec_id AS id, CAST(sum(CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (63 - i)) ELSE 0 END) AS BIGINT) AS bits FROM embeddings, range(1, 64) t(i) GROUP BY vec_id)"
 _DUP = "dup AS (SELECT content_hash AS key, count(*) AS count, string_agg(id, ',' ORDER BY ev DESC, id DESC) AS ids, arg_max(id, (ev, id)) AS keep_id, arg_max(size, (ev, id)) AS keep_size FROM avail GROUP BY content_hash HAVING count(*) > 1)"
+_APART = "bit_count(xor({a}.h[1], {b}.h[1])) + bit_count(xor({a}.h[2], {b}.h[2])) <= 8"
+_NEAR = f"""hn AS (SELECT id, size, row_number() OVER (ORDER BY id) AS rn, [('0x' || substr(sha256((id // 6)::VARCHAR), 1, 8))::BIGINT, ('0x' || substr(sha256((id // 6)::VARCHAR), 9, 4) || substr(content_hash, 1, 4))::BIGINT] AS h FROM avail),
+    hr(rn, reps) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, h BIGINT[])[] UNION ALL
+        SELECT hn.rn, CASE WHEN len(list_filter(hr.reps, lambda s: {_APART.format(a='s', b='hn')})) > 0 THEN hr.reps ELSE list_append(hr.reps, {{'id': hn.id, 'h': hn.h}}) END FROM hr JOIN hn ON hn.rn = hr.rn + 1),
+    hl AS (SELECT unnest(reps, recursive := true) FROM (SELECT reps FROM hr ORDER BY rn DESC LIMIT 1)),
+    hm AS (SELECT hn.id, any_value(hn.size) AS size, min(hl.id) AS leader FROM hn JOIN hl ON {_APART.format(a='hn', b='hl')} AND hl.id <= hn.id GROUP BY hn.id),
+    near AS (SELECT leader, count(*) AS n, sum(size) AS b FROM hm GROUP BY leader HAVING count(*) > 1)"""
 _NOTEXT = "(ocr_status <> 'done' OR trim(coalesce(text, '')) = '')"
 _FINGER = """tg AS (SELECT id, string_agg(name, ',' ORDER BY name) AS t FROM tagged GROUP BY id),
     cl AS (SELECT id, string_agg(cid::VARCHAR, ',' ORDER BY cid) AS c FROM items GROUP BY id),
@@ -148,7 +155,7 @@ SQL: dict[str, str] = {
     "metadata_differs": lib("SELECT content_hash, differs FROM fp", _FINGER),
     "keep_newest": lib("SELECT avail.id, content_hash FROM avail JOIN dup ON content_hash = key WHERE avail.id <> keep_id", _DUP),
     "path_by_hash": lib("SELECT content_hash, arg_min(path, id) AS path FROM avail GROUP BY content_hash"),
-    "hamming_pairs": f"WITH {BITS} SELECT a.id AS lo, b.id AS hi, bit_count(xor(a.bits, b.bits))::BIGINT AS d FROM bits a JOIN bits b ON a.id < b.id WHERE bit_count(xor(a.bits, b.bits)) <= 14",
+    "hamming_pairs": f"WITH {BITS} SELECT a.id AS lo, b.id AS hi, bit_count(xor(a.bits, b.bits))::BIGINT AS d FROM bits a JOIN bits b ON a.id < b.id WHERE bit_count(xor(a.bits, b.bits)) <= 20",
     "similar_groups": f"""WITH RECURSIVE {BITS}, n AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM bits),
         r(rn, reps) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, bits BIGINT)[] UNION ALL
             SELECT n.rn, CASE WHEN len(list_filter(r.reps, lambda s: bit_count(xor(s.bits, n.bits)) <= 16)) > 0 THEN r.reps ELSE list_append(r.reps, {{'id': n.id, 'bits': n.bits}}) END
@@ -226,8 +233,8 @@ SQL: dict[str, str] = {
         (SELECT count(*) FROM near) AS near_groups, (SELECT coalesce(sum(n), 0)::BIGINT FROM near) AS near_count, (SELECT coalesce(sum(b), 0)::BIGINT FROM near) AS near_candidate_bytes,
         (SELECT count(*) FROM runs) AS burst_groups, (SELECT coalesce(sum(n), 0)::BIGINT FROM runs) AS burst_count, (SELECT coalesce(sum(size), 0)::BIGINT FROM member WHERE status = 'available') AS burst_bytes
         FROM avail LEFT JOIN ocr USING (id)""",
-        f"{_DUP}, {_sessions('live', 1800)}, near AS (SELECT phash, count(*) AS n, sum(size) AS b FROM avail GROUP BY phash HAVING count(*) > 1)",
-    ),
+        f"{_DUP}, {_sessions('live', 1800)}, {_NEAR}",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "cleanup_old": lib(f"SELECT id, size FROM avail WHERE ev < {NOW - 90 * 86400} ORDER BY ev, id LIMIT 200"),
     "cleanup_notext": lib(f"SELECT id, size FROM avail LEFT JOIN ocr USING (id) WHERE {_NOTEXT} ORDER BY size DESC, id DESC LIMIT 200"),
     "cleanup_ids": lib(f"SELECT id FROM avail WHERE ev < {NOW - 365 * 86400}"),
@@ -317,7 +324,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT '/fresh' || path, 'available', 'queued', true FROM captures JOIN d ON doc_id = id WHERE quality = 1 AND size % 2 = 0"""),
     "stream_sessions": f"""WITH {EVENTS}, {_sessions('ev', 300)}, last AS (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) AS w FROM events)
         SELECT start_ts, end_ts, n AS count FROM runs, last WHERE (end_ts + 300) * 1000000 <= w - w % 1000""",
-    "display_names": "SELECT p_partkey AS id, regexp_replace(replace(p_name, ' ', '_'), '[_-]+', ' ', 'g') AS shown, p_name AS title FROM part",
+    "display_names": """SELECT p_partkey AS id, CASE WHEN lower(file[:16]) = 'screenshot from ' THEN file[17:] ELSE file END AS shown, CASE WHEN p_partkey % 7 = 0 THEN mark || p_partkey ELSE trim(p_name) END AS title FROM (
+        SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'Screenshot from ' WHEN p_partkey % 3 = 0 THEN 'screenshot FROM ' WHEN p_partkey % 5 = 0 THEN 'Screenshot-from ' ELSE '' END || replace(p_name, ' ', CASE WHEN p_partkey % 4 = 0 THEN '-' ELSE '_' END) || '.png' AS file,
+            CASE WHEN p_partkey % 11 = 0 THEN chr(160) || '·' || chr(9) ELSE ' · ' END AS mark FROM part)""",
 }
 _REFUSED = " AND NOT (p.cid = (SELECT min(cid) FROM collections) AND p.id IN (SELECT doc_id FROM d WHERE quality = 0))"
 _BY_HAND = SQL["suggest_collections"].replace("NOT IN (SELECT (id, cid) FROM items)", "NOT IN (SELECT (id, cid) FROM items)" + _REFUSED)

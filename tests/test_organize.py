@@ -168,3 +168,14 @@ def test_reading_queue(spark, tmp_path):
     assert k.run(lib, k.by_name, paused=True)[1].first().processed == 0
     assert k.queue(lib.captures, spark.createDataFrame([(4,)], "id long")).where("id = 4").first().ocr_status == "queued"
     assert NOW > 0
+
+
+def test_names_as_people_read_them(spark):
+    from capturelake.functions import text
+
+    names = ["Screenshot from 2026-01-02 a_b.png", "SCREENSHOT FROM x", "Screenshot_a.png", "my screenshot from y.png", "", None]
+    titles = ["code · 12", "code ·\t3", " · 4", "a · b · 5", "work ·6", "  x  · 1", "x · 1\n"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(text.display_name(F.col("n")))
+    assert [r[0] for r in df.collect()] == ["2026-01-02 a_b.png", "x", "Screenshot_a.png", "my screenshot from y.png", "", None]
+    df = spark.createDataFrame([(n,) for n in titles], "n string").select(text.plain_title(F.col("n")))
+    assert [r[0] for r in df.collect()] == ["code", "code", " · 4", "a · b", "work ·6", "x", "x · 1"]
