@@ -79,28 +79,56 @@ def stable(spark: SparkSession, listed: DataFrame, timeout: float = STABLE_SECON
     return spark.createDataFrame(rows, files.LISTED)
 
 
-def follow(spark: SparkSession, library_path: str, directory: str, checkpoint: str, once: bool = False, wait: float = STABLE_SECONDS) -> StreamingQuery:
-    """Keep a saved library up with a directory: each batch of new files is awaited until stable, read, merged, queued
-    for reading, and saved as the next version, ``<library_path>/v<n>``. Deletions are told by a listing (:func:`deletions`)."""
+def _keep(library_path: str, number: int, listed: DataFrame, removed: DataFrame | None = None, index_root: str | None = None) -> None:
+    """Merge a batch's files, and paths that are gone, into the last version of a saved library, and save the next one; its text index follows by a segment.
+
+    A batch that is saved already, as the query was started again before it had noted that, changes nothing."""
     from capturelake import schemas
+    from capturelake.operators import text_index
     from capturelake.operators.organize import record_problems
 
-    def on_batch(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        listed = stable(own, batch, wait)
-        latest = schemas.latest(library_path)
-        if schemas.batch_of(latest) >= number:
-            return  # this batch is saved; the query was started again before it had noted that
+    own, latest = listed.sparkSession, schemas.latest(library_path)
+    if schemas.batch_of(latest) < number:
         lib = schemas.load(own, latest)
         good, problems = files.read_images(own, files.changed(listed, lib.captures))
         events = listed.select("path", F.lit("changed").alias("kind"), F.lit(0).alias("seq"))
         events = events.join(good, "path", "left_semi")  # unchanged files tell nothing
+        if removed is not None:
+            events = events.unionByName(removed.select("path", F.lit("removed").alias("kind"), F.lit(0).alias("seq")))
         lib = record_problems(apply_events(lib, events, good), problems)
-        lib.save(schemas.version_path(library_path, schemas.version_of(latest) + 1, number))
+        latest = schemas.version_path(library_path, schemas.version_of(latest) + 1, number)
+        lib.save(latest)
+    if index_root:
+        text_index.follow(text_index.load(own, index_root), schemas.load(own, latest))
+
+
+def follow(spark: SparkSession, library_path: str, directory: str, checkpoint: str, once: bool = False, wait: float = STABLE_SECONDS, index_root: str | None = None) -> StreamingQuery:
+    """Keep a saved library up with a directory: each batch of new files is awaited until stable, read, merged, queued
+    for reading, and saved as the next version, ``<library_path>/v<n>``. Deletions are told by a listing (:func:`deletions`).
+
+    ``index_root``: the folder of the library's text index, which then follows too."""
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        _keep(library_path, number, stable(batch.sparkSession, batch, wait), index_root=index_root)
 
     return watch(spark, directory, on_batch, checkpoint, once)
 
 
+def follow_events(library_path: str, settled: DataFrame, checkpoint: str, once: bool = False, index_root: str | None = None) -> StreamingQuery:
+    """Keep a saved library up with a stream of events whose files have come to rest (:func:`capturelake.streaming.settle.settled`): changed files are
+    read and merged, those of removed paths become missing, and files that never came to rest are left for their next event."""
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        rows = cut(batch, "events")
+        if rows.isEmpty():
+            return
+        listed = rows.where("kind not in ('removed', 'unsettled')").select("path", "modified_ts", "size")
+        _keep(library_path, number, listed, rows.where("kind = 'removed'"), index_root)
+
+    w = settled.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime="400 milliseconds")).start()
+
+
 def file_stream(spark: SparkSession, directory: str, max_files: int = 64) -> DataFrame:
     """New files of a directory as a stream."""
     return spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(directory)
