@@ -1,7 +1,7 @@
 """Suggestions of collections and tags for captures, and proposals of new collections.
 
-All captures are scored in one job. Candidates come from equal joins on each signal,
-so a capture only meets collections it shares something with.
+All captures are scored in one job. Candidates come from equal joins on two signals at once,
+so a capture only meets collections that it can be suggested for.
 """
 
 from __future__ import annotations
@@ -63,35 +63,70 @@ def _top(scored: DataFrame, least: int) -> DataFrame:
     return scored.where(F.col("score") >= least).withColumn("rank", place.cast("long")).where(F.col("rank") <= TARGETS)
 
 
+def _but_commonest(tags: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``tags`` (key, tag_id) without each key's most frequent tag: two sets that share two tags or more share one of these."""
+    both = tags.join(counts, "tag_id")
+    last = both.groupBy(key).agg(F.max(F.struct("uses", "tag_id"))["tag_id"].alias("_last"))
+    return both.join(last, key).where("tag_id <> _last").select(key, "tag_id")
+
+
+def candidates(shots: DataFrame, prof: DataFrame, mine: DataFrame, theirs: DataFrame, counts: DataFrame, close: list[DataFrame]) -> DataFrame:
+    """Distinct pairs (id, cid) that can reach LEAST_COLLECTION points.
+
+    No signal does so alone. So two of app, category and site must agree, or the app and a tag, or category or site and two tags,
+    each found by one equal join on both; or the pair is in ``close``, by bursts and looks. Being alike in one thing alone makes no pair."""
+    of = prof.select("cid", "top_app", "top_category", "top_domain")
+    found = []
+    for x, y in (("app_name", "category"), ("app_name", "website_domain"), ("category", "website_domain")):
+        found.append(shots.join(of, (F.col(x) == F.col(_TOPS[x])) & (F.col(y) == F.col(_TOPS[y]))).select("id", "cid"))
+    some, theirs_some = cut(_but_commonest(mine, "id", counts), "rarer"), _but_commonest(theirs, "cid", counts)
+    for x, own, other in (("app_name", mine, theirs), ("category", some, theirs_some), ("website_domain", some, theirs_some)):
+        left = shots.select("id", x).join(own, "id")
+        right = of.select("cid", _TOPS[x]).join(other, "cid").withColumnRenamed("tag_id", "_tag")
+        found.append(left.join(right, (F.col(x) == F.col(_TOPS[x])) & (F.col("tag_id") == F.col("_tag"))).select("id", "cid"))
+    out = found[0]
+    for f in [*found[1:], *close]:
+        out = out.union(f.select("id", "cid"))
+    return out.distinct()
+
+
+#: Columns of captures and what profiles call their most frequent values.
+_TOPS = {"app_name": "top_app", "category": "top_category", "website_domain": "top_domain"}
+
+
 def suggest_collections(lib: Library, ids: DataFrame | None = None, gap: int = 1800) -> DataFrame:
-    """Up to three collections for each available capture (or those of ``ids``): id, cid, name, score, reasons, rank."""
+    """Up to three collections for each available capture (or those of ``ids``): id, cid, name, score, reasons, rank.
+
+    Only pairs that can reach the least score are made (:func:`candidates`); all signals are looked up for these."""
     shots = lib.captures.where(available())
     shots = shots if ids is None else shots.join(ids, "id", "left_semi")
     prof = cut(profiles(lib), "profiles")
     member = cut(_members(lib).select("cid", "id", "phash"), "sample")
-    pairs = []
-    for column, top, points, label in (("app_name", "top_app", 3, "Same app: "), ("category", "top_category", 2, "Same category: "), ("website_domain", "top_domain", 2, "Same site: ")):
-        hit = shots.select("id", column).join(prof.select("cid", top), F.col(column) == F.col(top))
-        pairs.append(hit.select("id", "cid", F.lit(len(pairs)).alias("n"), F.lit(points).alias("points"), F.concat(F.lit(label), column).alias("reason")))
-    mine = shots.select("id").join(lib.screenshot_tags, F.col("id") == F.col("screenshot_id")).select("id", "tag_id").distinct()
-    theirs = member.select("cid", F.col("id").alias("m")).join(lib.screenshot_tags, F.col("m") == F.col("screenshot_id")).select("cid", "tag_id").distinct()
-    shared = mine.join(theirs, "tag_id").groupBy("id", "cid").agg(F.count("*").alias("k"))
-    pairs.append(shared.select("id", "cid", F.lit(3).alias("n"), F.least(F.col("k"), F.lit(3)).cast("int").alias("points"), F.concat(F.col("k").cast("string"), F.when(F.col("k") == 1, " shared tag").otherwise(" shared tags")).alias("reason")))
     bursts = cut(burst_membership(lib.captures, gap), "membership")
     together = member.join(bursts, "id").select("cid", "key").distinct()
-    pairs.append(shots.select("id").join(bursts, "id").join(together, "key").select("id", "cid", F.lit(4).alias("n"), F.lit(2).alias("points"), F.lit("Captured together").alias("reason")))
+    together = cut(shots.select("id").join(bursts, "id").join(together, "key").select("id", "cid").distinct(), "together")
     # distinct hashes are compared, not captures
     hashes = cut(lib.captures.where(available()).select(phash_from_hex(F.col("phash")).alias("bits")).where("bits is not null").distinct().select(F.col("bits").alias("id"), "bits"), "hashes")
     near = hamming_pairs(hashes, DISTANCE)
     near = near.select(F.col("lo").alias("p"), F.col("hi").alias("q")).union(near.select("hi", "lo")).union(hashes.select("id", "id"))
     like = near.join(member.select("cid", phash_from_hex(F.col("phash")).alias("q")).where("q is not null").distinct(), "q").select("p", "cid").distinct()
-    pairs.append(shots.select("id", phash_from_hex(F.col("phash")).alias("p")).join(like, "p").select("id", "cid", F.lit(5).alias("n"), F.lit(2).alias("points"), F.lit("Looks similar").alias("reason")))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.union(p)
-    scored = every.groupBy("id", "cid").agg(F.sum("points").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("n", "reason"))), lambda s: s["reason"]).alias("reasons"))
+    alike = cut(shots.select("id", phash_from_hex(F.col("phash")).alias("p")).join(like, "p").select("id", "cid"), "alike")
+    mine = cut(shots.select("id").join(lib.screenshot_tags, F.col("id") == F.col("screenshot_id")).select("id", "tag_id").distinct(), "tags-of")
+    theirs = cut(member.select("cid", F.col("id").alias("m")).join(lib.screenshot_tags, F.col("m") == F.col("screenshot_id")).select("cid", "tag_id").distinct(), "tags-in")
+    counts = lib.screenshot_tags.groupBy("tag_id").agg(F.count("*").alias("uses"))
     own = lib.collection_items.select(F.col("screenshot_id").alias("id"), F.col("collection_id").alias("cid"))
-    scored = scored.join(own, ["id", "cid"], "left_anti").join(prof.select("cid", "name"), "cid")
+    pairs = candidates(shots.select("id", *_TOPS), prof, mine, theirs, counts, [together, alike]).join(own, ["id", "cid"], "left_anti")
+    mine, theirs = (t.groupBy(key).agg(F.collect_list("tag_id").alias(n)) for t, key, n in ((mine, "id", "mine"), (theirs, "cid", "theirs")))  # one capture's, or SAMPLE members'
+    rows = pairs.join(shots.select("id", *_TOPS), "id").join(prof.select("cid", "name", *_TOPS.values()), "cid").join(mine, "id", "left").join(theirs, "cid", "left")
+    for n, close in (("together", together), ("alike", alike)):
+        rows = rows.join(close.withColumn(n, F.lit(True)), ["id", "cid"], "left")
+    k = F.coalesce(F.size(F.array_intersect("mine", "theirs")), F.lit(0))
+    signals = [(F.col(c) == F.col(t), F.lit(points), F.concat(F.lit(label), F.col(c))) for (c, t), points, label in zip(_TOPS.items(), (3, 2, 2), ("Same app: ", "Same category: ", "Same site: "), strict=True)]
+    signals += [(k > 0, F.least(k, F.lit(3)), F.concat(k.cast("string"), F.when(k == 1, " shared tag").otherwise(" shared tags")))]
+    signals += [(F.col("together"), F.lit(2), F.lit("Captured together")), (F.col("alike"), F.lit(2), F.lit("Looks similar"))]
+    score = sum((F.when(on, points).otherwise(0) for on, points, _ in signals), F.lit(0)).cast("long")
+    reasons = F.filter(F.array(*(F.when(on, why) for on, _, why in signals)), lambda r: r.isNotNull())
+    scored = rows.select("id", "cid", "name", score.alias("score"), reasons.alias("reasons"))
     return _top(_not_dismissed(scored, lib, "collection:", F.col("cid").cast("string")), LEAST_COLLECTION).select("id", "cid", "name", "score", "reasons", "rank")
 
 

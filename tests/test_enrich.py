@@ -118,3 +118,27 @@ def test_registered_query_finds_apps(spark, monkeypatch):
     con.sql("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
     con.executemany("insert into documents values (?, ?, 'en', 'src1')", list(enumerate(texts)))
     assert {r[0]: r[1:] for r in con.sql(catalogue.oracle_sql()["classify_apps"]).fetchall()} == got
+
+
+def test_one_shared_thing_makes_no_candidates(spark):
+    """A hot app, tag or category alone pairs nothing; pairs of signals, bursts and looks do, and the scores are those of all pairs."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    from archive import library
+    from capturelake.operators import suggest
+
+    shots = [{"id": i, "app_name": "hot", "category": f"c{i}", "created_ts": i * 10_000} for i in range(1, 121)]
+    lib = library(spark, shots, tags=[(i, "everywhere") for i in range(1, 121, 2)], collections=[(f"k{i}", [i]) for i in range(1, 41)])
+    member = suggest._members(lib).select("cid", "id")
+    tags = lambda keys, key: keys.join(lib.screenshot_tags, F.col("sid") == F.col("screenshot_id")).select(key, "tag_id").distinct()
+    mine, theirs = tags(lib.captures.select("id", F.col("id").alias("sid")), "id"), tags(member.select("cid", F.col("id").alias("sid")), "cid")
+    counts = lib.screenshot_tags.groupBy("tag_id").agg(F.count("*").alias("uses"))
+    own = lib.captures.select("id", "app_name", "category", "website_domain")
+    pairs = {(r.id, r.cid) for r in suggest.candidates(own, suggest.profiles(lib), mine, theirs, counts, []).collect()}
+    tagged = lambda i: i % 2 == 1
+    assert pairs == {(i, c) for i, c in product(range(1, 121), range(1, 41)) if i == c or (tagged(i) and tagged(c))}
+    got = suggest.suggest_collections(lib).collect()
+    assert {r.id for r in got} == set(range(1, 121, 2)) and {r.score for r in got} == {4}
+    assert {tuple(r.reasons) for r in got} == {("Same app: hot", "1 shared tag")}
