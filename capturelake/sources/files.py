@@ -29,6 +29,11 @@ LISTED = "path string, modified_ts long, size long"
 BUFFER, CHUNK = 1 << 20, 10_000
 
 
+def place(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI, and the name in it."""
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+
+
 def plain_path(path):
     """A local path without its scheme, however the source wrote it."""
     return F.regexp_replace(path, "^file:/+", "/")
@@ -80,7 +85,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for path in batch.column(0).to_pylist():
             try:
-                fs, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+                fs, name = place(path)
                 sum_, first = hashlib.sha256(), None
                 with fs.open_input_stream(name, compression=None) as f:
                     while part := f.read(BUFFER):

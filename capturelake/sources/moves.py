@@ -21,21 +21,16 @@ from capturelake.functions.text import filename, parent
 from capturelake.operators.rename import clear_journal, journal
 from capturelake.plans.lineage import cut
 from capturelake.schemas import Library
+from capturelake.sources.files import place
 
 MISSING, OFFLINE, TWICE, TAKEN, GONE = "there is no such capture", "the file isn't there", "two of the files would have this name", "the name is taken", "the file is gone"
 
 
-def _place(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def move(source: str, target: str) -> str:
     """Move one file to a name that is free; says what went wrong, or nothing. A move that was made before is made."""
     from pyarrow.fs import FileType
 
-    (where, a), (_, b) = _place(source), _place(target)
+    (where, a), (_, b) = place(source), place(target)
     for last in (False, True):
         here, there = (i.type for i in where.get_file_info([a, b]))
         if here == FileType.NotFound:
@@ -54,7 +49,7 @@ def move(source: str, target: str) -> str:
 
 def _facts(path: str) -> tuple[bool, int | None, int | None]:
     """Whether a file is there, its size and time."""
-    where, p = _place(path)
+    where, p = place(path)
     info = where.get_file_info(p)
     return info.is_file, info.size, None if info.mtime is None else int(info.mtime.timestamp())
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.hashing import triangle_weights
 from capturelake.plans.lineage import cut
-from capturelake.sources.files import decoded
+from capturelake.sources.files import decoded, place
 
 SIZES = (256, 512, 1024)
 MADE = "content_hash string, thumbnail string, t_width long, t_height long, problem string"
@@ -59,15 +58,36 @@ def shrunk(data: bytes, height: int, width: int, channels: int, size: int) -> np
     return np.stack([np.clip(np.rint(rows @ a[:, :, c] @ cols.T), 0, 255).astype(np.uint8) for c in range(channels)], axis=2)
 
 
+def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which thumbnails are there."""
+    for b in batches:
+        paths = b.column(b.schema.get_field_index("thumbnail")).to_pylist()
+        there = pa.array([(info := place(p))[0].get_file_info(info[1]).is_file for p in paths], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*b.columns, there], names=[*b.schema.names, "there"])
+
+
+def _put(path: str, data: bytes) -> None:
+    """A file whole or not at all, however often a task runs."""
+    where, name = place(path)
+    where.create_dir(name.rpartition("/")[0], recursive=True)
+    part = f"{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    try:
+        where.move(part, name)
+    except OSError:  # some stores don't replace what an earlier attempt left
+        where.delete_file(name)
+        where.move(part, name)
+
+
 def generate(spark: SparkSession, captures: DataFrame, root: str, size: int = 256) -> DataFrame:
-    """Make the thumbnails of available captures that have none in ``root``, a folder that all machines see. One row for
+    """Make the thumbnails of available captures that have none below ``root``, a folder or URI that all machines see. One row for
     each content: content_hash, thumbnail, t_width, t_height (null for one that was there), problem."""
     one = captures.where("status = 'available' and content_hash is not null").groupBy("content_hash").agg(F.min("path").alias("path"))
-    wanted = cut(one.select("path", "content_hash", cache_path(root, F.col("content_hash"), size).alias("thumbnail")), "thumbnails")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*_{size}.png").load(root) if os.path.isdir(root) else None
-    known = wanted.limit(0).select("content_hash") if listed is None else listed.select(F.regexp_extract("path", rf"([^/]+)_{size}\.png$", 1).alias("content_hash"))
-    there = wanted.join(known, "content_hash", "left_semi").select("content_hash", "thumbnail", F.lit(None).cast("long").alias("t_width"), F.lit(None).cast("long").alias("t_height"), F.lit(None).cast("string").alias("problem"))
-    todo = cut(wanted.join(known, "content_hash", "left_anti"), "todo")
+    wanted = one.select("path", "content_hash", cache_path(root, F.col("content_hash"), size).alias("thumbnail"))
+    wanted = cut(wanted.mapInArrow(_looked, "path string, content_hash string, thumbnail string, there boolean"), "thumbnails")
+    there = wanted.where("there").select("content_hash", "thumbnail", F.lit(None).cast("long").alias("t_width"), F.lit(None).cast("long").alias("t_height"), F.lit(None).cast("string").alias("problem"))
+    todo = wanted.where("not there").select("path", "content_hash", "thumbnail")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,22 +96,19 @@ def generate(spark: SparkSession, captures: DataFrame, root: str, size: int = 25
                     made = (None, None, "the picture can't be decoded")
                 else:
                     small = shrunk(r["data"], r["height"], r["width"], r["nChannels"], size)
-                    os.makedirs(os.path.dirname(r["thumbnail"]), exist_ok=True)
-                    part = f"{r['thumbnail']}.{uuid.uuid4().hex}"
-                    with open(part, "wb") as f:
-                        f.write(png(small))
-                    os.replace(part, r["thumbnail"])  # whole or not at all, however often a task runs
+                    _put(r["thumbnail"], png(small))
                     made = (small.shape[1], small.shape[0], None)
                 names = ("content_hash", "thumbnail", "t_width", "t_height", "problem")
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((r["content_hash"], r["thumbnail"], *made), kinds, strict=True)], names=list(names))
 
-    pictures = decoded(spark, todo.select("path"), lambda img: todo.join(img, "path", "left_semi").join(img, "path").select("content_hash", "thumbnail", "width", "height", "nChannels", "data").mapInArrow(make, MADE), MADE)
+    pictures = decoded(spark, todo.select("path"), lambda img: todo.join(img, "path").select("content_hash", "thumbnail", "width", "height", "nChannels", "data").mapInArrow(make, MADE), MADE)
     return there.unionByName(pictures)
 
 
 def cache_count(spark: SparkSession, root: str) -> int:
     """How many files the cache has."""
-    if not os.path.isdir(root):
+    where, name = place(root)
+    if not where.get_file_info(name).type.value:
         return 0
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").count()

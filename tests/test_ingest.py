@@ -136,6 +136,8 @@ def test_thumbnails_are_made_once(spark, tmp_path):
     (again,) = thumbnails.generate(spark, lib.captures, cache).collect()
     assert again.thumbnail == made.thumbnail and again.t_width is None and os.stat(made.thumbnail).st_mtime_ns == before
     assert thumbnails.plan(lib.captures, cache).first().thumbnail == made.thumbnail
+    (named,) = thumbnails.generate(spark, lib.captures, f"file://{cache}").collect()  # by its URI it is the same cache
+    assert named.t_width is None and thumbnails.cache_count(spark, f"file://{cache}") == 1 and thumbnails.cache_count(spark, cache + "/none") == 0
 
 
 def test_library_follows_a_directory(spark, tmp_path):
