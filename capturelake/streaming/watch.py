@@ -16,6 +16,7 @@ from capturelake.operators.rename import pending_paths
 from capturelake.plans.lineage import cut
 from capturelake.schemas import Library
 from capturelake.sources import files
+from capturelake.streaming import sessions
 
 #: Schema of the binary file source, which a stream must be told.
 FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -150,13 +151,13 @@ def deletions(captures: DataFrame, listed: DataFrame, directories: list[str]) ->
 
 def stream_sessions(events: DataFrame, ts: str, gap_seconds: int, watermark: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
     """Sessions of two or more rows with steps of a gap at most, as they close behind the watermark. Times count in
-    whole seconds, as in a batch. Without keys all rows are one sequence, whose open session one task holds, a row for each."""
-    events = events.withColumn(ts, F.date_trunc("second", ts))
+    whole seconds, as in a batch. Without keys all rows are one sequence, cut by ranges of time (:mod:`capturelake.streaming.sessions`)."""
     if keys is None:
-        events, keys = events.withColumn("_all", F.lit(0)), ["_all"]  # a stream's session needs a key
+        return sessions.sessions(events, ts, gap_seconds, watermark)
+    events = events.withColumn(ts, F.date_trunc("second", ts))
     w = F.session_window(ts, f"{gap_seconds} seconds")
     g = events.withWatermark(ts, watermark).groupBy(*keys, w.alias("w")).agg(F.count("*").alias("count"), F.min(ts).alias("first"), F.max(ts).alias("last")).where("count > 1")
-    return g.select(*[k for k in keys if k != "_all"], F.col("first").cast("timestamp").cast("long").alias("start_ts"), F.col("last").cast("timestamp").cast("long").alias("end_ts"), "count")
+    return g.select(*keys, F.col("first").cast("timestamp").cast("long").alias("start_ts"), F.col("last").cast("timestamp").cast("long").alias("end_ts"), "count")
 
 
 def collect_stream(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
