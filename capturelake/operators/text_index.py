@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -211,18 +212,21 @@ def update(index: TextIndex, lib: Library, ids: DataFrame) -> TextIndex:
     return _publish(_merged(out))
 
 
-def changes(index: TextIndex, lib: Library) -> DataFrame:
-    """Ids of captures whose texts, tags, names or time differ from what the index has, of new ones and of those that are gone."""
+def changes(index: TextIndex, lib: Library, within: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Ids of captures whose texts, tags, names or time differ from what the index has, of new ones and of those that are gone.
+
+    ``within``: whether the library has an id's captures, if it is a part of one; what the index has of others is left alone."""
     docs = search.documents(lib)
     now = docs.select("id", _texts(docs).alias("hash"))
-    old = index.forward().select(F.col("id").alias("old_id"), F.col("hash").alias("old_hash"))
+    had = index.forward() if within is None else index.forward().where(within(F.col("id")))
+    old = had.select(F.col("id").alias("old_id"), F.col("hash").alias("old_hash"))
     both = now.join(old, F.col("id") == F.col("old_id"), "full")
     return both.where(~F.col("hash").eqNullSafe(F.col("old_hash"))).select(F.coalesce("id", "old_id").alias("id"))
 
 
-def follow(index: TextIndex, lib: Library) -> TextIndex:
-    """The version that goes with a library, whatever was done to it; the same one if nothing differs."""
-    ids = cut(changes(index, lib), "changes")
+def follow(index: TextIndex, lib: Library, within: Callable[[Column], Column] | None = None) -> TextIndex:
+    """The version that goes with a library, or a part of one, whatever was done to it; the same one if nothing differs."""
+    ids = cut(changes(index, lib, within), "changes")
     return index if ids.isEmpty() else update(index, lib, ids)
 
 

@@ -10,6 +10,7 @@ import hashlib
 import itertools
 import re
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,20 @@ def place(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
 
 
+def put(path: str, data: bytes) -> None:
+    """A file whole or not at all, however often a task runs."""
+    where, name = place(path)
+    where.create_dir(name.rpartition("/")[0], recursive=True)
+    part = f"{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    try:
+        where.move(part, name)
+    except OSError:  # some stores don't replace what an earlier attempt left
+        where.delete_file(name)
+        where.move(part, name)
+
+
 def plain_path(path):
     """A local path without its scheme, however the source wrote it."""
     return F.regexp_replace(path, "^file:/+", "/")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.hashing import triangle_weights
 from capturelake.plans.lineage import cut
-from capturelake.sources.files import decoded, place
+from capturelake.sources.files import decoded, place, put
 
 SIZES = (256, 512, 1024)
 MADE = "content_hash string, thumbnail string, t_width long, t_height long, problem string"
@@ -66,20 +65,6 @@ def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, there], names=[*b.schema.names, "there"])
 
 
-def _put(path: str, data: bytes) -> None:
-    """A file whole or not at all, however often a task runs."""
-    where, name = place(path)
-    where.create_dir(name.rpartition("/")[0], recursive=True)
-    part = f"{name}.{uuid.uuid4().hex}"
-    with where.open_output_stream(part, compression=None) as f:
-        f.write(data)
-    try:
-        where.move(part, name)
-    except OSError:  # some stores don't replace what an earlier attempt left
-        where.delete_file(name)
-        where.move(part, name)
-
-
 def generate(spark: SparkSession, captures: DataFrame, root: str, size: int = 256) -> DataFrame:
     """Make the thumbnails of available captures that have none below ``root``, a folder or URI that all machines see. One row for
     each content: content_hash, thumbnail, t_width, t_height (null for one that was there), problem."""
@@ -96,7 +81,7 @@ def generate(spark: SparkSession, captures: DataFrame, root: str, size: int = 25
                     made = (None, None, "the picture can't be decoded")
                 else:
                     small = shrunk(r["data"], r["height"], r["width"], r["nChannels"], size)
-                    _put(r["thumbnail"], png(small))
+                    put(r["thumbnail"], png(small))
                     made = (small.shape[1], small.shape[0], None)
                 names = ("content_hash", "thumbnail", "t_width", "t_height", "problem")
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())

@@ -15,7 +15,7 @@ from capturelake.operators import ocr
 from capturelake.operators.rename import pending_paths
 from capturelake.plans.lineage import cut
 from capturelake.schemas import Library
-from capturelake.sources import files
+from capturelake.sources import files, parts
 from capturelake.streaming import sessions
 
 #: Schema of the binary file source, which a stream must be told.
@@ -88,24 +88,56 @@ def _keep(library_path: str, number: int, listed: DataFrame, removed: DataFrame
     from capturelake.operators import text_index
     from capturelake.operators.organize import record_problems
 
+    if parts.there(library_path):
+        return _keep_parts(library_path, number, listed, removed, index_root)
     own, latest = listed.sparkSession, schemas.latest(library_path)
     if schemas.batch_of(latest) < number:
         lib = schemas.load(own, latest)
         good, problems = files.read_images(own, files.changed(listed, lib.captures))
-        events = listed.select("path", F.lit("changed").alias("kind"), F.lit(0).alias("seq"))
-        events = events.join(good, "path", "left_semi")  # unchanged files tell nothing
-        if removed is not None:
-            events = events.unionByName(removed.select("path", F.lit("removed").alias("kind"), F.lit(0).alias("seq")))
-        lib = record_problems(apply_events(lib, events, good), problems)
+        lib = record_problems(apply_events(lib, _told(listed, good, removed), good), problems)
         latest = schemas.version_path(library_path, schemas.version_of(latest) + 1, number)
         lib.save(latest)
     if index_root:
         text_index.follow(text_index.load(own, index_root), schemas.load(own, latest))
 
 
+def _told(listed: DataFrame, good: DataFrame, removed: DataFrame | None) -> DataFrame:
+    """A batch's events: files that were read, as unchanged ones tell nothing, and paths that are gone."""
+    event = lambda df, kind: df.select("path", F.lit(kind).alias("kind"), F.lit(0).alias("seq"))
+    events = event(listed, "changed").join(good, "path", "left_semi")
+    return events if removed is None else events.unionByName(event(removed, "removed"))
+
+
+def _keep_parts(root: str, number: int, listed: DataFrame, removed: DataFrame | None, index_root: str | None) -> None:
+    """:func:`_keep` for a library in parts: only parts of captures that the batch can change are loaded, merged and written."""
+    from capturelake.operators import text_index
+    from capturelake.operators.organize import record_problems
+
+    own, saved = listed.sparkSession, parts.load(listed.sparkSession, root)
+    if saved.batch < number:
+        near = saved.table("captures").join(listed.select("path").distinct(), "path", "left_semi")
+        good, problems = files.read_images(own, files.changed(listed, near))
+        good, problems = cut(good, "good"), cut(problems, "problems")
+        paths = good.select("path") if removed is None else good.select("path").union(removed.select("path"))
+        mine, end = parts.touched_by(saved, paths, good), saved.last("problems")
+        old = saved.library(captures=mine, problems=end)
+        lib = record_problems(apply_events(old, _told(listed, good, removed), good), problems)
+        given = {"captures": mine}
+        stale = old.ocr_text.join(lib.ocr_text.select("screenshot_id"), "screenshot_id", "left_anti").select(F.col("screenshot_id").alias("id"))
+        if gone := saved.holding(stale):
+            given["ocr_text"], lib = gone, lib.with_(ocr_text=lib.ocr_text.where(saved.within(gone)(F.col("screenshot_id"))))
+        if not problems.isEmpty():
+            given["problems"] = end
+        saved = saved.commit(lib, given, number)
+    if index_root:
+        text_index.follow(text_index.load(own, index_root), saved.library(captures=saved.touched), saved.within(saved.touched))
+
+
 def follow(spark: SparkSession, library_path: str, directory: str, checkpoint: str, once: bool = False, wait: float = STABLE_SECONDS, index_root: str | None = None) -> StreamingQuery:
     """Keep a saved library up with a directory: each batch of new files is awaited until stable, read, merged, queued
-    for reading, and saved as the next version, ``<library_path>/v<n>``. Deletions are told by a listing (:func:`deletions`).
+    for reading, and saved as the next version. Deletions are told by a listing (:func:`deletions`).
+
+    A library in parts (:mod:`capturelake.sources.parts`) has the parts rewritten that a batch touches; one in folders ``<library_path>/v<n>`` is written whole.
 
     ``index_root``: the folder of the library's text index, which then follows too."""
 
