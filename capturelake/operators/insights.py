@@ -7,10 +7,12 @@ from datetime import date
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturelake.functions.hashing import hamming, phash_from_hex
+from capturelake.functions.hashing import phash_from_hex
 from capturelake.operators.predicates import available, ev, live
 from capturelake.plans.lineage import cut
 from capturelake.schemas import BASE_COLS, Library
@@ -21,6 +23,14 @@ DISTANCE_MOST, DISTANCE = 16, 8
 PREVIEWS, TOP_TAGS = 4, 3
 #: Values that a hash asks for in one block, at most.
 MOST_MASKS = 4096
+#: Costs (ns) of asking for a value, of meeting a hash in a join, and of comparing one in a tile; asking is shuffled, so it weighs more than its time.
+COST_ASKED, COST_MET, COST_PLAIN = 5000, 20, 4
+#: Rows of a partition of asked values, hashes of a tile, a tile's rows that are compared at once, and tasks that compare tiles, at most.
+PART_ROWS, TILE, ROWS, MOST_PARTS = 1_000_000, 16_384, 32, 1024
+#: Comparisons of a task.
+PER_TASK = 100_000_000
+#: Hashes of the first range that leaders are settled for, and how much larger the next ranges are.
+FIRST_RANGE, GROWTH = 16_384, 4
 
 
 # --- timelines -------------------------------------------------------------------------------------------------------
@@ -169,53 +179,115 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
 
 
-def _blocks(distance: int, rows: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of the blocks that make the fewest rows and candidates for so many random hashes.
+def _blocks(distance: int, rows: int) -> list[tuple[int, int, int]] | None:
+    """(shift, width, radius) of the blocks that cost the least against so many random hashes; None if comparing with all of them does.
 
-    Few, wide blocks ask for many values that few hashes have; many, narrow ones for few that many have.
-    """
-    best = None
+    Few, wide blocks ask for many values that few hashes have; many, narrow ones for few that many have."""
+    best = rows * COST_PLAIN, None
     for n in range(1, distance + 2):
         widths, radius = [64 // n + (i < 64 % n) for i in range(n)], distance // n
         masks = [sum(comb(w, r) for r in range(radius + 1)) for w in widths]
-        cost = sum(m * (1 + rows / 2**w) for m, w in zip(masks, widths, strict=True))
-        if max(masks) <= MOST_MASKS and (best is None or cost < best[0]):
+        cost = sum(m * (COST_ASKED + COST_MET * rows / 2**w) for m, w in zip(masks, widths, strict=True))
+        if max(masks) <= MOST_MASKS and cost < best[0]:
             best = cost, [(sum(widths[:i]), w, radius) for i, w in enumerate(widths)]
     return best[1]
 
 
-def hamming_pairs(nodes: DataFrame, distance: int) -> DataFrame:
-    """(lo, hi, d) for pairs of (id, bits) with lo < hi within ``distance``, by equal joins alone.
-
-    The 64 bits are cut into blocks, by the number of rows; two hashes within the distance agree in one block
-    but for distance // blocks bits, so one side asks for all values within that radius.
-    """
-    blocks = _blocks(distance, nodes.count())
-    value = lambda shift, width: F.shiftrightunsigned(F.col("bits"), shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-    own = F.array(*(F.struct(F.lit(i).alias("block"), value(s, w).alias("value")) for i, (s, w, _) in enumerate(blocks)))
+def _by_blocks(a: DataFrame, b: DataFrame, distance: int, blocks: list[tuple[int, int, int]], rows: int, same: bool) -> DataFrame:
+    """Pairs by equal joins on blocks. A pair is given by the first block that finds it, so no pairs are shuffled to be made distinct."""
+    part = lambda c, shift, width: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    key = lambda i, value: value * len(blocks) + i
 
     def asked_of(i: int, shift: int, width: int, radius: int) -> Column:
         masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
-        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("block"), m.bitwiseXOR(value(shift, width)).alias("value")))
+        return F.transform(masks, lambda m: key(i, m.bitwiseXOR(part(F.col("bits"), shift, width))))
+
+    asks = sum(len(_masks(w, r)) for _, w, r in blocks)
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * asks // PART_ROWS))
+    asked = a.select(F.col("id").alias("a_id"), F.col("bits").alias("a_bits"), F.explode(F.flatten(F.array(*(asked_of(i, *s) for i, s in enumerate(blocks))))).alias("k")).repartition(parts, "k")
+    own = F.array(*(key(i, part(F.col("bits"), s, w)) for i, (s, w, _) in enumerate(blocks)))
+    keyed = b.select(F.col("id").alias("b_id"), F.col("bits").alias("b_bits"), F.explode(own).alias("b_k")).repartition(parts, "b_k")
+    apart = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    first = F.lit(len(blocks) - 1)
+    for i, (shift, width, radius) in reversed(list(enumerate(blocks))):
+        first = F.when(F.bit_count(part(apart, shift, width)) <= radius, i).otherwise(first)
+    near = (F.col("k") == F.col("b_k")) & (F.bit_count(apart) <= distance)
+    if len(blocks) > 1:  # the only block may have all 64 bits
+        near = near & (F.pmod(F.col("k"), F.lit(len(blocks))) == first)
+    if same:
+        near = near & (F.col("a_id") < F.col("b_id"))
+    return asked.join(keyed.hint("merge"), near).select("a_id", "b_id", F.bit_count(apart).cast("long").alias("d"))
+
+
+def _tiles(nodes: DataFrame, tiles: int, side: str) -> DataFrame:
+    """One row for each tile of some thousand hashes: its number, ids in order and bits."""
+    rows = nodes.where("id is not null and bits is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias(side)).agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("r"))
+    return rows.select(side, F.col("r.id").alias(f"{side}_id"), F.col("r.bits").alias(f"{side}_bits"))
+
+
+def _by_tiles(a: DataFrame, b: DataFrame, distance: int, rows: tuple[int, int], same: bool, first: bool) -> DataFrame:
+    """Pairs by comparing all hashes, a tile with a tile at a time, with numpy: memory is bounded whatever the number of hashes or of pairs.
+
+    ``first``: only the least b_id for each a_id and tile."""
+    size = min(TILE, max(256, -(-max(rows) // 16)))
+    n_a, n_b = (max(1, -(-r // size)) for r in rows)
+    left, right = cut(_tiles(a, n_a, "a"), "tiles"), cut(_tiles(b, n_b, "b"), "tiles")
+    left = left.select("*", F.explode(F.sequence(F.col("a") if same else F.lit(0), F.lit(n_b - 1))).alias("with"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("b") if same else F.lit(n_a - 1))).alias("for"))
+    parts = min(MOST_PARTS, n_a * n_b, max(16, rows[0] * rows[1] // PER_TASK))
+    left, right = left.repartition(parts, "a", "with"), right.repartition(parts, "for", "b")
+    met = left.join(right.hint("merge"), (F.col("a") == F.col("for")) & (F.col("with") == F.col("b")))
+
+    def compare(batches):
+        for batch in batches:
+            cols = [batch.column(i) for i in range(6)]
+            for t_a, t_b, ids_a, bits_a, ids_b, bits_b in zip(*cols, strict=True):
+                x, y = (np.asarray(v.values, dtype=np.int64).view(np.uint64) for v in (bits_a, bits_b))  # numpy counts a negative number's bits without its sign
+                i_a, i_b = (np.asarray(v.values, dtype=np.int64) for v in (ids_a, ids_b))
+                once = same and t_a.as_py() == t_b.as_py()
+                for at in range(0, len(x), ROWS):
+                    # a few rows with all of the tile at a time
+                    near = np.bitwise_count(x[at : at + ROWS, None] ^ y[None, :])
+                    hits = near <= distance
+                    if once:
+                        hits &= i_a[at : at + ROWS, None] < i_b[None, :]
+                    if first:
+                        at_a = np.flatnonzero(hits.any(axis=1))
+                        at_b = hits[at_a].argmax(axis=1)
+                    else:
+                        flat = np.flatnonzero(hits)
+                        at_a, at_b = flat // len(y), flat % len(y)
+                    if len(at_a):
+                        p, q, d = i_a[at + at_a], i_b[at_b], near[at_a, at_b].astype(np.int64)
+                        lo, hi = (np.minimum(p, q), np.maximum(p, q)) if same else (p, q)
+                        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d)], names=["a_id", "b_id", "d"])
+
+    return met.select("a", "b", "a_id", "a_bits", "b_id", "b_bits").mapInArrow(compare, "a_id long, b_id long, d long")
+
+
+def near_pairs(a: DataFrame, b: DataFrame, distance: int, first: bool = False) -> DataFrame:
+    """(a_id, b_id, d) for pairs of hashes (id, bits) of two sets within ``distance``; ``first``: each a_id's least b_id, at least."""
+    rows = a.count(), b.count()
+    blocks = _blocks(distance, rows[1])
+    return _by_tiles(a, b, distance, rows, False, first) if blocks is None else _by_blocks(a, b, distance, blocks, rows[0], False)
 
-    near = F.flatten(F.array(*(asked_of(i, *b) for i, b in enumerate(blocks))))
-    keyed = nodes.select("id", "bits", F.explode(own).alias("k")).select("id", "bits", "k.block", "k.value")
-    asked = nodes.select("id", "bits", F.explode(near).alias("k")).select("id", "bits", "k.block", "k.value")
-    a, b = asked.alias("a"), keyed.alias("b")
-    d = hamming(F.col("a.bits"), F.col("b.bits"))
-    near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))
-    return near.where(d <= distance).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"), d.alias("d")).distinct()
 
+def hamming_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """(lo, hi, d) for pairs of (id, bits) with lo < hi within ``distance``.
 
-def leaders(nodes: DataFrame, distance: int) -> DataFrame:
-    """(id, leader): each node in order of id joins the first leader within the distance, or leads.
-
-    Leaders are the first maximal independent set in order of id. Rounds settle nodes
-    whose lower neighbours are settled; each round's states are written.
-    """
-    firsts = nodes.groupBy("bits").agg(F.min("id").alias("first"))  # equal hashes follow the least id
-    edges = cut(hamming_pairs(firsts.select(F.col("first").alias("id"), "bits"), distance), "edges")
-    state = cut(firsts.select(F.col("first").alias("id"), F.lit(None).cast("boolean").alias("leads")), "state")
+    The 64 bits are cut into blocks, by the number of rows; two hashes within the distance agree in one block
+    but for distance // blocks bits, so one side asks for all values within that radius. Where that costs more than comparing
+    all pairs, as with wide distances, tiles of hashes are compared."""
+    rows = nodes.count()
+    blocks = _blocks(distance, rows)
+    out = _by_tiles(nodes, nodes, distance, (rows, rows), True, False) if blocks is None else _by_blocks(nodes, nodes, distance, blocks, rows, True)
+    return out.select(F.col("a_id").alias("lo"), F.col("b_id").alias("hi"), "d")
+
+
+def _settled(nodes: DataFrame, distance: int) -> DataFrame:
+    """(id, leader) of distinct hashes. Rounds settle nodes whose lower neighbours are settled; each round's states are written."""
+    edges = cut(hamming_pairs(nodes, distance), "edges")
+    state = cut(nodes.select("id", F.lit(None).cast("boolean").alias("leads")), "state")
     while True:
         low = edges.join(state.withColumnRenamed("leads", "low"), edges.lo == F.col("id")).groupBy(F.col("hi").alias("id"))
         low = low.agg(F.max(F.coalesce("low", F.lit(False))).alias("some"), F.max(F.col("low").isNull()).alias("open"))
@@ -224,9 +296,35 @@ def leaders(nodes: DataFrame, distance: int) -> DataFrame:
         if not state.where("leads is null").limit(1).count():
             break
     lead = state.where("leads").select(F.col("id").alias("leader"))
-    joined = edges.join(lead, edges.lo == lead.leader).groupBy(F.col("hi").alias("first")).agg(F.min("lo").alias("leader"))
-    of_first = state.select(F.col("id").alias("first"), "leads").join(joined, "first", "left").select("first", F.when(F.col("leads"), F.col("first")).otherwise(F.col("leader")).alias("leader"))
-    return nodes.join(firsts, "bits").join(of_first, "first").select("id", "leader")
+    joined = edges.join(lead, edges.lo == lead.leader).groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("leader"))
+    return state.join(joined, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+
+
+def leaders(nodes: DataFrame, distance: int) -> DataFrame:
+    """(id, leader): each node in order of id joins the first leader within the distance, or leads.
+
+    Leaders are the first maximal independent set in order of id. Ranges of ids are settled one after the other, each some times larger than the
+    one before: nodes near an earlier range's leader join it, and only the others are compared with one another. So a
+    dense cluster's pairs are made for its first members alone.
+    """
+    firsts = cut(nodes.where("bits is not null").groupBy("bits").agg(F.min("id").alias("id")).select("id", "bits"), "firsts")  # equal hashes follow the least id
+    n, shares = firsts.count(), []
+    while n * GROWTH ** -(len(shares) + 1) >= FIRST_RANGE:
+        shares.insert(0, GROWTH ** -(len(shares) + 1))
+    bounds = [None, *sorted(set(firsts.approxQuantile("id", shares, 1e-3))), None] if shares else [None, None]
+    done, known = None, None
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        rest = firsts if low is None else firsts.where(F.col("id") > low)
+        rest = rest if high is None else rest.where(F.col("id") <= high)
+        if known is not None:
+            joined = near_pairs(rest, known, distance, first=True).groupBy(F.col("a_id").alias("id")).agg(F.min("b_id").alias("leader"))
+            joined = cut(joined, "joined")
+            done, rest = done.union(joined), cut(rest.join(joined, "id", "left_anti"), "rest")
+        own = cut(_settled(rest, distance), "settled")
+        lead = rest.join(own.where("id = leader").select("id"), "id", "left_semi").select("id", "bits")
+        done, known = (own, cut(lead, "leaders")) if known is None else (done.union(own), cut(known.union(lead), "leaders"))
+    of_first = done.select(F.col("id").alias("first"), "leader")
+    return nodes.join(firsts.select("bits", F.col("id").alias("first")), "bits").join(of_first, "first").select("id", "leader")
 
 
 def similar_groups(captures: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -82,3 +82,51 @@ def test_similar_groups(spark):
     lib = library(spark, [{"id": i, "created_ts": i, "phash": f"{0x0102030405060708 + i:016x}"} for i in range(3)] + [{"id": 9, "phash": "not-hex"}])
     assert [(r.key, r["count"], r.ids) for r in n.similar_groups(lib.captures, 8).collect()] == [(0, 3, [2, 1, 0])]
     assert n.similar_groups(lib.captures, 0).collect() == []
+
+
+def spread(seed, count):
+    """Hashes (id, bits) around a few centres, some of them equal."""
+    rng = random.Random(seed)
+    centres, nodes = [rng.getrandbits(64) for _ in range(5)], []
+    for i in range(count):
+        b = rng.choice(centres)
+        for _ in range(rng.randint(0, 9)):
+            b ^= 1 << rng.randrange(64)
+        nodes.append((i, b - (1 << 64) if b >> 63 else b))
+    return nodes
+
+
+def apart(a, b):
+    return ((a ^ b) & (2**64 - 1)).bit_count()
+
+
+@pytest.mark.parametrize(("distance", "plain"), [(0, 10**9), (8, 10**9), (8, 0)])
+def test_pairs_by_blocks_and_by_tiles(spark, monkeypatch, distance, plain):
+    """Both ways give each pair once: blocks without shuffling pairs, tiles without an asked value; also between two sets."""
+    monkeypatch.setattr(n, "COST_PLAIN", plain)
+    monkeypatch.setattr(n, "TILE", 32)
+    assert (n._blocks(distance, 200) is None) == (plain == 0)
+    nodes = spread(distance, 200)
+    df = spark.createDataFrame(nodes, "id long, bits long")
+    got = n.hamming_pairs(df, distance)
+    assert sorted(map(tuple, got.collect())) == sorted((i, j, apart(a, b)) for i, a in nodes for j, b in nodes if i < j and apart(a, b) <= distance)
+    assert "keys=[lo" not in got._jdf.queryExecution().executedPlan().toString()
+    other = n.near_pairs(df.where("id < 150"), df.where("id >= 150"), distance)
+    assert sorted(map(tuple, other.collect())) == sorted((i, j, apart(a, b)) for i, a in nodes[:150] for j, b in nodes[150:] if apart(a, b) <= distance)
+
+
+def test_leaders_by_ranges(spark, monkeypatch):
+    """A dense cluster's pairs are made for its first members only: later ranges meet leaders."""
+    monkeypatch.setattr(n, "FIRST_RANGE", 20)
+    nodes, compared = spread(4, 400), []
+    settled = n._settled
+    monkeypatch.setattr(n, "_settled", lambda rest, distance: compared.append(rest.count()) or settled(rest, distance))
+    got = {r.id: r.leader for r in n.leaders(spark.createDataFrame(nodes, "id long, bits long"), 20).collect()}
+    reps, want = [], {}
+    for i, b in nodes:
+        hit = next((r for r, rb in reps if apart(b, rb) <= 20), None)
+        if hit is None:
+            reps.append((i, b))
+        want[i] = i if hit is None else hit
+    assert got == want
+    assert len(compared) > 1 and sum(compared) < 200
