@@ -53,7 +53,8 @@ def _stat(df: DataFrame, name: str, extra: str | None = None) -> DataFrame:
 
 
 def _with_text(lib: Library) -> DataFrame:
-    text = lib.ocr_text.select(F.col("screenshot_id").alias("_id"), "text")
+    """Available captures; of their texts, the first character that isn't a space, which tells whether a text is blank: whole texts aren't shuffled."""
+    text = lib.ocr_text.select(F.col("screenshot_id").alias("_id"), F.substring(F.trim("text"), 1, 1).alias("text"))
     return lib.captures.where(available()).join(text, F.col("id") == F.col("_id"), "left").drop("_id")
 
 

@@ -29,6 +29,15 @@ def test_groups_and_fingerprints(spark):
     assert not c.metadata_differs(partly).first().differs and c.metadata_differs(partly, strict=True).first().differs
 
 
+def test_texts_stay_where_they_are_read(spark):
+    """Of texts, one character goes to the join of the overview and of the captures without text; blank ones are null, empty or spaces only."""
+    shots = [{"id": i, "ocr_status": "queued" if i == 7 else "done"} for i in range(1, 8)]
+    lib = library(spark, shots, [(1, "text " * 1000), (2, "  x"), (3, "   "), (4, ""), (5, None), (7, "x")])
+    assert sorted(ids(c.items(lib, "notext", NOW))) == [3, 4, 5, 6, 7] and c.overview(lib, NOW).first().notext_count == 5
+    plan = c.category(lib, "notext", NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(trim(text" in plan.split("Join", 1)[1]
+
+
 def test_pages(spark):
     lib = lib_of(spark)
     a, b = (ids(c.items(lib, "old", NOW, limit=2, offset=o)) for o in (0, 2))
