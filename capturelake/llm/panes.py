@@ -1,6 +1,6 @@
 """Window panes that are revised: totals by kind and window, emitted when due, retracted and replaced when late rows change them.
 
-A Structured Streaming query aggregates rows by (kind, window) natively, with its state in RocksDB and a checkpoint
+A Structured Streaming query aggregates rows by (kind, window) natively, with its state and checkpoint
 in the shared folder. It is started anew for each batch, takes what was fed since, and stops. Its state after each
 batch stays readable: snapshots of consecutive batch ids are read with the ``statestore`` source and compared, and what differs
 is a pane with new rows. A lifecycle table, written for each batch, has the panes that were emitted and aren't closed yet.
@@ -38,8 +38,8 @@ HOUR, DAY = 3600 * SECOND, 86_400 * SECOND
 SHIFT = 1_000_000 * DAY
 FEED = T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("kind", T.StringType()), T.StructField("cents", T.LongType())])
 SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # each RocksDB instance keeps half a MB of native memory after it is closed, which adds up over batches and partitions; here a task holds its own partition's open panes, on the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     # a batch of rows is one batch of the query, so that state versions are numbered like batches
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     # every start opens stores of its own: those of earlier starts are closed at once

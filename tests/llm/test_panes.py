@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 
@@ -84,6 +85,14 @@ def test_clicks(spark):
     assert got == brute(batches)
 
 
+def test_state_holds_no_native_memory(spark):
+    """A store's files are those of maps on the heap: native instances, opened anew for each batch and partition, kept memory after they were closed."""
+    run = RevisedPanes(spark)
+    run.feed(spark.createDataFrame([(1, 0, "k", 1)], "id long, event long, kind string, cents long"))
+    names = {p.name for p in Path(run.root.removeprefix("file://"), "checkpoint/state/0").rglob("1.*")}
+    assert "1.delta" in names and not names & {"1.zip", "1.changelog"}, names
+
+
 def test_empty(spark):
     clicks = spark.createDataFrame([], "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, kind string, value double")
     assert panes.click_panes(clicks, batches=2).count() == 0
