@@ -102,12 +102,14 @@ _FINGER = """tg AS (SELECT id, string_agg(name, ',' ORDER BY name) AS t FROM tag
     cl AS (SELECT id, string_agg(cid::VARCHAR, ',' ORDER BY cid) AS c FROM items GROUP BY id),
     fp AS (SELECT content_hash, count(DISTINCT t || '|' || c || '|' || note || '|' || starred::INT || '|0') > 1 AS differs
            FROM avail LEFT JOIN tg USING (id) LEFT JOIN cl USING (id) GROUP BY content_hash)"""
-_PROFILE = """mem AS (SELECT cid, id, app_name, category, website_domain, phash FROM
-        (SELECT items.cid, avail.*, row_number() OVER (PARTITION BY items.cid ORDER BY id) AS rn FROM items JOIN avail USING (id)) WHERE rn <= 300),
-    modes AS (SELECT cid, kind, arg_min(v, (-k, v)) AS v FROM (
+_MODES = """modes AS (SELECT cid, kind, arg_min(v, (-k, v)) AS v FROM (
         SELECT cid, 'app' AS kind, app_name AS v, count(*) AS k FROM mem WHERE app_name IS NOT NULL GROUP BY ALL
         UNION ALL SELECT cid, 'cat', category, count(*) FROM mem WHERE category IS NOT NULL GROUP BY ALL
         UNION ALL SELECT cid, 'dom', website_domain, count(*) FROM mem WHERE website_domain IS NOT NULL GROUP BY ALL) GROUP BY cid, kind)"""
+_PROFILE = f"""mem AS (SELECT cid, id, app_name, category, website_domain, phash FROM
+        (SELECT items.cid, avail.*, row_number() OVER (PARTITION BY items.cid ORDER BY id) AS rn FROM items JOIN avail USING (id)) WHERE rn <= 300),
+    {_MODES}"""
+_WHOLE = f"mem AS (SELECT cid, id, app_name, category, website_domain, phash FROM items JOIN avail USING (id)), {_MODES}"
 _UNFILED = "unfiled AS (SELECT * FROM avail WHERE id NOT IN (SELECT id FROM items))"
 
 
@@ -215,7 +217,7 @@ SQL: dict[str, str] = {
             UNION ALL SELECT DISTINCT a.id, b.cid, 2 FROM member a JOIN (SELECT DISTINCT cid, key FROM mem JOIN member USING (id)) b USING (key) WHERE a.status = 'available'
             UNION ALL SELECT DISTINCT avail.id, b.cid, 2 FROM avail JOIN mem b ON b.phash = avail.phash) p
           JOIN collections k USING (cid) WHERE (p.id, p.cid) NOT IN (SELECT (id, cid) FROM items) GROUP BY p.id, p.cid) WHERE score >= 4) WHERE rank <= 3""",
-        f"{_PROFILE}, {_sessions('live', 1800)}",
+        f"{_WHOLE}, {_sessions('live', 1800)}",
     ),
     "suggest_tags": lib(
         """SELECT id, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, name) AS rank FROM (

@@ -169,3 +169,20 @@ def test_digests_that_lie_near_by_chance_are_not_alike(spark, tmp_path, query):
     docs = [(1, "some other text", "en", "src1"), (2, NEAR[0], "en", "src2"), (3, NEAR[1], "en", "src3")]
     got, want = both_ways(spark, tmp_path, query, docs, [(1, 1, 0), (2, 1, 0)])
     assert got == want and any(r[0] == 3 for r in got)
+
+
+def test_all_members_count(spark):
+    """Beyond a collection's first 300 members its tags, bursts, looks and most frequent values count as well."""
+    shots = [{"id": i, "app_name": "hot", "category": "first" if i <= 300 else "most"} for i in range(1, 651)]
+    shots[309] |= {"phash": f"{0xABC0:016x}", "created_ts": NOW}
+    shots += [{"id": 701, "app_name": "hot"}, {"id": 702, "app_name": "hot", "phash": f"{0xABC1:016x}"}, {"id": 703, "app_name": "hot", "created_ts": NOW + 60}, {"id": 704, "app_name": "hot", "category": "most"}, {"id": 705, "app_name": "hot"}]
+    lib = library(spark, shots, tags=[(650, "late"), (701, "late")], collections=[("k", range(1, 651))])
+    got = {r.id: (r.cid, r.score, r.reasons[1]) for r in s.suggest_collections(lib).collect()}
+    assert got == {701: (1, 4, "1 shared tag"), 702: (1, 5, "Looks similar"), 703: (1, 5, "Captured together"), 704: (1, 5, "Same category: most")}
+
+
+@pytest.mark.parametrize(("query", "found"), [("suggest_collections", (680, 2, "src1", 5, 1))])
+def test_registered_suggestions_count_all_members(spark, tmp_path, query, found):
+    docs = [(i, f"text {i}", "de" if i <= 300 else "en", "src1") for i in range(1, 651)] + [(680, "another", "en", "src2")]
+    got, want = both_ways(spark, tmp_path, query, docs, [(i, 1, 0) for i in range(1, 651)])
+    assert got == want and [r for r in got if r[0] == 680] == [found]
